@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,7 +43,7 @@ def label_color(index: Column) -> Column:
     return F.format_string("hsl(%d, 65%%, 55%%)", F.floor(hue + 0.5).cast("int"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_marks(names: pd.Series) -> pd.Series:
     def plain(name):
         if name is None:

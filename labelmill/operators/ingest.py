@@ -21,8 +21,10 @@ PREVIEW_ERRORS = 10
 PREVIEW_IDS = 20
 PREVIEW_SAMPLE = 10
 
-# First data row of a file is line 2.
-_LINE = F.col("row_no") + 2
+
+def _line() -> Column:
+    """The file line of a row: the header is line 1."""
+    return (F.col("row_no") + 2).cast("string")
 
 
 def _quoted(value) -> Column:
@@ -107,12 +109,12 @@ def dedupe_rows(
     marked = mark_rows(rows, scope)
     if strategy == "skip":
         message = F.concat(
-            F.lit("Row "), _LINE.cast("string"), F.lit(": duplicate id "), _quoted("source_id"), F.lit(" skipped")
+            F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"), F.lit(" skipped")
         )
         return marked.withColumn("message", F.when(F.col("outcome") == "duplicate", message))
     named = marked.join(renamed_ids(marked, scope, limit), [scope, "row_no"], "left")
     message = F.concat(
-        F.lit("Row "), _LINE.cast("string"), F.lit(": duplicate id "), _quoted("source_id"),
+        F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"),
         F.lit(" renamed to "), _quoted("new_id"),
     )
     again = F.col("outcome") == "duplicate"
@@ -271,7 +273,7 @@ def import_preview(rows: DataFrame, scope: str = "file") -> DataFrame:
         .select(scope, "source_id", (F.col("row_no") + 2).alias("_first"))
     )
     message = F.concat(
-        F.lit("Row "), _LINE.cast("string"), F.lit(": duplicate id "), _quoted("source_id"),
+        F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"),
         F.lit(" (first at row "), F.col("_first").cast("string"), F.lit(")"),
     )
     errors = first_listed(

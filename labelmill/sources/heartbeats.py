@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions.presence import STATES
-from labelmill.schemas import TABLES
+from labelmill.schemas import table_type
 
 # Fixed value: the shape of a session key.
 SESSION_KEY = r"^[A-Za-z0-9_-]{8,64}$"
@@ -32,7 +32,7 @@ def read_heartbeats(
     Kafka records parsed to the same columns go through ``valid_heartbeats``.
     """
     stream = (
-        spark.readStream.schema(TABLES["heartbeats"])
+        spark.readStream.schema(table_type("heartbeats"))
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .format(file_format)
         .load(path)

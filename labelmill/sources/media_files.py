@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,6 +31,8 @@ TIMED_VIDEO = ("mp4", "m4v", "mov")
 MAX_BYTES = 100 * 1024 * 1024
 MAX_PIXELS = 50_000_000
 
+_PROBED = StructType([StructField(n, LongType()) for n in ("width", "height", "duration_ms")])
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -163,7 +166,7 @@ def mp4_duration_ms(data: bytes):
     return None
 
 
-@F.pandas_udf("width bigint, height bigint, duration_ms bigint")
+@F.pandas_udf(_PROBED)
 def _walk(content: pd.Series, how: pd.Series) -> pd.DataFrame:
     rows = []
     for data, form in zip(content, how):

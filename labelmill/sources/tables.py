@@ -3,25 +3,22 @@
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelmill.schemas import TABLES
+from labelmill.schemas import table_type
 
 
 def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A declared table; columns outside the schema are not read."""
-    if name not in TABLES:
-        raise ValueError(f"unknown table {name!r}; one of {sorted(TABLES)}")
-    return spark.read.schema(TABLES[name]).parquet(path)
+    return spark.read.schema(table_type(name)).parquet(path)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Project to the declared columns and types; a column missing from ``df`` becomes null."""
-    from pyspark.sql import functions as F
-
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in TABLES[name].fields
+            for f in table_type(name).fields
         ]
     )
 

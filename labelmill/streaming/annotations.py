@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import hotkeys
 from labelmill.operators.history import apply_annotations, state_as_of
-from labelmill.schemas import TABLES
+from labelmill.schemas import empty, table_type
 
 
 def _versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    schema = TABLES["comment_versions"].add("batch", "bigint")
+    schema = table_type("comment_versions").add("batch", "bigint")
     rows = spark.read.schema(schema).option("basePath", path).parquet(path)
     return rows if before is None else rows.where(F.col("batch") < before)
 
@@ -42,8 +42,7 @@ def current_comments(comments: DataFrame, path: str) -> DataFrame:
 
 def prepare(spark: SparkSession, path: str) -> None:
     """Create the empty version table, so the first batch can read it."""
-    empty = spark.createDataFrame([], TABLES["comment_versions"])
-    empty.write.mode("overwrite").parquet(f"{path}/versions/batch=-1")
+    empty(spark, "comment_versions").write.mode("overwrite").parquet(f"{path}/versions/batch=-1")
 
 
 def stream_apply_annotations(
