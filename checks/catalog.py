@@ -1004,6 +1004,10 @@ def _fresh(t):
     return media.refresh_asset_state(t.assets, t.annotations)
 
 
+def _exported(t):
+    return media.exportable_assets(_fresh(t))
+
+
 NAME = "CASE WHEN file_name = '' THEN asset_id || '.png' ELSE file_name END"
 
 
@@ -1013,7 +1017,7 @@ NAME = "CASE WHEN file_name = '' THEN asset_id || '.png' ELSE file_name END"
         CASE WHEN kind = 'video' THEN CAST(first_frame AS BIGINT) END AS frame_index FROM counted WHERE boxes > 0 AND width > 0"""),
 )
 def _(t):
-    return exports.to_coco(_fresh(t), t.annotations, t.classes).images.drop("created_at")
+    return exports.coco_images(_exported(t), t.annotations).drop("created_at")
 
 
 @check(
@@ -1023,7 +1027,7 @@ def _(t):
         CAST(frame_index AS BIGINT) AS frame_index, CAST(timestamp_ms AS BIGINT) AS timestamp_ms FROM pixels"""),
 )
 def _(t):
-    rows = exports.to_coco(_fresh(t), t.annotations, t.classes).annotations
+    rows = exports.coco_annotations(_exported(t), t.annotations, t.classes)
     sides = [F.col("bbox")[i].alias(n) for i, n in enumerate(("x", "y", "w", "h"))]
     return rows.select("dataset_id", "id", "image_id", "category_id", *sides, "area", "frame_index", "timestamp_ms")
 
@@ -1035,7 +1039,7 @@ def _(t):
         UNION ALL SELECT dataset_id, asset_id, 'unknown label "' || label || '"' FROM boxed WHERE class_id IS NULL AND width > 0"""),
 )
 def _(t):
-    return exports.to_coco(_fresh(t), t.annotations, t.classes).skipped
+    return exports.coco_skipped(_exported(t), t.annotations, t.classes)
 
 
 @check(

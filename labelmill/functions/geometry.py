@@ -22,9 +22,12 @@ FRACTIONAL_FRAME = "frameIndex must be a whole number"
 FRAME_NEEDS_DURATION = "frameIndex needs a known video duration; send timestampMs instead"
 
 
-def _not_finite(value: Column) -> Column:
-    v = value.cast("double")
-    return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+def _finite(*values: Column) -> Column:
+    """True when no value is null, NaN or infinite: only finite doubles give 0 when multiplied by 0."""
+    total = F.lit(0.0)
+    for v in values:
+        total = total + v.cast("double") * 0.0
+    return F.coalesce(total == 0.0, F.lit(False))
 
 
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -43,21 +46,19 @@ def normalize_box(x: Column, y: Column, width: Column, height: Column, clamp: bo
     width is kept as given when the corner moved.
     """
     x, y, width, height = (c.cast("double") for c in (x, y, width, height))
+    reason = F.when(~_finite(x, y, width, height), NOT_NUMERIC).when(
+        (width <= 0) | (height <= 0), NOT_POSITIVE
+    )
     if clamp:
         left = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
         top = F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
         w = F.least(width, 1.0 - left)
         h = F.least(height, 1.0 - top)
-        off = F.lit(False)
+        # With a positive size, nothing is left exactly when the corner is past the far edge.
+        reason = reason.when((x >= 1) | (y >= 1), OUTSIDE)
     else:
         left, top, w, h = x, y, width, height
-        off = (x < 0) | (y < 0) | (x + width > 1) | (y + height > 1)
-    reason = (
-        F.when(_not_finite(x) | _not_finite(y) | _not_finite(width) | _not_finite(height), NOT_NUMERIC)
-        .when((width <= 0) | (height <= 0), NOT_POSITIVE)
-        .when(off, OFF_CANVAS)
-        .when((w <= 0) | (h <= 0), OUTSIDE)
-    )
+        reason = reason.when((x < 0) | (y < 0) | (x + width > 1) | (y + height > 1), OFF_CANVAS)
     stored = box(half_up(left, 6), half_up(top, 6), half_up(w, 6), half_up(h, 6))
     return F.struct(
         F.when(reason.isNull(), stored).otherwise(F.lit(None).cast(BOX_TYPE)).alias("box"),
@@ -115,12 +116,12 @@ def iou(a: Column, b: Column) -> Column:
 def normalize_frame(frame_index: Column, timestamp_ms: Column, duration_ms: Column) -> Column:
     """``struct(frame_index, timestamp_ms, reason)`` for a video annotation."""
     ts, frame, duration = (c.cast("double") for c in (timestamp_ms, frame_index, duration_ms))
-    known = ~_not_finite(duration)
+    known = _finite(duration)
     reason = (
-        F.when(ts.isNotNull() & _not_finite(ts), BAD_TIME)
+        F.when(ts.isNotNull() & ~_finite(ts), BAD_TIME)
         .when(ts < 0, NEGATIVE_TIME)
         .when(known & (duration > 0) & (ts > duration), PAST_END)
-        .when(frame.isNotNull() & _not_finite(frame), BAD_FRAME)
+        .when(frame.isNotNull() & ~_finite(frame), BAD_FRAME)
         .when(frame < 0, NEGATIVE_FRAME)
         .when(frame != F.floor(frame), FRACTIONAL_FRAME)
         .when(frame.isNotNull() & ts.isNull() & ~known, FRAME_NEEDS_DURATION)

@@ -15,6 +15,7 @@ from labelmill.functions.labels import derive_status
 from labelmill.functions.text import trimmed
 from labelmill.operators import hotkeys
 from labelmill.operators.vocabulary import check_labels
+from labelmill.staging import staged
 
 SNAPSHOT_FIELDS = ("text", "sentiment", "type", "status", "assigned_to", "annotated_by", "annotated_at", "note")
 
@@ -142,6 +143,8 @@ def apply_annotations(
 ) -> Changes:
     """Apply a patch log in order; one version per patch that changes something."""
     folded, refused = fold_patches(comments, patches, options, limit)
+    # The new state and the versions both read the folded log, which is narrow, so it is written once.
+    folded = staged(folded, "folded")
     last = _latest(folded, ["sentiment", "type", "status", "note", "version", "user_id", "at"])
     after = _overlay(
         comments, last,

@@ -190,6 +190,9 @@ def import_comments(
                 "type": labels.coerce_label(F.col("type"), labels.DEFAULT_TYPES[:3], labels.NO_TYPE),
             }
         )
+    # Four outputs read the checked rows, so they are written once.
+    labelled = staged(labelled, "import")
+    checked = labelled
     now = F.lit(as_of).cast("timestamp")
     nobody = F.lit(None).cast("string")
     status = labels.derive_status(F.col("sentiment"), F.col("type"))

@@ -1,13 +1,12 @@
 """Media assets and box annotations: counts, derived state, joins for export, overlaps."""
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions import geometry
 from labelmill.functions.numbers import ratio
 from labelmill.operators.quality import class_balance
+from labelmill.staging import staged
 
 # Bounds of a "recent work" list.
 RECENT_MOST = 50
@@ -170,91 +169,117 @@ def recent_work_by_user(annotations: DataFrame, n: int = 15) -> DataFrame:
 
 
 def _distinct_boxes(annotations: DataFrame) -> DataFrame:
-    place = ["asset_id", "frame_index", "x", "y", "box_width", "box_height"]
+    """Boxes that differ, with their copies; ``small`` is aggregated so every use shares one shuffle."""
+    place = ["asset_id", "frame", "x", "y", "box_width", "box_height"]
     boxes = annotations.where((F.col("kind") == "bbox") & (F.col("box_width") > 0) & (F.col("box_height") > 0))
+    boxes = boxes.withColumn("frame", F.coalesce("frame_index", F.lit(-1)).cast("bigint"))
     return boxes.groupBy(*place).agg(
-        F.count("*").alias("copies"), F.min("annotation_id").alias("annotation_id")
+        F.count("*").alias("copies"),
+        F.min("annotation_id").alias("annotation_id"),
+        F.max(F.col("box_width") * F.col("box_height") < SMALL_AREA).alias("small"),
     )
 
 
+def _size_cells(boxes: DataFrame, bound: float, spread: bool) -> DataFrame:
+    """Add kx, gx, ky, gy: the size classes a partner may share and the cells it may start in.
+
+    Cells of a class are as long as its longest side, so a corner within reach
+    is in one of three neighbouring cells.
+    """
+    step = F.lit(1.0 / bound)
+    reach = F.lit(1.0 - bound if spread else 0.0)
+    steps = range(3) if spread else range(1)
+    offsets = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(("kx", "ky", "gx", "gy"), (kx, ky, gx, gy))])
+            for kx in range(2) for ky in range(2) for gx in steps for gy in steps
+        ]
+    )
+    out = boxes.withColumn("o", F.explode(offsets))
+    for axis, corner, own in (("x", "x", "cw"), ("y", "y", "ch")):
+        out = out.withColumn(f"k{axis}", F.col(own) + F.col(f"o.k{axis}"))
+        at = F.col(corner) / F.pow(step, F.col(f"k{axis}") + 1)
+        out = out.withColumn(f"g{axis}", F.floor(at - reach) + F.col(f"o.g{axis}"))
+        out = out.where(F.col(f"g{axis}") <= F.floor(at + reach))
+    return out.drop("o")
+
+
+def _small_cells(boxes: DataFrame) -> DataFrame:
+    """Small boxes by every cell of a plain grid they cover."""
+
+    def covered(corner: str, side: str) -> Column:
+        first, last = F.col(corner) / SMALL_GRID, (F.col(corner) + F.col(side)) / SMALL_GRID
+        return F.explode(F.sequence(F.floor(first), F.floor(last)))
+
+    none = F.lit(_NO_CLASS).cast("bigint")
+    small = boxes.where("small").withColumns({"kx": none, "ky": none})
+    return small.withColumn("gx", covered("x", "box_width")).withColumn("gy", covered("y", "box_height"))
+
+
+_NO_CLASS = 1_000_000
+
+
 def overlap_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     """Pairs of boxes of one asset and frame with IoU of at least ``min_iou``.
 
     Equal boxes fold into one with a copy count, so a pair row stands for
     ``pairs`` = copies_a * copies_b annotation pairs, and a row pairing a box
     with itself for the pairs among its copies. Boxes meet only when sizes and
-    places allow the IoU: widths and heights within the factor 1/min_iou and
-    corners within one box size, which a size class and grid cell express as
-    equality keys. Every qualifying pair meets in exactly one cell.
+    places allow the IoU: sides within the factor 1/min_iou and corners within
+    (1 - min_iou) of the longer side, which a size class and a grid cell
+    express as equality keys. Every qualifying pair meets in exactly one cell.
     """
     if not 0.01 <= min_iou <= 1:
         raise ValueError("min_iou must be between 0.01 and 1")
-    boxes = _distinct_boxes(annotations).withColumn("small", F.col("box_width") * F.col("box_height") < SMALL_AREA)
-    # Area rounding can lift an IoU a little, so classes are cut a little wider than 1/min_iou.
-    step = 1.0 / (0.98 * min_iou)
-    log_step = F.log(F.lit(step))
-    sized = boxes.withColumns(
-        {
-            "cw": F.floor(F.log("box_width") / log_step),
-            "ch": F.floor(F.log("box_height") / log_step),
-        }
+    # Area rounding can lift an IoU a little, so classes and reach are a little wider than min_iou asks.
+    bound = 0.98 * min_iou
+    log_step = F.log(F.lit(1.0 / bound))
+    # Both join sides and the copies read the folded boxes, so they are written once.
+    folded = staged(_distinct_boxes(annotations), "boxes")
+    boxes = folded.withColumns(
+        {"cw": F.floor(F.log("box_width") / log_step), "ch": F.floor(F.log("box_height") / log_step)}
     )
+    cell = ["asset_id", "frame", "kx", "ky", "gx", "gy"]
 
-    def cells(df: DataFrame, spread: bool) -> DataFrame:
-        shifts = F.array(*[F.lit(s) for s in ((-1, 0, 1) if spread else (0,))])
-        out = df.withColumn("kw", F.explode(F.array("cw", F.col("cw") + 1)))
-        out = out.withColumn("kh", F.explode(F.array("ch", F.col("ch") + 1)))
-        out = out.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
-        at_x = F.floor(F.col("x") / F.pow(F.lit(step), F.col("kw") + 1)) + F.col("dx")
-        at_y = F.floor(F.col("y") / F.pow(F.lit(step), F.col("kh") + 1)) + F.col("dy")
-        return out.withColumns({"gx": at_x, "gy": at_y}).drop("dx", "dy")
-
-    def grid(df: DataFrame) -> DataFrame:
-        def span(start: str, size: str) -> Column:
-            first = F.floor(F.col(start) / SMALL_GRID)
-            return F.explode(F.sequence(first, F.floor((F.col(start) + F.col(size)) / SMALL_GRID)))
-
-        return df.withColumn("gx", span("x", "box_width")).withColumn("gy", span("y", "box_height"))
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(
-            *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != "asset_id"],
-            F.col("asset_id").alias(f"{tag}_asset_id"),
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.select(
+            *cell, *[F.col(c).alias(f"{tag}_{c}") for c in rows.columns if c not in cell]
         )
 
-    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        on = F.col("a_frame_index").eqNullSafe(F.col("b_frame_index"))
-        for k in ["asset_id", *keys]:
-            on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-        on = on & (F.col("a_annotation_id") < F.col("b_annotation_id"))
-        return side(left, "a").join(side(right, "b"), on)
-
-    met = meet(cells(sized, True), cells(sized, False), ["kw", "kh", "gx", "gy"]).where(
-        (F.greatest("a_cw", "b_cw") == F.col("a_kw"))
-        & (F.greatest("a_ch", "b_ch") == F.col("a_kh"))
+    left, right = _size_cells(boxes, bound, True), _size_cells(boxes, bound, False)
+    if not folded.where("small").isEmpty():
+        small = _small_cells(boxes)
+        left, right = left.unionByName(small), right.unionByName(small)
+    met = side(left, "a").join(side(right, "b"), cell)
+    sized = (
+        (F.greatest("a_cw", "b_cw") == F.col("kx"))
+        & (F.greatest("a_ch", "b_ch") == F.col("ky"))
         & ~(F.col("a_small") & F.col("b_small"))
     )
-    tiny = boxes.where("small")
-    corner_x = F.floor(F.greatest("a_x", "b_x") / SMALL_GRID)
-    corner_y = F.floor(F.greatest("a_y", "b_y") / SMALL_GRID)
-    tiny_met = meet(grid(tiny), grid(tiny), ["gx", "gy"]).where(
-        (corner_x == F.col("a_gx")) & (corner_y == F.col("a_gy"))
+    cornered = (
+        (F.col("kx") == _NO_CLASS)
+        & (F.floor(F.greatest("a_x", "b_x") / SMALL_GRID) == F.col("gx"))
+        & (F.floor(F.greatest("a_y", "b_y") / SMALL_GRID) == F.col("gy"))
     )
+    met = met.where((F.col("a_annotation_id") < F.col("b_annotation_id")) & (sized | cornered))
 
     def pair_box(tag: str) -> Column:
         return geometry.box(*[F.col(f"{tag}_{c}") for c in ("x", "y", "box_width", "box_height")])
 
-    columns = [
-        F.col("a_asset_id").alias("asset_id"), F.col("a_frame_index").alias("frame_index"),
-        F.col("a_annotation_id").alias("first_id"), F.col("b_annotation_id").alias("second_id"),
+    pairs = met.select(
+        "asset_id", "frame", F.col("a_annotation_id").alias("first_id"),
+        F.col("b_annotation_id").alias("second_id"),
         geometry.iou(pair_box("a"), pair_box("b")).alias("iou"),
         (F.col("a_copies") * F.col("b_copies")).alias("pairs"),
-    ]
-    found = met.select(*columns).unionByName(tiny_met.select(*columns))
-    own = geometry.box(F.col("x"), F.col("y"), F.col("box_width"), F.col("box_height"))
+    )
     copies = boxes.where(F.col("copies") > 1).select(
-        "asset_id", "frame_index", F.col("annotation_id").alias("first_id"),
-        F.col("annotation_id").alias("second_id"), geometry.iou(own, own).alias("iou"),
+        "asset_id", "frame", F.col("annotation_id").alias("first_id"),
+        F.col("annotation_id").alias("second_id"),
+        geometry.iou(annotation_box(), annotation_box()).alias("iou"),
         F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("pairs"),
     )
-    return found.unionByName(copies).where(F.col("iou") >= min_iou)
+    kept = pairs.unionByName(copies).where(F.col("iou") >= min_iou)
+    return kept.select(
+        "asset_id", F.nullif("frame", F.lit(-1).cast("bigint")).alias("frame_index"),
+        "first_id", "second_id", "iou", "pairs",
+    )

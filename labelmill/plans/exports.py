@@ -53,49 +53,66 @@ def _with_box_summary(assets: DataFrame, annotations: DataFrame) -> DataFrame:
     return assets.join(summary, "asset_id", "left")
 
 
-def to_coco(
-    assets: DataFrame, annotations: DataFrame, classes: DataFrame,
-    include_unannotated: bool = False, kind: str | None = None,
-) -> Coco:
-    """COCO tables. Annotation ids run from 1 within a dataset, in asset then box order."""
-    chosen = exportable_assets(assets, include_unannotated, kind)
+def _has_boxes():
+    return F.col("boxes").isNotNull()
+
+
+def coco_images(chosen: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Assets with a box and a known size."""
     counted = _with_box_summary(chosen, annotations)
-    has_boxes = F.col("boxes").isNotNull()
-    images = counted.where(has_boxes & _sized("width", "height")).select(
+    return counted.where(_has_boxes() & _sized("width", "height")).select(
         "dataset_id", F.col("asset_id").alias("id"), _file_name().alias("file_name"), "width", "height",
         F.when(F.col("kind") == "video", F.col("first_frame")).alias("frame_index"), "created_at",
     )
-    boxes = _labelled(boxes_with_assets(chosen, annotations), classes).where(
-        _sized("asset_width", "asset_height")
-    )
+
+
+def coco_annotations(chosen: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
+    """Boxes in pixels, numbered from 1 within a dataset in asset then box order."""
+    boxes = _labelled(boxes_with_assets(chosen, annotations), classes)
+    kept = boxes.where(F.col("class_id").isNotNull() & _sized("asset_width", "asset_height"))
+    px = geometry.to_pixels(F.col("box"), F.col("asset_width"), F.col("asset_height"))
     numbered = number_rows(
-        boxes.where(F.col("class_id").isNotNull()).select(
-            "dataset_id", *_SORT, "class_id", "frame_index", "timestamp_ms",
-            geometry.to_pixels(F.col("box"), F.col("asset_width"), F.col("asset_height")).alias("px"),
-        ),
+        kept.select("dataset_id", *_SORT, "class_id", "frame_index", "timestamp_ms", px.alias("px")),
         ["dataset_id"], _SORT, "id",
     )
-    rows = numbered.select(
+    return numbered.select(
         "dataset_id", "id", F.col("asset_id").alias("image_id"), F.col("class_id").alias("category_id"),
         F.array("px.x", "px.y", "px.width", "px.height").alias("bbox"),
         half_up(F.col("px.width") * F.col("px.height"), 2).alias("area"),
         F.lit(0).alias("iscrowd"), "frame_index", "timestamp_ms",
     )
-    categories = classes.select(
+
+
+def coco_categories(classes: DataFrame) -> DataFrame:
+    return classes.select(
         "dataset_id", F.col("class_id").alias("id"), F.col("value").alias("name"),
         F.lit("object").alias("supercategory"),
     )
-    reason = F.when(~has_boxes, NO_BOXES).otherwise(NO_SIZE)
-    skipped = (
-        counted.where(~has_boxes | ~_sized("width", "height"))
+
+
+def coco_skipped(chosen: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
+    """Assets left out, and boxes of exported assets whose label is no class."""
+    counted = _with_box_summary(chosen, annotations)
+    reason = F.when(~_has_boxes(), NO_BOXES).otherwise(NO_SIZE)
+    boxes = _labelled(boxes_with_assets(chosen, annotations), classes)
+    unknown = boxes.where(F.col("class_id").isNull() & _sized("asset_width", "asset_height"))
+    return (
+        counted.where(~_has_boxes() | ~_sized("width", "height"))
         .select("dataset_id", "asset_id", reason.alias("reason"))
-        .unionByName(
-            boxes.where(F.col("class_id").isNull()).select(
-                "dataset_id", "asset_id", _unknown_label().alias("reason")
-            )
-        )
+        .unionByName(unknown.select("dataset_id", "asset_id", _unknown_label().alias("reason")))
+    )
+
+
+def to_coco(
+    assets: DataFrame, annotations: DataFrame, classes: DataFrame,
+    include_unannotated: bool = False, kind: str | None = None,
+) -> Coco:
+    """The four COCO tables of every dataset."""
+    chosen = exportable_assets(assets, include_unannotated, kind)
+    return Coco(
+        coco_images(chosen, annotations), coco_annotations(chosen, annotations, classes),
+        coco_categories(classes), coco_skipped(chosen, annotations, classes),
     )
-    return Coco(images, rows, categories, skipped)
 
 
 @dataclass(frozen=True)
