@@ -8,6 +8,8 @@ milliseconds); rows sharing a position share a block, so the order is kept.
 
 ``cut_keys`` measures the row counts once; without a hot key the plain window
 runs. One cut serves every later step over the same rows or a part of them.
+With a hot key each step writes its windowed rows once, because both the block
+edges and the result read them.
 """
 
 from collections.abc import Sequence
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmill.staging import staged
+
 # Rows of one key that a single task may window. 2M narrow rows sort in memory.
 KEY_ROW_LIMIT = 2_000_000
 
@@ -90,16 +94,17 @@ def cut_keys(df: DataFrame, keys: Sequence[str], position: str, limit: int = KEY
         (F.col("_hi") - F.col("_lo") + 1).alias("_span"),
         F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"),
     )
+    side = staged(side, "hot-keys")
     return Cut(keys, position, F.broadcast(side) if found <= BROADCAST_KEYS else side)
 
 
 def previous_row(df: DataFrame, cut: Cut, order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: a struct of ``columns`` from the row before, null on a key's first row."""
-    rows = cut.blocks(df)
     row = F.struct(*columns)
-    out = rows.withColumn(name, F.lag(row).over(cut.window(order)))
+    out = cut.blocks(df).withColumn(name, F.lag(row).over(cut.window(order)))
     if cut.hot is not None:
-        last = cut.edges(rows, F.max_by(row, F.struct(*order)).alias("_last"))
+        out = staged(out, "blocks")
+        last = cut.edges(out, F.max_by(row, F.struct(*order)).alias("_last"))
         by_block = Window.partitionBy(*cut.keys).orderBy(BLOCK)
         out = cut.carry(out, last.withColumn("_carry", F.lag("_last").over(by_block)))
         out = out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
@@ -112,7 +117,8 @@ def running_sum(df: DataFrame, cut: Cut, order: Sequence[str], amount: Column, n
     window = cut.window(order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn(name, F.sum("_amount").over(window))
     if cut.hot is not None:
-        totals = cut.edges(rows, F.sum("_amount").alias("_part"))
+        out = staged(out, "blocks")
+        totals = cut.edges(out, F.sum("_amount").alias("_part"))
         out = cut.carry(out, totals.withColumn("_carry", F.sum("_part").over(cut.earlier())))
         out = out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
     return out.drop(BLOCK, HOT, "_amount")
@@ -131,9 +137,10 @@ def fill_forward(df: DataFrame, cut: Cut, order: Sequence[str], columns: dict[st
         {new: F.last(src, ignorenulls=True).over(window) for new, src in columns.items()}
     )
     if cut.hot is not None:
+        out = staged(out, "blocks")
         at = F.struct(*order)
         latest = cut.edges(
-            rows,
+            out,
             *[
                 F.max_by(F.col(src), F.when(F.col(src).isNotNull(), at)).alias(f"_l_{new}")
                 for new, src in columns.items()

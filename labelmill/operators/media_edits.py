@@ -17,6 +17,7 @@ from labelmill.functions import geometry
 from labelmill.functions.numbers import half_up
 from labelmill.operators import hotkeys
 from labelmill.operators.vocabulary import resolve_labels
+from labelmill.staging import staged
 
 # Note length and the fields a version tracks.
 NOTE_CHARS = 2000
@@ -97,6 +98,42 @@ def _side_error(required: Column) -> Column:
     )
 
 
+def _checked(edits: DataFrame, assets: DataFrame, classes: DataFrame, create: bool) -> DataFrame:
+    """Edits in stored units with ``reason``: what a single row shows to be wrong."""
+    joined = edits.join(_assets(assets), "asset_id", "left").withColumn("dataset_id", F.col("a_dataset_id"))
+    out = _canonical(joined, classes)
+    is_create = F.lit(create)
+    box_kind = F.col("kind") == "bbox"
+    timed = F.col("frame_index").isNotNull() | F.col("timestamp_ms").isNotNull()
+    frame_op = box_kind & (F.col("a_kind") == "video") & (is_create | timed)
+    frame = geometry.normalize_frame(F.col("frame_index"), F.col("timestamp_ms"), F.col("a_duration"))
+    # An update may find its time in an earlier edit, so that rule waits.
+    frame_error = frame["reason"] if create else F.nullif(frame["reason"], F.lit(geometry.FRAME_NEEDS_DURATION))
+    writes = F.col("op").isin("create", "update")
+    reason = (
+        F.when(~F.col("op").isin("create", "update", "delete"), F.lit("Unknown operation"))
+        .when(F.col("a_kind").isNull(), F.lit("Media asset not found"))
+        .when(~F.col("kind").isin("bbox", "classification"), F.lit('kind must be "bbox" or "classification"'))
+        .when(writes & F.col("label_error").isNotNull(), F.col("label_error"))
+        .when(writes & box_kind & F.col("pixel_error").isNotNull(), F.col("pixel_error"))
+        .when(
+            writes & box_kind,
+            F.coalesce(_side_error(is_create), F.when(frame_op, frame_error)),
+        )
+    )
+    return out.withColumns(
+        {
+            "reason": reason,
+            "_boxed": box_kind & (F.col("_given") | is_create) & writes,
+            "note": F.substring("note", 1, NOTE_CHARS),
+            "has_note": (F.coalesce("has_note", F.lit(False)) | is_create) & writes,
+            "label": F.when(writes, F.col("label")),
+            "_frame": F.when(frame_op & writes, F.col("frame_index")).cast("bigint"),
+            "_time": F.when(frame_op & writes, F.floor(F.col("timestamp_ms").cast("double") + 0.5)),
+        }
+    ).drop("frame_index", "timestamp_ms", "label_error", "pixel_error")
+
+
 def _fold_side(df: DataFrame, cut: hotkeys.Cut, corner: str, size: str) -> DataFrame:
     """Clamped corner and size after each edit.
 
@@ -104,7 +141,8 @@ def _fold_side(df: DataFrame, cut: hotkeys.Cut, corner: str, size: str) -> DataF
     one cut by every room (1 - corner) since it was given, so it is a running
     minimum within the run that starts at each given size.
     """
-    inside = F.least(F.greatest(F.col(corner), F.lit(0.0)), F.lit(1.0))
+    # greatest and least skip nulls, so a corner that is not given must stay null.
+    inside = F.when(F.col(corner).isNotNull(), F.least(F.greatest(F.col(corner), F.lit(0.0)), F.lit(1.0)))
     df = df.withColumn(f"_c_{corner}", half_up(inside, 6))
     df = hotkeys.fill_forward(df, cut, ["seq"], {f"_s_{corner}": f"_c_{corner}"})
     df = hotkeys.running_sum(df, cut, ["seq"], F.col(size).isNotNull().cast("int"), f"_run_{size}")
@@ -122,7 +160,8 @@ def _running_min(df: DataFrame, size: str, limit: int) -> DataFrame:
     window = cut.window(["seq"]).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn(f"_s_{size}", F.min(f"_at_{size}").over(window))
     if cut.hot is not None:
-        lows = cut.edges(rows, F.min(f"_at_{size}").alias("_low"))
+        out = staged(out, "blocks")
+        lows = cut.edges(out, F.min(f"_at_{size}").alias("_low"))
         out = cut.carry(out, lows.withColumn("_carry", F.min("_low").over(cut.earlier())))
         out = out.withColumn(f"_s_{size}", F.least(f"_s_{size}", "_carry")).drop("_carry")
     return out.drop(hotkeys.BLOCK, hotkeys.HOT)
@@ -137,102 +176,71 @@ def apply_annotation_edits(
     limit: int = hotkeys.KEY_ROW_LIMIT,
 ) -> Edits:
     """Apply the log in ``seq`` order to live annotations and their history."""
-    # --- What each edit talks about: a live annotation, one created in this log, or a deleted one.
-    base = annotations.select("annotation_id", F.col("asset_id").alias("_b_asset"), F.col("kind").alias("_b_kind"))
-    created = (
-        log.where(F.col("op") == "create")
-        .groupBy("annotation_id")
-        .agg(
-            F.min("seq").alias("_c_seq"),
-            F.min_by("asset_id", "seq").alias("_c_asset"),
-            F.min_by(F.coalesce("kind", F.lit("bbox")), "seq").alias("_c_kind"),
-        )
+    # --- Creates stand alone: their asset, kind and checks are in the row. The first good one makes the id.
+    base = annotations.select(
+        "annotation_id", F.col("asset_id").alias("_b_asset"), F.col("kind").alias("_b_kind"),
+        F.col("timestamp_ms").alias("_b_time"),
+    )
+    creates = log.where(F.col("op") == "create").withColumn("kind", F.coalesce("kind", F.lit("bbox")))
+    creates = _checked(creates, assets, classes, True)
+    made = creates.where(F.col("reason").isNull()).groupBy("annotation_id").agg(
+        F.min("seq").alias("_made"),
+        F.min_by("asset_id", "seq").alias("_m_asset"),
+        F.min_by("kind", "seq").alias("_m_kind"),
+    )
+    made = made.join(base, "annotation_id", "left_anti")
+    live = base.select("annotation_id", F.lit(True).alias("_live"))
+    creates = creates.join(live, "annotation_id", "left").join(
+        made.select("annotation_id", "_made"), "annotation_id", "left"
     )
-    known = (
-        log.withColumnRenamed("asset_id", "_l_asset")
-        .withColumnRenamed("kind", "_l_kind")
-        .join(base, "annotation_id", "left")
-        .join(created, "annotation_id", "left")
+    taken = F.coalesce(F.col("_live"), F.lit(False)) | F.coalesce(F.col("seq") > F.col("_made"), F.lit(False))
+    creates = creates.withColumn(
+        "reason", F.when(taken, F.lit("Annotation already exists")).otherwise(F.col("reason"))
+    ).drop("_live", "_made")
+
+    # --- Other edits take asset and kind from the live annotation or from the create.
+    others = (
+        log.where(~F.col("op").isin("create", "restore"))
+        .drop("asset_id", "kind")
+        .join(base.drop("_b_time"), "annotation_id", "left")
+        .join(made, "annotation_id", "left")
         .withColumns(
-            {
-                "asset_id": F.coalesce("_b_asset", "_c_asset"),
-                "kind": F.coalesce("_b_kind", "_c_kind"),
-                "_live": F.col("_b_asset").isNotNull(),
-            }
+            {"asset_id": F.coalesce("_b_asset", "_m_asset"), "kind": F.coalesce("_b_kind", "_m_kind")}
         )
-        .join(_assets(assets), "asset_id", "left")
-        .withColumn("dataset_id", F.col("a_dataset_id"))
     )
-    edits = _canonical(known.where(F.col("op") != "restore"), classes)
-
-    # --- Refusals that a single row shows.
-    create, update = F.col("op") == "create", F.col("op") == "update"
-    box_kind = F.col("kind") == "bbox"
-    edits = edits.withColumns(
-        {
-            "_boxed": box_kind & (F.col("_given") | create),
-            "note": F.substring("note", 1, NOTE_CHARS),
-            "has_note": F.coalesce("has_note", F.lit(False)) | create,
-        }
+    unknown = F.col("_b_asset").isNull() & F.coalesce(F.col("seq") < F.col("_made"), F.lit(True))
+    others = _checked(others, assets, classes, False).withColumn(
+        "reason", F.when(unknown, F.lit("Annotation not found")).otherwise(F.col("reason"))
     )
-    video = F.col("a_kind") == "video"
-    frame_op = box_kind & video & (create | F.col("frame_index").isNotNull() | F.col("timestamp_ms").isNotNull())
-    frame = geometry.normalize_frame(F.col("frame_index"), F.col("timestamp_ms"), F.col("a_duration"))
-    needs_time = F.lit(geometry.FRAME_NEEDS_DURATION)
-    frame_error = F.when(frame_op, F.nullif(frame["reason"], needs_time))
-    # The first create of an id that is not live makes it; another one is refused.
-    second = create & (F.col("_live") | (F.col("seq") != F.col("_c_seq")))
-    reason = (
-        F.when(~F.col("op").isin("create", "update", "delete"), F.lit("Unknown operation"))
-        .when(second, F.lit("Annotation already exists"))
-        .when(~F.col("_live") & F.col("_c_seq").isNull(), F.lit("Annotation not found"))
-        .when(~F.col("_live") & (F.col("seq") < F.col("_c_seq")), F.lit("Annotation not found"))
-        .when(F.col("a_kind").isNull(), F.lit("Media asset not found"))
-        .when(~F.col("kind").isin("bbox", "classification"), F.lit('kind must be "bbox" or "classification"'))
-        .when((create | update) & F.col("label_error").isNotNull(), F.col("label_error"))
-        .when((create | update) & box_kind & F.col("pixel_error").isNotNull(), F.col("pixel_error"))
-        .when((create | update) & box_kind, F.coalesce(_side_error(create), frame_error))
-    )
-    edits = edits.withColumn("reason", reason)
+    others = others.drop("_b_asset", "_b_kind", "_made", "_m_asset", "_m_kind")
 
-    # --- Refusals that depend on order: no accepted create, after the delete, a frame without a time.
+    # --- Order: nothing follows the first accepted delete. The log is narrow and each
+    # of its stages is read several times, so each is written once.
+    edits = staged(creates.unionByName(others), "edits")
     cut = hotkeys.cut_keys(log, _KEY, "seq", limit)
-    ok = F.col("reason").isNull()
-    first = edits.where(ok).groupBy("annotation_id").agg(
-        F.min(F.when(create, F.col("seq"))).alias("_made"),
-        F.min(F.when(F.col("op") == "delete", F.col("seq"))).alias("_ended"),
+    deletes = edits.where(F.col("reason").isNull() & (F.col("op") == "delete"))
+    ended = deletes.groupBy("annotation_id").agg(F.min("seq").alias("_ended"))
+    edits = edits.join(ended, "annotation_id", "left").join(
+        base.select("annotation_id", "_b_time"), "annotation_id", "left"
     )
-    stamps = annotations.select("annotation_id", F.col("timestamp_ms").alias("_b_time"))
-    edits = edits.join(first, "annotation_id", "left").join(stamps, "annotation_id", "left")
+    after = (F.col("op") != "create") & (F.col("seq") > F.col("_ended"))
     edits = edits.withColumn(
-        "reason",
-        F.when(~ok, F.col("reason"))
-        .when(~F.col("_live") & F.col("_made").isNull(), F.lit("Annotation not found"))
-        .when(F.col("seq") > F.col("_ended"), F.lit("Annotation not found")),
+        "reason", F.when(after, F.lit("Annotation not found")).otherwise(F.col("reason"))
     )
-    accepted = edits.where(F.col("reason").isNull()).withColumns(
-        {
-            "_frame": F.when(frame_op, frame["frame_index"]),
-            "_time": F.when(frame_op, F.floor(F.col("timestamp_ms").cast("double") + 0.5)),
-            "_frame_op": frame_op,
-        }
+    # A frame without a time needs one from an earlier edit when the duration is unknown.
+    accepted = hotkeys.fill_forward(
+        edits.where(F.col("reason").isNull()), cut, ["seq"], {"_s_time": "_time"}
     )
-    accepted = hotkeys.fill_forward(accepted, cut, ["seq"], {"_s_time": "_time"})
+    accepted = staged(accepted, "accepted")
     untimed = (
-        F.col("_frame_op")
-        & F.col("frame_index").isNotNull()
+        F.col("_frame").isNotNull()
         & F.coalesce("_s_time", "_b_time").isNull()
         & F.col("a_duration").isNull()
     )
-    late = accepted.where(untimed).select("annotation_id", "seq", needs_time.alias("reason"))
-    accepted = accepted.where(~untimed)
-    # An id whose only create fell to the frame rule has no edits left.
-    lost = accepted.where(~F.col("_live")).groupBy("annotation_id").agg(F.count_if(create).alias("_n"))
-    lost = lost.where(F.col("_n") == 0).select("annotation_id")
-    orphans = accepted.join(lost, "annotation_id", "left_semi").select(
-        "annotation_id", "seq", F.lit("Annotation not found").alias("reason")
+    late = accepted.where(untimed).select(
+        "annotation_id", "seq", F.lit(geometry.FRAME_NEEDS_DURATION).alias("reason")
     )
-    accepted = accepted.join(lost, "annotation_id", "left_anti")
+    accepted = accepted.where(~untimed)
 
     # --- Fold. Live annotations enter as a row before the log.
     start = annotations.select(
@@ -301,7 +309,7 @@ def apply_annotation_edits(
         .when(F.col("op") == "update", diff)
         .otherwise(F.array().cast("array<string>"))
     )
-    state = state.withColumn("changed_fields", changed).drop("_prev")
+    state = staged(state.withColumn("changed_fields", changed).drop("_prev"), "edited")
     logged = state.where(
         F.col("op").isin("create", "delete") | ((F.col("op") == "update") & (F.size("changed_fields") > 0))
     )
@@ -344,13 +352,18 @@ def apply_annotation_edits(
     deleted = here.select(
         "annotation_id", F.col("revision").alias("_rev"), F.col("snapshot").alias("_snap"), "_del_seq"
     ).unionByName(past.join(here.select("annotation_id"), "annotation_id", "left_anti"))
-    seen = versions.select("annotation_id").unionByName(new_versions.select("annotation_id")).distinct()
+    seen = (
+        versions.select("annotation_id", F.lit(-1).cast("bigint").alias("seq"))
+        .unionByName(logged.select("annotation_id", "seq"))
+        .groupBy("annotation_id")
+        .agg(F.min("seq").alias("_seen"))
+    )
     matched = (
         asked.join(deleted, "annotation_id", "left")
-        .join(seen.withColumn("_seen", F.lit(True)), "annotation_id", "left")
+        .join(seen, "annotation_id", "left")
         .withColumn("_ok", F.coalesce(F.col("seq") > F.col("_del_seq"), F.lit(False)))
     )
-    refusal = F.when(F.col("_seen").isNull(), F.lit("No history for this annotation")).otherwise(
+    refusal = F.when(F.coalesce(F.col("_seen") > F.col("seq"), F.lit(True)), F.lit("No history for this annotation")).otherwise(
         F.lit("This annotation is not deleted; edit it instead")
     )
     bad_restores = matched.where(~F.col("_ok")).select("annotation_id", "seq", refusal.alias("reason"))
@@ -371,7 +384,6 @@ def apply_annotation_edits(
         edits.where(F.col("reason").isNotNull())
         .select("annotation_id", "seq", "reason")
         .unionByName(late)
-        .unionByName(orphans)
         .unionByName(bad_restores)
     )
     return Edits(
