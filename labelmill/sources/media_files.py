@@ -194,8 +194,7 @@ def _problem(limits: Limits) -> Column:
     listed = f"Allowed images: {', '.join(IMAGE_TYPES)}; allowed videos: {', '.join(VIDEO_TYPES)}"
     megabytes = round(limits.max_bytes / (1024 * 1024))
     return (
-        F.when(F.col("length") == 0, F.lit("Uploaded file is empty"))
-        .when(F.col("length") > limits.max_bytes, F.lit(f"File exceeds the {megabytes} MB limit"))
+        F.when(F.col("length") > limits.max_bytes, F.lit(f"File exceeds the {megabytes} MB limit"))
         .when(F.col("extension") == "", F.concat(F.lit('"'), F.col("file_name"), F.lit('" has no file extension')))
         .when(
             ~F.col("extension").isin(allowed),
@@ -216,8 +215,8 @@ def media_catalog(
 ) -> Catalog:
     """Files under ``path`` as pending assets, and the refused ones with the reason.
 
-    Oversize files are dropped by the pushed-down length filter, before their
-    bytes are read. Byte copies within the dataset are left to
+    Spark scans skip empty files, so those appear in neither table. Oversize
+    files are dropped by the pushed-down length filter, before their bytes are read. Byte copies within the dataset are left to
     ``checksum_duplicates``.
     """
     files = (
@@ -226,7 +225,7 @@ def media_catalog(
     listed = files.select("path", "length", _name().alias("file_name"), _extension().alias("extension"))
     early = listed.withColumn("reason", _problem(limits)).where("reason is not null")
 
-    read = files.where((F.col("length") > 0) & (F.col("length") <= limits.max_bytes)).select(
+    read = files.where(F.col("length") <= limits.max_bytes).select(
         "path", "length", "content", _name().alias("file_name"), _extension().alias("extension")
     ).where(F.col("extension").isin([*IMAGE_TYPES, *VIDEO_TYPES]))
     image = F.col("extension").isin(list(IMAGE_TYPES))

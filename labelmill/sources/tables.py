@@ -10,7 +10,9 @@ from labelmill.schemas import table_type
 
 def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A declared table; columns outside the schema are not read."""
-    return spark.read.schema(table_type(name)).parquet(path)
+    shape = table_type(name)
+    # Partition columns come last in a scan; the select restores the declared order.
+    return spark.read.schema(shape).parquet(path).select(*shape.names)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:

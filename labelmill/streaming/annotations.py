@@ -8,6 +8,7 @@ are never rewritten here; ``current_comments`` overlays the latest versions.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from labelmill.operators import hotkeys
 from labelmill.operators.history import apply_annotations, state_as_of
@@ -15,7 +16,7 @@ from labelmill.schemas import empty, table_type
 
 
 def _versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    schema = table_type("comment_versions").add("batch", "bigint")
+    schema = table_type("comment_versions").add("batch", LongType())
     rows = spark.read.schema(schema).option("basePath", path).parquet(path)
     return rows if before is None else rows.where(F.col("batch") < before)
 
