@@ -4,6 +4,7 @@ Queries run over whole tables. Times are compared as epoch numbers or text and
 lists as joined text, so both engines print the same values.
 """
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -19,7 +20,14 @@ from labelmill.functions.presence import Cadence
 from labelmill.operators import (
     filters, history, ingest, media, numbering, paging, presence, quality, splits, updates, vocabulary,
 )
+from labelmill.operators.media_edits import apply_annotation_edits
 from labelmill.plans import exports, reports
+from labelmill.schemas import empty as schema_empty
+from labelmill.schemas import table_type
+from labelmill.sinks import text_files, vision_files
+from labelmill.sources import comment_csv, tables
+from labelmill.staging import shared_dir
+from labelmill.streaming import activity, annotations, imports, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,6 +206,15 @@ def _(t):
     return quality.distinct_values(t.audit, "action")
 
 
+@check(
+    "versions_with_dataset",
+    with_tables("versions comments", """SELECT v.comment_id, v.version, c.dataset_id FROM versions v
+        JOIN comments c ON c.comment_id = v.comment_id"""),
+)
+def _(t):
+    return quality.versions_with_dataset(t.versions, t.comments).select("comment_id", "version", "dataset_id")
+
+
 # --- Reports ---------------------------------------------------------------
 
 SUMMARY_CTES = {
@@ -637,6 +654,19 @@ def _(t):
     return vocabulary.check_labels(t.comments, options).select("comment_id", "bad_label")
 
 
+@check(
+    "ordered_terms",
+    with_tables("terms", """SELECT taxonomy_id, string_agg(value, ',' ORDER BY position DESC) || ',unclassified' AS terms
+        FROM terms WHERE axis = 'type' GROUP BY 1"""),
+)
+def _(t):
+    turned = F.transform(
+        "type", lambda e: F.struct(e["value"].alias("value"), e["label"].alias("label"), (-e["order"]).alias("order"))
+    )
+    ordered = paging.order_terms(turned, "unclassified", "Unclassified")
+    return t.taxonomies.select("taxonomy_id", F.array_join(F.transform(ordered, lambda e: e["value"]), ",").alias("terms"))
+
+
 @check("class_list", with_tables("classes", "SELECT dataset_id, class_id, value, 'Flag ' || value AS name FROM classes"))
 def _(t):
     return t.classes
@@ -1079,9 +1109,7 @@ def _(t):
         coalesce(CAST(frame_index AS VARCHAR), '') || ',' || coalesce(CAST(timestamp_ms AS VARCHAR), '') AS value FROM pixels"""),
 )
 def _(t):
-    from labelmill.sinks.text_files import box_csv_lines
-
-    return box_csv_lines(exports.to_boxes_table(_fresh(t), t.annotations, t.classes)).select("value")
+    return text_files.box_csv_lines(exports.to_boxes_table(_fresh(t), t.annotations, t.classes)).select("value")
 
 
 SPLIT = {
@@ -1107,9 +1135,7 @@ TAXONOMY_NAME = "CASE WHEN d.taxonomy_id IS NULL THEN 'Default' ELSE 'Taxonomy '
         FROM split s JOIN ds d ON d.dataset_id = s.dataset_id""", **SPLIT),
 )
 def _(t):
-    from labelmill.sinks.text_files import ml_json
-
-    return ml_json(exports.ml_rows(splits.split_dataset(t.comments), t.datasets)).select("dataset_id", "value")
+    return text_files.ml_json(exports.ml_rows(splits.split_dataset(t.comments), t.datasets)).select("dataset_id", "value")
 
 
 @check(
@@ -1119,9 +1145,7 @@ def _(t):
         FROM split s JOIN ds d ON d.dataset_id = s.dataset_id""", **SPLIT),
 )
 def _(t):
-    from labelmill.sinks.text_files import ml_csv_lines
-
-    return ml_csv_lines(exports.ml_rows(splits.split_dataset(t.comments), t.datasets)).select("dataset_id", "value")
+    return text_files.ml_csv_lines(exports.ml_rows(splits.split_dataset(t.comments), t.datasets)).select("dataset_id", "value")
 
 
 @check(
@@ -1131,9 +1155,7 @@ def _(t):
         FROM comments WHERE status = 'annotated'"""),
 )
 def _(t):
-    from labelmill.sinks.text_files import comment_csv_lines
-
-    return comment_csv_lines(filters.filter_comments(t.comments, status="annotated")).select("value")
+    return text_files.comment_csv_lines(filters.filter_comments(t.comments, status="annotated")).select("value")
 
 
 @check(
@@ -1270,6 +1292,61 @@ def _(t):
     return d.select("comment_id", "version", F.array_join("changed_fields", ",").alias("changed"))
 
 
+@check(
+    "append_versions",
+    with_tables("ev comments opts", """SELECT change, count(*) AS count FROM (SELECT 'annotation' AS change FROM ev
+        UNION ALL SELECT 'bulk_annotation' FROM vers) GROUP BY 1""", **FOLD),
+)
+def _(t):
+    options = vocabulary.valid_options(t.datasets, t.taxonomies)
+    added = history.apply_annotations(t.comments, t.patches, options, change_type="bulk_annotation").versions
+    log = updates.append_versions(t.versions, added)
+    return log.groupBy(F.col("change_type").alias("change")).agg(F.count("*").alias("count"))
+
+
+def _edited(t):
+    """Two edits per annotation: a move with a label, then a delete, a restore or a note by quantity."""
+    base = t.annotations.withColumns(
+        {"revision": F.lit(1).cast("bigint"), "note": F.lit(None).cast("string"), "updated_by": F.col("created_by"),
+         "updated_at": F.col("created_at"), "width": F.lit(None).cast("bigint"), "height": F.lit(None).cast("bigint")}
+    ).select(*table_type("media_annotations").names)
+    line = t.raw("lineitem")
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    none = F.lit(None)
+    common = {
+        "annotation_id": key, "asset_id": none.cast("string"), "kind": none.cast("string"), "pixel": F.lit(False),
+        "frame_index": none.cast("double"), "timestamp_ms": none.cast("double"),
+        "user_id": F.col("l_suppkey").cast("string"), "at": F.col("l_shipdate").cast("timestamp"),
+    }
+    move = {
+        "seq": F.col("l_orderkey") * 2, "op": F.lit("update"), "label": F.concat(F.lit("flag "), F.col("l_returnflag")),
+        "x": F.col("l_tax") * 10, "y": none.cast("double"), "width": F.col("l_quantity") / 40,
+        "height": none.cast("double"), "note": none.cast("string"), "has_note": F.lit(False),
+    }
+    op = F.when(F.col("l_quantity") > 45, "delete").when(F.col("l_quantity") > 40, "restore").otherwise("update")
+    second = {
+        "seq": F.col("l_orderkey") * 2 + 1, "op": op, "label": none.cast("string"),
+        **{c: none.cast("double") for c in ("x", "y", "width", "height")},
+        "note": F.col("l_linestatus"), "has_note": F.col("l_linestatus") == "F",
+    }
+    columns = "seq op annotation_id asset_id kind label x y width height pixel frame_index timestamp_ms note has_note user_id at".split()
+    log = [line.select(*[{**common, **part}[c].alias(c) for c in columns]) for part in (move, second)]
+    return apply_annotation_edits(
+        base, schema_empty(t.spark, "media_annotation_versions"), log[0].unionByName(log[1]), t.assets, t.classes
+    )
+
+
+@check("box_edit_versions")
+def _(t):
+    made = _edited(t).versions
+    return made.select("annotation_id", "revision", "change_type", F.array_join("changed_fields", ",").alias("changed"), "changed_by")
+
+
+@check("box_edit_rejects")
+def _(t):
+    return _edited(t).rejects
+
+
 # --- Updates -----------------------------------------------------------------
 
 
@@ -1493,3 +1570,159 @@ def _(t):
     return presence.user_activity(
         "3", presence.sessions(_credited(t)), t.comments, t.annotations, t.assets, AS_OF, days=30
     )["series"]
+
+
+@check(
+    "user_totals",
+    with_tables("sess", "SELECT CAST(sum(active_ms) AS BIGINT) AS total_active_ms, count(*) AS session_count FROM sess WHERE user_id = '3'"),
+)
+def _(t):
+    return presence.user_activity(
+        "3", presence.sessions(_credited(t)), t.comments, t.annotations, t.assets, AS_OF, days=30
+    )["totals"]
+
+
+# --- Files and streams -------------------------------------------------------
+
+
+def _folder(t, name: str) -> str:
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_csv(t) -> str:
+    """Conversations as CSV files, one row per turn."""
+    path = _folder(t, "csv")
+    rows = t.raw("conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("Id"),
+        F.col("text").alias("Comment Text"), F.when(F.col("turn") % 3 == 0, "POSITIVE").otherwise("?").alias("sentiment"),
+        F.when(F.col("role") == "user", "english").alias("type"),
+    )
+    rows.write.options(header=True, quote='"', escape='"').csv(path)
+    return path
+
+
+CLEAN = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@check(
+    "csv_rows",
+    f"""SELECT conv_id || '-' || turn AS id, length({CLEAN}) AS chars, CASE WHEN turn % 3 = 0 THEN 'POSITIVE' ELSE '?' END AS sentiment
+        FROM conversations""",
+)
+def _(t):
+    rows = comment_csv.read_comment_csv(t.spark, _written_csv(t))
+    return rows.select("id", F.length(text.trimmed(F.col("comment_text"))).cast("bigint").alias("chars"), "sentiment")
+
+
+@check(
+    "stream_imports",
+    """SELECT count(*) AS total_rows, count(*) AS imported_rows, count(*) FILTER (WHERE turn % 3 = 0 AND role = 'user') AS annotated
+        FROM conversations""",
+)
+def _(t):
+    path, out = _written_csv(t), _folder(t, "imported")
+    files = imports.read_new_files(t.spark, path, ["Id", "Comment Text", "sentiment", "type"])
+    imports.stream_imports(files, out, f"{out}-progress", "7", as_of=AS_OF).awaitTermination()
+    counts = t.spark.read.parquet(f"{out}/report").agg(
+        F.sum("total_rows").alias("total_rows"), F.sum("imported_rows").alias("imported_rows")
+    )
+    done = t.spark.read.parquet(f"{out}/comments").agg(F.count_if(F.col("status") == "annotated").alias("annotated"))
+    both = counts.unionByName(done, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def _event_stream(t):
+    schema = t.raw("events").schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k"))
+
+
+@check("stream_sessions", with_tables("sess", SESSION_SQL))
+def _(t):
+    out = _folder(t, "sessions")
+    shaped = Tables(t.spark, t.sf_dir)
+    shaped.events = _event_stream(t).withColumn("user_id", F.col("user_id").cast("string"))
+    live = sessions.sessionize(shaped.heartbeats, CADENCE)
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    query = (
+        live.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    written = t.spark.read.parquet(out).drop("n")
+    newest = written.groupBy("user_id", "session_key").agg(
+        F.max_by(F.struct(*[c for c in written.columns if c not in ("user_id", "session_key", "batch")]), "batch").alias("s")
+    )
+    return _flat_sessions(newest.select("user_id", "session_key", "s.*"))
+
+
+@check(
+    "stream_activity",
+    with_tables("ev", """SELECT day AS date, count(*) AS count FROM ev
+        WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev) GROUP BY 1"""),
+)
+def _(t):
+    out = _folder(t, "activity")
+    days = activity.stream_activity_by_date(_event_stream(t).select(F.col("ts").alias("created_at")))
+    query = (
+        days.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return t.spark.read.schema("date string, count bigint").parquet(out)
+
+
+@check("stream_patch_versions", with_tables("ev comments opts", VERSIONS_SQL, **FOLD))
+def _(t):
+    out = _folder(t, "patched")
+    annotations.prepare(t.spark, out)
+    shaped = Tables(t.spark, t.sf_dir)
+    shaped.events = _event_stream(t).withColumn("user_id", F.col("user_id").cast("string"))
+    options = vocabulary.valid_options(t.datasets, t.taxonomies)
+    query = annotations.stream_apply_annotations(shaped.patches, t.comments, options, out, f"{out}-progress")
+    query.awaitTermination()
+    return _flat_versions(t.spark.read.schema(table_type("comment_versions")).parquet(f"{out}/versions"))
+
+
+@check(
+    "typed_table",
+    with_tables("comments", "SELECT dataset_id, count(*) AS comments, CAST(sum(length(text)) AS BIGINT) AS chars FROM comments GROUP BY 1"),
+)
+def _(t):
+    path = _folder(t, "comments")
+    tables.write_table(t.comments.withColumn("undeclared", F.lit(1)), "comments", path, ["dataset_id"])
+    back = tables.load_table(t.spark, "comments", path)
+    return back.groupBy("dataset_id").agg(F.count("*").alias("comments"), F.sum(F.length("text")).alias("chars"))
+
+
+@check("coco_lines")
+def _(t):
+    return vision_files.coco_lines(exports.to_coco(_fresh(t), t.annotations, t.classes), t.media_datasets)
+
+
+@check(
+    "yolo_files",
+    with_tables("boxed classes", """SELECT dataset_id, 'labels' AS kind, count(*) AS lines FROM boxed WHERE class_id IS NOT NULL GROUP BY 1
+        UNION ALL SELECT dataset_id, 'classes.txt', count(*) FROM classes GROUP BY 1
+        UNION ALL SELECT dataset_id, 'data.yaml', 7 + count(*) FROM classes GROUP BY 1"""),
+)
+def _(t):
+    files = vision_files.yolo_files(exports.to_yolo(_fresh(t), t.annotations, t.classes))
+    kind = F.when(F.col("file").startswith("labels/"), "labels").otherwise(F.col("file"))
+    return files.groupBy("dataset_id", kind.alias("kind")).agg(F.count("*").alias("lines"))
+
+
+@check(
+    "written_training_files",
+    with_tables("comments ds", "SELECT dataset_id, count(*) AS lines, count(*) FILTER (WHERE split = 'train') AS train FROM split GROUP BY 1", **SPLIT),
+)
+def _(t):
+    path = _folder(t, "training")
+    text_files.write_ml_jsonl(exports.ml_rows(splits.split_dataset(t.comments), t.datasets), path)
+    back = t.spark.read.schema("split string, dataset_id string").json(path)
+    return back.groupBy("dataset_id").agg(
+        F.count("*").alias("lines"), F.count_if(F.col("split") == "train").alias("train")
+    )

@@ -129,6 +129,11 @@ def activity_by_date(
     return rows.groupBy(*by, day_key(F.col(at)).alias("date")).agg(F.count("*").alias("count"))
 
 
+def versions_with_dataset(versions: DataFrame, comments: DataFrame) -> DataFrame:
+    """Version rows with their comment's dataset; versions of deleted comments drop out."""
+    return versions.join(comments.select("comment_id", "dataset_id"), "comment_id")
+
+
 def activity_by_dataset(versions: DataFrame, comments: DataFrame) -> DataFrame:
     """Version rows per dataset and day; versions of deleted comments drop out.
 
