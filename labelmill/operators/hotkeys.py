@@ -46,6 +46,12 @@ class Cut:
     position: str
     hot: DataFrame | None
 
+    def narrowed(self, keys: Sequence[str]) -> "Cut":
+        """The same finding for keys that divide these, when nothing was cut."""
+        if self.hot is not None:
+            raise ValueError("measure the narrower keys when there are hot ones")
+        return Cut(tuple(keys), self.position, None)
+
     def blocks(self, df: DataFrame) -> DataFrame:
         if self.hot is None:
             return df.withColumn(BLOCK, F.lit(0)).withColumn(HOT, F.lit(False))

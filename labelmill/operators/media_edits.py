@@ -152,10 +152,11 @@ def _fold_side(df: DataFrame, cut: hotkeys.Cut, corner: str, size: str) -> DataF
     return df.withColumn(f"_at_{size}", F.when(F.col("_boxed"), at))
 
 
-def _running_min(df: DataFrame, size: str, limit: int) -> DataFrame:
+def _running_min(df: DataFrame, size: str, whole: hotkeys.Cut, limit: int) -> DataFrame:
     """Minimum of ``_at_`` from the start of the run to the row; long runs are cut into blocks."""
     key = [*_KEY, f"_run_{size}"]
-    cut = hotkeys.cut_keys(df, key, "seq", limit)
+    # A run lies within one annotation, so it can only be long where an annotation is.
+    cut = whole.narrowed(key) if whole.hot is None else hotkeys.cut_keys(df, key, "seq", limit)
     rows = cut.blocks(df)
     window = cut.window(["seq"]).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn(f"_s_{size}", F.min(f"_at_{size}").over(window))
@@ -275,7 +276,7 @@ def apply_annotation_edits(
     )
     for corner, size in (("x", "width"), ("y", "height")):
         rows = _fold_side(rows, cut, corner, size)
-        rows = _running_min(rows, size, limit)
+        rows = _running_min(rows, size, cut, limit)
     rows = hotkeys.fill_forward(
         rows, cut, ["seq"],
         {"_s_label": "label", "_s_note": "_set_note", "_s_frame": "_frame", "_s_stamp": "_time", "_o": "_origin"},
