@@ -26,7 +26,7 @@ from labelmill.schemas import empty as schema_empty
 from labelmill.schemas import table_type
 from labelmill.sinks import text_files, vision_files
 from labelmill.sources import comment_csv, tables
-from labelmill.staging import shared_dir
+from labelmill.staging import shared_dir, staged
 from labelmill.streaming import activity, annotations, imports, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1310,6 +1310,7 @@ def _edited(t):
         {"revision": F.lit(1).cast("bigint"), "note": F.lit(None).cast("string"), "updated_by": F.col("created_by"),
          "updated_at": F.col("created_at"), "width": F.lit(None).cast("bigint"), "height": F.lit(None).cast("bigint")}
     ).select(*table_type("media_annotations").names)
+    base = staged(base, "annotations")
     line = t.raw("lineitem")
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
     none = F.lit(None)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions import geometry
-from labelmill.functions.numbers import ratio
+from labelmill.functions.numbers import half_up, ratio
 from labelmill.operators.quality import class_balance
 from labelmill.staging import staged
 
@@ -235,51 +235,64 @@ def overlap_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     bound = 0.98 * min_iou
     log_step = F.log(F.lit(1.0 / bound))
     # Both join sides and the copies read the folded boxes, so they are written once.
-    folded = staged(_distinct_boxes(annotations), "boxes")
-    boxes = folded.withColumns(
-        {"cw": F.floor(F.log("box_width") / log_step), "ch": F.floor(F.log("box_height") / log_step)}
+    folded = _distinct_boxes(annotations).withColumns(
+        {
+            "right": F.col("x") + F.col("box_width"), "bottom": F.col("y") + F.col("box_height"),
+            "area": geometry.box_area(annotation_box()),
+            "cw": F.floor(F.log("box_width") / log_step), "ch": F.floor(F.log("box_height") / log_step),
+        }
     )
+    boxes = staged(folded, "boxes")
     cell = ["asset_id", "frame", "kx", "ky", "gx", "gy"]
+    plain = ["x", "y", "right", "bottom", "area", "annotation_id", "copies", "small", "cw", "ch"]
 
+    # One hash is cheaper to shuffle and sort on than six keys; equal keys are checked after.
     def side(rows: DataFrame, tag: str) -> DataFrame:
         return rows.select(
-            *cell, *[F.col(c).alias(f"{tag}_{c}") for c in rows.columns if c not in cell]
+            F.xxhash64(*cell).alias("cell"), *[F.col(c).alias(f"{tag}_{c}") for c in (*cell, *plain)]
         )
 
     left, right = _size_cells(boxes, bound, True), _size_cells(boxes, bound, False)
-    if not folded.where("small").isEmpty():
+    if not boxes.where("small").isEmpty():
         small = _small_cells(boxes)
         left, right = left.unionByName(small), right.unionByName(small)
-    met = side(left, "a").join(side(right, "b"), cell)
+    met = side(left, "a").join(side(right, "b"), "cell")
+    met = met.where(F.col("a_annotation_id") < F.col("b_annotation_id"))
+    for c in cell:
+        met = met.where(F.col(f"a_{c}") == F.col(f"b_{c}"))
     sized = (
-        (F.greatest("a_cw", "b_cw") == F.col("kx"))
-        & (F.greatest("a_ch", "b_ch") == F.col("ky"))
+        (F.greatest("a_cw", "b_cw") == F.col("a_kx"))
+        & (F.greatest("a_ch", "b_ch") == F.col("a_ky"))
         & ~(F.col("a_small") & F.col("b_small"))
     )
     cornered = (
-        (F.col("kx") == _NO_CLASS)
-        & (F.floor(F.greatest("a_x", "b_x") / SMALL_GRID) == F.col("gx"))
-        & (F.floor(F.greatest("a_y", "b_y") / SMALL_GRID) == F.col("gy"))
+        (F.col("a_kx") == _NO_CLASS)
+        & (F.floor(F.greatest("a_x", "b_x") / SMALL_GRID) == F.col("a_gx"))
+        & (F.floor(F.greatest("a_y", "b_y") / SMALL_GRID) == F.col("a_gy"))
     )
-    met = met.where((F.col("a_annotation_id") < F.col("b_annotation_id")) & (sized | cornered))
-
-    def pair_box(tag: str) -> Column:
-        return geometry.box(*[F.col(f"{tag}_{c}") for c in ("x", "y", "box_width", "box_height")])
-
-    pairs = met.select(
-        "asset_id", "frame", F.col("a_annotation_id").alias("first_id"),
-        F.col("b_annotation_id").alias("second_id"),
-        geometry.iou(pair_box("a"), pair_box("b")).alias("iou"),
+    wide = F.least("a_right", "b_right") - F.greatest("a_x", "b_x")
+    high = F.least("a_bottom", "b_bottom") - F.greatest("a_y", "b_y")
+    met = met.where(sized | cornered).where((wide > 0) & (high > 0))
+
+    # The overlap is exploded as a one-element array: a filter on it stays above the join, so it
+    # is computed once per candidate and the join's generated code stays small enough to compile well.
+    met = met.select(
+        F.col("a_asset_id").alias("asset_id"), F.col("a_frame").alias("frame"),
+        F.col("a_annotation_id").alias("first_id"), F.col("b_annotation_id").alias("second_id"),
         (F.col("a_copies") * F.col("b_copies")).alias("pairs"),
+        (F.col("a_area") + F.col("b_area")).alias("areas"), F.explode(F.array(wide * high)).alias("shared"),
     )
     copies = boxes.where(F.col("copies") > 1).select(
         "asset_id", "frame", F.col("annotation_id").alias("first_id"),
         F.col("annotation_id").alias("second_id"),
-        geometry.iou(annotation_box(), annotation_box()).alias("iou"),
         F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("pairs"),
+        (F.col("area") * 2).alias("areas"),
+        ((F.col("right") - F.col("x")) * (F.col("bottom") - F.col("y"))).alias("shared"),
     )
-    kept = pairs.unionByName(copies).where(F.col("iou") >= min_iou)
-    return kept.select(
+    union = F.col("areas") - F.col("shared")
+    share = F.col("shared") / F.when(union > 0, union)
+    kept = met.unionByName(copies).withColumn("iou", F.coalesce(half_up(share, 6), F.lit(0.0)))
+    return kept.where(F.col("iou") >= min_iou).select(
         "asset_id", F.nullif("frame", F.lit(-1).cast("bigint")).alias("frame_index"),
         "first_id", "second_id", "iou", "pairs",
     )

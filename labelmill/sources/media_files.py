@@ -235,22 +235,25 @@ def media_catalog(
         .when(image & start.isin("4949", "4D4D"), "tiff")
         .when(F.col("extension").isin(*TIMED_VIDEO), "mp4")
     )
-    walked = read.withColumn("form", form).withColumn(
-        "walk", _walk(F.when(F.col("form").isNotNull(), F.col("content")), F.col("form"))
-    )
-    fixed = F.when(image, header_size(F.col("content")))
     types = F.create_map(*[F.lit(v) for kv in {**IMAGE_TYPES, **VIDEO_TYPES}.items() for v in kv])
     now = F.lit(as_of).cast("timestamp")
     nobody = F.lit(None).cast("string")
-    probed = walked.select(
+    # Everything that needs the bytes is computed here, below the Python step, and only once.
+    headed = read.select(
         "path", "file_name", "extension", F.col("length").alias("size_bytes"),
         F.sha2(F.col("content"), 256).alias("checksum"),
         F.when(image, "image").otherwise("video").alias("kind"),
         types[F.col("extension")].alias("mime_type"),
-        F.coalesce("walk.width", fixed["width"]).alias("width"),
-        F.coalesce("walk.height", fixed["height"]).alias("height"),
-        F.col("walk.duration_ms").alias("duration_ms"),
+        F.when(image, header_size(F.col("content"))).alias("head"), form.alias("form"),
+        F.when(form.isNotNull(), F.col("content")).alias("bytes"),
     )
+    walked = headed.withColumn("walk", _walk(F.col("bytes"), F.col("form"))).drop("bytes", "form")
+    probed = walked.withColumns(
+        {
+            "width": F.coalesce("walk.width", "head.width"), "height": F.coalesce("walk.height", "head.height"),
+            "duration_ms": F.col("walk.duration_ms"),
+        }
+    ).drop("walk", "head")
     real = (F.col("width") > 0) & (F.col("height") > 0)
     probed = probed.withColumns(
         {"width": F.when(real, F.col("width")), "height": F.when(real, F.col("height"))}
