@@ -31,6 +31,10 @@ def _quoted(value) -> Column:
     return F.concat(F.lit('"'), F.col(value), F.lit('"'))
 
 
+def _source_id() -> Column:
+    return F.coalesce(trimmed(F.col("id").cast("string")), F.lit(""))
+
+
 def mark_rows(rows: DataFrame, scope: str) -> DataFrame:
     """Add source_id, text, and ``outcome``: keep, missing or duplicate (of an earlier valid row).
 
@@ -39,7 +43,7 @@ def mark_rows(rows: DataFrame, scope: str) -> DataFrame:
     """
     cleaned = rows.withColumns(
         {
-            "source_id": F.coalesce(trimmed(F.col("id").cast("string")), F.lit("")),
+            "source_id": _source_id(),
             "text": F.coalesce(trimmed(F.col("comment_text")), F.lit("")),
         }
     ).withColumn("_valid", (F.col("source_id") != "") & (F.col("text") != ""))
@@ -57,7 +61,9 @@ def mark_rows(rows: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def renamed_ids(marked: DataFrame, scope: str, limit: int = hotkeys.KEY_ROW_LIMIT) -> DataFrame:
+def renamed_ids(
+    marked: DataFrame, rows: DataFrame, scope: str, limit: int = hotkeys.KEY_ROW_LIMIT
+) -> DataFrame:
     """``scope, row_no, new_id``: the k-th copy of ``x`` gets the k-th free ``x-dupN``.
 
     N is free when no raw id in the scope is ``x-dupN``. With o the copy's
@@ -76,7 +82,8 @@ def renamed_ids(marked: DataFrame, scope: str, limit: int = hotkeys.KEY_ROW_LIMI
     copies = hotkeys.row_number(copies, cut, ["row_no"], "_o")
     pattern = r"(?s)^(.*)-dup([1-9][0-9]{0,15})$"
     taken = (
-        marked.where(F.col("source_id").rlike(pattern))
+        rows.select(scope, _source_id().alias("source_id"))
+        .where(F.col("source_id").rlike(pattern))
         .select(
             scope,
             F.regexp_extract("source_id", pattern, 1).alias("base"),
@@ -112,7 +119,7 @@ def dedupe_rows(
             F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"), F.lit(" skipped")
         )
         return marked.withColumn("message", F.when(F.col("outcome") == "duplicate", message))
-    named = marked.join(renamed_ids(marked, scope, limit), [scope, "row_no"], "left")
+    named = marked.join(renamed_ids(marked, rows, scope, limit), [scope, "row_no"], "left")
     message = F.concat(
         F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"),
         F.lit(" renamed to "), _quoted("new_id"),
@@ -250,7 +257,10 @@ def import_comments(
 
 def import_preview(rows: DataFrame, scope: str = "file") -> DataFrame:
     """One row per file: counts, the first clashing ids, a sample and the first messages."""
-    marked = mark_rows(rows, scope)
+    # Six aggregates read the marked rows, so they are written once, with the clipped text only.
+    marked = staged(
+        mark_rows(rows, scope).withColumn("text", clip_preview(F.col("text"))), "preview"
+    )
     copies = marked.where(F.col("outcome") == "duplicate")
     counts = marked.groupBy(scope).agg(
         F.count("*").alias("total_rows"),
@@ -264,7 +274,7 @@ def import_preview(rows: DataFrame, scope: str = "file") -> DataFrame:
     sample = first_listed(
         marked.where(F.col("outcome") == "keep"), scope, "row_no",
         F.struct(
-            F.col("source_id"), clip_preview(F.col("text")).alias("text"),
+            F.col("source_id"), F.col("text"),
             F.nullif("sentiment", F.lit("")).alias("sentiment"), F.nullif("type", F.lit("")).alias("type"),
         ),
         PREVIEW_SAMPLE, "sample",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.labels import ANNOTATED
 from labelmill.operators.numbering import number_rows
+from labelmill.operators.sizes import broadcast_if_small
 
 
 def split_dataset(
@@ -37,4 +38,4 @@ def split_dataset(
         .when(F.col("comment_id") <= F.col("_val_end"), "val")
         .otherwise("test")
     )
-    return labelled.join(borders, "dataset_id", "left").withColumn("split", split).drop("_train_end", "_val_end")
+    return labelled.join(broadcast_if_small(borders), "dataset_id", "left").withColumn("split", split).drop("_train_end", "_val_end")

@@ -1,7 +1,7 @@
 """Taxonomies and label sets: allowed labels, class lists, label checks and normalisation.
 
-Vocabulary tables are small, yet nothing here forces a broadcast: AQE
-broadcasts a side whose measured size allows it and splits skew otherwise.
+A vocabulary joined to facts is broadcast only when its measured size allows;
+beyond that the join is a shuffle whose skew AQE splits.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from labelmill.functions.labels import (
     DEFAULT_SENTIMENTS, DEFAULT_TYPES, NO_SENTIMENT, NO_TYPE, class_slug, label_color,
 )
 from labelmill.functions.text import slug, trimmed
+from labelmill.operators.sizes import broadcast_if_small
 
 # Vocabulary limits.
 MAX_TERMS = 50
@@ -76,7 +77,7 @@ def check_labels(rows: DataFrame, options: DataFrame) -> DataFrame:
 
     A null label means "not set" and passes. Datasets without options fail.
     """
-    joined = rows.join(options, "dataset_id", "left")
+    joined = rows.join(broadcast_if_small(options), "dataset_id", "left")
 
     def refused(label: str, allowed: str) -> Column:
         known = F.coalesce(F.array_contains(F.col(allowed), F.col(label)), F.lit(False))
@@ -113,9 +114,9 @@ def resolve_labels(rows: DataFrame, classes: DataFrame, wanted: str = "label") -
         .agg(F.min(F.struct("class_id", "value")).alias("_display"))
     )
     hit = (
-        asked.join(by_value, ["dataset_id", "_wanted"], "left")
+        asked.join(broadcast_if_small(by_value), ["dataset_id", "_wanted"], "left")
         .withColumn("_name", F.lower("_wanted"))
-        .join(by_name, ["dataset_id", "_name"], "left")
+        .join(broadcast_if_small(by_name), ["dataset_id", "_name"], "left")
         .withColumn("_hit", F.coalesce("_exact", "_display"))
     )
     reason = (

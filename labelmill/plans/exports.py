@@ -9,6 +9,7 @@ from labelmill.functions import geometry
 from labelmill.functions.numbers import half_up, plain_number
 from labelmill.operators.media import boxes_with_assets, exportable_assets
 from labelmill.operators.numbering import number_rows
+from labelmill.operators.sizes import broadcast_if_small
 
 # Reasons for leaving something out of an export.
 NO_BOXES = "no bounding boxes"
@@ -40,7 +41,7 @@ def _unknown_label():
 
 def _labelled(boxes: DataFrame, classes: DataFrame) -> DataFrame:
     known = classes.select("dataset_id", F.col("value").alias("label"), "class_id")
-    return boxes.join(known, ["dataset_id", "label"], "left")
+    return boxes.join(broadcast_if_small(known), ["dataset_id", "label"], "left")
 
 
 def _with_box_summary(assets: DataFrame, annotations: DataFrame) -> DataFrame:
