@@ -22,7 +22,7 @@ FRACTIONAL_FRAME = "frameIndex must be a whole number"
 FRAME_NEEDS_DURATION = "frameIndex needs a known video duration; send timestampMs instead"
 
 
-def _finite(*values: Column) -> Column:
+def finite(*values: Column) -> Column:
     """True when no value is null, NaN or infinite: only finite doubles give 0 when multiplied by 0."""
     total = F.lit(0.0)
     for v in values:
@@ -46,7 +46,7 @@ def normalize_box(x: Column, y: Column, width: Column, height: Column, clamp: bo
     width is kept as given when the corner moved.
     """
     x, y, width, height = (c.cast("double") for c in (x, y, width, height))
-    reason = F.when(~_finite(x, y, width, height), NOT_NUMERIC).when(
+    reason = F.when(~finite(x, y, width, height), NOT_NUMERIC).when(
         (width <= 0) | (height <= 0), NOT_POSITIVE
     )
     if clamp:
@@ -116,12 +116,12 @@ def iou(a: Column, b: Column) -> Column:
 def normalize_frame(frame_index: Column, timestamp_ms: Column, duration_ms: Column) -> Column:
     """``struct(frame_index, timestamp_ms, reason)`` for a video annotation."""
     ts, frame, duration = (c.cast("double") for c in (timestamp_ms, frame_index, duration_ms))
-    known = _finite(duration)
+    known = finite(duration)
     reason = (
-        F.when(ts.isNotNull() & ~_finite(ts), BAD_TIME)
+        F.when(ts.isNotNull() & ~finite(ts), BAD_TIME)
         .when(ts < 0, NEGATIVE_TIME)
         .when(known & (duration > 0) & (ts > duration), PAST_END)
-        .when(frame.isNotNull() & ~_finite(frame), BAD_FRAME)
+        .when(frame.isNotNull() & ~finite(frame), BAD_FRAME)
         .when(frame < 0, NEGATIVE_FRAME)
         .when(frame != F.floor(frame), FRACTIONAL_FRAME)
         .when(frame.isNotNull() & ts.isNull() & ~known, FRAME_NEEDS_DURATION)

@@ -62,11 +62,8 @@ def _canonical(edits: DataFrame, classes: DataFrame) -> DataFrame:
     ).drop("value", "class_id")
     pixel = F.coalesce("pixel", F.lit(False))
     sides = ["x", "y", "width", "height"]
-    given = F.lit(False)
-    whole = F.lit(True)
-    for s in sides:
-        given = given | F.col(s).isNotNull()
-        whole = whole & F.col(s).isNotNull()
+    given = F.coalesce(*sides).isNotNull()
+    whole = (F.col("x") + F.col("y") + F.col("width") + F.col("height")).isNotNull()
     sized = (F.coalesce("a_width", F.lit(0)) > 0) & (F.coalesce("a_height", F.lit(0)) > 0)
     named = named.withColumns({"_given": given, "_whole": whole, "_pixel": pixel & given})
     # A pixel box on an update must be whole: its sides cannot be mixed with stored fractions.
@@ -76,20 +73,17 @@ def _canonical(edits: DataFrame, classes: DataFrame) -> DataFrame:
     )
     scaled = {}
     for s, size in zip(sides, ("a_width", "a_height", "a_width", "a_height")):
-        by_size = F.col(s) / F.when(F.col(size) > 0, F.col(size).cast("double"))
-        scaled[s] = F.when(F.col("_pixel"), by_size).otherwise(F.col(s)).cast("double")
+        # Dividing by 1 leaves a fraction exactly as it is.
+        by = F.when(F.col("_pixel") & (F.col(size) > 0), F.col(size).cast("double")).otherwise(F.lit(1.0))
+        scaled[s] = F.col(s) / by
     return named.withColumn("pixel_error", pixel_error).withColumns(scaled)
 
 
 def _side_error(required: Column) -> Column:
     """Box problems that do not depend on the stored box: a stored box always has 0 <= x,y < 1 and positive sides."""
 
-    def bad(c: str) -> Column:
-        v = F.col(c)
-        return v.isNotNull() & (F.isnan(v) | (F.abs(v) == float("inf")))
-
     missing = required & ~F.col("_whole")
-    nonfinite = bad("x") | bad("y") | bad("width") | bad("height")
+    nonfinite = ~geometry.finite(*[F.coalesce(s, F.lit(0.0)) for s in ("x", "y", "width", "height")])
     return (
         F.when(required & ~F.col("_given"), F.lit("A bbox annotation requires a box"))
         .when(missing | nonfinite, F.lit(geometry.NOT_NUMERIC))
