@@ -106,3 +106,36 @@ def test_vocabulary_checks(spark, comments):
     bad = {r.comment_id: r.bad_label for r in check_labels(comments, options).collect()}
     assert bad == {"1": None, "2": "sentiment", "3": "sentiment", "4": None, "5": None}
     assert scope_to_user(comments, sets, "u2").count() == 1 and scope_to_user(comments, sets, "u2", admin=True).count() == 5
+
+
+def test_readiness_and_warnings(spark):
+    from labelmill.plans.readiness import readiness, warnings
+
+    rows = [
+        ("none", 0, 0, 0, 0, 1.0, None, None, None, 0, 1.0, None, None, None),
+        ("good", 600, 600, 0, 2, 0.9, 1.2, "a", "b", 2, 0.9, 1.2, "x", "y"),
+        ("bad", 90, 9, 10, 1, 1.0, 1.0, "a", "a", 2, 0.4, 9.5, "x", "y"),
+        ("mid", 400, 300, 20, 3, 0.6, 4.0, "a", "c", 1, 1.0, 1.0, "x", "x"),
+    ]
+    axis = "{0}_classes int, {0}_balance_score double, {0}_imbalance_ratio double, {0}_top string, {0}_bottom string"
+    df = spark.createDataFrame(rows, "k string, total long, annotated long, duplicate_count long, " + axis.format("s") + ", " + axis.format("t"))
+    got = {r.k: (r.r, r.w) for r in df.select("k", readiness().alias("r"), warnings().alias("w")).collect()}
+    assert tuple(got["none"][0]) == ("empty", 0, ["Dataset has no comments."]) and got["none"][1] == []
+    assert tuple(got["good"][0]) == ("ready", 100, ["Looks good — no obvious issues detected."])
+    bad, warned = got["bad"]
+    assert (bad.level, bad.score) == ("not_ready", 0)
+    assert bad.reasons == [
+        "Only 10.0% of comments are annotated (need ≥ 50% to even consider training).",
+        "Only 90 comments — most text models need at least a few hundred.",
+        "Sentiment has fewer than 2 classes — nothing to classify.",
+        "Type/Language classes are imbalanced (balance score 0.4).",
+        "10 near-duplicate comments (11.1%) — dedupe before training.",
+    ]
+    assert [tuple(w) for w in warned] == [
+        ("type_imbalance", "high", 'Type "x" is 9.5× more common than "y".'),
+        ("low_annotation_coverage", "high", "Less than half the dataset is annotated (9/90)."),
+        ("near_duplicates", "high", "10 near-duplicate comments detected."),
+    ]
+    mid, warned = got["mid"]
+    assert (mid.level, mid.score) == ("needs_work", 100 - 15 - 8 - 8 - 15 - 4)
+    assert warned[0].severity == "medium" and warned[1].severity == "low"
