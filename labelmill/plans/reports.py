@@ -9,20 +9,23 @@ from labelmill.functions.numbers import percent
 from labelmill.functions.text import LENGTH_BOUNDS, length_bucket
 from labelmill.operators import quality
 from labelmill.plans.readiness import readiness, warnings
+from labelmill.staging import staged
 
 
 def comment_cube(comments: DataFrame) -> DataFrame:
     """One scan of the comments folded to counts by dataset, labels, status and length bucket.
 
     Every figure but the near copies comes from this table, whose size is the
-    product of the vocabularies.
+    product of the vocabularies. It is written once: a null filter of one
+    reader would otherwise be pushed into a scan of its own.
     """
     bucket = length_bucket(F.length(F.coalesce("text", F.lit(""))), LENGTH_BOUNDS)
-    return (
+    cube = (
         comments.select("dataset_id", "sentiment", "type", "status", bucket.alias("bucket"))
         .groupBy("dataset_id", "sentiment", "type", "status", "bucket")
         .agg(F.count("*").alias("count"))
     )
+    return staged(cube, "cube")
 
 
 def _axis(cube: DataFrame, field: str, prefix: str) -> DataFrame:
@@ -40,9 +43,9 @@ def _axis(cube: DataFrame, field: str, prefix: str) -> DataFrame:
     return both.select("dataset_id", *[F.col(c).alias(f"{prefix}_{c}") for c in both.columns[1:]])
 
 
-def dataset_summary(datasets: DataFrame, comments: DataFrame) -> DataFrame:
+def dataset_summary(datasets: DataFrame, comments: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """One row per dataset with everything readiness and warnings need."""
-    cube = comment_cube(comments)
+    cube = comment_cube(comments) if cube is None else cube
     status = cube.groupBy("dataset_id").agg(
         F.sum("count").alias("total"),
         F.sum(F.when(F.col("status") == "annotated", F.col("count")).otherwise(0)).alias("annotated"),
@@ -105,7 +108,7 @@ def dataset_report(datasets: DataFrame, comments: DataFrame, versions: DataFrame
         "dataset_id", F.coalesce("status", F.lit("unknown")).alias("status")
     ).agg(F.sum("count").alias("count"))
     return (
-        dataset_summary(datasets, comments)
+        dataset_summary(datasets, comments, cube)
         .withColumn("readiness", readiness())
         .withColumn("warnings", warnings())
         .join(listed(statuses, "status_breakdown", "status", "count"), "dataset_id", "left")
