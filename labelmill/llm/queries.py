@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import mixing, warc
+from labelmill.llm import bitplanes, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,4 +40,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_mixing": op2_mixing, "op3_warc": op3_warc}
+def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the documents' token ids as byte planes and index them from the files."""
+    path = bitplanes.ids_folder(spark)
+    bitplanes.write_ids(table(spark, sf_dir, "documents"), path, bitplanes.default_format())
+    return bitplanes.index_of(bitplanes.read_ids(spark, path))
+
+
+QUERIES: dict[str, Query] = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op7_bitplanes": op7_bitplanes}
