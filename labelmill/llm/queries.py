@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, mixing, warc
+from labelmill.llm import bitplanes, mixing, pseudonyms, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,4 +47,13 @@ def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.index_of(bitplanes.read_ids(spark, path))
 
 
-QUERIES: dict[str, Query] = {"op2_mixing": op2_mixing, "op3_warc": op3_warc, "op7_bitplanes": op7_bitplanes}
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts with numbers and dates replaced by their pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="corpus")
+
+
+QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op7_bitplanes": op7_bitplanes,
+    "op8_pseudonyms": op8_pseudonyms,
+}
