@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.staging import shared_dir
+from labelmill.llm.skew import spread_join
+from labelmill.llm.skew import spread_join
+from labelmill.staging import shared_dir, staged
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -56,17 +58,18 @@ def revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """record_id, payload_digest, refers_to of the records that another one stands for.
 
     ``headers`` has record_id, payload_bytes and payload_digest. A digest shared by a third of all
-    rows is one row after the partial maximum; the join back splits it as a skewed partition.
+    rows is one row after the partial maximum, and is dealt to several tasks in the join back.
     """
-    large = headers.where(F.col("payload_bytes") >= min_bytes).select("record_id", "payload_digest")
+    large = staged(headers.where(F.col("payload_bytes") >= min_bytes).select("record_id", "payload_digest"), "warc-headers")
     latest = (
-        large.groupBy("payload_digest")
+        large.groupBy(F.col("payload_digest").alias("_latest"))
         .agg(F.max("record_id").alias("refers_to"), F.count("*").alias("_n"))
         .where((F.col("_n") > 1) & F.col("refers_to").isNotNull())
         .drop("_n")
     )
     return (
-        large.join(latest, "payload_digest")
+        spread_join(large, latest, "payload_digest", "_latest", F.col("record_id"))
+        .drop("_latest")
         .where(~F.col("record_id").eqNullSafe(F.col("refers_to")))
         .distinct()
     )
@@ -233,15 +236,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Records with ``columns`` (named expressions of payload and payload_digest), a revisit's taken from
     the response it refers to. Only these columns meet in the join; name ``payload`` itself to get it whole."""
-    rows = records.select("record_id", "record_type", "url", "refers_to", *[c.alias(n) for n, c in columns.items()])
-    originals = (
-        rows.where(F.col("record_type") == "response")
-        .groupBy(F.col("record_id").alias("_id"))
-        .agg(F.min(F.struct(*columns)).alias("_of"))
+    rows = staged(
+        records.select("record_id", "record_type", "url", "refers_to", *[c.alias(n) for n, c in columns.items()]),
+        "warc-records",
+    )
+    again = F.col("record_type") == "revisit"
+    originals = rows.where(~again).groupBy(F.col("record_id").alias("_id")).agg(F.min(F.struct(*columns)).alias("_of"))
+    resolved = spread_join(rows.where(again).drop(*columns), originals, "refers_to", "_id", F.col("record_id"), "left")
+    return rows.where(~again).unionByName(
+        resolved.withColumns({n: F.col("_of")[n] for n in columns}).drop("_id", "_of")
     )
-    joined = rows.join(originals, rows["refers_to"] == originals["_id"], "left")
-    own = F.col("record_type") == "response"
-    return joined.withColumns({n: F.when(own, F.col(n)).otherwise(F.col("_of")[n]) for n in columns}).drop("_id", "_of")
 
 
 def archive_folder(spark: SparkSession) -> str:
