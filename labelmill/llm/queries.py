@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, mixing, pseudonyms, warc
+from labelmill.llm import bitplanes, mixing, pseudonyms, superminhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +53,12 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, key="corpus")
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the documents by two-word shingles, similarity 0.8 or more."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Near(width=2))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op7_bitplanes": op7_bitplanes,
-    "op8_pseudonyms": op8_pseudonyms,
+    "op8_pseudonyms": op8_pseudonyms, "op10_superminhash": op10_superminhash,
 }
