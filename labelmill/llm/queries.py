@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, mixing, pseudonyms, superminhash, warc
+from labelmill.llm import bitplanes, gridjoin, mixing, pseudonyms, superminhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_gridjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine 0.93 or more within a label."""
+    return gridjoin.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the documents' token ids as byte planes and index them from the files."""
     path = bitplanes.ids_folder(spark)
@@ -59,6 +64,6 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op7_bitplanes": op7_bitplanes,
+    "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op10_superminhash": op10_superminhash,
 }
