@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,10 @@ from labelmill.staging import shared_dir, staged
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 700_000
 MARKS = ".,;:!?"
 SLICE_CHARS = 2_000_000
+BATCH_TEXTS = 512
 # How byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -220,9 +222,15 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, whose cache serves all of its tasks."""
+    return Encoder(path)
+
+
 def _segments(form: Format):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(form.tokenizer)
+        encode = encoder(form.tokenizer)
         width = 1 + (max(encode.vocabulary - 1, form.end_id) >= 1 << 8) + (encode.vocabulary > 1 << 16) + (encode.vocabulary > 1 << 24)
         end = np.array([form.end_id], "<u4").tobytes()
         docs, counts, held, n = [], [], [], 0
@@ -234,14 +242,16 @@ def _segments(form: Format):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
-                docs.append(doc)
-                counts.append(len(ids) // 4 + 1)
-                held += [ids, end]
-                n += counts[-1]
-                if n >= form.segment_ids:
-                    yield flush()
+            for at in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(at, BATCH_TEXTS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
+                    docs.append(doc)
+                    counts.append(len(ids) // 4 + 1)
+                    held += [ids, end]
+                    n += counts[-1]
+                    if n >= form.segment_ids:
+                        yield flush()
         if docs:
             yield flush()
 
