@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, gridjoin, mixing, pseudonyms, superminhash, warc
+from labelmill.llm import bitplanes, gridjoin, langid, mixing, pseudonyms, quality, superminhash, warc
+from labelmill.llm.text import fold_of
+from labelmill.operators.sizes import broadcast_if_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"), langid.default_training())
+    found = langid.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document, at most two epochs a source."""
     rows = mixing.mix(table(spark, sf_dir, "documents"))
@@ -40,6 +51,23 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and quality label of the labelled rows outside the held-out fold."""
+    one = labels.where(F.col("quality").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
+    one = one.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("label"))
+    return docs.select("doc_id", "text").join(broadcast_if_small(one), F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside one fold of four."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(labelled(docs, table(spark, sf_dir, "labels")))
+    rows = docs.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    return quality.scored(rows, model).select(
+        "doc_id", "held_out", "score", quality.predicted(F.col("score")).alias("predicted")
+    )
+
+
 def op6_gridjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with cosine 0.93 or more within a label."""
     return gridjoin.similar_vectors(table(spark, sf_dir, "embeddings"))
@@ -64,6 +92,6 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
+    "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op10_superminhash": op10_superminhash,
 }

@@ -10,6 +10,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,3 +33,8 @@ def crc_fold(doc_id: int | None, parts: int) -> int:
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+
+
+def extended(schema: StructType, **fields: str) -> StructType:
+    """A copy of ``schema`` with more fields, given as name=type."""
+    return StructType([*schema.fields, *[StructField(n, DataType.fromDDL(t)) for n, t in fields.items()]])
