@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, gridjoin, langid, mixing, pseudonyms, quality, superminhash, warc
+from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, pseudonyms, quality, superminhash, warc
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
 
@@ -68,6 +68,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item within one edit per five words, with the item."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_gridjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with cosine 0.93 or more within a label."""
     return gridjoin.similar_vectors(table(spark, sf_dir, "embeddings"))
@@ -92,6 +97,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
+    "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
+    "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op10_superminhash": op10_superminhash,
 }
