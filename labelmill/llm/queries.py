@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, pseudonyms, quality, superminhash, warc
+from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, pseudonyms, quality, superminhash, warc
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
 
@@ -91,6 +91,15 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, key="corpus")
 
 
+def op9_ngramtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a bigram model of four fifths of them, beside the unigram base."""
+    held_out = fold_of(F.col("doc_id"), 5) == 1
+    found = ngramtrie.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents by two-word shingles, similarity 0.8 or more."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Near(width=2))
@@ -99,5 +108,6 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
     "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
-    "op8_pseudonyms": op8_pseudonyms, "op10_superminhash": op10_superminhash,
+    "op8_pseudonyms": op8_pseudonyms, "op9_ngramtrie": op9_ngramtrie,
+    "op10_superminhash": op10_superminhash,
 }
