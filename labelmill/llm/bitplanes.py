@@ -20,6 +20,7 @@ result; other columns are not read.
 """
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +39,7 @@ from labelmill.staging import shared_dir, staged
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 350_000
 MARKS = ".,;:!?"
 SLICE_CHARS = 2_000_000
 BATCH_TEXTS = 512
@@ -168,31 +169,41 @@ class Encoder:
         self.vocabulary = max(pieces.values()) + 1
         self.spaced = np.zeros(self.vocabulary, bool)
         self.spaced[[i for piece, i in pieces.items() if piece.startswith(SPACE)]] = True
-        # None marks a word that cannot be encoded alone.
+        # White space beside a space, or a special token, among words joined by spaces.
+        self.odd = re.compile("|".join([r"\s ", r" \s", r"\s$", *map(re.escape, self.special)]))
+        # Two generations of words: the older one goes when the newer is full. None marks a word that
+        # cannot be encoded alone.
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bool:
         return word != "" and not word[0].isspace() and not word[-1].isspace() and not any(s in word for s in self.special)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: set[str]) -> None:
         """Cache the ids of each word behind a space. New words are encoded as one text, in which only a
         word's first id starts with a space. Letters before closing marks are a token run of their own."""
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        if new and len(cache) + len(new) > CACHED_CHUNKS:
-            cache.clear()
-            new = list(words)
-        stems = {w: w.rstrip(MARKS) for w in new if self._alone(w)}
-        plain = {w: s for w, s in stems.items() if s != w and s.isalpha()}
-        alone = {plain.get(w, w) for w in stems}
-        alone = [w for w in alone if w not in cache]
-        cache.update((w, None) for w in new if w not in stems)
+        if len(self.cache) > CACHED_CHUNKS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = words.difference(cache)
+        again = new.intersection(older)
+        cache.update(zip(again, map(older.__getitem__, again)))
+        new -= again
+        if self.odd.search(" " + " ".join(new)):
+            odd = {w for w in new if not self._alone(w)}
+            cache.update(dict.fromkeys(odd))
+            new -= odd
+        plain = {w: s for w in new if (s := w.rstrip(MARKS)) is not w and s != w and s.isalpha()}
+        alone = list(new.difference(plain).union(s for s in plain.values() if s not in cache))
         if alone:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(alone), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(" " + " ".join(alone))
             data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
             cache.update(zip(alone, [data[a:b] for a, b in zip(at, at[1:])], strict=True))
         for word, stem in plain.items():
