@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import bitplanes, decontam, mixing, quality, superminhash
+from labelmill.llm.deploy import ship
 from labelmill.llm.queries import labelled, table
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
@@ -25,6 +26,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    ship(spark)
     model = quality.train(labelled(docs, table(spark, sf_dir, "labels")))
     scored = quality.scored(docs, model)
     return scored.where(quality.predicted(F.col("score")) == 1).select(*docs.columns)
@@ -32,6 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    ship(spark)
     found = superminhash.near_duplicates(docs)
     # The ids to drop are fewer than those to keep. A null id is never among them.
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
@@ -40,6 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,6 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document index of the token files written from the mix."""
+    ship(spark)
     path = bitplanes.ids_folder(spark)
     bitplanes.write_ids(docs, path, bitplanes.default_format())
     return bitplanes.index_of(bitplanes.read_ids(spark, path))

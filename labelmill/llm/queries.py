@@ -1,11 +1,13 @@
 """The registered queries of this package: each operator over its whole table."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, pseudonyms, quality, superminhash, warc
+from labelmill.llm.deploy import ship
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
 
@@ -105,9 +107,21 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Near(width=2))
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
     "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op9_ngramtrie": op9_ngramtrie,
     "op10_superminhash": op10_superminhash,
 }
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _QUERIES.items()}
