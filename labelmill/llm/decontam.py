@@ -158,7 +158,7 @@ def blocks_of(items: DataFrame, budget: Budget) -> Iterator[list[tuple[int, str]
         yield list(zip(some["item_id"].to_pylist(), some["text"].to_pylist()))
 
 
-_FINDERS: dict[int, Finder] = {}
+_FINDERS: dict[int, tuple[object, Finder]] = {}
 
 
 def _finder(shared) -> Finder:
@@ -166,8 +166,9 @@ def _finder(shared) -> Finder:
     value = shared.value
     if id(value) not in _FINDERS:
         _FINDERS.clear()
-        _FINDERS[id(value)] = Finder(*value)
-    return _FINDERS[id(value)]
+        # The block is kept as well, so that no other takes its place in memory and its finder with it.
+        _FINDERS[id(value)] = (value, Finder(*value))
+    return _FINDERS[id(value)][1]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("end_word", pa.int64())])
