@@ -33,18 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelmill.llm.hashing import U, segment_hashes, text_buffers
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import shared_dir, staged
 
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-CACHED_CHUNKS = 350_000
-MARKS = ".,;:!?"
-SLICE_CHARS = 2_000_000
+CACHED_PIECES = 350_000
+SLICE_BYTES = 2_000_000
 BATCH_TEXTS = 512
 # How byte-level vocabularies write a space.
 SPACE = "\u0120"
+# Tells a piece without a space before it from the same one with it.
+BARE = U(0x9D39247E33776D41)
+IS_MARK = np.zeros(256, bool)
+IS_MARK[[ord(c) for c in ".,;:!?"]] = True
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 @dataclass(frozen=True)
@@ -143,9 +149,9 @@ class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
 
     A byte-level tokenizer without a normalizer always breaks before a single space that stands
-    between two other characters, so a text can be encoded space by space and repeated words come
-    from a bounded cache. Texts with other white space beside a space, or with a special token's
-    string, are encoded whole.
+    between two other characters, and between a letter and a closing mark. So texts are cut there,
+    pieces are known by their hashes, and repeated ones come from a bounded cache. Texts with other
+    white space beside a space, or with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -158,7 +164,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter = spec.get("pre_tokenizer") or {}
-        self.by_words = (
+        self.by_pieces = (
             spec.get("normalizer") is None
             and splitter.get("type") == "ByteLevel"
             and splitter.get("use_regex", True)
@@ -169,67 +175,107 @@ class Encoder:
         self.vocabulary = max(pieces.values()) + 1
         self.spaced = np.zeros(self.vocabulary, bool)
         self.spaced[[i for piece, i in pieces.items() if piece.startswith(SPACE)]] = True
-        # White space beside a space, or a special token, among words joined by spaces.
+        # White space beside a space, or a special token, among pieces joined by spaces.
         self.odd = re.compile("|".join([r"\s ", r" \s", r"\s$", *map(re.escape, self.special)]))
-        # Two generations of words: the older one goes when the newer is full. None marks a word that
-        # cannot be encoded alone.
-        self.cache: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _alone(self, word: str) -> bool:
-        return word != "" and not word[0].isspace() and not word[-1].isspace() and not any(s in word for s in self.special)
-
-    def _whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        """Cache the ids of each word behind a space. New words are encoded as one text, in which only a
-        word's first id starts with a space. Letters before closing marks are a token run of their own."""
-        if len(self.cache) > CACHED_CHUNKS:
+        # Two generations of pieces by hash: the older one goes when the newer is full. None marks a
+        # piece that cannot be encoded alone.
+        self.cache: dict[int, bytes | None] = {}
+        self.older: dict[int, bytes | None] = {}
+
+    def _alone(self, piece: str) -> bool:
+        return piece != "" and not piece[0].isspace() and not piece[-1].isspace() and not any(s in piece for s in self.special)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece behind a space. All are one text, in which only a piece's first id starts with a space."""
+        ids = np.frombuffer(self._encode([" " + " ".join(pieces)])[0], "<u4")
+        data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+        if len(at) != len(pieces) + 1:
+            raise ValueError("the tokenizer does not break before every space")
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def _learn(self, keys: list[int], at: list[int], text: bytes, begin: list[int], end: list[int], bare: list[bool]) -> None:
+        """Cache the ids of pieces by their hashes; ``at`` tells where each is met, ``bare`` if no space is before it."""
+        if len(self.cache) > CACHED_PIECES:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        new = words.difference(cache)
-        again = new.intersection(older)
-        cache.update(zip(again, map(older.__getitem__, again)))
-        new -= again
-        if self.odd.search(" " + " ".join(new)):
-            odd = {w for w in new if not self._alone(w)}
-            cache.update(dict.fromkeys(odd))
-            new -= odd
-        plain = {w: s for w in new if (s := w.rstrip(MARKS)) is not w and s != w and s.isalpha()}
-        alone = list(new.difference(plain).union(s for s in plain.values() if s not in cache))
-        if alone:
-            ids = self._ids(" " + " ".join(alone))
-            data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
-            cache.update(zip(alone, [data[a:b] for a, b in zip(at, at[1:])], strict=True))
-        for word, stem in plain.items():
-            marks = word[len(stem) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._whole(marks)
-            cache[word] = cache[stem] + self.marks[marks]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            # Texts of a few megabytes at a time, so that their words are never all in memory.
-            size, end = 0, at
-            while end < len(texts) and size < SLICE_CHARS:
-                size += len(texts[end])
-                end += 1
-            split = [t.split(" ") if self.by_words else [""] for t in texts[at:end]]
-            self._learn(set().union(*[words[1:] for words in split]))
-            for text, words in zip(texts[at:end], split):
-                parts = list(map(self.cache.__getitem__, words[1:]))
-                if None in parts or not self._alone(words[0]):
-                    out.append(self._whole(text) if text else b"")
+        new: list[tuple[int, int]] = []
+        for key, i in zip(keys, at):
+            if key not in cache:
+                if key in older:
+                    cache[key] = older[key]
                 else:
-                    out.append(self._whole(words[0]) + b"".join(parts))
-            at = end
+                    new.append((key, i))
+        words = [text[begin[i] : end[i]].decode() for _, i in new]
+        if self.odd.search(" " + " ".join(words)):
+            keep = [self._alone(w) for w in words]
+            cache.update((k, None) for (k, _), ok in zip(new, keep) if not ok)
+            new, words = [n for n, ok in zip(new, keep) if ok], [w for w, ok in zip(words, keep) if ok]
+        spaced = [j for j, (_, i) in enumerate(new) if not bare[i]]
+        others = [j for j, (_, i) in enumerate(new) if bare[i]]
+        if spaced:
+            cache.update(zip([new[j][0] for j in spaced], self._spaced_pieces([words[j] for j in spaced])))
+        if others:
+            cache.update(zip([new[j][0] for j in others], self._encode([words[j] for j in others])))
+
+    def _cut(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of all pieces, whether each has no space before it, and the first piece of each row."""
+        gaps = np.flatnonzero(text == 32)
+        filled = np.flatnonzero(np.diff(offsets))
+        # One closing mark behind an ASCII letter, before a space or the row's end.
+        last = np.zeros(len(text) + 1, bool)
+        last[gaps] = True
+        last[offsets] = True
+        marks = np.flatnonzero(IS_MARK[text] & last[1:])
+        marks = marks[(marks > 0) & IS_LETTER[text[np.maximum(marks - 1, 0)]] & ~np.isin(marks, offsets)]
+        # Where places tie, an empty piece at a row's end comes before the next row's first.
+        begin = np.concatenate([gaps + 1, offsets[filled], marks])
+        order = np.argsort(begin, kind="stable")
+        bare = (np.arange(len(begin)) >= len(gaps))[order]
+        begin = begin[order]
+        end = np.sort(np.concatenate([offsets[filled + 1], gaps, marks]), kind="stable")
+        starts = order.argsort(kind="stable")[len(gaps) : len(gaps) + len(filled)]
+        edges = np.full(len(offsets), len(begin))
+        edges[filled] = starts
+        # An empty row has no pieces.
+        edges = np.minimum.accumulate(edges[::-1])[::-1]
+        return begin, end, bare, edges
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        offsets, data = text_buffers(column)
+        out: list[bytes] = []
+        first = 0
+        while first < len(column):
+            # Texts of a few megabytes at a time bound what is held.
+            last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+            last = min(max(last, first + 1), len(column))
+            out += self._rows(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+        return out
+
+    def _rows(self, text: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw, limits = text.tobytes(), offsets.tolist()
+        whole = lambda i: raw[limits[i] : limits[i + 1]].decode()
+        if not self.by_pieces or not raw:
+            return self._encode([whole(i) for i in range(len(limits) - 1)])
+        begin, end, bare, edges = self._cut(text, offsets)
+        names = segment_hashes(text, begin, end)
+        names[bare] ^= BARE
+        found, at, inverse = np.unique(names, return_index=True, return_inverse=True)
+        keys = found.tolist()
+        self._learn(keys, at.tolist(), raw, begin.tolist(), end.tolist(), bare.tolist())
+        ids = list(map(self.cache.__getitem__, keys))
+        odd = {i for i, x in enumerate(ids) if x is None}
+        pieces, edges = inverse.tolist(), edges.tolist()
+        out = []
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            row = pieces[a:b]
+            if odd and not odd.isdisjoint(row):
+                out.append(self._encode([whole(i)])[0])
+            else:
+                out.append(b"".join(map(ids.__getitem__, row)))
         return out
 
 
@@ -255,8 +301,7 @@ def _segments(form: Format):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(at, BATCH_TEXTS)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                     docs.append(doc)
                     counts.append(len(ids) // 4 + 1)
                     held += [ids, end]

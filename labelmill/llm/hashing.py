@@ -52,6 +52,20 @@ def _slices(offsets: np.ndarray, data: np.ndarray):
         at = to
 
 
+def segment_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [begin, end), which ascend and do not overlap; empty ones are alike."""
+    lengths = end - begin
+    out = np.zeros(len(begin), np.uint64)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        lengths = lengths[some]
+        first = np.cumsum(lengths) - lengths
+        within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        values = data[np.repeat(begin[some], lengths) + within].astype(np.uint64)
+        out[some] = np.add.reduceat(mixed(values + (within.astype(np.uint64) << U(8))), first)
+    return mixed(out)
+
+
 def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the row of each. ``fold`` lower-cases A to Z.
 
