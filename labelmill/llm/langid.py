@@ -263,7 +263,8 @@ class Scorer:
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its probability for each text."""
         bags = [Counter(words_of(t)) for t in texts]
-        self.learn(set().union(*bags))
+        if self.model.languages:
+            self.learn(set().union(*bags))
         names, sure = [], []
         for bag in bags:
             if not bag or not self.model.languages:

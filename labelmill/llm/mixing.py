@@ -11,7 +11,7 @@ half a word per bucket of its target.
 Only sizes and digests are shuffled. The chosen part of a bucket is a border in digest order, one
 row per bucket, so texts find their repetitions by comparing with it and stay where they are.
 
-Defined results: a null text has 0 words and takes none; a null source is a source of its own,
+Defined results: a null text has 0 words and takes none, and is repeated as often as its source is whole; a null source is a source of its own,
 sorted last; rows that repeat an id and a size share the edge of a bucket evenly; an empty table
 gives an empty result; other columns are kept by ``mixed_documents`` and dropped by ``mix``.
 """
