@@ -63,4 +63,40 @@ SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
 FROM grouped
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3}
+# Links are followed to every row that they reach, so this is for small tables.
+REACH = """, reach AS (
+  SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.id
+), lowest AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+OP6 = f"""
+WITH RECURSIVE nodes AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), both_ways AS (
+  SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+){REACH}, counted AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(w.component_id, e.vec_id) AS component_id,
+       coalesce(w.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN lowest w ON w.id = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
+OP10 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), sets AS (
+  SELECT id, list_distinct(CASE WHEN len(w) = 1 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), nodes AS (SELECT id, len(s) AS n FROM sets), shingles AS (SELECT id, unnest(s) AS e FROM sets),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.e = y.e AND x.id < y.id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links){REACH}
+SELECT n.id AS doc_id, n.n::BIGINT AS n_shingles, w.component_id, n.id = w.component_id AS kept
+FROM nodes n JOIN lowest w ON w.id = n.id
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op6_gridjoin": OP6, "op10_superminhash": OP10}

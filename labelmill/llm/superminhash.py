@@ -165,13 +165,13 @@ def _sketch(near: Near):
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("set_id")
+            ids, nodes = batch.column("set_id"), batch.column("node")
             for first, n, elements, rows in set_blocks(batch.column("text"), width):
                 edges = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(elements.view(np.int64)))
                 # A repeated id may bring other texts than the one that is wanted.
                 wanted = pa.array([a == b for a, b in zip(_names(elements, edges), ids.slice(first, n).to_pylist())])
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), lists], ["set_id", "elements"]).filter(wanted)
+                yield pa.RecordBatch.from_arrays([nodes.slice(first, n), lists], ["node", "elements"]).filter(wanted)
 
     return sets
 
@@ -196,11 +196,13 @@ def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, near: Near
     The texts of these documents are read again, which is less than keeping the sets of all.
     """
     name = nodes.select(F.col("node").alias("_node")).distinct()
-    wanted = staged(classes.join(name, F.col("node") == F.col("_node"), "left_semi").select("node", "doc_id"), "wanted")
+    wanted = staged(
+        classes.join(name, F.col("node") == F.col("_node"), "left_semi").select("node", "set_id", "doc_id"), "wanted"
+    )
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = docs.alias("d").join(broadcast_if_small(wanted).alias("w"), same).select(F.col("w.node").alias("set_id"), "d.text")
-    sets = texts.mapInArrow(_sets(near.width), "set_id binary, elements array<bigint>").dropDuplicates(["set_id"])
-    return staged(sets.select(F.col("set_id").alias("node"), "elements"), "sets")
+    texts = docs.alias("d").join(broadcast_if_small(wanted).alias("w"), same).select("w.node", "w.set_id", "d.text")
+    sets = texts.mapInArrow(_sets(near.width), "node long, elements array<bigint>")
+    return staged(sets.dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -283,10 +285,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     )
     # Null ids come last: a group of them alone has a null smallest id.
     first = F.struct(F.col("doc_id").isNull(), "doc_id")
+    # Written once, a class has a number of its own, which travels instead of its name.
     classes = staged(
         sketches.where(F.col("set_id").isNotNull())
-        .groupBy(F.col("set_id").alias("node"))
-        .agg(F.min(first)["doc_id"].alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")),
+        .groupBy("set_id")
+        .agg(F.min(first)["doc_id"].alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     members = _members(classes)
@@ -304,15 +308,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def _labelled(sketches: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    named = classes.select("node", "doc_id").join(
+    named = classes.select("node", "set_id", "doc_id").join(
         roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left"
     )
-    named = named.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    named = named.select("node", "set_id", "doc_id", F.coalesce("root", "node").alias("root"))
     named = staged(named, "named")
     smallest = named.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
-    of_class = spread_join(named, smallest, "root", "_root", F.col("node")).select(F.col("node").alias("_node"), "component_id")
+    of_class = spread_join(named, smallest, "root", "_root", F.col("node")).select(F.col("set_id").alias("_set"), "component_id")
     found = sketches.where(F.col("set_id").isNotNull()).select("doc_id", "n_shingles", "set_id")
-    rows = spread_join(found, of_class, "set_id", "_node", F.coalesce(F.col("doc_id"), F.lit(0)))
+    rows = spread_join(found, of_class, "set_id", "_set", F.coalesce(F.col("doc_id"), F.lit(0)))
     alone = sketches.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
         rows.select("doc_id", "n_shingles", "component_id")
