@@ -1,10 +1,10 @@
 """Ordered per-key work that survives a key holding a large share of all rows.
 
 A plain window sends each key to one task. Here a key with more than ``limit``
-rows is cut into blocks along its order, each block is windowed alone, and a
-small table with one row per block carries the result across block edges.
-``position`` is a number that grows with the order (row number, log sequence,
-milliseconds); rows sharing a position share a block, so the order is kept.
+rows is cut into blocks of that many rows along its order, each block is windowed
+alone, and a small table with one row per block carries the result across block
+edges. Borders are the order's own values, found by numbering the hot keys' rows, so
+bursts and outliers make no block larger; only rows alike in the whole order stay together.
 
 ``cut_keys`` measures the row counts once; without a hot key the plain window
 runs. One cut serves every later step over the same rows or a part of them.
@@ -18,14 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmill.operators.numbering import number_rows
+from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
 
 # Rows of one key that a single task may window. 2M narrow rows sort in memory.
 KEY_ROW_LIMIT = 2_000_000
 
-# Hot keys number at most rows/limit; beyond this many the join is left to AQE.
-BROADCAST_KEYS = 200_000
-
 BLOCK = "_block"
 HOT = "_hot"
 
@@ -43,24 +42,25 @@ class Cut:
     """How the hot keys split. ``hot`` is None when no key exceeds the limit."""
 
     keys: tuple[str, ...]
-    position: str
+    order: tuple[str, ...]
     hot: DataFrame | None
 
     def narrowed(self, keys: Sequence[str]) -> "Cut":
         """The same finding for keys that divide these, when nothing was cut."""
         if self.hot is not None:
             raise ValueError("measure the narrower keys when there are hot ones")
-        return Cut(tuple(keys), self.position, None)
+        return Cut(tuple(keys), self.order, None)
 
     def blocks(self, df: DataFrame) -> DataFrame:
         if self.hot is None:
             return df.withColumn(BLOCK, F.lit(0)).withColumn(HOT, F.lit(False))
-        offset = (F.col(self.position).cast("double") - F.col("_lo")) * F.col("_parts") / F.col("_span")
+        at = F.struct(*self.order)
+        passed = F.size(F.filter("_borders", lambda b: b <= at))
         return (
             df.join(self.hot, same_keys(self.keys, "_h_"), "left")
-            .withColumn(HOT, F.col("_span").isNotNull())
-            .withColumn(BLOCK, F.coalesce(F.floor(offset).cast("int"), F.lit(0)))
-            .drop("_lo", "_span", "_parts", *[f"_h_{k}" for k in self.keys])
+            .withColumn(HOT, F.col("_borders").isNotNull())
+            .withColumn(BLOCK, F.when(F.col(HOT), passed).otherwise(0))
+            .drop("_borders", *[f"_h_{k}" for k in self.keys])
         )
 
     def window(self, order: Sequence[str]):
@@ -82,26 +82,27 @@ class Cut:
         return rows.join(side, same_keys(on, "_e_"), "left").drop(*[f"_e_{k}" for k in on])
 
 
-def cut_keys(df: DataFrame, keys: Sequence[str], position: str, limit: int = KEY_ROW_LIMIT) -> Cut:
-    """Find the keys with more than ``limit`` rows (a map-side count over the key columns)."""
-    keys = tuple(keys)
-    sizes = (
-        df.select(*keys, F.col(position).cast("double").alias("_p"))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-        .where(F.col("_n") > limit)
-    )
-    found = sizes.count()
-    if found == 0:
-        return Cut(keys, position, None)
-    side = sizes.select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys],
-        "_lo",
-        (F.col("_hi") - F.col("_lo") + 1).alias("_span"),
-        F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"),
+def cut_keys(
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int = KEY_ROW_LIMIT
+) -> Cut:
+    """Find the keys with more than ``limit`` rows (a map-side count over the key columns) and their borders.
+
+    ``order`` names the columns that order a key's rows, all of them, so that equal leading values can be cut.
+    """
+    keys, order = tuple(keys), (order,) if isinstance(order, str) else tuple(order)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    sizes = staged(sizes.select(*[F.col(k).alias(f"_h_{k}") for k in keys]), "hot-sizes")
+    if sizes.isEmpty():
+        return Cut(keys, order, None)
+    # Only the hot keys' order columns are sorted, in even ranges whatever the key.
+    hot = df.select(*keys, F.struct(*order).alias("_at")).join(broadcast_if_small(sizes), same_keys(keys, "_h_"), "left_semi")
+    numbered = number_rows(hot, list(keys), ["_at"], "_row", start=0)
+    firsts = numbered.where((F.col("_row") > 0) & (F.col("_row") % limit == 0))
+    # One value per block of a key.
+    side = firsts.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys]).agg(
+        F.sort_array(F.collect_set("_at")).alias("_borders")
     )
-    side = staged(side, "hot-keys")
-    return Cut(keys, position, F.broadcast(side) if found <= BROADCAST_KEYS else side)
+    return Cut(keys, order, broadcast_if_small(staged(side, "hot-keys")))
 
 
 def previous_row(df: DataFrame, cut: Cut, order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:

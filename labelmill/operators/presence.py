@@ -12,9 +12,6 @@ from labelmill.operators.media import recent_work
 
 SESSION = ["user_id", "session_key"]
 
-# Fixed value: how many recent annotations a user's history lists.
-RECENT = 15
-
 
 def credit_active_time(
     heartbeats: DataFrame, cadence: Cadence = Cadence(), limit: int = hotkeys.KEY_ROW_LIMIT
@@ -25,8 +22,10 @@ def credit_active_time(
     goes to the state that heartbeat claimed; ``away`` time goes to neither.
     """
     timed = heartbeats.withColumn("_ms", F.unix_millis("ts"))
-    cut = hotkeys.cut_keys(timed, SESSION, "_ms", limit)
-    paired = hotkeys.previous_row(timed, cut, ["ts", "state"], ["_ms", "state"], "_prev")
+    # A beat's other fields settle the order of beats alike in time and state, so a burst can be cut.
+    order = ["ts", "state", *[c for c in ("action", "target_type", "target_id") if c in heartbeats.columns]]
+    cut = hotkeys.cut_keys(timed, SESSION, order, limit)
+    paired = hotkeys.previous_row(timed, cut, order, ["_ms", "state"], "_prev")
     spent = F.least(F.col("_ms") - F.col("_prev._ms"), F.lit(cadence.credit_cap_ms))
 
     def credited(state: str) -> Column:
@@ -142,11 +141,11 @@ def board_totals(board: DataFrame) -> DataFrame:
 
 def user_activity(
     user_id: str, sessions_: DataFrame, comments: DataFrame, annotations: DataFrame,
-    assets: DataFrame, as_of: datetime, days: int = 14,
+    assets: DataFrame, as_of: datetime, days: int = 14, recent: int = 15,
 ) -> dict[str, DataFrame]:
-    """``series`` (every day, zeros kept), ``totals`` and ``recent`` annotations of one user."""
-    if not 1 <= days <= 90:
-        raise ValueError("days must be between 1 and 90")
+    """``series`` (every day, zeros kept), ``totals`` and the ``recent`` newest annotations of one user."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
     start = datetime(as_of.year, as_of.month, as_of.day) - timedelta(days=days - 1)
     own = sessions_.where(F.col("user_id") == user_id)
     active = (
@@ -168,5 +167,5 @@ def user_activity(
     )
     return {
         "series": series, "totals": totals,
-        "recent": recent_work(annotations, assets, user_id, RECENT),
+        "recent": recent_work(annotations, assets, user_id, recent),
     }
