@@ -198,9 +198,12 @@ def apply_text_edits(comments: DataFrame, edits: DataFrame, limit: int = hotkeys
 
 
 def restore_versions(
-    comments: DataFrame, versions: DataFrame, requests: DataFrame
+    comments: DataFrame, versions: DataFrame, requests: DataFrame, limit: int = hotkeys.KEY_ROW_LIMIT
 ) -> Changes:
-    """Requests (comment_id, version, user_id, at), one per comment: back to a snapshot as a new version."""
+    """Requests (comment_id, version, user_id, at): back to a snapshot as a new version.
+
+    Several requests for a comment are applied by time, then user and version; each makes a version.
+    """
     asked = requests.select("comment_id", F.col("version").alias("_target"), "user_id", "at")
     snaps = versions.select("comment_id", F.col("version").alias("_target"), "snapshot")
     found = asked.join(snaps, ["comment_id", "_target"], "left").join(
@@ -214,8 +217,11 @@ def restore_versions(
     refused = found.where(F.col("reason").isNotNull()).select(
         "comment_id", F.col("_target").alias("version"), "reason"
     )
-    good = found.where(F.col("reason").isNull()).select(
-        "comment_id", (F.col("_current") + 1).alias("version"), F.col("_target").alias("_from"),
+    good = found.where(F.col("reason").isNull())
+    order = ["at", "user_id", "_target"]
+    good = hotkeys.row_number(good, hotkeys.cut_keys(good, ["comment_id"], order, limit), order, "_n")
+    good = good.select(
+        "comment_id", (F.col("_current") + F.col("_n")).alias("version"), F.col("_target").alias("_from"),
         "user_id", "at", "snapshot.*",
     )
     columns = ["text", "sentiment", "type", "status", "note", "version", "user_id", "at"]

@@ -40,16 +40,21 @@ def insert_new(
 
 
 def upsert(
-    base: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], at: datetime
+    base: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], at: datetime,
+    order: str | None = None,
 ) -> DataFrame:
-    """Set ``columns`` from the patch with the same key (one per key); adds ``modified``.
+    """Set ``columns`` from the last patch of the same key; adds ``modified``.
 
-    A null in the patch sets null. Identity and provenance columns are refused.
+    ``order`` names the column that says which patch of a key is last; without it the greatest
+    values are taken, so reruns agree. A null in the patch sets null. Identity and provenance
+    columns are refused.
     """
     frozen = {key, *IMMUTABLE} & set(columns)
     if frozen:
         raise ValueError(f"columns cannot be updated: {sorted(frozen)}")
-    side = patches.select(key, F.struct(*columns).alias("_patch"))
+    patch = F.struct(*columns)
+    last = F.max_by(patch, F.struct(order, *columns)) if order else F.max(patch)
+    side = patches.groupBy(key).agg(last.alias("_patch"))
     joined = base.join(side, key, "left")
     found = F.col("_patch").isNotNull()
     differs = F.lit(False)
@@ -111,28 +116,27 @@ def expire_sessions(sessions: DataFrame, as_of: datetime, retention_days: int =
 
 def delete_cascade(
     tables: Mapping[str, DataFrame], doomed: DataFrame, key: str,
-    children: Sequence[tuple[str, str, str]],
+    children: Sequence[tuple[str, str, str]], keys: Mapping[str, str],
 ) -> dict[str, DataFrame]:
     """Drop the ``doomed`` keys and everything under them.
 
     ``children`` lists (table, column, parent table) from the top down; the top
-    parent is the empty string. Each table is read once for what survives, and
-    a child loses the rows whose parent row is dropped.
+    parent is the empty string. ``keys`` names the key column of every table
+    that is a parent. A child loses the rows whose parent row is dropped.
     """
     dropped = {"": doomed.select(F.col(key).alias("_gone")).distinct()}
+    parents = {parent for _, _, parent in children}
     left = {}
-    own_key = {"": key}
     for table, column, parent in children:
         rows = tables[table]
+        missing = {column, *([keys[table]] if table in parents else [])} - set(rows.columns)
+        if missing:
+            raise ValueError(f"{table} has no column {sorted(missing)}")
         gone = dropped[parent].withColumnRenamed("_gone", column)
         left[table] = rows.join(gone, column, "left_anti")
-        own_key[table] = rows.columns[0]
-        if rows.columns[0] != column:
-            dropped[table] = rows.join(gone, column, "left_semi").select(
-                F.col(rows.columns[0]).alias("_gone")
-            ).distinct()
-        else:
-            dropped[table] = dropped[parent]
+        if table in parents:
+            own = F.col(keys[table]).alias("_gone")
+            dropped[table] = rows.join(gone, column, "left_semi").select(own).distinct()
     return left
 
 

@@ -103,6 +103,14 @@ def test_text_edits_and_restore(spark, limit):
     row = back.comments.where("comment_id = 'a'").first()
     assert (row.text, row.version, row.updated_by, row.annotated_by) == ("edit 2", 11, "u9", None)
 
+    times = [("a", v, "u9", T0 + timedelta(seconds=s)) for s, v in ((2, 4), (1, 3), (3, 3), (4, 6))]
+    asked = spark.createDataFrame(times, "comment_id string, version long, user_id string, at timestamp")
+    back = history.restore_versions(changes.comments, changes.versions, asked, limit)
+    made = back.versions.orderBy("version").collect()
+    assert [(r.version, r.restored_from) for r in made] == [(11, 3), (12, 4), (13, 3), (14, 6)]
+    row = back.comments.where("comment_id = 'a'").first()
+    assert (row.text, row.version) == ("edit 5", 14)
+
 
 def test_state_and_history(spark):
     rows = [("a", i, (f"t{i}", "positive", "x", "pending", None, None, None, None), [], "update", None, "u", T0 + timedelta(days=i)) for i in range(1, 6)]
@@ -134,6 +142,14 @@ def test_upsert_sets_nulls_and_refuses_identity(spark):
         updates.upsert(base, patch, "id", ["id"], T0)
 
 
+def test_upsert_takes_the_last_of_several_patches(spark):
+    base = spark.createDataFrame([("a", "x"), ("b", "x")], "id string, name string")
+    patch = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("a", "y", 2)], "id string, name string, n int")
+    got = sorted((r.id, r.name) for r in updates.upsert(base, patch, "id", ["name"], T0, order="n").collect())
+    assert got == [("a", "y"), ("b", "x")]
+    assert sorted((r.id, r.name) for r in updates.upsert(base, patch, "id", ["name"], T0).collect()) == [("a", "z"), ("b", "x")]
+
+
 def test_assign_and_expire(spark):
     rows = spark.createDataFrame([comment("a"), comment("b")], table_type("comments"))
     users = spark.createDataFrame([("u1", True), ("u2", False)], "user_id string, is_active boolean")
@@ -154,10 +170,23 @@ def test_cascade_and_copy(spark):
     snap = ("t", "positive", "x", "pending", None, None, None, None)
     versions = spark.createDataFrame([(i, n, snap, [], "update", None, "u", T0) for i in "abc" for n in (1, 2)], table_type("comment_versions"))
     gone = spark.createDataFrame([("A",)], "dataset_id string")
-    left = updates.delete_cascade({"comments": comments, "versions": versions}, gone, "dataset_id", [("comments", "dataset_id", ""), ("versions", "comment_id", "comments")])
+    left = updates.delete_cascade({"comments": comments, "versions": versions}, gone, "dataset_id", [("comments", "dataset_id", ""), ("versions", "comment_id", "comments")], {"comments": "comment_id"})
     assert [r.comment_id for r in left["comments"].collect()] == ["c"] and left["versions"].count() == 2
     copied, log = updates.duplicate_dataset(comments, versions, "A", "A2", "me", T0)
     ids = {r.comment_id for r in copied.collect()}
     assert len(ids) == 2 and not ids & {"a", "b"} and {r.comment_id for r in log.collect()} == ids and log.count() == 4
     assert set(copied.columns) == set(table_type("comments").names)
     assert TABLES["comments"]
+
+
+def test_cascade_uses_the_named_keys(spark):
+    annotations = spark.createDataFrame([("D", "a1", "n1"), ("D", "a2", "n2")], "dataset_id string, asset_id string, annotation_id string")
+    versions = spark.createDataFrame([("n1", 1), ("n1", 2), ("n2", 1)], "annotation_id string, revision int")
+    gone = spark.createDataFrame([("a1",)], "asset_id string")
+    children = [("annotations", "asset_id", ""), ("versions", "annotation_id", "annotations")]
+    tables = {"annotations": annotations, "versions": versions}
+    left = updates.delete_cascade(tables, gone, "asset_id", children, {"annotations": "annotation_id"})
+    assert [r.annotation_id for r in left["annotations"].collect()] == ["n2"]
+    assert [r.annotation_id for r in left["versions"].collect()] == ["n2"]
+    with pytest.raises(ValueError):
+        updates.delete_cascade(tables, gone, "asset_id", children, {"annotations": "id"})
