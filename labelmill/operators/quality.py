@@ -106,14 +106,17 @@ def class_balance(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def near_duplicate_count(comments: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Texts beyond the first with the same opening, per group, over the whole corpus.
+def near_duplicate_count(
+    comments: DataFrame, by: Sequence[str] = ("dataset_id",), chars: int | None = None
+) -> DataFrame:
+    """Texts beyond the first that are the same but for case and outer white space, per group.
 
-    Copies fold map-side into one row per opening, so a widely copied text
-    does not travel.
+    With ``chars`` only so many characters decide. Copies fold map-side into one row per text,
+    known by a digest, so neither copies nor long texts travel.
     """
+    key = near_dup_key(F.col("text"), chars)
     openings = (
-        comments.select(*by, near_dup_key(F.col("text")).alias("_key"))
+        comments.select(*by, F.sha2(key, 256).alias("_key"))
         .groupBy(*by, "_key")
         .agg(F.count("*").alias("_n"))
     )

@@ -2,61 +2,108 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.functions.numbers import percent
-from labelmill.functions.text import LENGTH_BOUNDS, length_bucket
+from labelmill.functions.numbers import half_up, percent
+from labelmill.functions.text import LENGTH_BOUNDS, length_bucket, near_dup_key
 from labelmill.operators import quality
 from labelmill.plans.readiness import readiness, warnings
 from labelmill.staging import staged
 
 
-def comment_cube(comments: DataFrame) -> DataFrame:
-    """One scan of the comments folded to counts by dataset, labels, status and length bucket.
+# Parts of a dataset's counts.
+STATUS, SENTIMENT, TYPE, LENGTH, COPIES, ACTIVITY = "status", "sentiment", "type", "length", "copies", "activity"
 
-    Every figure but the near copies comes from this table, whose size is the
-    product of the vocabularies. It is written once: a null filter of one
-    reader would otherwise be pushed into a scan of its own.
+
+def dataset_counts(comments: DataFrame, near_chars: int | None = None) -> DataFrame:
+    """``dataset_id, part, pos, label, count``: every count of the reports, from one scan of the texts.
+
+    The scan leaves a narrow row per comment, with a digest in place of the text. It folds to the
+    product of the vocabularies, and each figure to one row per label, length bucket or status.
     """
     bucket = length_bucket(F.length(F.coalesce("text", F.lit(""))), LENGTH_BOUNDS)
-    cube = (
-        comments.select("dataset_id", "sentiment", "type", "status", bucket.alias("bucket"))
-        .groupBy("dataset_id", "sentiment", "type", "status", "bucket")
-        .agg(F.count("*").alias("count"))
+    narrow = staged(
+        comments.select(
+            "dataset_id", "sentiment", "type", "status", bucket.alias("bucket"),
+            F.unhex(F.md5(near_dup_key(F.col("text"), near_chars))).alias("near"),
+        ),
+        "narrow",
     )
-    return staged(cube, "cube")
-
-
-def _axis(cube: DataFrame, field: str, prefix: str) -> DataFrame:
-    counts = cube.groupBy("dataset_id", F.col(field).alias("label")).agg(F.sum("count").alias("count"))
-    figures = quality.summarize(counts, ["dataset_id"])
-    ends = (
-        counts.where(F.col("label").isNotNull())
-        .groupBy("dataset_id")
-        .agg(
-            F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("top"),
-            F.max_by("label", F.struct(-F.col("count"), F.col("label"))).alias("bottom"),
-        )
+    keys = ["dataset_id", "sentiment", "type", "status", "bucket"]
+    cube = narrow.groupBy(*keys).agg(F.count("*").alias("count"))
+
+    def part(name: str, label: Column, pos: Column | None = None) -> Column:
+        place = F.lit(0) if pos is None else pos
+        return F.struct(F.lit(name).alias("part"), place.cast("int").alias("pos"), label.cast("string").alias("label"))
+
+    parts = F.array(
+        part(STATUS, F.col("status")), part(SENTIMENT, F.col("sentiment")), part(TYPE, F.col("type")),
+        part(LENGTH, F.col("bucket.label"), F.col("bucket.pos")),
+    )
+    counts = (
+        cube.select("dataset_id", F.explode(parts).alias("p"), "count")
+        .groupBy("dataset_id", "p.part", "p.pos", "p.label")
+        .agg(F.sum("count").alias("count"))
+    )
+    copies = narrow.where(F.col("near").isNotNull()).groupBy("dataset_id", "near").agg(F.count("*").alias("_n"))
+    copies = copies.groupBy("dataset_id").agg(F.sum(F.col("_n") - 1).alias("count"))
+    copies = copies.select(
+        "dataset_id", F.lit(COPIES).alias("part"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("label"), "count"
     )
-    both = figures.join(ends, "dataset_id")
-    return both.select("dataset_id", *[F.col(c).alias(f"{prefix}_{c}") for c in both.columns[1:]])
+    return counts.unionByName(copies)
+
+
+def _axis_figures(part: str, prefix: str) -> list[Column]:
+    """Class balance of one vocabulary, as aggregates over a dataset's counts."""
+    of = (F.col("part") == part) & F.col("label").isNotNull() & (F.col("count") > 0)
+    count, share = F.when(of, F.col("count")), F.when(of, F.col("_share"))
+    classes = F.count(count)
+    most = F.when(classes > 1, F.log2(classes.cast("double")))
+    entropy = F.sum(-share * F.log2(share))
+    order = F.when(of, F.struct(-F.col("count"), F.col("label")))
+    figures = {
+        "total": F.sum(count), "classes": classes, "max": F.max(count), "min": F.min(count),
+        "imbalance_ratio": half_up(F.max(count) / F.min(count), 2),
+        "entropy": half_up(entropy, 3),
+        "max_entropy": F.when(classes > 0, F.coalesce(half_up(most, 3), F.lit(0.0))),
+        "balance_score": F.coalesce(half_up(entropy / most, 3), F.lit(1.0)),
+        "gini": half_up(1 - F.sum(share * share), 3),
+        "top": F.min_by("label", order), "bottom": F.max_by("label", order),
+    }
+    return [c.alias(f"{prefix}_{n}") for n, c in figures.items()]
+
+
+def _listed(name: str, part: str, *fields: Column, labelled: bool = False) -> Column:
+    of = F.col("part") == part
+    if labelled:
+        of = of & F.col("label").isNotNull()
+    return F.array_sort(F.collect_list(F.when(of, F.struct(*fields)))).alias(name)
 
 
-def dataset_summary(datasets: DataFrame, comments: DataFrame, cube: DataFrame | None = None) -> DataFrame:
-    """One row per dataset with everything readiness and warnings need."""
-    cube = comment_cube(comments) if cube is None else cube
-    status = cube.groupBy("dataset_id").agg(
-        F.sum("count").alias("total"),
-        F.sum(F.when(F.col("status") == "annotated", F.col("count")).otherwise(0)).alias("annotated"),
-        F.sum(F.when(F.col("status") == "pending", F.col("count")).otherwise(0)).alias("pending"),
+def _one_per_dataset(datasets: DataFrame, counts: DataFrame, *more: Column) -> DataFrame:
+    """Every figure in one aggregate over the counts and one join to the datasets."""
+    per_part = Window.partitionBy("dataset_id", "part")
+    known = F.when(F.col("label").isNotNull(), F.col("count"))
+    placed = counts.withColumns(
+        {
+            "_share": F.col("count") / F.sum(known).over(per_part),
+            "percent": percent(F.col("count"), F.sum(known).over(per_part)),
+            # Null labels come last, so they take no rank from others.
+            "rank": F.row_number().over(per_part.orderBy(F.col("label").isNull(), F.col("count").desc(), "label")),
+        }
     )
-    joined = (
-        datasets.join(status, "dataset_id", "left")
-        .join(quality.near_duplicate_count(comments), "dataset_id", "left")
-        .join(_axis(cube, "sentiment", "s"), "dataset_id", "left")
-        .join(_axis(cube, "type", "t"), "dataset_id", "left")
+
+    def status(name: str) -> Column:
+        return F.sum(F.when((F.col("part") == STATUS) & (F.col("label") == name), F.col("count")).otherwise(0)).alias(name)
+
+    figures = placed.groupBy("dataset_id").agg(
+        F.sum(F.when(F.col("part") == STATUS, F.col("count")).otherwise(0)).alias("total"),
+        status("annotated"), status("pending"),
+        F.sum(F.when(F.col("part") == COPIES, F.col("count")).otherwise(0)).alias("duplicate_count"),
+        *_axis_figures(SENTIMENT, "s"), *_axis_figures(TYPE, "t"), *more,
     )
+    joined = datasets.join(figures, "dataset_id", "left")
     zero = ["total", "annotated", "pending", "duplicate_count", "s_classes", "t_classes"]
     one = ["s_balance_score", "t_balance_score"]
     return joined.withColumns(
@@ -68,57 +115,52 @@ def dataset_summary(datasets: DataFrame, comments: DataFrame, cube: DataFrame |
     )
 
 
-def dataset_readiness(datasets: DataFrame, comments: DataFrame) -> DataFrame:
-    return dataset_summary(datasets, comments).select("dataset_id", readiness().alias("r")).select(
-        "dataset_id", "r.*"
-    )
+def dataset_summary(datasets: DataFrame, comments: DataFrame, near_chars: int | None = None) -> DataFrame:
+    """One row per dataset with everything readiness and warnings need.
+
+    ``near_chars`` is how many characters decide a near copy; all of them by default.
+    """
+    return _one_per_dataset(datasets, dataset_counts(comments, near_chars))
 
 
-def dataset_warnings(datasets: DataFrame, comments: DataFrame) -> DataFrame:
+def dataset_readiness(datasets: DataFrame, comments: DataFrame, near_chars: int | None = None) -> DataFrame:
+    summary = dataset_summary(datasets, comments, near_chars)
+    return summary.select("dataset_id", readiness().alias("r")).select("dataset_id", "r.*")
+
+
+def dataset_warnings(datasets: DataFrame, comments: DataFrame, near_chars: int | None = None) -> DataFrame:
     """One row per warning."""
-    listed = dataset_summary(datasets, comments).select(
+    listed = dataset_summary(datasets, comments, near_chars).select(
         "dataset_id", F.posexplode(warnings()).alias("pos", "w")
     )
     return listed.select("dataset_id", "pos", "w.*")
 
 
-def dataset_report(datasets: DataFrame, comments: DataFrame, versions: DataFrame) -> DataFrame:
+def dataset_report(
+    datasets: DataFrame, comments: DataFrame, versions: DataFrame, near_chars: int | None = None
+) -> DataFrame:
     """The whole report, one row per dataset.
 
     The nested lists hold vocabulary entries, length buckets and days: as many
     as there are labels, bounds and calendar days, not rows.
     """
-    cube = comment_cube(comments)
-
-    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
-        return rows.groupBy("dataset_id").agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias(name)
-        )
-
-    def axis(field: str) -> DataFrame:
-        counts = cube.groupBy("dataset_id", F.col(field).alias("label")).agg(
-            F.sum("count").alias("count")
-        )
-        return quality.distribution(counts, ["dataset_id"])
-
-    lengths = cube.groupBy(
-        "dataset_id", F.col("bucket.pos").alias("pos"), F.col("bucket.label").alias("label")
-    ).agg(F.sum("count").alias("count"))
-    statuses = cube.groupBy(
-        "dataset_id", F.coalesce("status", F.lit("unknown")).alias("status")
-    ).agg(F.sum("count").alias("count"))
+    daily = quality.activity_by_dataset(versions, comments)
+    days = daily.select(
+        "dataset_id", F.lit(ACTIVITY).alias("part"), F.lit(0).alias("pos"), F.col("date").alias("label"), "count"
+    )
+    count, label = F.col("count"), F.col("label")
+    ranked = (F.col("rank"), label, count, F.col("percent"))
     return (
-        dataset_summary(datasets, comments, cube)
+        _one_per_dataset(
+            datasets, dataset_counts(comments, near_chars).unionByName(days),
+            _listed("status_breakdown", STATUS, F.coalesce(label, F.lit("unknown")).alias("status"), count),
+            _listed("sentiment", SENTIMENT, *ranked, labelled=True),
+            _listed("type", TYPE, *ranked, labelled=True),
+            _listed("length_histogram", LENGTH, F.col("pos"), label, count),
+            _listed("activity", ACTIVITY, label.alias("date"), count),
+        )
         .withColumn("readiness", readiness())
         .withColumn("warnings", warnings())
-        .join(listed(statuses, "status_breakdown", "status", "count"), "dataset_id", "left")
-        .join(listed(axis("sentiment"), "sentiment", "rank", "label", "count", "percent"), "dataset_id", "left")
-        .join(listed(axis("type"), "type", "rank", "label", "count", "percent"), "dataset_id", "left")
-        .join(listed(lengths, "length_histogram", "pos", "label", "count"), "dataset_id", "left")
-        .join(
-            listed(quality.activity_by_dataset(versions, comments), "activity", "date", "count"),
-            "dataset_id", "left",
-        )
     )
 
 

@@ -1,7 +1,6 @@
 """What the physical plans must and must not hold."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from checks.tables import Tables
 from labelmill.operators import filters, media, quality
@@ -42,6 +41,15 @@ def test_no_python_and_no_cross_joins(tables):
             assert word not in text, (word, text[:2000])
 
 
+def test_report_reads_texts_once(spark, tables, monkeypatch):
+    written = []
+    stage = reports.staged
+    monkeypatch.setattr(reports, "staged", lambda df, name: written.append(plan(df)) or stage(df, name))
+    final = plan(reports.dataset_report(tables.datasets, tables.comments, tables.versions))
+    assert len(written) == 1 and "text" in written[0] and "hashpartitioning" not in written[0]
+    assert "text:string" not in final
+
+
 def test_counts_fold_before_the_shuffle(tables):
     text = plan(quality.near_duplicate_count(tables.comments))
     assert text.count("partial_count(1)") >= 1 and "partial_sum" in text
@@ -55,4 +63,3 @@ def test_page_is_a_top_k(tables):
     from labelmill.operators.paging import page
 
     assert "TakeOrderedAndProject" in plan(page(tables.comments, "comment_id"))
-    assert F is not None
