@@ -66,14 +66,31 @@ def number_tagged(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("row_no", F.col("_scan") + F.col("_shift")).drop("_block", "_scan", "_shift")
 
 
+def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder, grouped by their first line. One row per header reaches the driver."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return [sorted(r["files"]) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()]
+
+
 def read_comment_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Raw rows with ``file`` and ``row_no``. Files of one call share a header.
+    """Raw rows with ``file`` and ``row_no``. Each file's own header names its columns.
 
     ``multiline`` allows newlines inside quotes and reads a file in one task;
     turn it off for large files without such newlines, which then split.
     """
-    raw = spark.read.options(**csv_options(multiline)).csv(path)
-    return number_tagged(normalize_headers(tag_rows(raw)))
+    groups = files_by_header(spark, path)
+    sources = groups if len(groups) > 1 else [path]
+    parts = [
+        normalize_headers(tag_rows(spark.read.options(**csv_options(multiline)).csv(files))) for files in sources
+    ]
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part)
+    return number_tagged(raw)
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -1,14 +1,31 @@
 """Version stream to daily activity."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def stream_activity_by_date(versions: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """``date, count``; a day is emitted once the watermark has passed its end (append mode)."""
+    """``date, count``. In append mode a day is emitted once the watermark has passed its end; in update
+    mode every batch emits the days it changed, the open one too, and ``newest_days`` keeps the last of each."""
     return (
         versions.withWatermark("created_at", watermark)
         .groupBy(F.window("created_at", "1 day"))
         .agg(F.count("*").alias("count"))
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count")
     )
+
+
+def write_days(days: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start the query in update mode. Batch N overwrites its own folder."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = days.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def newest_days(spark: SparkSession, path: str) -> DataFrame:
+    """``date, count`` of every day so far, from what ``write_days`` wrote."""
+    written = spark.read.schema("date string, count bigint, batch bigint").parquet(path)
+    return written.groupBy("date").agg(F.max_by("count", "batch").alias("count"))

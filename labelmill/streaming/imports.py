@@ -34,7 +34,7 @@ def stream_imports(
     files: DataFrame, path: str, checkpoint: str, user: str, strategy: str = "skip",
     as_of: datetime | None = None, **trigger,
 ):
-    """Start the query. Batch N overwrites its own ``comments|versions|reports/batch=N`` folders."""
+    """Start the query. Batch N overwrites its own folders of comments, versions, rejects, messages, report and files."""
 
     def load(batch: DataFrame, number: int) -> None:
         now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
@@ -42,7 +42,7 @@ def stream_imports(
         rows = number_tagged(tagged)
         rows = rows.withColumn("dataset_id", dataset_key(F.col("file")))
         result = import_comments(rows.drop("file"), user, now, strategy)
-        for name in ("comments", "versions", "report"):
+        for name in ("comments", "versions", "rejects", "messages", "report"):
             getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         files_seen = rows.select("dataset_id", "file").distinct()
         files_seen.write.mode("overwrite").parquet(f"{path}/files/batch={number}")

@@ -109,6 +109,19 @@ def test_activity_stream_emits_closed_days(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if k != last}
 
 
+def test_activity_stream_with_the_open_day(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    want = {}
+    for part in range(3):
+        rows = [(T0 + timedelta(hours=7 * (5 * part + i)),) for i in range(5)]
+        spark.createDataFrame(rows, "created_at timestamp").write.mode("append").parquet(source)
+        stream = activity.stream_activity_by_date(spark.readStream.schema("created_at timestamp").parquet(source))
+        activity.write_days(stream, out, str(tmp_path / "cp")).awaitTermination(120)
+        for (t,) in rows:
+            want[t.strftime("%Y-%m-%d")] = want.get(t.strftime("%Y-%m-%d"), 0) + 1
+        assert {r.date: r["count"] for r in activity.newest_days(spark, out).collect()} == want
+
+
 def test_patch_stream_equals_batch(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     base = [(str(i), "d", str(i), "t", "unannotated", "english", "pending", None, None, None, None, None, None, 1, "u", "u", T0, T0) for i in range(6)]
@@ -150,4 +163,5 @@ def test_import_stream(spark, tmp_path):
     comments = spark.read.parquet(f"{out}/comments")
     assert sorted(r.source_id for r in comments.collect()) == sorted(["r0", "r1", "r2", "r3", "r0-dup1", "r1-dup1"] * 2)
     assert spark.read.parquet(f"{out}/report").agg(F.sum("imported_rows"), F.sum("renamed_rows")).first()[:] == (12, 4)
+    assert spark.read.parquet(f"{out}/rejects").count() == 0 and spark.read.parquet(f"{out}/messages").count() == 4
     assert spark.read.parquet(f"{out}/versions").count() == 12 and comments.select("dataset_id").distinct().count() == 2
