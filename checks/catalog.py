@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sql import NEAR_KEY, bucket, guarded, half_up, percent, plain, summary, with_tables
+from checks.sql import NEAR_CHARS, NEAR_KEY, NEAR_TEXT, bucket, guarded, half_up, percent, plain, summary, with_tables
 from checks.tables import Tables
 from labelmill.functions import geometry, labels, text
 from labelmill.functions.numbers import half_up as spark_half_up
@@ -116,6 +116,15 @@ def _(t):
     with_tables("comments", f"""SELECT dataset_id, CAST(count({NEAR_KEY}) - count(DISTINCT {NEAR_KEY}) AS BIGINT) AS duplicate_count
         FROM comments GROUP BY 1"""),
 )
+def _(t):
+    return quality.near_duplicate_count(t.comments, chars=NEAR_CHARS)
+
+
+@check(
+    "near_duplicates_whole",
+    with_tables("comments", f"""SELECT dataset_id, CAST(count({NEAR_TEXT}) - count(DISTINCT {NEAR_TEXT}) AS BIGINT) AS duplicate_count
+        FROM comments GROUP BY 1"""),
+)
 def _(t):
     return quality.near_duplicate_count(t.comments)
 
@@ -125,7 +134,7 @@ def _(t):
     with_tables("comments", f"SELECT CAST(count({NEAR_KEY}) - count(DISTINCT {NEAR_KEY}) AS BIGINT) AS duplicate_count FROM comments"),
 )
 def _(t):
-    return quality.near_duplicate_count(t.comments, by=[])
+    return quality.near_duplicate_count(t.comments, by=[], chars=NEAR_CHARS)
 
 
 @check(
@@ -249,7 +258,7 @@ SUMMARY_CTES = {
           + CAST(tk < 2 OR tb < 0.5 AS INT) + CAST(dp > 3 AS INT)) AS reason_count FROM sco""", **SUMMARY_CTES),
 )
 def _(t):
-    r = reports.dataset_readiness(t.datasets, t.comments)
+    r = reports.dataset_readiness(t.datasets, t.comments, NEAR_CHARS)
     return r.select("dataset_id", "score", "level", F.size("reasons").alias("reason_count"))
 
 
@@ -271,7 +280,7 @@ def _imbalance_sql(axis, kind, word, col):
         **SUMMARY_CTES),
 )
 def _(t):
-    return reports.dataset_warnings(t.datasets, t.comments).drop("pos")
+    return reports.dataset_warnings(t.datasets, t.comments, NEAR_CHARS).drop("pos")
 
 
 @check(
@@ -294,7 +303,7 @@ def _(t):
             F.transform(column, lambda e: F.concat(e[name], F.lit(":"), e["count"].cast("string"))), ","
         )
 
-    r = reports.dataset_report(t.datasets, t.comments, t.versions)
+    r = reports.dataset_report(t.datasets, t.comments, t.versions, NEAR_CHARS)
     return r.select(
         "dataset_id", "total", "annotated", "pending", "duplicate_count", "percent_annotated",
         F.col("readiness.score").alias("score"), joined("status_breakdown", "status").alias("statuses"),
@@ -442,6 +451,15 @@ def _(t):
     )
 
 
+@check(
+    "import_messages",
+    with_tables("marked", f"""SELECT file AS dataset_id, row_no, 'Row ' || (row_no + 2) || ': duplicate id "' || sid || '" skipped' AS message
+        FROM marked WHERE {OUTCOME} = 'duplicate'""", import_rows=CONVERSATION_ROWS),
+)
+def _(t):
+    return _imported(t).messages
+
+
 @check(
     "import_preview",
     with_tables(
@@ -510,12 +528,13 @@ def _(t):
         AND (regexp_matches(text, '(?i)^the') OR NOT ("type" = 'en'))"""),
 )
 def _(t):
-    spec = {
-        "assigned_to": {"$ne": "1"}, "annotated_by": {"$in": ["2", "3", None]},
-        "created_at": {"$gte": datetime(2024, 1, 1, 1)},
-        "$or": [{"text": {"$regex": "^the", "$options": "i"}}, {"type": {"$not": {"$eq": "en"}}}],
-    }
-    return t.comments.where(filters.predicate(spec)).select("comment_id")
+    kept = (
+        ~F.col("assigned_to").eqNullSafe("1")
+        & (F.col("annotated_by").isin("2", "3") | F.col("annotated_by").isNull())
+        & (F.col("created_at") >= F.lit(datetime(2024, 1, 1, 1)))
+        & (F.col("text").rlike("(?i)^the") | ~F.col("type").eqNullSafe("en"))
+    )
+    return t.comments.where(kept).select("comment_id")
 
 
 @check(
@@ -603,12 +622,11 @@ def _(t):
     with_tables("comments ds", """SELECT d.dataset_id, d.name, d.created_s, coalesce(c.total, 0) AS total,
         coalesce(c.annotated, 0) AS annotated, coalesce(c.pending, 0) AS pending FROM ds d LEFT JOIN (SELECT dataset_id,
         count(*) AS total, count(*) FILTER (WHERE status = 'annotated') AS annotated,
-        count(*) FILTER (WHERE status = 'pending') AS pending FROM comments WHERE sentiment <> 'unannotated' GROUP BY 1) c
+        count(*) FILTER (WHERE status = 'pending') AS pending FROM comments GROUP BY 1) c
         ON c.dataset_id = d.dataset_id"""),
 )
 def _(t):
-    labelled = t.comments.where(F.col("sentiment") != "unannotated")
-    return quality.datasets_with_counts(t.datasets, labelled).select(
+    return quality.datasets_with_counts(t.datasets, t.comments).select(
         "dataset_id", "name", secs("created_at").alias("created_s"), "total", "annotated", "pending"
     )
 
@@ -800,8 +818,8 @@ def _(t):
 
 @check(
     "text_functions",
-    f"""SELECT p_partkey, substr(trim(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug,
-        substr(regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_-]+', '_', 'g'), 1, 40) AS file_name,
+    f"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+        regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_-]+', '_', 'g') AS file_name,
         CASE WHEN length(p_name) > 9 THEN substr(p_name, 1, 9) || '…' ELSE p_name END AS preview,
         'hsl(' || CAST(floor((p_partkey * CAST(137.508 AS DOUBLE)) % 360 + 0.5) AS INT) || ', 65%, 55%)' AS color,
         trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS class,
@@ -1422,7 +1440,7 @@ def _(t):
 def _(t):
     left = updates.delete_cascade(
         {"comments": t.comments, "versions": t.versions}, t.datasets.where("status = 'failed'"), "dataset_id",
-        [("comments", "dataset_id", ""), ("versions", "comment_id", "comments")],
+        [("comments", "dataset_id", ""), ("versions", "comment_id", "comments")], {"comments": "comment_id"},
     )
     parts = [
         rows.groupBy(F.lit(name).alias("name"), "comment_id").agg(F.count("*").alias("count"))
@@ -1612,13 +1630,16 @@ CLEAN = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
 )
 def _(t):
     rows = comment_csv.read_comment_csv(t.spark, _written_csv(t))
+    # Row numbers count from 0 in every file, whichever file a row was written to.
+    whole = rows.groupBy("file").agg((F.max("row_no") + 1 - F.count("*") + F.min("row_no")).alias("gaps"))
+    rows = rows.join(whole.where("gaps = 0"), "file")
     return rows.select("id", F.length(text.trimmed(F.col("comment_text"))).cast("bigint").alias("chars"), "sentiment")
 
 
 @check(
     "stream_imports",
-    """SELECT count(*) AS total_rows, count(*) AS imported_rows, count(*) FILTER (WHERE turn % 3 = 0 AND role = 'user') AS annotated
-        FROM conversations""",
+    """SELECT count(*) AS total_rows, count(*) AS imported_rows, count(*) FILTER (WHERE turn % 3 = 0 AND role = 'user') AS annotated,
+        0::BIGINT AS refused FROM conversations""",
 )
 def _(t):
     path, out = _written_csv(t), _folder(t, "imported")
@@ -1628,7 +1649,8 @@ def _(t):
         F.sum("total_rows").alias("total_rows"), F.sum("imported_rows").alias("imported_rows")
     )
     done = t.spark.read.parquet(f"{out}/comments").agg(F.count_if(F.col("status") == "annotated").alias("annotated"))
-    both = counts.unionByName(done, allowMissingColumns=True)
+    refused = t.spark.read.parquet(f"{out}/rejects").agg(F.count("*").alias("refused"))
+    both = counts.unionByName(done, allowMissingColumns=True).unionByName(refused, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
@@ -1662,18 +1684,13 @@ def _(t):
 
 @check(
     "stream_activity",
-    with_tables("ev", """SELECT day AS date, count(*) AS count FROM ev
-        WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev) GROUP BY 1"""),
+    with_tables("ev", "SELECT day AS date, count(*) AS count FROM ev GROUP BY 1"),
 )
 def _(t):
     out = _folder(t, "activity")
     days = activity.stream_activity_by_date(_event_stream(t).select(F.col("ts").alias("created_at")))
-    query = (
-        days.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return t.spark.read.schema("date string, count bigint").parquet(out)
+    activity.write_days(days, out, f"{out}-progress").awaitTermination()
+    return activity.newest_days(t.spark, out)
 
 
 @check("stream_patch_versions", with_tables("ev comments opts", VERSIONS_SQL, **FOLD))

@@ -155,8 +155,12 @@ def summary(source: str, keys: str) -> str:
         GROUP BY {keys}"""
 
 
+# The opening that decides a near copy in the reports.
+NEAR_CHARS = 80
+_FOLDED = "trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+NEAR_TEXT = f"nullif({_FOLDED}, '')"
 NEAR_KEY = (
-    "nullif(substr(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), 1, 80), '')"
+    f"nullif(substr({_FOLDED}, 1, {NEAR_CHARS}), '')"
 )
 
 

@@ -55,7 +55,7 @@ def _strip_marks(names: pd.Series) -> pd.Series:
     return names.map(plain)
 
 
-def class_slug(name: Column, max_chars: int = 64) -> Column:
+def class_slug(name: Column) -> Column:
     """``Café`` -> ``cafe``. Only label dimensions go through this Python function, never facts."""
     joined = F.regexp_replace(_strip_marks(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "_")
-    return F.substring(F.btrim(joined, F.lit("_")), 1, max_chars)
+    return F.btrim(joined, F.lit("_"))

@@ -11,9 +11,8 @@ WHITE_SPACE = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-# Length bucket bounds, and the number of characters that decide a near copy.
+# Length bucket bounds.
 LENGTH_BOUNDS = (0, 20, 50, 100, 200, 500, 1000, 100000)
-NEAR_COPY_CHARS = 80
 
 
 def trimmed(text: Column) -> Column:
@@ -21,24 +20,25 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def near_dup_key(text: Column, chars: int = NEAR_COPY_CHARS) -> Column:
-    """Lower-cased, trimmed opening of a text; null when nothing is left."""
-    return F.nullif(F.substring(trimmed(F.lower(text)), 1, chars), F.lit(""))
+def near_dup_key(text: Column, chars: int | None = None) -> Column:
+    """Lower-cased, trimmed text, or its first ``chars`` characters; null when nothing is left."""
+    folded = trimmed(F.lower(text))
+    return F.nullif(folded if chars is None else F.substring(folded, 1, chars), F.lit(""))
 
 
-def slug(value: Column, max_chars: int = 60) -> Column:
+def slug(value: Column) -> Column:
     """``Very Good!`` -> ``very_good``."""
     joined = F.regexp_replace(trimmed(F.lower(value)), "[^a-z0-9]+", "_")
-    return F.substring(F.btrim(joined, F.lit("_")), 1, max_chars)
+    return F.btrim(joined, F.lit("_"))
 
 
 def clip_preview(text: Column, chars: int = 200) -> Column:
     return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("…"))).otherwise(text)
 
 
-def safe_base_name(name: Column, max_chars: int = 40) -> Column:
+def safe_base_name(name: Column) -> Column:
     """A file-name-safe form of a dataset name."""
-    return F.substring(F.regexp_replace(name, "[^A-Za-z0-9_-]+", "_"), 1, max_chars)
+    return F.regexp_replace(name, "[^A-Za-z0-9_-]+", "_")
 
 
 def length_bucket(length: Column, bounds: Sequence[int] = LENGTH_BOUNDS) -> Column:

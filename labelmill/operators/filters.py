@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.text import WHITE_SPACE, trimmed
 
-# Fixed value: how much of a search phrase is used.
-SEARCH_CHARS = 100
-
 _UNSET = object()
 
 
@@ -28,59 +25,11 @@ def _one_of(column: Column, values) -> Column:
     return hit | column.isNull() if None in list(values) else hit
 
 
-def _operator(column: Column, op: str, operand, spec: Mapping) -> Column:
-    if op == "$eq":
-        return _equals(column, operand)
-    if op == "$ne":
-        return ~_equals(column, operand)
-    if op == "$in":
-        return _one_of(column, operand)
-    if op == "$nin":
-        return ~_one_of(column, operand)
-    if op in ("$lt", "$lte", "$gt", "$gte"):
-        test = {
-            "$lt": column < operand, "$lte": column <= operand,
-            "$gt": column > operand, "$gte": column >= operand,
-        }[op]
-        return F.coalesce(test, F.lit(False))
-    if op == "$exists":
-        return column.isNotNull() if operand else column.isNull()
-    if op == "$regex":
-        flags = "(?i)" if "i" in spec.get("$options", "") else ""
-        return F.coalesce(column.rlike(flags + operand), F.lit(False))
-    if op == "$not":
-        return ~_condition(column, operand)
-    raise ValueError(f"unsupported query operator {op!r}")
-
-
-def _condition(column: Column, value) -> Column:
-    if isinstance(value, Mapping):
-        test = F.lit(True)
-        for op, operand in value.items():
-            if op != "$options":
-                test = test & _operator(column, op, operand, value)
-        return test
-    return _equals(column, value)
-
-
-def predicate(spec: Mapping) -> Column:
-    """A condition from ``{"field": value or {"$op": operand}, "$and"/"$or": [...]}``.
-
-    ``$ne`` and ``$nin`` also match null, an empty ``$in`` matches nothing, and
-    dotted names reach into structs.
-    """
+def _all_equal(wanted: Mapping) -> Column:
+    """Every named column holds its value; none asked for means no condition."""
     test = F.lit(True)
-    for field, value in spec.items():
-        if field in ("$and", "$or"):
-            parts = [predicate(p) for p in value]
-            joined = F.lit(field == "$and")
-            for part in parts:
-                joined = joined & part if field == "$and" else joined | part
-            test = test & joined
-        elif field.startswith("$"):
-            raise ValueError(f"unsupported query operator {field!r}")
-        else:
-            test = test & _condition(F.col(field), value)
+    for name, value in wanted.items():
+        test = test & _equals(F.col(name), value)
     return test
 
 
@@ -130,7 +79,7 @@ def filter_comments(
         test = test & _between("annotated_at", annotated_from, annotated_to)
     if assigned_to is not _UNSET:
         test = test & _equals(F.col("assigned_to"), assigned_to)
-    phrase = (search or "").strip(WHITE_SPACE)[:SEARCH_CHARS]
+    phrase = (search or "").strip(WHITE_SPACE)
     if phrase:
         test = test & F.contains(F.lower("text"), F.lower(F.lit(phrase)))
     return df.where(test)
@@ -143,7 +92,7 @@ def filter_datasets(
         "status": status, "assigned_to": assigned_to,
         "uploaded_by": uploaded_by, "taxonomy_id": taxonomy_id,
     }
-    return df.where(predicate({k: v for k, v in wanted.items() if v}))
+    return df.where(_all_equal({k: v for k, v in wanted.items() if v}))
 
 
 def filter_users(df: DataFrame, *, role=None, is_active=None, email=None) -> DataFrame:
@@ -165,7 +114,7 @@ def filter_audit(
     wanted = {
         "action": action, "actor_id": actor_id, "target_type": target_type, "target_id": target_id,
     }
-    kept = df.where(predicate({k: v for k, v in wanted.items() if v}) & _between("at", at_from, at_to))
+    kept = df.where(_all_equal({k: v for k, v in wanted.items() if v}) & _between("at", at_from, at_to))
     return kept.orderBy(F.col("at").desc(), "event_id")
 
 
@@ -178,7 +127,7 @@ def filter_assets(
         "dataset_id": dataset_id, "asset_id": asset_id, "kind": kind,
         "checksum": checksum, "extension": extension,
     }
-    test = test & predicate({k: v for k, v in wanted.items() if v is not None})
+    test = test & _all_equal({k: v for k, v in wanted.items() if v is not None})
     if assigned_to is not _UNSET:
         test = test & _equals(F.col("assigned_to"), assigned_to)
     if checksum_in is not None:
@@ -196,7 +145,7 @@ def filter_annotations(
         "dataset_id": dataset_id, "asset_id": asset_id, "kind": kind,
         "label": label, "created_by": created_by,
     }
-    test = predicate({k: v for k, v in wanted.items() if v is not None})
+    test = _all_equal({k: v for k, v in wanted.items() if v is not None})
     if frame_index is not _UNSET:
         test = test & _equals(F.col("frame_index"), frame_index)
     if label_in is not None:
@@ -217,7 +166,7 @@ def filter_sessions(
     elif user_id:
         test = test & (F.col("user_id") == user_id)
     wanted = {"session_key": session_key, "last_state": last_state}
-    return df.where(test & predicate({k: v for k, v in wanted.items() if v is not None}))
+    return df.where(test & _all_equal({k: v for k, v in wanted.items() if v is not None}))
 
 
 def filter_taxonomies(df: DataFrame, *, is_active=None, admin=True) -> DataFrame:

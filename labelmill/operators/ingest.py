@@ -15,7 +15,7 @@ from labelmill.functions.text import clip_preview, trimmed
 from labelmill.operators import hotkeys
 from labelmill.staging import staged
 
-# How many messages, ids and sample rows a report lists.
+# How many messages, ids and sample rows a report or a preview shows.
 REPORT_ERRORS = 20
 PREVIEW_ERRORS = 10
 PREVIEW_IDS = 20
@@ -99,8 +99,8 @@ def renamed_ids(
             (F.col("_b") - F.col("_i")).alias("_at"), F.lit(1).alias("_taken"),
         )
     )
-    cut = hotkeys.cut_keys(steps, key, "_at", limit)
-    steps = hotkeys.running_sum(steps, cut, ["_at", "_taken"], F.col("_taken"), "_skip")
+    cut = hotkeys.cut_keys(steps, key, ["_at", "_taken", "row_no"], limit)
+    steps = hotkeys.running_sum(steps, cut, ["_at", "_taken", "row_no"], F.col("_taken"), "_skip")
     number = (F.col("_at") + F.col("_skip")).cast("string")
     return steps.where(F.col("_taken") == 0).select(
         scope, "row_no", F.concat(F.col("base"), F.lit("-dup"), number).alias("new_id")
@@ -149,16 +149,19 @@ def first_listed(rows: DataFrame, scope: str, order: str, value: Column, n: int,
 
 @dataclass(frozen=True)
 class ImportResult:
+    """``messages`` has every message (dataset_id, row_no, message); the report shows the first ones."""
+
     comments: DataFrame
     versions: DataFrame
     rejects: DataFrame
+    messages: DataFrame
     report: DataFrame
 
 
 def import_comments(
     rows: DataFrame, user: str, as_of: datetime, strategy: str = "skip",
     existing: DataFrame | None = None, options: DataFrame | None = None,
-    limit: int = hotkeys.KEY_ROW_LIMIT,
+    limit: int = hotkeys.KEY_ROW_LIMIT, shown: int = REPORT_ERRORS,
 ) -> ImportResult:
     """Rows scoped by ``dataset_id`` to new comments, their first versions, rejects and a report.
 
@@ -169,7 +172,7 @@ def import_comments(
     checked = dedupe_rows(rows, "dataset_id", strategy, limit)
     wanted = F.col("outcome").isin("keep", "renamed")
     if existing is not None:
-        known = existing.select("dataset_id", "source_id", F.lit(True).alias("_known"))
+        known = existing.select("dataset_id", "source_id", F.lit(True).alias("_known")).distinct()
         fresh = checked.where(wanted).join(known, ["dataset_id", "source_id"], "left")
         fresh = fresh.withColumn(
             "outcome", F.when(F.col("_known"), "exists").otherwise(F.col("outcome"))
@@ -235,10 +238,8 @@ def import_comments(
     )
     imported = F.count_if(wanted)
     insertable = F.count_if(F.col("outcome").isin("keep", "renamed", "exists"))
-    errors = first_listed(
-        checked.where(F.col("message").isNotNull()), "dataset_id", "row_no", F.col("message"),
-        REPORT_ERRORS, "import_errors",
-    )
+    messages = checked.where(F.col("message").isNotNull()).select("dataset_id", "row_no", "message")
+    errors = first_listed(messages, "dataset_id", "row_no", F.col("message"), shown, "import_errors")
     report = (
         checked.groupBy("dataset_id")
         .agg(
@@ -252,7 +253,7 @@ def import_comments(
         .join(errors, "dataset_id", "left")
         .withColumn("import_errors", F.coalesce("import_errors", F.array().cast("array<string>")))
     )
-    return ImportResult(comments, versions, rejects, report)
+    return ImportResult(comments, versions, rejects, messages, report)
 
 
 def import_preview(rows: DataFrame, scope: str = "file") -> DataFrame:

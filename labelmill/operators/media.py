@@ -8,13 +8,13 @@ from labelmill.functions.numbers import half_up, ratio
 from labelmill.operators.quality import class_balance
 from labelmill.staging import staged
 
-# Bounds of a "recent work" list.
-RECENT_MOST = 50
-
 # Boxes below this area have areas that round coarsely; their overlaps are found by a plain grid.
 SMALL_AREA = 1e-4
 SMALL_GRID = 0.01
 
+# Up to so many different boxes of one asset and frame are compared directly.
+PLAIN_BOXES = 500
+
 
 def annotation_box() -> Column:
     return geometry.box(F.col("x"), F.col("y"), F.col("box_width"), F.col("box_height"))
@@ -114,9 +114,10 @@ def dataset_stats(media_datasets: DataFrame, assets: DataFrame, annotations: Dat
 def checksum_duplicates(assets: DataFrame) -> DataFrame:
     """Assets holding bytes another, earlier asset of the dataset already holds.
 
-    The keeper is a map-side minimum and rows drop out by asset id, so one
-    file copied a million times spreads evenly.
+    An asset without a checksum is no copy. The keeper is a map-side minimum and rows drop out by
+    asset id, so one file copied a million times spreads evenly.
     """
+    assets = assets.where(F.col("checksum").isNotNull())
     keepers = assets.groupBy("dataset_id", "checksum").agg(
         F.min(F.struct("created_at", "asset_id")).alias("_first")
     )
@@ -151,8 +152,9 @@ def boxes_with_assets(assets: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def recent_work(annotations: DataFrame, assets: DataFrame, user_id: str, n: int = 10) -> DataFrame:
-    """A user's newest annotations with the asset's name."""
-    n = min(RECENT_MOST, max(1, n))
+    """A user's newest ``n`` annotations with the asset's name."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     newest = (
         annotations.where(F.col("created_by") == user_id)
         .orderBy(F.col("created_at").desc(), "annotation_id")
@@ -163,7 +165,8 @@ def recent_work(annotations: DataFrame, assets: DataFrame, user_id: str, n: int
 
 def recent_work_by_user(annotations: DataFrame, n: int = 15) -> DataFrame:
     """Every user's newest ``n`` annotations; the rank limit applies before the shuffle."""
-    n = min(RECENT_MOST, max(1, n))
+    if n < 1:
+        raise ValueError("n must be at least 1")
     w = Window.partitionBy("created_by").orderBy(F.col("created_at").desc(), "annotation_id")
     return annotations.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -219,30 +222,21 @@ def _small_cells(boxes: DataFrame) -> DataFrame:
 _NO_CLASS = 1_000_000
 
 
-def overlap_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
-    """Pairs of boxes of one asset and frame with IoU of at least ``min_iou``.
-
-    Equal boxes fold into one with a copy count, so a pair row stands for
-    ``pairs`` = copies_a * copies_b annotation pairs, and a row pairing a box
-    with itself for the pairs among its copies. Boxes meet only when sizes and
-    places allow the IoU: sides within the factor 1/min_iou and corners within
-    (1 - min_iou) of the longer side, which a size class and a grid cell
-    express as equality keys. Every qualifying pair meets in exactly one cell.
-    """
-    if not 0.01 <= min_iou <= 1:
-        raise ValueError("min_iou must be between 0.01 and 1")
-    # Area rounding can lift an IoU a little, so classes and reach are a little wider than min_iou asks.
-    bound = 0.98 * min_iou
-    log_step = F.log(F.lit(1.0 / bound))
-    # Both join sides and the copies read the folded boxes, so they are written once.
-    folded = _distinct_boxes(annotations).withColumns(
-        {
-            "right": F.col("x") + F.col("box_width"), "bottom": F.col("y") + F.col("box_height"),
-            "area": geometry.box_area(annotation_box()),
-            "cw": F.floor(F.log("box_width") / log_step), "ch": F.floor(F.log("box_height") / log_step),
-        }
+def _direct_pairs(boxes: DataFrame) -> DataFrame:
+    """Each two boxes of one asset and frame that touch, as a_ and b_ columns."""
+    names = ["asset_id", "frame", "x", "y", "right", "bottom", "area", "annotation_id", "copies"]
+    a, b = (boxes.select(*[F.col(c).alias(f"{tag}_{c}") for c in names]) for tag in "ab")
+    return a.join(
+        b,
+        (F.col("a_asset_id") == F.col("b_asset_id")) & (F.col("a_frame") == F.col("b_frame"))
+        & (F.col("a_annotation_id") < F.col("b_annotation_id"))
+        & (F.col("a_x") < F.col("b_right")) & (F.col("b_x") < F.col("a_right"))
+        & (F.col("a_y") < F.col("b_bottom")) & (F.col("b_y") < F.col("a_bottom")),
     )
-    boxes = staged(folded, "boxes")
+
+
+def _grid_pairs(boxes: DataFrame, bound: float) -> DataFrame:
+    """Boxes of crowded frames that meet by size class and cell, as a_ and b_ columns."""
     cell = ["asset_id", "frame", "kx", "ky", "gx", "gy"]
     plain = ["x", "y", "right", "bottom", "area", "annotation_id", "copies", "small", "cw", "ch"]
 
@@ -270,9 +264,44 @@ def overlap_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
         & (F.floor(F.greatest("a_x", "b_x") / SMALL_GRID) == F.col("a_gx"))
         & (F.floor(F.greatest("a_y", "b_y") / SMALL_GRID) == F.col("a_gy"))
     )
+    return met.where(sized | cornered)
+
+
+def overlap_pairs(annotations: DataFrame, min_iou: float, plain_boxes: int = PLAIN_BOXES) -> DataFrame:
+    """Pairs of boxes of one asset and frame with IoU of at least ``min_iou``.
+
+    Equal boxes fold into one with a copy count, so a pair row stands for
+    ``pairs`` = copies_a * copies_b annotation pairs, and a row pairing a box
+    with itself for the pairs among its copies. The boxes of an ordinary frame
+    are compared directly; those of a crowded one meet only when sizes and
+    places allow the IoU: sides within the factor 1/min_iou and corners within
+    (1 - min_iou) of the longer side, which a size class and a grid cell
+    express as equality keys. Every qualifying pair meets in exactly one cell.
+    """
+    if not 0 < min_iou <= 1:
+        raise ValueError("min_iou must be above 0 and at most 1")
+    # Area rounding can lift an IoU a little, so classes and reach are a little wider than min_iou asks.
+    bound = 0.98 * min_iou
+    log_step = F.log(F.lit(1.0 / bound))
+    # Both join sides and the copies read the folded boxes, so they are written once.
+    folded = _distinct_boxes(annotations).withColumns(
+        {
+            "right": F.col("x") + F.col("box_width"), "bottom": F.col("y") + F.col("box_height"),
+            "area": geometry.box_area(annotation_box()),
+            "cw": F.floor(F.log("box_width") / log_step), "ch": F.floor(F.log("box_height") / log_step),
+        }
+    )
+    boxes = staged(folded, "boxes")
+    frame = ["asset_id", "frame"]
+    crowded = boxes.groupBy(*frame).agg(F.count("*").alias("_n")).where(F.col("_n") > plain_boxes).select(*frame)
+    crowded = staged(crowded, "crowded-frames")
+    met = _direct_pairs(boxes.join(crowded, frame, "left_anti"))
+    if not crowded.isEmpty():
+        many = staged(boxes.join(crowded, frame, "left_semi"), "crowded-boxes")
+        met = met.unionByName(_grid_pairs(many, bound).select(*met.columns))
     wide = F.least("a_right", "b_right") - F.greatest("a_x", "b_x")
     high = F.least("a_bottom", "b_bottom") - F.greatest("a_y", "b_y")
-    met = met.where(sized | cornered).where((wide > 0) & (high > 0))
+    met = met.where((wide > 0) & (high > 0))
 
     # The overlap is exploded as a one-element array: a filter on it stays above the join, so it
     # is computed once per candidate and the join's generated code stays small enough to compile well.

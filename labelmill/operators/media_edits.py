@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from labelmill.functions import geometry
 from labelmill.functions.numbers import half_up
 from labelmill.operators import hotkeys
+from labelmill.operators.sizes import broadcast_if_small
 from labelmill.operators.vocabulary import resolve_labels
 from labelmill.staging import staged
 
-# Note length and the fields a version tracks.
-NOTE_CHARS = 2000
+# The fields a version tracks.
 TRACKED = ("label", "kind", "note", "x", "y", "boxWidth", "boxHeight", "frameIndex", "timestampMs")
 
 SNAPSHOT = (
@@ -50,9 +50,9 @@ def _assets(assets: DataFrame) -> DataFrame:
 
 def _canonical(edits: DataFrame, classes: DataFrame) -> DataFrame:
     """Labels to class values and pixel sides to fractions, with the reason when that fails."""
-    named = resolve_labels(
-        edits.withColumn("dataset_id", F.coalesce("dataset_id", F.lit(""))), classes
-    )
+    bound = classes.select("dataset_id", F.lit(True).alias("_bound")).distinct()
+    edits = edits.withColumn("dataset_id", F.coalesce("dataset_id", F.lit("")))
+    named = resolve_labels(edits.join(broadcast_if_small(bound), "dataset_id", "left"), classes)
     asked = F.col("label").isNotNull() | (F.col("op") == "create")
     named = named.withColumns(
         {
@@ -107,6 +107,7 @@ def _checked(edits: DataFrame, assets: DataFrame, classes: DataFrame, create: bo
     reason = (
         F.when(~F.col("op").isin("create", "update", "delete"), F.lit("Unknown operation"))
         .when(F.col("a_kind").isNull(), F.lit("Media asset not found"))
+        .when(writes & F.col("_bound").isNull(), F.lit("This dataset has no label set. Assign one before annotating."))
         .when(~F.col("kind").isin("bbox", "classification"), F.lit('kind must be "bbox" or "classification"'))
         .when(writes & F.col("label_error").isNotNull(), F.col("label_error"))
         .when(writes & box_kind & F.col("pixel_error").isNotNull(), F.col("pixel_error"))
@@ -119,13 +120,12 @@ def _checked(edits: DataFrame, assets: DataFrame, classes: DataFrame, create: bo
         {
             "reason": reason,
             "_boxed": box_kind & (F.col("_given") | is_create) & writes,
-            "note": F.substring("note", 1, NOTE_CHARS),
             "has_note": (F.coalesce("has_note", F.lit(False)) | is_create) & writes,
             "label": F.when(writes, F.col("label")),
             "_frame": F.when(frame_op & writes, F.col("frame_index")).cast("bigint"),
             "_time": F.when(frame_op & writes, F.floor(F.col("timestamp_ms").cast("double") + 0.5)),
         }
-    ).drop("frame_index", "timestamp_ms", "label_error", "pixel_error")
+    ).drop("frame_index", "timestamp_ms", "label_error", "pixel_error", "_bound")
 
 
 def _fold_side(df: DataFrame, cut: hotkeys.Cut, corner: str, size: str) -> DataFrame:

@@ -13,12 +13,6 @@ from labelmill.functions.labels import (
 from labelmill.functions.text import slug, trimmed
 from labelmill.operators.sizes import broadcast_if_small
 
-# Vocabulary limits.
-MAX_TERMS = 50
-MAX_TERM_CHARS = 60
-MAX_CLASSES = 200
-MAX_CLASS_CHARS = 64
-
 
 def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -32,7 +26,7 @@ def _with_taxonomy(datasets: DataFrame, taxonomies: DataFrame) -> DataFrame:
 
 
 def valid_options(datasets: DataFrame, taxonomies: DataFrame) -> DataFrame:
-    """``dataset_id, sentiments, types``: allowed labels; at most 51 per axis."""
+    """``dataset_id, sentiments, types``: allowed labels."""
 
     def allowed(terms: str, defaults, fallback) -> Column:
         values = F.transform(F.col(terms), lambda t: t["value"])
@@ -169,29 +163,36 @@ def scope_to_user(rows: DataFrame, datasets: DataFrame, user_id: str, admin: boo
     return rows.join(datasets.where(F.col("assigned_to") == user_id), "dataset_id", "left_semi")
 
 
-def _too_long_lists(items: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Lists over the limit, found by count so an endless list is never gathered."""
-    return items.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+def _long_lists(items: DataFrame, keys: list[str], most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(items of the other lists, lists over the limit); found by count, so a refused list is never gathered."""
+    if most is None:
+        return items, items.select(*keys).limit(0)
+    big = items.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
+    return items.join(big, keys, "left_anti"), big
 
 
-def normalize_terms(items: DataFrame) -> DataFrame:
+def normalize_terms(items: DataFrame, max_terms: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Taxonomy items (taxonomy_id, axis, idx, label, value, order) to one checked list per axis.
 
-    Output: taxonomy_id, axis, terms (null when refused), error (the first problem).
+    Output: taxonomy_id, axis, terms (null when refused), error (the first problem). ``max_terms``
+    and ``max_chars`` refuse longer lists and labels; nothing is cut.
     """
     keys = ["taxonomy_id", "axis"]
-    big = _too_long_lists(items, keys, MAX_TERMS)
-    fits = items.join(big, keys, "left_anti")
-    label = F.substring(F.nullif(trimmed(F.col("label")), F.lit("")), 1, MAX_TERM_CHARS)
+    fits, big = _long_lists(items, keys, max_terms)
+    label = F.nullif(trimmed(F.col("label")), F.lit(""))
     given = F.nullif(F.col("value"), F.lit(""))
     named = fits.withColumn("label", label).withColumn(
         "value", F.when(F.col("label").isNotNull(), slug(F.coalesce(given, F.col("label"))))
     )
-    # Lists over 50 are gone, so this window and the lists below are at most 50 rows.
+    # A vocabulary becomes one value of a row below, so a task can hold it.
     seen = F.row_number().over(Window.partitionBy(*keys, "value").orderBy("idx"))
     place = F.concat(F.col("axis"), F.lit("["), F.col("idx").cast("string"), F.lit("]"))
     problem = (
         F.when(F.col("label").isNull(), F.concat(place, F.lit(".label is required")))
+        .when(
+            F.length("label") > (max_chars if max_chars is not None else F.length("label")),
+            F.concat(place, F.lit(f".label exceeds {max_chars} characters")),
+        )
         .when(
             F.col("value") == "",
             F.concat(place, F.lit('.value could not be derived from label "'), F.col("label"), F.lit('"')),
@@ -222,23 +223,23 @@ def normalize_terms(items: DataFrame) -> DataFrame:
     refused = big.select(
         *keys,
         F.lit(None).cast("array<struct<value:string,label:string,order:double>>").alias("terms"),
-        F.concat(F.col("axis"), F.lit(f" cannot have more than {MAX_TERMS} items")).alias("error"),
+        F.concat(F.col("axis"), F.lit(f" cannot have more than {max_terms} items")).alias("error"),
     )
     return checked.unionByName(refused)
 
 
-def normalize_classes(items: DataFrame) -> DataFrame:
+def normalize_classes(items: DataFrame, max_classes: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Label-set items (label_set_id, idx, label, value, color) to one checked class list.
 
-    Output: label_set_id, labels (null when refused), error (the first problem).
+    Output: label_set_id, labels (null when refused), error (the first problem). ``max_classes``
+    and ``max_chars`` refuse longer lists and labels; nothing is cut.
     """
     keys = ["label_set_id"]
-    big = _too_long_lists(items, keys, MAX_CLASSES)
-    fits = items.join(big, keys, "left_anti")
+    fits, big = _long_lists(items, keys, max_classes)
     named = fits.withColumn("label", trimmed(F.coalesce(F.col("label"), F.lit("")))).withColumn(
         "value", class_slug(F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("label")))
     )
-    # Lists over 200 are gone, so this window and the lists below are at most 200 rows.
+    # A class list becomes one value of a row below, so a task can hold it.
     seen = F.row_number().over(Window.partitionBy(*keys, "value").orderBy("idx"))
     said = F.concat(F.lit('Label "'), F.col("label"), F.lit('"'))
     problem = (
@@ -246,7 +247,10 @@ def normalize_classes(items: DataFrame) -> DataFrame:
             F.col("label") == "",
             F.concat(F.lit("Label "), (F.col("idx") + 1).cast("string"), F.lit(" is empty")),
         )
-        .when(F.length("label") > MAX_CLASS_CHARS, F.concat(said, F.lit(f" exceeds {MAX_CLASS_CHARS} characters")))
+        .when(
+            F.length("label") > (max_chars if max_chars is not None else F.length("label")),
+            F.concat(said, F.lit(f" exceeds {max_chars} characters")),
+        )
         .when(F.col("value") == "", F.concat(said, F.lit(" has no usable characters for a class name")))
         .when(
             F.col("_seen") > 1,
@@ -273,6 +277,6 @@ def normalize_classes(items: DataFrame) -> DataFrame:
     refused = big.select(
         *keys,
         F.lit(None).cast("array<struct<value:string,label:string,color:string>>").alias("labels"),
-        F.lit(f"A label set may hold at most {MAX_CLASSES} labels").alias("error"),
+        F.lit(f"A label set may hold at most {max_classes} labels").alias("error"),
     )
     return lists.unionByName(refused)

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from labelmill.operators.numbering import number_rows
 from labelmill.plans.exports import Coco, Yolo
 
-# Lines of one label file written by a single task; a longer file is written in numbered pieces.
-FILE_LINE_LIMIT = 5_000_000
-
 
 def coco_lines(coco: Coco, datasets: DataFrame, date_created: str = "") -> DataFrame:
     """``dataset_id, section, seq, value``: in this order the values join to one JSON document per dataset."""
@@ -98,20 +95,13 @@ def yolo_files(yolo: Yolo, root: str = "../") -> DataFrame:
     return labels.unionByName(names).unionByName(head).unionByName(listed)
 
 
-def write_yolo(yolo: Yolo, path: str, root: str = "../", limit: int = FILE_LINE_LIMIT) -> None:
+def write_yolo(yolo: Yolo, path: str, root: str = "../") -> None:
     """``<path>/<dataset_id>/{classes.txt,data.yaml,labels/*.txt}``.
 
-    Each task streams its files line by line. A label file over ``limit``
-    lines becomes ``name.txt.00000``, ``.00001`` … so no task gets all of it.
+    Each task streams its files line by line from sorted rows, so a file of any length takes no more memory.
     """
     files = yolo_files(yolo, root)
-    sizes = files.groupBy("dataset_id", "file").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     keys = ["dataset_id", "file"]
-    if not sizes.isEmpty():
-        large = number_rows(files.join(sizes.select(*keys), keys, "left_semi"), keys, ["place"], "_row")
-        piece = F.floor((F.col("_row") - 1) / F.lit(limit))
-        large = large.withColumn("file", F.concat("file", F.lit("."), F.format_string("%05d", piece)))
-        files = files.join(sizes.select(*keys), keys, "left_anti").unionByName(large.drop("_row"))
 
     def write_partition(rows):
         import uuid

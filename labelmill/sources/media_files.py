@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Accepted extensions with MIME types, and upload limits.
+# Accepted extensions with MIME types.
 IMAGE_TYPES = {
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif",
     "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff",
@@ -28,16 +28,16 @@ VIDEO_TYPES = {
     "mkv": "video/x-matroska", "avi": "video/x-msvideo",
 }
 TIMED_VIDEO = ("mp4", "m4v", "mov")
-MAX_BYTES = 100 * 1024 * 1024
-MAX_PIXELS = 50_000_000
 
 _PROBED = StructType([StructField(n, LongType()) for n in ("width", "height", "duration_ms")])
 
 
 @dataclass(frozen=True)
 class Limits:
-    max_bytes: int = MAX_BYTES
-    max_pixels: int = MAX_PIXELS
+    """Files and images beyond a limit are refused with a reason; None is no limit."""
+
+    max_bytes: int | None = None
+    max_pixels: int | None = None
 
 
 def _hex(content: Column, offset: int, count: int) -> Column:
@@ -192,9 +192,10 @@ def _extension() -> Column:
 def _problem(limits: Limits) -> Column:
     allowed = [*IMAGE_TYPES, *VIDEO_TYPES]
     listed = f"Allowed images: {', '.join(IMAGE_TYPES)}; allowed videos: {', '.join(VIDEO_TYPES)}"
-    megabytes = round(limits.max_bytes / (1024 * 1024))
+    most = F.col("length") if limits.max_bytes is None else F.lit(limits.max_bytes)
+    megabytes = round((limits.max_bytes or 0) / (1024 * 1024))
     return (
-        F.when(F.col("length") > limits.max_bytes, F.lit(f"File exceeds the {megabytes} MB limit"))
+        F.when(F.col("length") > most, F.lit(f"File exceeds the {megabytes} MB limit"))
         .when(F.col("extension") == "", F.concat(F.lit('"'), F.col("file_name"), F.lit('" has no file extension')))
         .when(
             ~F.col("extension").isin(allowed),
@@ -225,7 +226,8 @@ def media_catalog(
     listed = files.select("path", "length", _name().alias("file_name"), _extension().alias("extension"))
     early = listed.withColumn("reason", _problem(limits)).where("reason is not null")
 
-    read = files.where(F.col("length") <= limits.max_bytes).select(
+    fitting = files if limits.max_bytes is None else files.where(F.col("length") <= limits.max_bytes)
+    read = fitting.select(
         "path", "length", "content", _name().alias("file_name"), _extension().alias("extension")
     ).where(F.col("extension").isin([*IMAGE_TYPES, *VIDEO_TYPES]))
     image = F.col("extension").isin(list(IMAGE_TYPES))
@@ -258,10 +260,11 @@ def media_catalog(
     probed = probed.withColumns(
         {"width": F.when(real, F.col("width")), "height": F.when(real, F.col("height"))}
     )
-    too_many = F.coalesce(F.col("width") * F.col("height") > limits.max_pixels, F.lit(False))
+    pixels = F.col("width") * F.col("height")
+    too_many = F.lit(False) if limits.max_pixels is None else F.coalesce(pixels > limits.max_pixels, F.lit(False))
     assets = probed.where(~too_many).select(
         F.substring(F.sha2(F.concat_ws("\u0001", F.lit(dataset_id), F.col("path")), 256), 1, 24).alias("asset_id"),
-        F.lit(dataset_id).alias("dataset_id"), "kind", F.substring("file_name", 1, 255).alias("file_name"),
+        F.lit(dataset_id).alias("dataset_id"), "kind", "file_name",
         "extension", "mime_type", "size_bytes", "checksum", "width", "height", "duration_ms",
         F.col("path").alias("storage_path"), F.lit("pending").alias("status"),
         F.lit(0).cast("bigint").alias("annotation_count"), nobody.alias("assigned_to"),

@@ -188,16 +188,15 @@ def test_coco_document(spark, vision, tmp_path):
     ]
 
 
-@pytest.mark.parametrize("limit", [1, 10**6])
-def test_yolo_files(vision, tmp_path, limit):
+def test_yolo_files(vision, tmp_path):
     yolo = exports.to_yolo(*vision, include_unannotated=True)
     assert yolo.image_counts.first().image_count == 3
     assert sorted(r.asset_id for r in yolo.skipped.collect()) == ["c", "e", "n"]
-    vision_files.write_yolo(yolo, str(tmp_path), limit=limit)
+    vision_files.write_yolo(yolo, str(tmp_path))
 
     def read(name):
         parts = sorted(glob.glob(f"{tmp_path}/C/{name}*"))
-        assert len(parts) == 1 or limit == 1
+        assert len(parts) == 1
         return "".join(open(p).read() for p in parts)
 
     assert read("classes.txt") == "car\nperson\n"
@@ -207,6 +206,17 @@ def test_yolo_files(vision, tmp_path, limit):
     assert not [p for p in glob.glob(f"{tmp_path}/C/**/.*", recursive=True) if os.path.isfile(p)]
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    from labelmill.sources.comment_csv import read_comment_csv
+
+    (tmp_path / "a.csv").write_text("id,Comment Text,type\n1,one,x\n2,two,y\n")
+    (tmp_path / "b.csv").write_text("Sentiment,TEXT,Id\npos,three,3\n")
+    (tmp_path / "c.csv").write_text("id,Comment Text,type\n4,four,z\n")
+    rows = read_comment_csv(spark, str(tmp_path)).collect()
+    got = sorted((r.id, r.comment_text, r.sentiment, r.type, r.row_no) for r in rows)
+    assert got == [("1", "one", None, "x", 0), ("2", "two", None, "y", 1), ("3", "three", "pos", None, 0), ("4", "four", None, "z", 0)]
+
+
 def test_box_csv(vision, tmp_path):
     text_files.write_boxes_csv(exports.to_boxes_table(*vision), str(tmp_path / "b"))
     assert joined(str(tmp_path / "b/dataset_id=C")).splitlines() == [

@@ -35,7 +35,7 @@ def test_trim_strips_unicode_space_and_keeps_inner(spark):
 
 def test_near_copy_key(spark):
     row = one(
-        spark, text.near_dup_key(F.lit("  " + "Ab" * 50)).alias("a"), text.near_dup_key(F.lit(" \n ")).alias("b"),
+        spark, text.near_dup_key(F.lit("  " + "Ab" * 50), 80).alias("a"), text.near_dup_key(F.lit(" \n ")).alias("b"),
         text.near_dup_key(F.lit(None).cast("string")).alias("c"),
     )
     assert row.a == "ab" * 40 and row.b is None and row.c is None
@@ -49,7 +49,7 @@ def test_slugs(spark):
         text.clip_preview(F.lit("x" * 201)).alias("f"),
     )
     assert (row.a, row.c, row.d, row.e) == ("very_good", "cafe_au_lait", "", "Bank_reviews_2026_-b")
-    assert len(row.b) == 60 and row.f == "x" * 200 + "…"
+    assert len(row.b) == 70 and row.f == "x" * 200 + "…"
 
 
 def test_label_colors(spark):

@@ -81,6 +81,32 @@ def test_overlap_of_very_many_copies_is_one_row(spark):
     assert [(r.first_id, r.second_id, r.pairs) for r in row] == [("00000", "00000", 2000 * 1999 // 2)]
 
 
+def test_crowded_frames_equal_ordinary_ones(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        x, y = rng.random() * 0.9, rng.random() * 0.9
+        rows.append(box_row(f"{i:04}", rng.choice("ab"), (r6(x), r6(y), r6(rng.random() * (1 - x)), r6(rng.random() * (1 - y)))))
+    boxes = boxes_df(spark, rows)
+    for least in (0.002, 0.3):
+        want = sorted(map(tuple, media.overlap_pairs(boxes, least).collect()))
+        assert sorted(map(tuple, media.overlap_pairs(boxes, least, plain_boxes=10).collect())) == want and want
+
+
+def test_checksum_copies_leave_out_unknown_checksums(spark):
+    rows = [("a", "D", None, T0), ("b", "D", None, T0), ("c", "D", "x", T0), ("d", "D", "x", T0)]
+    assets = spark.createDataFrame(rows, "asset_id string, dataset_id string, checksum string, created_at timestamp")
+    assert [r.asset_id for r in media.checksum_duplicates(assets).collect()] == ["d"]
+
+
+def test_recent_work_honours_n(spark):
+    rows = [(f"{i:03}", "u", T0) for i in range(250)]
+    work = spark.createDataFrame(rows, "annotation_id string, created_by string, created_at timestamp")
+    assert media.recent_work_by_user(work, 200).count() == 200
+    with pytest.raises(ValueError):
+        media.recent_work_by_user(work, 0)
+
+
 SCENE_LABELS = [("car", "Car", "#ff0000"), ("person", "Person", "#00ff00")]
 
 
@@ -128,9 +154,12 @@ def test_label_list_problems(spark):
     rows = [("ok", 0, "Café", None, None), ("ok", 1, "Big Dog", "dog", "#1"), ("dup", 0, "A b", None, None), ("dup", 1, "a-B", None, None),
             ("empty", 0, "  ", None, None), ("long", 0, "x" * 65, None, None), ("odd", 0, "日本", None, None)]
     rows += [("many", i, f"l{i}", None, None) for i in range(201)]
-    got = {r.label_set_id: (r.labels, r.error) for r in vocabulary.normalize_classes(spark.createDataFrame(rows, schema)).collect()}
+    items = spark.createDataFrame(rows, schema)
+    got = {r.label_set_id: (r.labels, r.error) for r in vocabulary.normalize_classes(items, max_classes=200, max_chars=64).collect()}
     assert [tuple(v) for v in got["ok"][0]] == [("cafe", "Café", "hsl(0, 65%, 55%)"), ("dog", "Big Dog", "#1")]
     assert got["dup"][1].startswith('Duplicate class name "a_b"') and got["empty"][1] == "Label 1 is empty"
+    free = {r.label_set_id: r for r in vocabulary.normalize_classes(items).collect()}
+    assert len(free["many"].labels) == 201 and free["long"].labels[0].value == "x" * 65
     assert "exceeds 64" in got["long"][1] and "no usable characters" in got["odd"][1] and "at most 200" in got["many"][1]
 
 
@@ -139,7 +168,9 @@ def test_term_list_problems(spark):
     rows = [("ok", "sentiment", 0, " Good ", None, 5.0), ("ok", "sentiment", 1, "Bad", "very bad", 1.0), ("ok", "type", 0, "None", "unclassified", None),
             ("no", "type", 0, "", None, None), ("no", "sentiment", 0, "a", "!!", None), ("dup", "type", 0, "a", None, None), ("dup", "type", 1, "A", None, None)]
     rows += [("many", "type", i, f"t{i}", None, None) for i in range(51)]
-    got = {(r.taxonomy_id, r.axis): (r.terms, r.error) for r in vocabulary.normalize_terms(spark.createDataFrame(rows, schema)).collect()}
+    items = spark.createDataFrame(rows, schema)
+    got = {(r.taxonomy_id, r.axis): (r.terms, r.error) for r in vocabulary.normalize_terms(items, max_terms=50).collect()}
+    assert len([r for r in vocabulary.normalize_terms(items).collect() if r.taxonomy_id == "many"][0].terms) == 52
     assert [t.value for t in got["ok", "sentiment"][0]] == ["very_bad", "good", "unannotated"]
     assert [t.value for t in got["ok", "type"][0]] == ["unclassified"]
     assert got["no", "type"][1] == "type[0].label is required" and "could not be derived" in got["no", "sentiment"][1]
