@@ -1716,7 +1716,40 @@ def _(t):
     return back.groupBy("dataset_id").agg(F.count("*").alias("comments"), F.sum(F.length("text")).alias("chars"))
 
 
-@check("coco_lines")
+def _optional(name: str, value: str) -> str:
+    return f"""CASE WHEN {value} IS NULL THEN '' ELSE ',"{name}":' || {value} END"""
+
+
+COCO_PARTS = {
+    "imgs": f"""SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at, asset_id) AS seq,
+        '{{"id":"' || asset_id || '","file_name":"' || {NAME} || '","width":' || width || ',"height":' || height ||
+        {_optional('frame_index', "CASE WHEN kind = 'video' THEN first_frame END")} || '}}' AS body FROM counted WHERE boxes > 0 AND width > 0""",
+    "anns": f"""SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY asset_at, asset_id, created_at, annotation_id) AS seq,
+        asset_id, class_id, px, py, pw, ph, {half_up('pw * ph', 2)} AS area, frame_index, timestamp_ms FROM pixels""",
+    "skips": """SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY asset_id, reason) AS seq,
+        '{"asset_id":"' || asset_id || '","reason":"' || replace(reason, '"', '\\"') || '"}' AS body FROM (
+        SELECT dataset_id, asset_id, 'no bounding boxes' AS reason FROM counted WHERE boxes = 0
+        UNION ALL SELECT dataset_id, asset_id, 'unknown image dimensions' FROM counted WHERE boxes > 0 AND width IS NULL
+        UNION ALL SELECT dataset_id, asset_id, 'unknown label "' || label || '"' FROM boxed WHERE class_id IS NULL AND width > 0)""",
+    "elements": f"""SELECT dataset_id, 1 AS section, seq, body, 1 AS head FROM imgs
+        UNION ALL SELECT dataset_id, 3, seq, '{{"id":' || seq || ',"image_id":"' || asset_id || '","category_id":' || class_id ||
+          ',"bbox":[' || px || ',' || py || ',' || pw || ',' || ph || '],"area":' || area || ',"iscrowd":0' ||
+          {_optional('frame_index', 'frame_index')} || {_optional('timestamp_ms', 'timestamp_ms')} || '}}', 1 FROM anns
+        UNION ALL SELECT dataset_id, 5, class_id, '{{"id":' || class_id || ',"name":"' || value || '","supercategory":"object"}}', 0 FROM classes
+        UNION ALL SELECT dataset_id, 7, seq, body, 1 FROM skips""",
+    "frames": """SELECT section, text FROM (VALUES (2, '],"annotations":['), (4, '],"categories":['), (6, '],"skipped":['), (8, ']}')) f(section, text)""",
+    "sets": "SELECT DISTINCT dataset_id FROM assets",
+}
+
+
+@check(
+    "coco_lines",
+    with_tables("counted boxed pixels classes assets", """SELECT dataset_id, section, CAST(seq AS BIGINT) AS seq,
+        CASE WHEN seq = head THEN '' ELSE ',' END || body AS value FROM elements
+        UNION ALL SELECT dataset_id, section, 0, text FROM sets CROSS JOIN frames
+        UNION ALL SELECT dataset_id, 0, 0, '{"info":{"description":"Media ' || dataset_id ||
+          '","version":"1.0","date_created":""},"licenses":[],"images":[' FROM sets""", **COCO_PARTS),
+)
 def _(t):
     return vision_files.coco_lines(exports.to_coco(_fresh(t), t.annotations, t.classes), t.media_datasets)
 
