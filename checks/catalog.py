@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql import NEAR_CHARS, NEAR_KEY, NEAR_TEXT, bucket, guarded, half_up, percent, plain, summary, with_tables
-from checks.tables import Tables
+from checks.tables import Tables, line_key
 from labelmill.functions import geometry, labels, text
 from labelmill.functions.numbers import half_up as spark_half_up
 from labelmill.functions.numbers import plain_number
@@ -1330,10 +1330,9 @@ def _edited(t):
     ).select(*table_type("media_annotations").names)
     base = staged(base, "annotations")
     line = t.raw("lineitem")
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
     none = F.lit(None)
     common = {
-        "annotation_id": key, "asset_id": none.cast("string"), "kind": none.cast("string"), "pixel": F.lit(False),
+        "annotation_id": line_key(), "asset_id": none.cast("string"), "kind": none.cast("string"), "pixel": F.lit(False),
         "frame_index": none.cast("double"), "timestamp_ms": none.cast("double"),
         "user_id": F.col("l_suppkey").cast("string"), "at": F.col("l_shipdate").cast("timestamp"),
     }
@@ -1355,13 +1354,42 @@ def _edited(t):
     )
 
 
-@check("box_edit_versions")
+_NEW_X = "least(greatest(l_tax * 10, 0), 1)"
+EDITS = {
+    "edits": f"""SELECT concat_ws('-', l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, CAST(floor(l.l_extendedprice * 100) AS BIGINT)) AS id, l.l_orderkey * 2 AS seq,
+        CAST(l.l_suppkey AS VARCHAR) AS changed_by, l_quantity AS q, l_linestatus AS note, l_returnflag AS flag, a.annotation_id IS NOT NULL AS known,
+        coalesce(a.dataset_id = '4-NOT SPECIFIED', false) AS unbound, CASE WHEN a.kind = 'bbox' THEN concat_ws(',',
+          CASE WHEN {half_up(_NEW_X, 6)} <> a.x THEN 'x' END,
+          CASE WHEN {half_up(f'least(l_quantity / 40, 1 - {_NEW_X})', 6)} <> a.w THEN 'boxWidth' END) ELSE '' END AS moved
+        FROM lineitem l LEFT JOIN ann a ON a.annotation_id = concat_ws('-', l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, CAST(floor(l.l_extendedprice * 100) AS BIGINT))""",
+    "judged": "SELECT *, coalesce(known AND NOT unbound AND flag <> 'N', false) AS took FROM edits",
+}
+
+
+@check(
+    "box_edit_versions",
+    with_tables("ann", """SELECT id AS annotation_id, CAST(2 AS BIGINT) AS revision, 'update' AS change_type, moved AS changed, changed_by
+        FROM judged WHERE took AND moved <> ''
+        UNION ALL SELECT id, 2 + CAST(took AS BIGINT), 'update', 'note', changed_by FROM judged
+          WHERE known AND NOT unbound AND q <= 40 AND note = 'F'
+        UNION ALL SELECT id, 2 + CAST(took AS BIGINT), 'delete', '', changed_by FROM judged WHERE known AND q > 45""", **EDITS),
+)
 def _(t):
     made = _edited(t).versions
     return made.select("annotation_id", "revision", "change_type", F.array_join("changed_fields", ",").alias("changed"), "changed_by")
 
 
-@check("box_edit_rejects")
+@check(
+    "box_edit_rejects",
+    with_tables("ann", """SELECT id AS annotation_id, seq, CASE WHEN NOT known THEN 'Annotation not found'
+          WHEN unbound THEN 'This dataset has no label set. Assign one before annotating.'
+          ELSE '"flag N" is not a label in this dataset''s label set' END AS reason FROM judged WHERE NOT took
+        UNION ALL SELECT id, seq + 1, CASE WHEN NOT known THEN 'Annotation not found'
+          ELSE 'This dataset has no label set. Assign one before annotating.' END FROM judged WHERE q <= 40 AND (NOT known OR unbound)
+        UNION ALL SELECT id, seq + 1, 'Annotation not found' FROM judged WHERE q > 45 AND NOT known
+        UNION ALL SELECT id, seq + 1, CASE WHEN took AND moved <> '' THEN 'This annotation is not deleted; edit it instead'
+          ELSE 'No history for this annotation' END FROM judged WHERE q > 40 AND q <= 45""", **EDITS),
+)
 def _(t):
     return _edited(t).rejects
 

@@ -55,7 +55,8 @@ CTES = {
         CASE WHEN o_orderstatus <> 'P' THEN 240 + o_custkey % 900 END AS height,
         CASE WHEN o_custkey % 3 = 0 THEN CAST(o_custkey % 5 AS VARCHAR) END AS assigned_to,
         o_orderdate AS created_at FROM orders""",
-    "raw_boxes": """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS annotation_id,
+    "raw_boxes": """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
+        CAST(floor(l_extendedprice * 100) AS BIGINT)) AS annotation_id,
         CAST(l_orderkey AS VARCHAR) AS asset_id,
         CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN 'classification' ELSE 'bbox' END AS kind, l_returnflag AS label,
         l_discount * 12 - CAST(0.1 AS DOUBLE) AS x, l_tax * 5 AS y, l_quantity / 50 AS w, l_linenumber / 7 AS h,

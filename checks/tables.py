@@ -9,6 +9,12 @@ from labelmill.functions import geometry
 from labelmill.functions.labels import derive_status
 
 
+def line_key():
+    """Lines of one order, part, supplier and number differ in price."""
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    return F.concat_ws("-", *parts, F.floor(F.col("l_extendedprice") * 100).cast("string"))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -192,7 +198,7 @@ class Tables:
         video = F.col("l_orderkey") % 10 == 0
         line = self.raw("lineitem")
         return line.select(
-            F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]).alias("annotation_id"),
+            line_key().alias("annotation_id"),
             F.col("l_orderkey").cast("string").alias("asset_id"),
             F.when(F.col("l_tax") == 0.08, "classification").otherwise("bbox").alias("kind"),
             F.col("l_returnflag").alias("label"),
