@@ -365,3 +365,28 @@ def test_edit_log_equals_editing_in_turn(spark, seed, limit):
         for k, v in live.items()
     }
     assert len(versions) > 20 and len(rejects) > 40
+
+
+def test_edits_need_a_label_set_and_keep_whole_notes(spark):
+    assets = [
+        (k, k.upper(), "image", k, "x", None, 1, k, 800, 600, None, "p", "pending", 0, None, None, None, "upload", "u", "u", T0, T0)
+        for k in ("c", "d")
+    ]
+    rows = [(f"{k}1", k, k.upper(), "bbox", "car", 0.1, 0.2, 0.3, 0.4, None, None, 800, 600, None, 1, "u", "u", T0, T0) for k in ("c", "d")]
+    none = (None,) * 4
+    log = [
+        (0, "create", "c2", "c", "bbox", "car", 0.1, 0.1, 0.2, 0.2, False, None, None, None, False, "u1", T0),
+        (1, "create", "d2", "d", "bbox", "car", 0.1, 0.1, 0.2, 0.2, False, None, None, None, False, "u1", T0),
+        (2, "update", "c1", None, None, None, *none, False, None, None, "n" * 3000, True, "u1", T0),
+        (3, "update", "d1", None, None, None, *none, False, None, None, "n", True, "u1", T0),
+        (4, "delete", "d1", None, None, None, *none, False, None, None, None, False, "u1", T0),
+    ]
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    data = spark.createDataFrame([("C", "L"), ("D", None)], "dataset_id string, label_set_id string")
+    out = apply_annotation_edits(
+        boxes_df(spark, rows), empty(spark, "media_annotation_versions"), spark.createDataFrame(log, LOG),
+        spark.createDataFrame(assets, table_type("media_assets")), vocabulary.class_list(data, sets),
+    )
+    refusal = "This dataset has no label set. Assign one before annotating."
+    assert sorted(map(tuple, out.rejects.collect())) == [("d1", 3, refusal), ("d2", 1, refusal)]
+    assert {r.annotation_id: r.note and len(r.note) for r in out.annotations.collect()} == {"c1": 3000, "c2": None}
