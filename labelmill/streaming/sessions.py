@@ -43,7 +43,7 @@ def credit(times: np.ndarray, states: np.ndarray, cap: int, last_ms, last_state)
 def sessionize(heartbeats: DataFrame, cadence: Cadence = Cadence(), watermark: str = "10 minutes") -> DataFrame:
     """One updated row per session and micro-batch; state ends with the retention.
 
-    A session's beats of one micro-batch are held as two arrays (time, state),
+    A session's beats of one micro-batch (five columns) are held in one frame,
     so the trigger size of the source bounds memory. Late beats count and
     credit nothing.
     """
