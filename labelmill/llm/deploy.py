@@ -1,4 +1,4 @@
-"""Sending this package to the executors, whose Python need not have it installed."""
+"""Preparing a session for the corpus operators: their code on the executors, and bounded Arrow batches."""
 
 import os
 import tempfile
@@ -11,12 +11,19 @@ import labelmill
 
 _SENT: set[str] = set()
 
+# Spark's default lets a batch of texts grow to 64 MB, several copies of which live in a worker and its JVM.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the session's Python files, once per application.
+    """Add the package's sources to the session's Python files, once per application, and bound its
+    Arrow batches where the session leaves them at the default.
 
     Spark itself copies the archive to every executor.
     """
+    key, default, bound = BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, bound)
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return
