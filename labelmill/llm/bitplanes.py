@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.hashing import U, segment_hashes, text_buffers
+from labelmill.llm.memory import tidy
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import shared_dir, staged
 
@@ -286,6 +287,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _segments(form: Format):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(form.tokenizer)
         width = 1 + (max(encode.vocabulary - 1, form.end_id) >= 1 << 8) + (encode.vocabulary > 1 << 16) + (encode.vocabulary > 1 << 24)
@@ -330,6 +332,7 @@ def write_ids(docs: DataFrame, path: str, form: Format) -> None:
     )
 
 
+@tidy
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, content in zip(batch.column("part").to_pylist(), batch.column("content")):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm.memory import tidy
 from labelmill.llm.text import extended
 
 NOT_WORD = re.compile(r"\W+")
@@ -181,6 +182,7 @@ def matches(docs: DataFrame, items: DataFrame, budget: Budget = Budget()) -> Dat
     for block in blocks_of(items, budget):
         shared = docs.sparkSession.sparkContext.broadcast((block, budget))
 
+        @tidy
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = _finder(shared)
             for batch in batches:
@@ -202,6 +204,7 @@ def clean(docs: DataFrame, items: DataFrame, budget: Budget = Budget()) -> DataF
     for block in blocks_of(items, budget):
         shared = docs.sparkSession.sparkContext.broadcast((block, budget))
 
+        @tidy
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = _finder(shared)
             for batch in batches:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm.memory import tidy
 from labelmill.llm.text import extended
 from labelmill.staging import staged
 
@@ -158,6 +159,7 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n), flushed whenever the counter is full."""
     counts: Counter = Counter()
@@ -182,6 +184,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _expect(model, languages: dict[str, int]):
+    @tidy
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, table = model.value
         pieces, sums = pieces_of(path), {}
@@ -286,6 +289,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", slice_texts: i
     """``docs`` with ``lang_pred`` and its ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.hashing import IS_SPACE, U, mixed, text_buffers, word_hashes
+from labelmill.llm.memory import give_back, tidy
 from labelmill.llm.text import extended
 from labelmill.staging import staged
 
@@ -128,6 +129,7 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
 def _examples(how: Training):
     schema = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("label", pa.int32()), ("slots", pa.binary()), ("shares", pa.binary())])
 
+    @tidy
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, labels = batch.column("key").to_pylist(), batch.column("label").to_pylist()
@@ -192,6 +194,8 @@ def _round(model, rate: float, balance: np.ndarray, passes: int):
         ]
         for _ in range(passes):
             sgd_epoch(rows, vectors, output, rate, balance)
+        del frame
+        give_back()
         return pd.DataFrame({"vectors": [vectors.tobytes()], "output": [output.tobytes()], "n": [len(rows)]})
 
     return epoch
@@ -235,6 +239,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(

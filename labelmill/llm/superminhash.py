@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.components import connected_components
 from labelmill.llm.hashing import U, mixed, shingle_hashes, text_buffers, word_hashes
+from labelmill.llm.memory import tidy
 from labelmill.llm.skew import spread_join
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
@@ -144,6 +145,7 @@ def _names(elements: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
 def _sketch(near: Near):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -163,6 +165,7 @@ def _sketch(near: Near):
 
 
 def _sets(width: int):
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nodes = batch.column("set_id"), batch.column("node")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.llm.memory import tidy
 from labelmill.llm.skew import spread_join
 from labelmill.llm.skew import spread_join
 from labelmill.staging import shared_dir, staged
@@ -103,6 +104,7 @@ def _name(value) -> str:
 def _members(date: str):
     """A task's records as gzip members, the first one telling what the file is."""
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = _record(
             "warcinfo",
@@ -202,6 +204,7 @@ def _id(name: str | None) -> str | None:
     return None if value == "null" else value
 
 
+@tidy
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
