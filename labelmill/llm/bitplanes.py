@@ -41,9 +41,9 @@ from labelmill.staging import shared_dir, staged
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-CACHED_PIECES = 350_000
-SLICE_BYTES = 2_000_000
-BATCH_TEXTS = 512
+CACHED_PIECES = 250_000
+SLICE_BYTES = 1_000_000
+BATCH_TEXTS = 256
 # How byte-level vocabularies write a space.
 SPACE = "\u0120"
 # Tells a piece without a space before it from the same one with it.
@@ -62,7 +62,7 @@ class Format:
     end_id: int = 0
     planes: str = "byte"
     chunk_ids: int = 65_536
-    segment_ids: int = 2_000_000
+    segment_ids: int = 1_000_000
     level: int = 3
 
 
