@@ -20,6 +20,13 @@ stay equal across documents, different ones stay different, and a result validat
 A kind is part of the key, separators are not: one card written with or without spaces has one
 pseudonym. Rows are independent; nothing is shuffled.
 
+A value may stand beside other numbers or words, so what is found is cut at its group borders, and the rest
+is looked at again. An IBAN ends at its country's length, or else at the last border where it validates. A phone
+number with a country code ends at the last border within the country's number lengths, and before a group that
+a space parts from a block of six or more digits; a short number behind a shorter phone number of a country with
+several lengths cannot be told from it. Cards are looked for in whole runs of digit groups: every start and length on
+group borders that validates is a candidate, and of those that overlap the longest wins.
+
 Defined results: a null text stays null with 0 replacements; an empty text stays empty; other
 columns are kept unless ``pseudonymise`` is told otherwise; a table's own ``n_replaced`` is replaced.
 """
@@ -33,20 +40,45 @@ CYCLE_START = "1800-01-01"
 CYCLE = (189, 773)
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:(?:{IBAN_KNOWN})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 ISO_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9A-Za-z]|[-/.,][0-9])"
 DOT_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z]|[-/.,][0-9])"
 SLASH_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z]|[-/.,][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+PHONE_HOME = r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9A-Za-z])|" + PHONE_HOME
+# Fewest and most digits of a phone number after its country code; others have 4 to 15 with the code.
+PHONE_LENGTHS = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9),
+    "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8),
+    "48": (9, 9), "49": (6, 11), "52": (10, 10), "55": (10, 11), "60": (8, 10), "61": (9, 9), "64": (8, 10), "65": (8, 8), "66": (8, 9),
+    "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "353": (7, 9),
+    "380": (9, 9), "420": (9, 9), "421": (9, 9), "852": (8, 8), "966": (9, 9), "971": (8, 9), "972": (8, 9),
+}
+# All digit groups in a row, with 13 digits at least. Possessive, so that a run of any length is matched without recursion.
+CARDS = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
+CARD_DIGITS = (13, 19)
 # Earlier kinds win where two match at one place. The date's group moves with its place in the whole.
 PARTS = {
     "date_ymd": ISO_DATE, "email": EMAIL, "iban": IBAN, "ipv4": IPV4, "date_dmy": DOT_DATE, "date_mdy": SLASH_DATE,
-    "ssn": SSN, "phone": PHONE, "card": CARD,
+    "ssn": SSN, "phone": PHONE,
 }
-ANY = "|".join(f"(?:{p})" for p in PARTS.values())
+# Kinds that never reach over a neighbour; they are looked for again in what others leave.
+STRICT = PARTS | {"phone": PHONE_HOME}
+del STRICT["iban"]
+# Stand for values replaced in the first, second and third look; no text character has a meaning of its own there.
+MARKS = ("\ufdd0", "\ufdd1", "\ufdd2")
+ANY = "|".join(f"(?:{p})" for p in [*PARTS.values(), f"[{''.join(MARKS)}]"])
+ANY_STRICT = "|".join(f"(?:{p})" for p in STRICT.values())
 
 
 def whole(match: Column, kind: str) -> Column:
@@ -146,8 +178,75 @@ def _card(match: Column, digits: Column, key: str) -> Column:
         F.concat(F.slice(digits, 1, 1), feistel(middle, F.transform(middle, lambda _: F.lit(10)), key, "card")),
         lambda moved: F.concat(moved, F.array(((10 - luhn_sum(moved, 1) % 10) % 10).cast("int"))).cast("array<string>"),
     )
-    valid = (luhn_sum(digits, 2) % 10 == 0) & (F.size(F.array_distinct(digits)) > 1)
-    return F.when(valid, poured(match, out, "[0-9]"))
+    return F.when(valid_card(digits), poured(match, out, "[0-9]"))
+
+
+def valid_card(digits: Column) -> Column:
+    return (luhn_sum(digits, 2) % 10 == 0) & (F.size(F.array_distinct(digits)) > 1)
+
+
+def cards(run: Column, key: str) -> Column:
+    """The parts of a run of digit groups, with its cards replaced."""
+    return let(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), lambda groups: _cards(groups, key))
+
+
+def _cards(groups: Column, key: str) -> Column:
+    least, most = CARD_DIGITS
+    n = F.size(groups)
+    text = lambda at, k: F.array_join(F.slice(groups, at + 1, k), "")
+    # Of each start: how many groups can be a card, and how many digits they have.
+    sized = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda at: F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(most), n - at)),
+                lambda k: F.struct(k.alias("k"), F.length(F.regexp_replace(text(at, k), "[^0-9]", "")).alias("size")),
+            ),
+            lambda c: c["size"].between(least, most) & let(digits_of(text(at, c["k"])), valid_card),
+        ),
+    )
+
+    def choose(state: Column, here: Column) -> Column:
+        # A digit more outweighs shorter candidates; ties go to the one that starts first.
+        taken = F.transform(
+            here, lambda c: F.struct(
+                (F.get(state["sums"], c["k"] - 1) + F.call_function("shiftleft", F.lit(1).cast("bigint"), (c["size"] - least) * 3)).alias("sum"),
+                c["k"].alias("k"),
+            )
+        )
+        skipped = F.struct(F.get(state["sums"], F.lit(0)).alias("sum"), F.lit(0).alias("k"))
+        return let(
+            F.array_max(F.concat(F.array(skipped), taken)),
+            lambda best: F.struct(
+                F.slice(F.concat(F.array(best["sum"]), state["sums"]), 1, most).alias("sums"),
+                F.concat(F.array(best["k"]), state["ks"]).alias("ks"),
+            ),
+        )
+
+    # From the last start to the first: the best sums of the starts that follow, and the groups to take at each.
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), most).alias("sums"), F.array().cast("array<int>").alias("ks"))
+    chosen = F.aggregate(F.reverse(sized), start, choose, lambda s: s["ks"])
+
+    def part(ks: Column) -> Column:
+        taken = F.aggregate(
+            F.sequence(F.lit(0), n - 1),
+            F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,k:int>>").alias("parts")),
+            lambda s, at: F.when(at < s["next"], s).otherwise(
+                F.struct(
+                    (at + F.greatest(F.get(ks, at), F.lit(1))).alias("next"),
+                    F.concat(s["parts"], F.array(F.struct(at.alias("at"), F.get(ks, at).alias("k")))).alias("parts"),
+                )
+            ),
+            lambda s: s["parts"],
+        )
+        return F.transform(
+            taken,
+            lambda p: F.when(p["k"] == 0, plain(F.get(groups, p["at"]))).otherwise(
+                let(text(p["at"], p["k"]), lambda t: F.struct(t.alias("t"), card(t, key).alias("p")))
+            ),
+        )
+
+    return let(chosen, part)
 
 
 def mod97(text: Column) -> Column:
@@ -189,7 +288,58 @@ def _iban(match: Column, bare: Column, key: str) -> Column:
         F.array_join(permuted_letters(chars(account), key, "iban"), ""),
         lambda moved: chars(F.concat(country, padded(98 - mod97(F.concat(moved, country, F.lit("00"))), 2), moved)),
     )
-    return F.when((n >= 15) & (n <= 34) & (mod97(F.concat(account, F.substring(bare, 1, 4))) == 1), poured(match, out, "[A-Z0-9]"))
+    return F.when(valid_iban(bare), poured(match, out, "[A-Z0-9]"))
+
+
+def valid_iban(bare: Column) -> Column:
+    n = F.length(bare)
+    return (n >= 15) & (n <= 34) & (mod97(F.concat(F.substring(bare, F.lit(5), n - 4), F.substring(bare, 1, 4))) == 1)
+
+
+def iban_head(match: Column) -> Column:
+    """The longest start of ``match`` on its group borders that validates; null without one."""
+    starts = let(
+        F.split(match, " "),
+        lambda g: F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(g, F.lit(1), k), " ")),
+    )
+    return F.get(F.filter(starts, lambda s: valid_iban(F.regexp_replace(s, " ", ""))), F.lit(0))
+
+
+def phone_head(match: Column) -> Column:
+    """The start of ``match``, from + on, that its country's number lengths and its groups allow; null without one."""
+    return let(F.regexp_extract_all(match, F.lit("[ .-]?[^ .-]+"), F.lit(0)), lambda g: _phone_head(match, g))
+
+
+def _phone_head(match: Column, groups: Column) -> Column:
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    lengths = F.create_map(*[x for c, (a, b) in PHONE_LENGTHS.items() for x in (F.lit(c), ints(len(c), a, b))])
+    # No country code starts with another one.
+    known = F.coalesce(*[F.try_element_at(lengths, F.substring(digits, 1, i)) for i in (1, 2, 3)])
+    code = F.least(F.length(F.regexp_extract(match, r"^\+([0-9]{1,3})", 1)), F.lit(3))
+    size = lambda text: F.length(F.regexp_replace(text, "[^0-9]", ""))
+    text = lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")
+
+    def longest(rule: Column) -> Column:
+        # A zero that is dialled inside the country alone is not counted.
+        own = lambda k: F.length(
+            F.regexp_replace(_own(text(k), rule[0]), "^0", "")
+        )
+        ended = lambda k: (
+            F.get(groups, k).startswith(" ") & (k > 1) & (size(F.get(groups, k - 1)) >= 6) & (own(k) >= 7)
+        )
+        fits = F.filter(
+            F.sequence(F.size(groups), F.lit(1), F.lit(-1)),
+            lambda k: own(k).between(rule[1], rule[2])
+            & ~F.exists(F.sequence(F.lit(1), F.size(groups)), lambda j: (j < k) & F.coalesce(ended(j), F.lit(False))),
+        )
+        return F.transform(F.slice(fits, 1, 1), text)
+
+    return F.get(let(F.coalesce(known, ints(code, 4, 15 - code)), longest), F.lit(0))
+
+
+def _own(text: Column, code: Column) -> Column:
+    """The digits of a phone number after its country code."""
+    return F.substring(F.regexp_replace(text, "[^0-9]", ""), code + 1, F.length(text))
 
 
 def phone(match: Column, key: str) -> Column:
@@ -324,28 +474,82 @@ def email(match: Column, key: str) -> Column:
 
 KINDS = {
     "date_ymd": date_ymd, "email": email, "iban": iban, "ipv4": ipv4, "date_dmy": date_dmy, "date_mdy": date_mdy,
-    "ssn": ssn, "phone": phone, "card": card,
+    "ssn": ssn, "phone": phone,
 }
 
 
-def pseudonym(match: Column, key: str) -> Column:
+def pseudonym(match: Column, key: str, kinds) -> Column:
     """The pseudonym of one found value; null if it does not validate."""
-    return F.coalesce(*[F.when(whole(match, kind), make(match, key)) for kind, make in KINDS.items()])
+    return F.coalesce(*[F.when(whole(match, kind), KINDS[kind](match, key)) for kind in kinds])
+
+
+def plain(text: Column) -> Column:
+    """A part of a text that is not replaced."""
+    return F.struct(text.alias("t"), F.lit(None).cast("string").alias("p"))
+
+
+def headed(match: Column, key: str) -> Column:
+    """The parts of one found value and of what was found with it; marks of the text itself stay."""
+    head = F.when(whole(match, "iban"), iban_head(match)).when(match.startswith("+"), phone_head(match))
+
+    def cut(head: Column) -> Column:
+        swapped = F.when(match.isin(*MARKS), match).otherwise(pseudonym(head, key, PARTS))
+        rest = F.substring(match, F.length(head) + 1, F.length(match))
+        return F.array(F.struct(head.alias("t"), swapped.alias("p")), plain(rest))
+
+    return let(F.coalesce(head, match), cut)
+
+
+def strict(match: Column, key: str) -> Column:
+    return F.array(F.struct(match.alias("t"), pseudonym(match, key, STRICT).alias("p")))
+
+
+def looked(text: Column, pattern: str, mark: str, parts_of) -> Column:
+    """``text`` with a mark for every value replaced, and the parts replaced in order."""
+    parts = F.flatten(
+        F.zip_with(
+            F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda b, f: F.when(f.isNull(), F.array(plain(b))).otherwise(F.concat(F.array(plain(b)), parts_of(f))),
+        )
+    )
+    return let(
+        parts,
+        lambda p: F.struct(
+            F.array_join(F.transform(p, lambda s: F.when(s["p"].isNull(), s["t"]).otherwise(F.lit(mark))), "").alias("text"),
+            F.filter(p, lambda s: s["p"].isNotNull()).alias("done"),
+        ),
+    )
+
+
+def unmarked(text: Column, mark: str, done: Column) -> Column:
+    """``text`` with its marks replaced by the values they stand for."""
+    return F.array_join(F.zip_with(F.split(text, mark, -1), done, lambda b, d: F.concat(b, F.coalesce(d["p"], F.lit("")))), "")
+
+
+def swapped(text: Column, key: str) -> Column:
+    """``text`` with its values replaced, and their number."""
+    def written(a: Column, b: Column, c: Column) -> Column:
+        own = F.filter(a["done"], lambda s: ~s["t"].isin(*MARKS))
+        out = unmarked(unmarked(c["text"], MARKS[2], c["done"]), MARKS[1], b["done"])
+        return F.struct(
+            unmarked(out, MARKS[0], a["done"]).alias("text"), (F.size(own) + F.size(b["done"]) + F.size(c["done"])).alias("n")
+        )
+
+    return let(
+        looked(text, ANY, MARKS[0], lambda m: headed(m, key)),
+        lambda a: let(
+            looked(a["text"], ANY_STRICT, MARKS[1], lambda m: strict(m, key)),
+            lambda b: let(looked(b["text"], CARDS, MARKS[2], lambda m: cards(m, key)), lambda c: written(a, b, c)),
+        ),
+    )
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the values in ``text`` replaced and their number in ``n_replaced``."""
     # Most texts have no digit and no @; they are passed on after one scan.
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), 0))
-    swapped = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    between = F.split(F.col(text), ANY, -1)
-    pieces = F.zip_with(
-        between, F.col("_found"), lambda b, f: F.concat(b, F.coalesce(f["p"], f["m"], F.lit("")))
-    )
-    some = F.size("_found") > 0
+    found = F.when(F.col(text).rlike("[0-9@]"), swapped(F.col(text), key))
     names = [c for c in docs.columns if c != "n_replaced"]
-    count = F.size(F.filter("_found", lambda f: f["p"].isNotNull()))
-    return docs.withColumn("_found", swapped).select(
-        *[F.when(some, F.array_join(pieces, "")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names],
-        F.when(some, count).otherwise(F.lit(0)).alias("n_replaced"),
+    return docs.withColumn("_found", found).select(
+        *[F.coalesce("_found.text", c).alias(c) if c == text else F.col(c) for c in names],
+        F.coalesce("_found.n", F.lit(0)).alias("n_replaced"),
     )

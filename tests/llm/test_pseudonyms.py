@@ -77,3 +77,31 @@ def test_awkward_rows(spark, docs, no_docs):
 def test_only_expressions(docs):
     plan = pseudonyms.pseudonymise(docs, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_values_beside_numbers_and_words(spark):
+    card, iban, phone, day = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "+49 30 1234567", "2024-01-05"
+    (new_card, new_iban, new_phone, new_day), n = replaced(spark, [card, iban, phone, day])
+    assert n == [1, 1, 1, 1] and card != new_card and iban != new_iban and phone != new_phone and day != new_day
+    swaps = {card: new_card, iban: new_iban, phone: new_phone, day: new_day}
+    shapes = [
+        f"{card} 12/27", f"{card} 123", f"ref 12345 {card}", f"{card} {card} 7", f"1 {card} 12x", f"{card} {day}", f"7 {day} {card}",
+        f"{iban} USA", f"{iban} CODE", f"{iban} {iban}", f"{iban} {card}", f"{iban} {day}",
+        f"{phone} 12 times", f"{phone} {card}", f"{phone} {day}", f"+1 {card}", "\ufdd0 " + f"{card}\ufdd2 {day} \ufdd1",
+    ]
+    got, n = replaced(spark, shapes)
+    for shape, text, count in zip(shapes, got, n):
+        want = shape
+        for old, new in swaps.items():
+            want = want.replace(old, new)
+        assert (text, count) == (want, sum(shape.count(v) for v in swaps))
+    # A number may be longer than any card, and a long row of numbers is no card as a whole.
+    (long, row), n = replaced(spark, ["1" * 20_000, "0 " * 3000 + card + " 0" * 3000])
+    assert long == "1" * 20_000 and card not in row and len(row) == 12_019
+
+
+def test_phone_ends(spark):
+    phones = ["+33 1 23 45 67 89", "+1 389 555 0123", "+44 20 7946 0958", "+32 (0)475 12 34 56"]
+    alone, _ = replaced(spark, phones)
+    beside, n = replaced(spark, [f"{p} 12 times" for p in phones])
+    assert beside == [f"{p} 12 times" for p in alone] and n == [1] * 4 and not set(alone) & set(phones)
