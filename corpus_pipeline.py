@@ -2,7 +2,7 @@
 
 Every stage is one operator of ``labelmill.llm`` over all that the stage before kept. All but the last
 return the columns of documents. The first learns quality from the ``labels`` outside one fold
-of four and drops the documents it rejects (score below 0.7); the second keeps the smallest id of each group
+of four and drops the documents it rejects (score below 0.7); the second keeps one row, of the smallest id, of each group
 of near duplicates (five word shingles, similarity 0.8 or more); the third drops documents that hold a
 benchmark item; the fourth repeats, keeps or leaves out documents so that sources meet their target
 weights; the last writes the token ids of what is left and returns the document index of the files.
@@ -33,12 +33,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One row of each group of near duplicates: one with the smallest id, a null id if there is no other.
+
+    Ids may be repeated or null, so decisions are on rows: each has a number of its own, written with it.
+    """
     ship(spark)
-    found = superminhash.near_duplicates(docs)
-    # The ids to drop are fewer than those to keep. A null id is never among them.
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(broadcast_if_small(dropped), F.col("doc_id") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = superminhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_found"), F.col("component_id").alias("_component"))
+    found = staged(
+        found.join(rows.select("_row", "doc_id"), F.col("_found") == F.col("_row")).select("_row", "doc_id", "_component"), "groups"
+    )
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = found.groupBy("_component").agg(F.min(first)["_row"].alias("_kept")).select("_kept")
+    # The rows to drop are fewer than those to keep.
+    dropped = found.join(kept, F.col("_row") == F.col("_kept"), "left_anti").select(F.col("_row").alias("_dropped"))
+    return rows.join(broadcast_if_small(dropped), F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

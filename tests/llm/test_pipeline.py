@@ -31,3 +31,15 @@ def test_run(spark):
     rows = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["start"])
     assert rows and rows[0]["start"] == 0
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(rows, rows[1:]))
+
+
+def test_one_row_of_each_group_of_repeated_and_null_ids(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [
+        (1, words("a")), (2, words("a") + " x"), (2, words("b")), (3, words("c")), (3, words("c")),
+        (None, words("a")), (None, words("d")), (None, words("d")), (4, None), (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    want = [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (4, None), (4, None)]
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
