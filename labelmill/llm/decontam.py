@@ -10,8 +10,11 @@ Myers' bit-parallel distance, where one big integer holds a column of the distan
 The items are a stated query set against all rows. They are sent to the tasks in blocks of a checked
 size, one job per block; documents are read where they lie and nothing is shuffled.
 
+Scripts that are written without spaces have a word per character. Items too short for an edit are searched as one
+exact piece, beside other words as well.
+
 Defined results: a null or empty text holds nothing; null and empty items are in nothing; an item under
-``min_words`` words is found only where it is the whole text; repeated items or rows are found again
+``min_words`` words (a single word) is found only where it is the whole text; repeated items or rows are found again
 for each; an empty benchmark finds nothing; other columns are kept by ``clean`` and dropped by ``matches``.
 """
 
@@ -27,6 +30,11 @@ from labelmill.llm.memory import tidy
 from labelmill.llm.text import extended
 
 NOT_WORD = re.compile(r"\W+")
+# Thai, Lao, Burmese, Khmer, Japanese syllables and Chinese characters.
+UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff]"
+)
 
 
 @dataclass(frozen=True)
@@ -34,7 +42,7 @@ class Budget:
     """One edit for each full ``1 / rate`` words of an item. Items go out in blocks of ``block_bytes``."""
 
     rate: float = 0.2
-    min_words: int = 5
+    min_words: int = 2
     block_bytes: int = 16 << 20
 
     def edits(self, words: int) -> int:
@@ -42,8 +50,11 @@ class Budget:
 
 
 def folded(text: str) -> str:
-    """Lower-case words with one space before, between and after."""
-    return " " + NOT_WORD.sub(" ", text.lower()).strip() + " "
+    """Lower-case words with one space before, between and after; a character of ``UNSPACED`` is a word."""
+    text = text.lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return " " + NOT_WORD.sub(" ", text).strip() + " "
 
 
 def pieces(words: list[str], edits: int) -> list[tuple[int, list[str]]]:

@@ -60,3 +60,18 @@ def test_awkward_rows(spark, docs, no_docs):
     assert decontam.matches(no_docs, items).count() == 0
     assert decontam.matches(docs, items.where("false")).count() == 0
     assert decontam.clean(docs, items.where("false")).count() == docs.count()
+
+
+def test_short_items_and_scripts_without_spaces_beside_other_words():
+    chinese = "\u6c34\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u6444\u6c0f\u5ea6"
+    thai, kana = "\u0e01\u0e02\u0e04\u0e07\u0e08", "\u3042\u3044\u3046\u3002\u3048\u304a"
+    items = [(1, "What is 12 * 7?"), (2, "two words"), (3, chinese + "\uff1f"), (4, thai), (5, kana), (6, "yes")]
+    find = Finder(items, Budget())
+    ids = lambda text: {i for i, _, _ in find(text)}
+    assert ids("Please tell: what is 12 * 7? Yes, it is 84.") == {1}
+    assert ids("three two words here") == {2} and ids("two other words, what is 12") == set()
+    assert ids(f"\u95ee\u9898\uff1a{chinese}\uff0c\u7b54\u6848") == {3}
+    # One character in five may differ.
+    assert [(i, e) for i, e, _ in find("\u95ee" + chinese.replace("\u591a", "\u51e0") + "\u7b54")] == [(3, 1)]
+    assert ids(f"\u0e2d{thai}\u0e2d") == {4} and ids(f"\u30a2{kana}\u30a4") == {5}
+    assert ids("Yes!") == {6}
