@@ -40,6 +40,8 @@ MAX_PIECE = 16
 # Words cached by a worker, and words of one numpy pass.
 CACHED_WORDS = 400_000
 PASS_WORDS = 20_000
+# A word whose sums fall below this is summed again as logarithms, which have no smallest number.
+TINY = 1e-250
 UNKNOWN = "und"
 
 
@@ -116,27 +118,49 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def forward(found, table: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Sums:
+    """How probabilities are added and multiplied, and what 0 and 1 are."""
+
+    plus: np.ufunc
+    times: np.ufunc
+    zero: float
+    one: float
+
+
+PLAIN = Sums(np.add, np.multiply, 0.0, 1.0)
+LOGS = Sums(np.logaddexp, np.add, -np.inf, 0.0)
+
+
+def of_words(found, some: np.ndarray):
+    """``found`` for the words at the places ``some``, given in order."""
+    word, start, end, piece, lengths = found
+    place = np.full(len(lengths), -1)
+    place[some] = np.arange(len(some))
+    kept = place[word] >= 0
+    return place[word[kept]], start[kept], end[kept], piece[kept], lengths[some]
+
+
+def forward(found, table: np.ndarray, how: Sums = PLAIN) -> np.ndarray:
     """words x places x languages: the sum over segmentations of each word up to each place."""
     word, start, end, piece, lengths = found
-    sums = np.zeros((len(lengths), int(lengths.max()) + 1, table.shape[1]))
-    sums[:, 0] = 1
+    sums = np.full((len(lengths), int(lengths.max()) + 1, table.shape[1]), how.zero)
+    sums[:, 0] = how.one
     edges = np.searchsorted(end, np.arange(1, int(lengths.max()) + 2))
     for place in range(1, int(lengths.max()) + 1):
         a, b = edges[place - 1], edges[place]
         if a < b:
             at = _runs(word[a:b])
-            ways = sums[word[a:b], start[a:b]] * table[piece[a:b]]
-            sums[word[a:b][at], place] = np.add.reduceat(ways, at, axis=0)
+            ways = how.times(sums[word[a:b], start[a:b]], table[piece[a:b]])
+            sums[word[a:b][at], place] = how.plus.reduceat(ways, at, axis=0)
     return sums
 
 
-def expected(found, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in words met ``counts`` times, for a one-language table."""
+def backward(found, table: np.ndarray, how: Sums = PLAIN) -> np.ndarray:
+    """words x places: the sum over segmentations of each word from each place, for a one-language table."""
     word, start, end, piece, lengths = found
-    ahead = forward(found, table)[:, :, 0]
-    behind = np.zeros_like(ahead)
-    behind[np.arange(len(lengths)), lengths] = 1
+    behind = np.full((len(lengths), int(lengths.max()) + 1), how.zero)
+    behind[np.arange(len(lengths)), lengths] = how.one
     order = np.lexsort((word, -start))
     starts = -start[order]
     edges = np.searchsorted(starts, np.arange(-int(lengths.max()), 2))
@@ -145,10 +169,39 @@ def expected(found, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if a < b:
             o = order[a:b]
             at = _runs(word[o])
-            ways = behind[word[o], end[o]] * table[piece[o], 0]
-            behind[word[o][at], place] += np.add.reduceat(ways, at)
-    share = counts[word] / ahead[word, lengths[word]]
-    return np.bincount(piece, ahead[word, start] * table[piece, 0] * behind[word, end] * share, minlength=len(table))
+            ways = how.times(behind[word[o], end[o]], table[piece[o], 0])
+            # No piece starts at a word's end.
+            behind[word[o][at], place] = how.plus.reduceat(ways, at)
+    return behind
+
+
+def expected(found, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in words met ``counts`` times, for a one-language table."""
+    word, start, end, piece, lengths = found
+    ahead, behind = forward(found, table)[:, :, 0], backward(found, table)
+    whole = ahead[np.arange(len(lengths)), lengths]
+    tiny = whole < TINY
+    share = np.where(tiny, 0, counts / np.where(tiny, 1, whole))
+    out = np.bincount(piece, ahead[word, start] * table[piece, 0] * behind[word, end] * share[word], minlength=len(table))
+    if tiny.any():
+        word, start, end, piece, lengths = few = of_words(found, np.flatnonzero(tiny))
+        logs = np.log(table)
+        ahead, behind = forward(few, logs, LOGS)[:, :, 0], backward(few, logs, LOGS)
+        share = np.exp(ahead[word, start] + logs[piece, 0] + behind[word, end] - ahead[word, lengths[word]])
+        out += np.bincount(piece, share * counts[tiny][word], minlength=len(table))
+    return out
+
+
+def word_logs(found, table: np.ndarray) -> np.ndarray:
+    """words x languages: log probability of each word."""
+    lengths = found[4]
+    sums = forward(found, table)[np.arange(len(lengths)), lengths]
+    tiny = np.flatnonzero((sums < TINY).any(axis=1))
+    sums[tiny] = 1
+    logs = np.log(sums)
+    if len(tiny):
+        logs[tiny] = forward(of_words(found, tiny), np.log(table), LOGS)[np.arange(len(tiny)), lengths[tiny]]
+    return logs
 
 
 def words_of(text: str) -> list[bytes]:
@@ -257,9 +310,7 @@ class Scorer:
         new.sort(key=len)
         for i in range(0, len(new), PASS_WORDS):
             some = new[i : i + PASS_WORDS]
-            found = self.pieces.found(some)
-            sums = forward(found, self.model.pieces)
-            parts.append(np.log(sums[np.arange(len(some)), found[4]]))
+            parts.append(word_logs(self.pieces.found(some), self.model.pieces))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.logs = np.concatenate(parts)
 

@@ -56,3 +56,27 @@ def test_awkward_rows(docs, no_docs):
     nothing = langid.train(no_docs, HOW)
     assert {r["lang_pred"] for r in langid.identified(docs, nothing).collect()} == {"und"}
     assert langid.identified(no_docs, model).count() == 0
+
+
+def test_long_word_of_an_unlearned_script_in_a_large_training():
+    pieces = langid.pieces_of(HOW.vocabulary)
+    with open(HOW.vocabulary, "rb") as f:
+        known = {base64.b64decode(line.split()[0]): i for i, line in enumerate(f)}
+    table = np.full((pieces.n, 2), HOW.floor)
+    for lang, words in enumerate([(b" le", b" chat"), (b" the", b" cat")]):
+        table[[known[w] for w in words], lang] += 1e12
+    table /= table.sum(axis=0)
+    long = "\u10d0\u10d1\u10d2\u10d3" * 8
+    scorer = langid.Scorer(langid.Model(HOW.vocabulary, ("a", "b"), np.log([0.5, 0.5]), table))
+    names, sure = scorer([f"the cat {long} the cat", f"le chat {long}", long])
+    assert names[:2] == ["b", "a"] and np.allclose(sure, [1, 1, 0.5]) and np.isfinite(scorer.logs).all()
+    # Both ways of summing agree where plain sums suffice, and the expected pieces of the long word spell it.
+    short = pieces.found([b" the", " \u00e9l\u00e8ve".encode()])
+    plain = langid.forward(short, table)
+    with np.errstate(divide="ignore"):
+        assert np.allclose(np.log(plain), langid.forward(short, np.log(table), langid.LOGS))
+    sizes = np.zeros(pieces.n)
+    sizes[list(known.values())] = [len(p) for p in known]
+    words = langid.words_of(f"the {long}")
+    got = langid.expected(pieces.found(words), table[:, 1:], np.array([2.0] + [3.0] * (len(words) - 1)))
+    assert np.isclose(got @ sizes, 2 * 4 + 3 * sum(map(len, words[1:])))
