@@ -12,46 +12,34 @@ A chunk is a block of ``chunk_ids`` ids (the last may be shorter) seen as a matr
 bytes (or bits), transposed, each row of the transpose compressed alone: high bytes of frequent
 ids repeat and shrink, and a reader inflates single chunks through the index. Segments reach the
 shared folder through Spark's text writer, which commits whole tasks; its separator ends each
-segment and is checked on reading.
+segment and is checked on reading. A file holds at most ``file_segments`` segments.
 
 Defined results: a null text is empty and has only the end id; null ids come first; rows that
 repeat an id are ordered by text; an empty table gives a folder without segments and an empty
 result; other columns are not read.
 """
 
-import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.hashing import U, segment_hashes, text_buffers
 from labelmill.llm.memory import tidy
+from labelmill.llm.tokens import PieceEncoder, piece_encoder
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import shared_dir, staged
 
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-CACHED_PIECES = 250_000
-SLICE_BYTES = 1_000_000
-BATCH_TEXTS = 256
-# How byte-level vocabularies write a space.
-SPACE = "\u0120"
-# Tells a piece without a space before it from the same one with it.
-BARE = U(0x9D39247E33776D41)
-IS_MARK = np.zeros(256, bool)
-IS_MARK[[ord(c) for c in ".,;:!?"]] = True
-IS_LETTER = np.zeros(256, bool)
-IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+BATCH_TEXTS = 1024
+FILES_A_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +52,7 @@ class Format:
     chunk_ids: int = 65_536
     segment_ids: int = 1_000_000
     level: int = 3
+    file_segments: int = 200
 
 
 def default_format() -> Format:
@@ -89,7 +78,7 @@ def from_planes(planes: list[bytes], n: int, width: int, kind: str) -> np.ndarra
     return out.view("<u4").ravel()
 
 
-def pack_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, width: int, form: Format) -> bytes:
+def pack_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int, form: Format) -> bytes:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=form.level).compress
@@ -146,168 +135,51 @@ def segments_of(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
         at = end + len(END)
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian 32-bit bytes, equal to the tokenizer's own.
+class Encoder(PieceEncoder):
+    """Ids of whole texts, as little-endian 32-bit bytes, equal to the tokenizer's own."""
 
-    A byte-level tokenizer without a normalizer always breaks before a single space that stands
-    between two other characters, and between a letter and a closing mark. So texts are cut there,
-    pieces are known by their hashes, and repeated ones come from a bounded cache. Texts with other
-    white space beside a space, or with a special token's string, are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        ids, counts = self.encode(column)
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[e - 4 * n : e] for e, n in zip(ends, counts.tolist())]
 
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        splitter = spec.get("pre_tokenizer") or {}
-        self.by_pieces = (
-            spec.get("normalizer") is None
-            and splitter.get("type") == "ByteLevel"
-            and splitter.get("use_regex", True)
-            and not splitter.get("add_prefix_space")
-        )
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        pieces = self.tokenizer.get_vocab()
-        self.vocabulary = max(pieces.values()) + 1
-        self.spaced = np.zeros(self.vocabulary, bool)
-        self.spaced[[i for piece, i in pieces.items() if piece.startswith(SPACE)]] = True
-        # White space beside a space, or a special token, among pieces joined by spaces.
-        self.odd = re.compile("|".join([r"\s ", r" \s", r"\s$", *map(re.escape, self.special)]))
-        # Two generations of pieces by hash: the older one goes when the newer is full. None marks a
-        # piece that cannot be encoded alone.
-        self.cache: dict[int, bytes | None] = {}
-        self.older: dict[int, bytes | None] = {}
-
-    def _alone(self, piece: str) -> bool:
-        return piece != "" and not piece[0].isspace() and not piece[-1].isspace() and not any(s in piece for s in self.special)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece behind a space. All are one text, in which only a piece's first id starts with a space."""
-        ids = np.frombuffer(self._encode([" " + " ".join(pieces)])[0], "<u4")
-        data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
-        if len(at) != len(pieces) + 1:
-            raise ValueError("the tokenizer does not break before every space")
-        return [data[a:b] for a, b in zip(at, at[1:])]
-
-    def _learn(self, keys: list[int], at: list[int], text: bytes, begin: list[int], end: list[int], bare: list[bool]) -> None:
-        """Cache the ids of pieces by their hashes; ``at`` tells where each is met, ``bare`` if no space is before it."""
-        if len(self.cache) > CACHED_PIECES:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        new: list[tuple[int, int]] = []
-        for key, i in zip(keys, at):
-            if key not in cache:
-                if key in older:
-                    cache[key] = older[key]
-                else:
-                    new.append((key, i))
-        words = [text[begin[i] : end[i]].decode() for _, i in new]
-        if self.odd.search(" " + " ".join(words)):
-            keep = [self._alone(w) for w in words]
-            cache.update((k, None) for (k, _), ok in zip(new, keep) if not ok)
-            new, words = [n for n, ok in zip(new, keep) if ok], [w for w, ok in zip(words, keep) if ok]
-        spaced = [j for j, (_, i) in enumerate(new) if not bare[i]]
-        others = [j for j, (_, i) in enumerate(new) if bare[i]]
-        if spaced:
-            cache.update(zip([new[j][0] for j in spaced], self._spaced_pieces([words[j] for j in spaced])))
-        if others:
-            cache.update(zip([new[j][0] for j in others], self._encode([words[j] for j in others])))
-
-    def _cut(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and end of all pieces, whether each has no space before it, and the first piece of each row."""
-        gaps = np.flatnonzero(text == 32)
-        filled = np.flatnonzero(np.diff(offsets))
-        # One closing mark behind an ASCII letter, before a space or the row's end.
-        last = np.zeros(len(text) + 1, bool)
-        last[gaps] = True
-        last[offsets] = True
-        marks = np.flatnonzero(IS_MARK[text] & last[1:])
-        marks = marks[(marks > 0) & IS_LETTER[text[np.maximum(marks - 1, 0)]] & ~np.isin(marks, offsets)]
-        # Where places tie, an empty piece at a row's end comes before the next row's first.
-        begin = np.concatenate([gaps + 1, offsets[filled], marks])
-        order = np.argsort(begin, kind="stable")
-        bare = (np.arange(len(begin)) >= len(gaps))[order]
-        begin = begin[order]
-        end = np.sort(np.concatenate([offsets[filled + 1], gaps, marks]), kind="stable")
-        starts = order.argsort(kind="stable")[len(gaps) : len(gaps) + len(filled)]
-        edges = np.full(len(offsets), len(begin))
-        edges[filled] = starts
-        # An empty row has no pieces.
-        edges = np.minimum.accumulate(edges[::-1])[::-1]
-        return begin, end, bare, edges
-
-    def __call__(self, column: pa.Array) -> list[bytes]:
-        offsets, data = text_buffers(column)
-        out: list[bytes] = []
-        first = 0
-        while first < len(column):
-            # Texts of a few megabytes at a time bound what is held.
-            last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
-            last = min(max(last, first + 1), len(column))
-            out += self._rows(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-            first = last
-        return out
-
-    def _rows(self, text: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        raw, limits = text.tobytes(), offsets.tolist()
-        whole = lambda i: raw[limits[i] : limits[i + 1]].decode()
-        if not self.by_pieces or not raw:
-            return self._encode([whole(i) for i in range(len(limits) - 1)])
-        begin, end, bare, edges = self._cut(text, offsets)
-        names = segment_hashes(text, begin, end)
-        names[bare] ^= BARE
-        found, at, inverse = np.unique(names, return_index=True, return_inverse=True)
-        keys = found.tolist()
-        self._learn(keys, at.tolist(), raw, begin.tolist(), end.tolist(), bare.tolist())
-        ids = list(map(self.cache.__getitem__, keys))
-        odd = {i for i, x in enumerate(ids) if x is None}
-        pieces, edges = inverse.tolist(), edges.tolist()
-        out = []
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            row = pieces[a:b]
-            if odd and not odd.isdisjoint(row):
-                out.append(self._encode([whole(i)])[0])
-            else:
-                out.append(b"".join(map(ids.__getitem__, row)))
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, whose cache serves all of its tasks."""
-    return Encoder(path)
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows with ``end_id`` behind each row's, and the new counts."""
+    out = np.full(len(ids) + len(counts), end_id, kind)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return out, counts + 1
 
 
 def _segments(form: Format):
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(form.tokenizer)
-        width = 1 + (max(encode.vocabulary - 1, form.end_id) >= 1 << 8) + (encode.vocabulary > 1 << 16) + (encode.vocabulary > 1 << 24)
-        end = np.array([form.end_id], "<u4").tobytes()
+        encoder = piece_encoder(form.tokenizer)
+        width = 1 + (max(encoder.vocabulary - 1, form.end_id) >= 1 << 8) + (encoder.vocabulary > 1 << 16) + (encoder.vocabulary > 1 << 24)
         docs, counts, held, n = [], [], [], 0
 
         def flush():
             nonlocal docs, counts, held, n
-            data = pack_segment(docs, counts, np.frombuffer(b"".join(held), "<u4"), width, form)
+            data = pack_segment(docs, np.concatenate(counts), np.concatenate(held), width, form)
             docs, counts, held, n = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(at, BATCH_TEXTS)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
-                    docs.append(doc)
-                    counts.append(len(ids) // 4 + 1)
-                    held += [ids, end]
-                    n += counts[-1]
+                names = part.column("doc_id").to_pylist()
+                ids, sizes = with_end(*encoder.encode(part.column("text")), form.end_id)
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                low = 0
+                while low < len(names):
+                    # Up to the document that fills the segment.
+                    high = int(np.searchsorted(upto, upto[low] + form.segment_ids - n))
+                    high = min(max(high, low + 1), len(names))
+                    docs += names[low:high]
+                    counts.append(sizes[low:high])
+                    held.append(ids[upto[low] : upto[high]])
+                    n += int(upto[high] - upto[low])
+                    low = high
                     if n >= form.segment_ids:
                         yield flush()
         if docs:
@@ -328,6 +200,7 @@ def write_ids(docs: DataFrame, path: str, form: Format) -> None:
         .select(F.col("value").cast("string").alias("value"))
         .write.option("encoding", "ISO-8859-1")
         .option("lineSep", END.decode("latin-1"))
+        .option("maxRecordsPerFile", form.file_segments)
         .text(path)
     )
 
@@ -342,7 +215,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()),
+                        pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int64()),
                         pa.array(range(place, place + len(docs)), pa.int64()), pa.array(start + ends - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array([data[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
@@ -354,12 +227,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, part (file), place and start (documents and ids before it in its file), n_tokens, ids (little-endian
+    """doc_id, part (file, ascending with its documents), place and start (documents and ids before it in its file), n_tokens, ids (little-endian
     32-bit bytes, end id included) of every document in a folder."""
     files = spark.read.format("binaryFile").load(path)
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part")
-    return files.select(part, "content").mapInArrow(
-        _documents, "doc_id long, part int, place long, start long, n_tokens long, ids binary"
+    # A task's number, and that of its file where it wrote several.
+    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("long") * FILES_A_TASK + F.regexp_extract("path", r"-c(\d+)\.", 1).cast("long")
+    return files.select(part.alias("part"), "content").mapInArrow(
+        _documents, "doc_id long, part long, place long, start long, n_tokens long, ids binary"
     )
 
 
