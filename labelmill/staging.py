@@ -22,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back with its own schema."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once and read it back with its own schema. ``options`` are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
