@@ -6,7 +6,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, pseudonyms, quality, superminhash, warc
+from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, packing, pseudonyms, quality, superminhash, warc
 from labelmill.llm.deploy import ship
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
@@ -107,11 +107,17 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Near(width=2))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 token ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing.default_packing())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
     "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op9_ngramtrie": op9_ngramtrie,
-    "op10_superminhash": op10_superminhash,
+    "op10_superminhash": op10_superminhash, "op11_packing": op11_packing,
 }
 
 
