@@ -1,12 +1,13 @@
 """The registered queries of this package: each operator over its whole table."""
 
+import zlib
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, packing, pseudonyms, quality, superminhash, warc
+from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, packing, periodic, pseudonyms, quality, superminhash, warc
 from labelmill.llm.deploy import ship
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
@@ -113,11 +114,32 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def with_repeats(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words with the repeated tail that the id's digest asks for in one text of ten."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    g = h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + i % p] for i in range(n - a))]
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents' words, and digests of the list of runs and of the text without repeats."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), with_repeats)
+    exponent = F.floor(1000 * F.col("length") / F.col("period")).cast("long")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", exponent.alias("exponent_milli"),
+        F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
     "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op9_ngramtrie": op9_ngramtrie,
-    "op10_superminhash": op10_superminhash, "op11_packing": op11_packing,
+    "op10_superminhash": op10_superminhash, "op11_packing": op11_packing, "op12_periodic": op12_periodic,
 }
 
 
