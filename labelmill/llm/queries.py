@@ -7,10 +7,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, packing, periodic, pseudonyms, quality, superminhash, warc
+from labelmill.llm import bitplanes, decontam, gridjoin, langid, mixing, ngramtrie, packing, periodic, prefixtrie, pseudonyms, quality, superminhash, warc
 from labelmill.llm.deploy import ship
 from labelmill.llm.text import fold_of
 from labelmill.operators.sizes import broadcast_if_small
+from labelmill.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,11 +136,28 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_shared_starts(conversations: DataFrame) -> DataFrame:
+    """Conversations whose first turns are those of the first conversation of their hundred."""
+    heads = conversations.where("conv_id % 100 = 0").select(F.col("conv_id").alias("_base"), F.slice("turns", 1, 5).alias("_head"))
+    joined = conversations.join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("_base"), "left")
+    shared = fold_of(F.col("conv_id"), 6).cast("int")
+    turns = F.concat(
+        F.coalesce(F.slice("_head", 1, shared), F.slice("turns", 1, 0)), F.slice("turns", shared + 1, F.size("turns"))
+    )
+    return joined.select("conv_id", turns.alias("turns"))
+
+
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared starts."""
+    own = staged(prefixtrie.digested(table(spark, sf_dir, "conversations")), "conversations")
+    return prefixtrie.trie(staged(with_shared_starts(own), "conversations"))
+
+
 _QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_decontam": op5_decontam,
     "op6_gridjoin": op6_gridjoin, "op7_bitplanes": op7_bitplanes,
     "op8_pseudonyms": op8_pseudonyms, "op9_ngramtrie": op9_ngramtrie,
-    "op10_superminhash": op10_superminhash, "op11_packing": op11_packing, "op12_periodic": op12_periodic,
+    "op10_superminhash": op10_superminhash, "op11_packing": op11_packing, "op12_periodic": op12_periodic, "op13_prefixtrie": op13_prefixtrie,
 }
 
 

@@ -86,7 +86,8 @@ FROM embeddings e LEFT JOIN lowest w ON w.id = e.vec_id LEFT JOIN counted c ON c
 OP10 = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), sets AS (
   SELECT id, list_distinct(CASE WHEN len(w) = 1 THEN w
     ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
@@ -99,4 +100,48 @@ SELECT n.id AS doc_id, n.n::BIGINT AS n_shingles, w.component_id, n.id = w.compo
 FROM nodes n JOIN lowest w ON w.id = n.id
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op6_gridjoin": OP6, "op10_superminhash": OP10}
+OP13 = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), turns AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         length(coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'k': k, 'p': p} ORDER BY turn NULLS FIRST, k, p) AS turns FROM turns GROUP BY conv_id
+), shared AS (
+  SELECT o.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 6 AS h
+  FROM own o, crc
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM shared c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d AS depth, d = len(turns) AS ends, coalesce(turns[d].p, 0) AS p,
+         md5(array_to_string(list_transform(turns[1:d], lambda x: x.k), '') || d) AS node,
+         md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.k), '') || (d - 1)) AS parent
+  FROM rebuilt, unnest(range(0, len(turns) + 1)) AS u(d)
+), nodes AS (
+  SELECT node, min(parent) AS parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(p) AS weight,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth
+), counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n_children, 0) AS n_children
+  FROM nodes n
+  LEFT JOIN nodes p ON p.node = n.parent AND n.depth > 0
+  LEFT JOIN (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent) c ON c.parent = n.node
+), sums AS (
+  SELECT a.node, sum(v.weight) AS saved_tokens, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM counted v JOIN prefixes a ON a.conv_id = v.conv_id AND a.depth <= v.depth
+  GROUP BY a.node
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (node)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op3_warc": OP3, "op6_gridjoin": OP6, "op10_superminhash": OP10, "op13_prefixtrie": OP13}
