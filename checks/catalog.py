@@ -1693,21 +1693,8 @@ def _(t):
     out = _folder(t, "sessions")
     shaped = Tables(t.spark, t.sf_dir)
     shaped.events = _event_stream(t).withColumn("user_id", F.col("user_id").cast("string"))
-    live = sessions.sessionize(shaped.heartbeats, CADENCE)
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
-
-    query = (
-        live.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-progress")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    written = t.spark.read.parquet(out).drop("n")
-    newest = written.groupBy("user_id", "session_key").agg(
-        F.max_by(F.struct(*[c for c in written.columns if c not in ("user_id", "session_key", "batch")]), "batch").alias("s")
-    )
-    return _flat_sessions(newest.select("user_id", "session_key", "s.*"))
+    sessions.stream_sessions(shaped.heartbeats, out, f"{out}-progress", CADENCE).awaitTermination()
+    return _flat_sessions(sessions.live_sessions(t.spark, out, CADENCE))
 
 
 @check(

@@ -3,12 +3,15 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from labelmill import storage
 from labelmill.functions.presence import Cadence
 from labelmill.operators import history, presence
 from labelmill.schemas import table_type
 from labelmill.sources.heartbeats import heartbeat_problem, read_heartbeats
 from labelmill.streaming import activity, annotations, imports, sessions
+from labelmill.streaming.keyed_state import KeyedState
 
 T0 = datetime(2026, 2, 1, 23, 50)
 CADENCE = Cadence(heartbeat_ms=20_000, idle_ms=60_000, offline_ms=180_000)
@@ -53,36 +56,110 @@ def test_batch_sessions_equal_the_rule(spark, limit):
     assert flat(got.collect()) == in_turn(rows, CADENCE.credit_cap_ms)
 
 
-def test_stream_sessions_equal_batch(spark, tmp_path):
+def feed(spark, rows, source):
+    spark.createDataFrame(rows, table_type("heartbeats")).coalesce(1).write.mode("append").parquet(source)
+
+
+@pytest.mark.parametrize("limit", [7, 10**6])
+def test_stream_sessions_equal_batch(spark, tmp_path, limit):
     rows = sorted(beats(9), key=lambda r: (r[3], r[2]))
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], table_type("heartbeats")).write.parquet(source)
-    stream = sessions.sessionize(read_heartbeats(spark, source, max_files_per_trigger=1), CADENCE)
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
     for part in range(4):
-        chunk = rows[part * 100:(part + 1) * 100]
-        spark.createDataFrame(chunk, table_type("heartbeats")).coalesce(1).write.mode("append").parquet(source)
-        query = (
-            stream.writeStream.outputMode("update").foreachBatch(keep)
-            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination(120)
+        # Rows of the part before come again, and one row twice.
+        again = rows[part * 100 - 20:part * 100] if part else []
+        feed(spark, again + rows[part * 100:(part + 1) * 100] + rows[part * 100:part * 100 + 1], source)
+        stream = read_heartbeats(spark, source, max_files_per_trigger=1)
+        query = sessions.stream_sessions(stream, out, str(tmp_path / "cp"), CADENCE, "2 days", buckets=3, limit=limit)
+        query.awaitTermination(200)
         assert query.exception() is None
-    written = spark.read.parquet(out)
-    last = written.groupBy("user_id", "session_key").agg(F.max_by(F.struct(*written.columns[2:]), "batch").alias("s"))
-    assert flat(last.select("user_id", "session_key", "s.*").collect()) == in_turn(rows, CADENCE.credit_cap_ms)
-
-
-def test_late_beats_credit_nothing():
-    import numpy as np
-
-    spent, idle = sessions.credit(np.array([5, 8, 30]), np.array(["idle", "idle", "active"], dtype=object), 100, 20, "active")
-    assert spent.tolist() == [0, 0, 10] and idle == 0
-    spent, idle = sessions.credit(np.array([5, 8, 30]), np.array(["idle", "active", "idle"], dtype=object), 15, None, None)
-    assert spent.tolist() == [0, 0, 15] and idle == 3
+    live = sessions.live_sessions(spark, out, CADENCE)
+    assert flat(live.collect()) == in_turn(rows, CADENCE.credit_cap_ms)
+    batch = presence.sessions(presence.credit_active_time(spark.createDataFrame(rows, table_type("heartbeats")), CADENCE))
+    columns = ["user_id", "session_key", "started_at", "last_seen_at", "last_active_at"]
+    assert sorted(live.select(columns).collect()) == sorted(batch.select(columns).collect())
+
+
+def at(seconds, state="active", key="session-a", action=None):
+    return ("u1", key, state, T0 + timedelta(seconds=seconds), action, "asset" if action else None, None)
+
+
+def test_late_beats_count_and_credit_nothing(spark):
+    held = sessions.continued(spark.createDataFrame([at(0), at(20, "idle", action="box")], table_type("heartbeats")), spark.createDataFrame([], sessions.ROW), CADENCE)
+    late = spark.createDataFrame([at(5), at(-9), at(30, "away"), at(5, key="session-b")], table_type("heartbeats"))
+    rows = {r.session_key: r for r in sessions.continued(late, held, CADENCE).collect()}
+    a, b = rows["session-a"], rows["session-b"]
+    assert (a.active_ms, a.idle_ms, a.heartbeats, a.last_state, a.last_action) == (20_000, 10_000, 5, "away", "box")
+    assert a.started_at == T0 - timedelta(seconds=9) and a.last_seen_at == T0 + timedelta(seconds=30) and a.last_active_at == T0
+    assert (b.active_ms, b.heartbeats, b.active_by_date) == (0, 1, {})
+
+
+def test_old_sessions_are_forgotten(spark, tmp_path):
+    state = sessions.session_state(spark, str(tmp_path), CADENCE, buckets=1)
+    first = sessions.continued(spark.createDataFrame([at(0)], table_type("heartbeats")), state.rows(), CADENCE)
+    state.update(0, first, int(T0.timestamp() * 1000))
+    assert state.rows().count() == 1
+    later = int((T0 + timedelta(days=CADENCE.retention_days + 1)).timestamp() * 1000)
+    other = spark.createDataFrame([at(40 * 86_400, key="session-b")], table_type("heartbeats"))
+    state.update(1, sessions.continued(other, state.rows([], 1), CADENCE), later)
+    assert [r.session_key for r in state.rows().collect()] == ["session-b"]
+
+
+# --- Keyed state
+
+
+def keyed(spark, path, **more):
+    schema = StructType.fromDDL("k string, v bigint")
+    return KeyedState(spark, str(path), ["k"], schema, **{"buckets": 4, "layers": 3} | more)
+
+
+def rows_of(state, *args):
+    return dict(map(tuple, state.rows(*args).collect()))
+
+
+def put(state, batch, **values):
+    state.update(batch, state.spark.createDataFrame(list(values.items()), state.schema))
+
+
+def test_state_equals_a_dict_and_reads_stay_bounded(spark, tmp_path):
+    state, want, rng = keyed(spark, tmp_path), {}, random.Random(1)
+    state.admit(spark.createDataFrame([(f"k{i}", -1) for i in range(20)], state.schema))
+    want = {f"k{i}": -1 for i in range(20)}
+    for batch in range(14):
+        new = {f"k{rng.randrange(26)}": batch for _ in range(3)}
+        touched = state.buckets_of(spark.createDataFrame([(k, 0) for k in new], state.schema))
+        # A batch opens the folders of its own buckets, a bounded number of each.
+        opened = state.folders(touched, batch)
+        assert all(int(f.rsplit("=", 1)[1]) in touched for f in opened) and len(opened) <= 3 * len(touched)
+        put(state, batch, **new)
+        want |= new
+        if batch % 3 == 0:
+            # Repeated, as after a lost commit.
+            assert {k: v for k, v in rows_of(state, None, batch).items() if v == batch} == {}
+            put(state, batch, **new)
+    assert rows_of(state) == want
+    assert len(storage.names(spark, f"{tmp_path}/rows")) <= 3 * 4 + 3
+    assert rows_of(keyed(spark, tmp_path, buckets=99)) == want
+
+
+def test_rows_added_beside_the_stream_survive_a_repeat(spark, tmp_path):
+    state = keyed(spark, tmp_path)
+    put(state, 0, a=1)
+    put(state, 1, a=2)
+    state.admit(spark.createDataFrame([("a", 9), ("b", 9)], state.schema))
+    assert rows_of(state) == {"a": 2, "b": 9} and rows_of(state, None, 1) == {"a": 1, "b": 9}
+    put(state, 1, a=3)
+    assert rows_of(state) == {"a": 3, "b": 9}
+
+
+def test_days_over_many_batches(spark, tmp_path):
+    state = activity.day_state(spark, str(tmp_path))
+    for batch in range(30):
+        days = spark.createDataFrame([(f"2026-01-{1 + batch // 4:02}", batch)], state.schema)
+        state.update(batch, days)
+        state.update(batch, days)
+    assert {r.date: r["count"] for r in activity.newest_days(spark, str(tmp_path)).collect()} == {f"2026-01-{1 + d:02}": min(4 * d + 3, 29) for d in range(8)}
+    assert len(state.folders()) <= 8 and len(storage.names(spark, f"{tmp_path}/rows")) <= 12
 
 
 def test_heartbeat_rules(spark):
