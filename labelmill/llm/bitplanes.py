@@ -38,7 +38,7 @@ from labelmill.staging import shared_dir, staged
 MAGIC = b"BPLN"
 END = b"NLPB"
 HEADER = struct.Struct("<4sBBIQIIQI")
-BATCH_TEXTS = 1024
+BATCH_TEXTS = 256
 FILES_A_TASK = 1_000_000
 
 

@@ -35,7 +35,7 @@ from labelmill.llm.tokens import piece_encoder
 from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
 
-BATCH_TEXTS = 1024
+BATCH_TEXTS = 256
 # Ranks are below this, lengths times this below 2**63.
 RANKS = 1 << 44
 
@@ -275,13 +275,12 @@ def _pieces(form: Packing, plan: Plan):
             sizes = np.concatenate([np.full(len(row), form.length), size])
             sequences = np.concatenate([plan.sequences + (first + whole)[row] + nth, sequence])
             offsets = np.concatenate([np.zeros(len(row), np.int64), offset])
-            ids = batch.column("ids")
-            views = [memoryview(v.as_buffer()) for v in ids]
+            ids = [v.as_buffer() for v in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(rows)), pa.array(starts), pa.array(sizes), pa.array(tokens[rows]),
                     pa.array(sequences), pa.array(offsets),
-                    pa.array([views[r][4 * a : 4 * (a + n)] for r, a, n in zip(rows.tolist(), starts.tolist(), sizes.tolist())], pa.binary()),
+                    pa.array([ids[r][4 * a : 4 * (a + n)].to_pybytes() for r, a, n in zip(rows.tolist(), starts.tolist(), sizes.tolist())], pa.binary()),
                 ],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )

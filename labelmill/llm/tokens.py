@@ -21,9 +21,10 @@ import pyarrow as pa
 from labelmill.llm.hashing import IS_SPACE, U, segment_hashes, text_buffers
 
 # Pieces whose ids a worker keeps, about 30 bytes each.
-KNOWN_PIECES = 1_500_000
+KNOWN_PIECES = 1_000_000
 FRESH_PIECES = 50_000
-SLICE_BYTES = 2_000_000
+LEARNED_AT_ONCE = 4096
+SLICE_BYTES = 500_000
 # How byte-level vocabularies write a space.
 SPACE = "Ġ"
 # Tells a piece without a space before it from the same one with it.
@@ -191,10 +192,11 @@ class PieceEncoder:
             groups = [(np.flatnonzero(usable & ~bare), self._after_space), (np.flatnonzero(usable & bare), self._singly)]
         ids, places = [], []
         for rows, encode in groups:
-            if len(rows):
-                flat, counts[rows] = encode([words[i] for i in rows.tolist()])
+            # The tokenizer holds a few hundred bytes for each byte that it is given at once.
+            for some in (rows[at : at + LEARNED_AT_ONCE] for at in range(0, len(rows), LEARNED_AT_ONCE)):
+                flat, counts[some] = encode([words[i] for i in some.tolist()])
                 ids.append(flat)
-                places.append(rows)
+                places.append(some)
         # Back to the order of the hashes.
         flat = np.concatenate(ids) if ids else np.zeros(0, self.kind)
         order = np.concatenate(places) if places else np.zeros(0, np.int64)
