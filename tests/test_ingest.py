@@ -1,3 +1,5 @@
+import csv
+import io
 import random
 from datetime import datetime
 
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.operators import ingest
-from labelmill.sources.comment_csv import file_checksums, normalize_headers, read_comment_csv
+from labelmill.sources.comment_csv import file_checksums, normalize_headers, read_comment_csv, read_records
 
 NOW = datetime(2026, 2, 1)
 
@@ -53,6 +55,60 @@ def test_csv_without_multiline_numbers_split_files(spark, tmp_path):
     assert {r.id: r.row_no for r in rows if r.file.endswith("b.csv")} == {"x": 0, "y": 1}
 
 
+def quoted_file(seed, rows):
+    """Random cells of commas, quotes and line ends, as the csv module writes them, and stray quotes inside bare cells."""
+    rng, out = random.Random(seed), io.StringIO()
+    writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+    writer.writerow(["Id", "Comment Text", "sentiment", "type"])
+    cell = lambda: "".join(rng.choices(['"', ",", "\n", "a", "b c", '""', "é"], k=rng.randint(1, 9))).strip() or "x"
+    for i in range(rows):
+        writer.writerow([f"r{i}", cell(), rng.choice(["positive", "5 in", "x\n\ny"]), "english"])
+        if i % 7 == 0:
+            out.write(f's{i},12" pipe,a"b,\n\n')
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quoted_file_read_by_many_tasks_equals_one_task(spark, tmp_path, seed):
+    text = quoted_file(seed, 400)
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    (tmp_path / "b.csv").write_text('text,ID\n"only\none",1\n')
+    (tmp_path / "c.csv").write_text("id,text")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def read(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_comment_csv(spark, str(tmp_path)).collect()
+            tasks = read_records(spark, str(tmp_path)).select("record").count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert tasks == len(rows) + 3
+        return sorted((r.file[-5:], r.row_no, r.id, r.comment_text, r.sentiment, r.type) for r in rows)
+
+    whole, split = read("128m"), read("700")
+    assert whole == split
+    # The csv module opens a quote only at a cell's start too.
+    want = [r for r in csv.reader(io.StringIO(text, newline=""))][1:]
+    want = [[(c.replace("\r\n", "\n").strip() or None) for c in r] for r in want if r]
+    assert [list(r[2:]) for r in whole if r[0] == "a.csv"] == want
+    assert [r[1] for r in whole if r[0] == "a.csv"] == list(range(len(want)))
+    assert [r[2:] for r in whole if r[0] == "b.csv"] == [("1", "only\none", None, None)]
+
+
+def test_one_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(quoted_file(9, 3000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = spark.read.option("lineSep", "\n").text(str(tmp_path / "a.csv"))
+        assert lines.rdd.getNumPartitions() > 8
+        rows = read_comment_csv(spark, str(tmp_path)).select("row_no").orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.row_no for r in rows] == list(range(len(rows))) and len(rows) >= 3000
+
+
 def test_last_header_spelling_wins(spark):
     df = spark.createDataFrame([("1", "a", "b", "c", "z")], "`I D` string, comment string, TEXT string, Sentiment string, junk string")
     row = normalize_headers(df).first()
