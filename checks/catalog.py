@@ -765,18 +765,31 @@ TERM_SQL = {
 }
 
 
-@check(
-    "normalize_terms",
-    with_tables("", """SELECT taxonomy_id, axis, CASE WHEN n <= 50 THEN string_agg(value || '=' || label, ';' ORDER BY ord, idx)
+MANY_TERMS = 50
+
+
+def _terms_sql(refused: str) -> dict:
+    """Lists whose count meets ``refused`` are refused."""
+    return with_tables("", f"""SELECT taxonomy_id, axis, CASE WHEN NOT {refused} THEN string_agg(value || '=' || label, ';' ORDER BY ord, idx)
         || CASE axis WHEN 'sentiment' THEN ';unannotated=Unannotated' ELSE ';unclassified=Unclassified' END END AS terms,
-        CASE WHEN n > 50 THEN axis || ' cannot have more than 50 items' END AS error FROM sized GROUP BY taxonomy_id, axis, n""", **TERM_SQL),
-)
-def _(t):
-    made = vocabulary.normalize_terms(t.term_items)
+        CASE WHEN {refused} THEN axis || ' cannot have more than {MANY_TERMS} items' END AS error FROM sized GROUP BY taxonomy_id, axis, n""", **TERM_SQL)
+
+
+def _listed_terms(made):
     listed = F.array_join(F.transform("terms", lambda e: F.concat(e["value"], F.lit("="), e["label"])), ";")
     return made.select("taxonomy_id", "axis", listed.alias("terms"), "error")
 
 
+@check("normalize_terms", _terms_sql("false"))
+def _(t):
+    return _listed_terms(vocabulary.normalize_terms(t.term_items))
+
+
+@check("normalize_terms_limited", _terms_sql(f"n > {MANY_TERMS}"))
+def _(t):
+    return _listed_terms(vocabulary.normalize_terms(t.term_items, max_terms=MANY_TERMS))
+
+
 CLASS_SQL = {
     "items": "SELECT p_brand || '/' || p_size AS label_set_id, p_partkey AS idx, p_name, p_type FROM part",
     "named": """SELECT *, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' ||
@@ -785,25 +798,36 @@ CLASS_SQL = {
     "seen": """SELECT *, count(*) OVER (PARTITION BY label_set_id) AS n,
         row_number() OVER (PARTITION BY label_set_id, value ORDER BY idx) AS k FROM named""",
     "bad": """SELECT label_set_id, arg_min('Duplicate class name "' || value || '" — every label needs a unique value', idx) AS error
-        FROM seen WHERE k > 1 AND n <= 200 GROUP BY 1""",
+        FROM seen WHERE k > 1 GROUP BY 1""",
 }
+MANY_CLASSES = 10
 
 
-@check(
-    "normalize_classes",
-    with_tables("", """SELECT s.label_set_id, CASE WHEN n <= 200 AND b.error IS NULL THEN string_agg(value || '=' || label || '=' ||
+def _classes_sql(refused: str) -> dict:
+    """Lists whose count meets ``refused`` are refused."""
+    return with_tables("", f"""SELECT s.label_set_id, CASE WHEN NOT {refused} AND b.error IS NULL THEN string_agg(value || '=' || label || '=' ||
         CASE WHEN p_type = 'ECONOMY' THEN '#00ff00' ELSE 'hsl(' || CAST(floor((idx * CAST(137.508 AS DOUBLE)) % 360 + 0.5) AS INT) || ', 65%, 55%)' END,
-        ';' ORDER BY idx) END AS labels, CASE WHEN n > 200 THEN 'A label set may hold at most 200 labels' ELSE b.error END AS error
-        FROM seen s LEFT JOIN bad b ON b.label_set_id = s.label_set_id GROUP BY s.label_set_id, n, b.error""", **CLASS_SQL),
-)
-def _(t):
-    made = vocabulary.normalize_classes(t.class_items)
+        ';' ORDER BY idx) END AS labels, CASE WHEN {refused} THEN 'A label set may hold at most {MANY_CLASSES} labels' ELSE b.error END AS error
+        FROM seen s LEFT JOIN bad b ON b.label_set_id = s.label_set_id GROUP BY s.label_set_id, n, b.error""", **CLASS_SQL)
+
+
+def _listed_classes(made):
     listed = F.array_join(
         F.transform("labels", lambda e: F.concat(e["value"], F.lit("="), e["label"], F.lit("="), e["color"])), ";"
     )
     return made.select("label_set_id", listed.alias("labels"), "error")
 
 
+@check("normalize_classes", _classes_sql("false"))
+def _(t):
+    return _listed_classes(vocabulary.normalize_classes(t.class_items))
+
+
+@check("normalize_classes_limited", _classes_sql(f"n > {MANY_CLASSES}"))
+def _(t):
+    return _listed_classes(vocabulary.normalize_classes(t.class_items, max_classes=MANY_CLASSES))
+
+
 @check(
     "dedupe_media_checksums",
     with_tables("assets", """SELECT asset_id, dataset_id, checksum FROM (SELECT *, row_number() OVER (
