@@ -86,8 +86,7 @@ FROM embeddings e LEFT JOIN lowest w ON w.id = e.vec_id LEFT JOIN counted c ON c
 OP10 = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT id, list_distinct(CASE WHEN len(w) = 1 THEN w
     ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words

@@ -238,17 +238,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve(records: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Records with ``columns`` (named expressions of payload and payload_digest), a revisit's taken from
-    the response it refers to. Only these columns meet in the join; name ``payload`` itself to get it whole."""
+    the response it refers to: that of the id and the payload digest in its headers, since ids may be repeated.
+    Only these columns meet in the join; name ``payload`` itself to get it whole. Null where there is no such response."""
+    link = lambda of: F.concat(F.coalesce(F.concat(F.lit("="), F.col(of)), F.lit("")), F.lit(" "), F.col("payload_digest"))
+    again = F.col("record_type") == "revisit"
     rows = staged(
-        records.select("record_id", "record_type", "url", "refers_to", *[c.alias(n) for n, c in columns.items()]),
+        records.select(
+            "record_id", "record_type", "url", "refers_to", F.when(again, link("refers_to")).otherwise(link("record_id")).alias("_link"),
+            *[c.alias(n) for n, c in columns.items()],
+        ),
         "warc-records",
     )
-    again = F.col("record_type") == "revisit"
-    originals = rows.where(~again).groupBy(F.col("record_id").alias("_id")).agg(F.min(F.struct(*columns)).alias("_of"))
-    resolved = spread_join(rows.where(again).drop(*columns), originals, "refers_to", "_id", F.col("record_id"), "left")
+    originals = rows.where(~again).groupBy(F.col("_link").alias("_original")).agg(F.min(F.struct(*columns)).alias("_of"))
+    resolved = spread_join(rows.where(again).drop(*columns), originals, "_link", "_original", F.col("record_id"), "left")
     return rows.where(~again).unionByName(
-        resolved.withColumns({n: F.col("_of")[n] for n in columns}).drop("_id", "_of")
-    )
+        resolved.withColumns({n: F.col("_of")[n] for n in columns}).drop("_original", "_of")
+    ).drop("_link")
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -50,6 +50,15 @@ def test_files_are_gzip_members_of_whole_records(spark):
         assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and data.endswith(b"\r\n\r\n")
 
 
+def test_repeated_ids_with_different_payloads(spark):
+    pages = [(7, "u", b"AAA"), (7, "v", b"BBB"), (5, "u", b"AAA"), (5, "v", b"BBB"), (None, "u", b"AAA"), (None, "v", b"CCC"), (None, "w", b"DDD")]
+    got = sorted((r["record_id"] or "", r["url"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in resolved(spark, written(spark, pages)))
+    assert got == [
+        ("", "u", "revisit", "7", b"AAA"), ("", "v", "response", None, b"CCC"), ("", "w", "response", None, b"DDD"),
+        ("5", "u", "revisit", "7", b"AAA"), ("5", "v", "revisit", "7", b"BBB"), ("7", "u", "response", None, b"AAA"), ("7", "v", "response", None, b"BBB"),
+    ]
+
+
 def test_small_payloads_can_stay_whole(spark):
     kinds = {r["record_id"]: r["record_type"] for r in resolved(spark, written(spark, PAGES, min_bytes=5))}
     assert kinds["1"] == kinds["4"] == "response"
