@@ -11,6 +11,7 @@ weights; the last writes the token ids of what is left and returns the document
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,41 @@ from labelmill.staging import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Columns that stages read.
+READ = ("doc_id", "text", "source")
 
+
+def carrying(stage: Stage) -> Stage:
+    """A stage that gets all columns but those of ``READ`` under other names, so that none meets one of an operator's own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in READ else f"carried_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run
+
+
+@carrying
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored as empty ones. Every row is scored by itself, so rows that repeat an id or a text
+    stay or go alike. An empty table gives an empty one; without labels nothing is learned and no row is accepted.
+    """
     ship(spark)
     model = quality.train(labelled(docs, table(spark, sf_dir, "labels")))
     scored = quality.scored(docs, model)
     return scored.where(quality.predicted(F.col("score")) == 1).select(*docs.columns)
 
 
+@carrying
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: one with the smallest id, a null id if there is no other.
 
-    Ids may be repeated or null, so decisions are on rows: each has a number of its own, written with it.
+    Ids may be repeated or null, so decisions are on rows: each has a number of its own, written with it. Null and
+    empty texts are copies of nothing and stay; an empty table gives an empty one.
     """
     ship(spark)
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -51,19 +74,32 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(broadcast_if_small(dropped), F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
 
 
+@carrying
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, texts of any length are searched whole, rows that repeat an id are judged
+    by their own texts, and an empty table or benchmark changes nothing.
+    """
     ship(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them, an edge document's part with ``n_chars`` of that part.
+
+    A null source is a source of its own; rows without words take no room in the mix; rows that repeat an id are
+    documents of their own, ties between them being settled by size; an empty table gives an empty one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document index of the token files written from the mix."""
+    """The document index of the token files written from the mix.
+
+    Null and empty texts have the end id only; repeated rows are written as often as they come; null ids are first;
+    an empty table gives an empty index.
+    """
     ship(spark)
     path = bitplanes.ids_folder(spark)
     bitplanes.write_ids(docs, path, bitplanes.default_format())
