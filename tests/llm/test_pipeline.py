@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from labelmill.llm import queries, superminhash
 from labelmill.staging import staged
@@ -43,3 +46,29 @@ def test_one_row_of_each_group_of_repeated_and_null_ids(spark):
     got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
     want = [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (4, None), (4, None)]
     assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, docs, name, stage):
+    """Nulls, repeats, long and empty texts, beside real documents; column names that operators use themselves."""
+    real = queries.table(spark, SF, "documents").limit(400)
+    both = real.unionByName(docs.select(*real.columns))
+    own = ["score", "_row", "_found", "_dropped", "label", "size", "taken", "predicted", "bucket", "target", "doc"]
+    both = staged(both.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce("text", F.lit("none"))) for c in own}), "awkward")
+    out = stage(spark, both, SF)
+    assert out.columns == both.columns
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        was = r["score"].removeprefix("score-")
+        assert all(r[c] == f"{c}-{was}" for c in own)
+        # The mix takes the first words of a document at its edge.
+        assert was == ("none" if r["text"] is None else r["text"]) or name == "mixing" and was.split()[: len(r["text"].split())] == r["text"].split()
+    texts = {r["text"] for r in rows if r["doc_id"] in (4, 5, 6)}
+    if name in ("near_duplicates", "decontamination"):
+        assert {None, "", " \t\n "} <= texts
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_empty_tables(spark, no_docs, name, stage):
+    assert stage(spark, no_docs, SF).collect() == []
