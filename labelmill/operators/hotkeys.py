@@ -64,7 +64,8 @@ class Cut:
         )
 
     def window(self, order: Sequence[str]):
-        return Window.partitionBy(*self.keys, BLOCK).orderBy(*order)
+        # Without hot keys all windows of one cut share one partitioning and sort.
+        return Window.partitionBy(*self.keys, *([] if self.hot is None else [BLOCK])).orderBy(*order)
 
     def edges(self, rows: DataFrame, *aggregates: Column) -> DataFrame:
         """One row per block of the hot keys."""
@@ -131,6 +132,46 @@ def running_sum(df: DataFrame, cut: Cut, order: Sequence[str], amount: Column, n
     return out.drop(BLOCK, HOT, "_amount")
 
 
+def scan(df: DataFrame, cut: Cut, order: Sequence[str], folds: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add several running folds in one pass. ``folds`` maps a new column to a kind and a value.
+
+    Kinds are ``last`` (latest non-null), ``sum``, ``min`` and ``max``, over the rows up to and including the row; nulls
+    do not count. A minimum that starts anew is the ``max`` of a struct of the run's number and the negated value.
+    """
+    over = cut.window(order).rowsBetween(Window.unboundedPreceding, 0)
+    folded = {
+        "last": lambda c: F.last(c, ignorenulls=True).over(over), "sum": lambda c: F.sum(c).over(over),
+        "min": lambda c: F.min(c).over(over), "max": lambda c: F.max(c).over(over),
+    }
+    if cut.hot is None:
+        return df.withColumns({n: folded[kind](value) for n, (kind, value) in folds.items()})
+    values = {f"_v_{n}": value for n, (_, value) in folds.items()}
+    out = cut.blocks(df).withColumns(values).withColumns({n: folded[kind](F.col(f"_v_{n}")) for n, (kind, _) in folds.items()})
+    out = staged(out, "blocks")
+    at = F.struct(*order)
+
+    def edge(kind: str, value: Column) -> Column:
+        if kind == "last":
+            return F.max_by(value, F.when(value.isNotNull(), at))
+        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](value)
+
+    def carried(kind: str, value: Column) -> Column:
+        if kind == "last":
+            return F.last(value, ignorenulls=True).over(cut.earlier())
+        return {"sum": F.sum, "min": F.min, "max": F.max}[kind](value).over(cut.earlier())
+
+    def joined(kind: str, before: Column, here: Column) -> Column:
+        if kind == "sum":
+            return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
+        return {"last": lambda: F.coalesce(here, before), "min": lambda: F.least(before, here), "max": lambda: F.greatest(before, here)}[kind]()
+
+    edges = cut.edges(out, *[edge(kind, F.col(f"_v_{n}")).alias(f"_e_{n}") for n, (kind, _) in folds.items()])
+    edges = edges.withColumn("_carry", F.struct(*[carried(kind, F.col(f"_e_{n}")).alias(n) for n, (kind, _) in folds.items()]))
+    out = cut.carry(out.drop(*values), edges)
+    out = out.withColumns({n: joined(kind, F.col(f"_carry.{n}"), F.col(n)) for n, (kind, _) in folds.items()})
+    return out.drop("_carry", BLOCK, HOT)
+
+
 def row_number(df: DataFrame, cut: Cut, order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3 … within the key."""
     return running_sum(df, cut, order, F.lit(1), name)

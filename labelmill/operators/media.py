@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import geometry
 from labelmill.functions.numbers import half_up, ratio
 from labelmill.operators.quality import class_balance
+from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
 
 # Boxes below this area have areas that round coarsely; their overlaps are found by a plain grid.
@@ -14,6 +15,11 @@ SMALL_GRID = 0.01
 
 # Up to so many different boxes of one asset and frame are compared directly.
 PLAIN_BOXES = 500
+# Boxes of a cell that one task compares with one another.
+CELL_BOXES = 2000
+# Halvings of a small cell's side.
+MOST_DEPTH = 24
+_NO_CLASS = 1_000_000
 
 
 def annotation_box() -> Column:
@@ -207,19 +213,67 @@ def _size_cells(boxes: DataFrame, bound: float, spread: bool) -> DataFrame:
     return out.drop("o")
 
 
-def _small_cells(boxes: DataFrame) -> DataFrame:
-    """Small boxes by every cell of a plain grid they cover."""
+def _covered(rows: DataFrame, side: Column) -> DataFrame:
+    """A row for every cell (gx, gy) of a plain grid that a box covers."""
 
-    def covered(corner: str, side: str) -> Column:
-        first, last = F.col(corner) / SMALL_GRID, (F.col(corner) + F.col(side)) / SMALL_GRID
-        return F.explode(F.sequence(F.floor(first), F.floor(last)))
+    def cells(corner: str, end: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(corner) / side), F.floor(F.col(end) / side)))
 
-    none = F.lit(_NO_CLASS).cast("bigint")
-    small = boxes.where("small").withColumns({"kx": none, "ky": none})
-    return small.withColumn("gx", covered("x", "box_width")).withColumn("gy", covered("y", "box_height"))
+    return rows.withColumn("gx", cells("x", "right")).withColumn("gy", cells("y", "bottom"))
 
 
-_NO_CLASS = 1_000_000
+def _small_cells(boxes: DataFrame, most: int) -> DataFrame:
+    """Small boxes by the cells they cover: a plain grid whose crowded cells are split in four, and again.
+
+    Counts are measured at every depth. A cell with more than ``most`` boxes is split if its quarters hold half as many on
+    average; boxes that all cover the same place cannot be told apart by cells. ``ky`` is the depth.
+    """
+    none = F.lit(_NO_CLASS).cast("bigint")
+    rows = _covered(boxes.where("small").withColumns({"kx": none, "ky": F.lit(0).cast("bigint")}), F.lit(SMALL_GRID))
+    cell, out = ["asset_id", "frame", "gx", "gy"], None
+    for depth in range(MOST_DEPTH):
+        rows = staged(rows, "small-cells")
+        half = F.lit(SMALL_GRID / 2 ** (depth + 1))
+
+        def crossed(corner: str, end: str, at: str) -> Column:
+            """How many halves of its cell a box covers."""
+            first = F.greatest(F.floor(F.col(corner) / half), 2 * F.col(at))
+            return F.least(F.floor(F.col(end) / half), 2 * F.col(at) + 1) - first + 1
+
+        quarters = crossed("x", "right", "gx") * crossed("y", "bottom", "gy")
+        crowded = rows.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum(quarters).alias("_quarters"))
+        crowded = staged(crowded.where((F.col("_n") > most) & (F.col("_quarters") <= 2 * F.col("_n"))).select(*cell), "crowded-cells")
+        if crowded.isEmpty():
+            return rows if out is None else out.unionByName(rows)
+        side = broadcast_if_small(crowded)
+        done = rows.join(side, cell, "left_anti")
+        out = done if out is None else out.unionByName(done.select(*out.columns))
+        split = rows.join(side, cell, "left_semi").withColumns({"_px": F.col("gx"), "_py": F.col("gy")})
+        split = _covered(split.drop("gx", "gy"), half).where((F.floor(F.col("gx") / 2) == F.col("_px")) & (F.floor(F.col("gy") / 2) == F.col("_py")))
+        rows = split.drop("_px", "_py").withColumn("ky", F.lit(depth + 1).cast("bigint")).select(*out.columns)
+    return out.unionByName(rows)
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``block``: a cell's rows are dealt to blocks of about ``most`` by ``most`` rows, so that a cell that
+    cannot be split is worked on by many tasks. A row goes to all blocks of its own part."""
+    sizes = [rows.groupBy("cell").agg(F.count("*").alias(f"_{tag}")) for tag, rows in (("a", left), ("b", right))]
+    parts = [F.ceil(F.col(f"_{tag}") / most).cast("int") for tag in "ab"]
+    crowded = sizes[0].join(sizes[1], "cell").where((F.col("_a") > most) | (F.col("_b") > most))
+    crowded = staged(crowded.select(F.col("cell").alias("_cell"), parts[0].alias("_pa"), parts[1].alias("_pb")), "cell-parts")
+    if crowded.isEmpty():
+        return tuple(rows.withColumn("block", F.lit(0)) for rows in (left, right))
+    crowded = broadcast_if_small(crowded)
+
+    def dealt(rows: DataFrame, tag: str, own: str, other: str) -> DataFrame:
+        joined = rows.join(crowded, F.col("cell") == F.col("_cell"), "left")
+        part = F.pmod(F.xxhash64(f"{tag}_annotation_id"), F.col(own)).cast("int")
+        each = F.sequence(F.lit(0), F.col(other) - 1)
+        blocks = F.transform(each, lambda o: (part * F.col("_pb") + o) if tag == "a" else (o * F.col("_pb") + part))
+        blocks = F.when(F.col("_cell").isNull(), F.array(F.lit(0))).otherwise(blocks)
+        return joined.withColumn("block", F.explode(blocks)).drop("_cell", "_pa", "_pb")
+
+    return dealt(left, "a", "_pa", "_pb"), dealt(right, "b", "_pb", "_pa")
 
 
 def _direct_pairs(boxes: DataFrame) -> DataFrame:
@@ -235,7 +289,7 @@ def _direct_pairs(boxes: DataFrame) -> DataFrame:
     )
 
 
-def _grid_pairs(boxes: DataFrame, bound: float) -> DataFrame:
+def _grid_pairs(boxes: DataFrame, bound: float, most: int) -> DataFrame:
     """Boxes of crowded frames that meet by size class and cell, as a_ and b_ columns."""
     cell = ["asset_id", "frame", "kx", "ky", "gx", "gy"]
     plain = ["x", "y", "right", "bottom", "area", "annotation_id", "copies", "small", "cw", "ch"]
@@ -248,9 +302,10 @@ def _grid_pairs(boxes: DataFrame, bound: float) -> DataFrame:
 
     left, right = _size_cells(boxes, bound, True), _size_cells(boxes, bound, False)
     if not boxes.where("small").isEmpty():
-        small = _small_cells(boxes)
+        small = _small_cells(boxes, most)
         left, right = left.unionByName(small), right.unionByName(small)
-    met = side(left, "a").join(side(right, "b"), "cell")
+    left, right = _in_blocks(staged(side(left, "a"), "left-cells"), staged(side(right, "b"), "right-cells"), most)
+    met = left.join(right, ["cell", "block"])
     met = met.where(F.col("a_annotation_id") < F.col("b_annotation_id"))
     for c in cell:
         met = met.where(F.col(f"a_{c}") == F.col(f"b_{c}"))
@@ -259,15 +314,19 @@ def _grid_pairs(boxes: DataFrame, bound: float) -> DataFrame:
         & (F.greatest("a_ch", "b_ch") == F.col("a_ky"))
         & ~(F.col("a_small") & F.col("b_small"))
     )
+    # Both boxes cover the cell that their overlap begins in, and no other cell of the tree holds that point.
+    length = F.lit(SMALL_GRID) / F.pow(F.lit(2.0), F.col("a_ky"))
     cornered = (
         (F.col("a_kx") == _NO_CLASS)
-        & (F.floor(F.greatest("a_x", "b_x") / SMALL_GRID) == F.col("a_gx"))
-        & (F.floor(F.greatest("a_y", "b_y") / SMALL_GRID) == F.col("a_gy"))
+        & (F.floor(F.greatest("a_x", "b_x") / length) == F.col("a_gx"))
+        & (F.floor(F.greatest("a_y", "b_y") / length) == F.col("a_gy"))
     )
     return met.where(sized | cornered)
 
 
-def overlap_pairs(annotations: DataFrame, min_iou: float, plain_boxes: int = PLAIN_BOXES) -> DataFrame:
+def overlap_pairs(
+    annotations: DataFrame, min_iou: float, plain_boxes: int = PLAIN_BOXES, cell_boxes: int = CELL_BOXES
+) -> DataFrame:
     """Pairs of boxes of one asset and frame with IoU of at least ``min_iou``.
 
     Equal boxes fold into one with a copy count, so a pair row stands for
@@ -276,7 +335,8 @@ def overlap_pairs(annotations: DataFrame, min_iou: float, plain_boxes: int = PLA
     are compared directly; those of a crowded one meet only when sizes and
     places allow the IoU: sides within the factor 1/min_iou and corners within
     (1 - min_iou) of the longer side, which a size class and a grid cell
-    express as equality keys. Every qualifying pair meets in exactly one cell.
+    express as equality keys. Every qualifying pair meets in exactly one cell. Cells with more than ``cell_boxes``
+    boxes are split where that tells boxes apart, and worked on in blocks where it does not.
     """
     if not 0 < min_iou <= 1:
         raise ValueError("min_iou must be above 0 and at most 1")
@@ -298,7 +358,7 @@ def overlap_pairs(annotations: DataFrame, min_iou: float, plain_boxes: int = PLA
     met = _direct_pairs(boxes.join(crowded, frame, "left_anti"))
     if not crowded.isEmpty():
         many = staged(boxes.join(crowded, frame, "left_semi"), "crowded-boxes")
-        met = met.unionByName(_grid_pairs(many, bound).select(*met.columns))
+        met = met.unionByName(_grid_pairs(many, bound, cell_boxes).select(*met.columns))
     wide = F.least("a_right", "b_right") - F.greatest("a_x", "b_x")
     high = F.least("a_bottom", "b_bottom") - F.greatest("a_y", "b_y")
     met = met.where((wide > 0) & (high > 0))

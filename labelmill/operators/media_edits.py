@@ -1,16 +1,20 @@
 """Fold a log of box edits (create, update, delete, restore) into annotations and versions.
 
 Log columns: seq, op, annotation_id, asset_id, kind, label, x, y, width, height,
-pixel, frame_index, timestamp_ms, note, has_note, user_id, at. A null field of
-an update means "leave".
+pixel, frame_index, timestamp_ms, note, has_note, user_id, at, and has_frame if there is need of it. A null
+field of an update means "leave", but for a note with ``has_note`` and a frame with ``has_frame``, which are cleared.
 
-Restores make a new annotation with a new id; edits of that id belong in a
-later batch.
+All rules are running folds of an annotation's rows in order, so the log is partitioned and sorted once, live
+annotations and creates bringing their assets' facts along. Refused rows stay in line as rows that change nothing.
+
+Restores make a new annotation with a new id. The log may go on to edit, delete and restore that id: such rows
+are applied to what the restore has made, however deep.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions import geometry
@@ -92,13 +96,13 @@ def _side_error(required: Column) -> Column:
     )
 
 
-def _checked(edits: DataFrame, assets: DataFrame, classes: DataFrame, create: bool) -> DataFrame:
-    """Edits in stored units with ``reason``: what a single row shows to be wrong."""
-    joined = edits.join(_assets(assets), "asset_id", "left").withColumn("dataset_id", F.col("a_dataset_id"))
-    out = _canonical(joined, classes)
+def _checked(edits: DataFrame, classes: DataFrame, create: bool) -> DataFrame:
+    """Edits with their asset's facts in stored units, with ``reason``: what a single row shows to be wrong."""
+    out = _canonical(edits.withColumn("dataset_id", F.col("a_dataset_id")), classes)
     is_create = F.lit(create)
     box_kind = F.col("kind") == "bbox"
-    timed = F.col("frame_index").isNotNull() | F.col("timestamp_ms").isNotNull()
+    clears = F.coalesce("has_frame", F.lit(False))
+    timed = F.col("frame_index").isNotNull() | F.col("timestamp_ms").isNotNull() | clears
     frame_op = box_kind & (F.col("a_kind") == "video") & (is_create | timed)
     frame = geometry.normalize_frame(F.col("frame_index"), F.col("timestamp_ms"), F.col("a_duration"))
     # An update may find its time in an earlier edit, so that rule waits.
@@ -116,196 +120,156 @@ def _checked(edits: DataFrame, assets: DataFrame, classes: DataFrame, create: bo
             F.coalesce(_side_error(is_create), F.when(frame_op, frame_error)),
         )
     )
+    given = frame_op & writes & (F.col("frame_index").isNotNull() | clears)
     return out.withColumns(
         {
             "reason": reason,
             "_boxed": box_kind & (F.col("_given") | is_create) & writes,
             "has_note": (F.coalesce("has_note", F.lit(False)) | is_create) & writes,
             "label": F.when(writes, F.col("label")),
-            "_frame": F.when(frame_op & writes, F.col("frame_index")).cast("bigint"),
+            "_frame": F.when(given, F.struct(F.col("frame_index").cast("bigint").alias("v"))),
             "_time": F.when(frame_op & writes, F.floor(F.col("timestamp_ms").cast("double") + 0.5)),
         }
-    ).drop("frame_index", "timestamp_ms", "label_error", "pixel_error", "_bound")
-
-
-def _fold_side(df: DataFrame, cut: hotkeys.Cut, corner: str, size: str) -> DataFrame:
-    """Clamped corner and size after each edit.
-
-    The corner is the latest given one, clamped. The size is the latest given
-    one cut by every room (1 - corner) since it was given, so it is a running
-    minimum within the run that starts at each given size.
-    """
-    # greatest and least skip nulls, so a corner that is not given must stay null.
-    inside = F.when(F.col(corner).isNotNull(), F.least(F.greatest(F.col(corner), F.lit(0.0)), F.lit(1.0)))
-    df = df.withColumn(f"_c_{corner}", half_up(inside, 6))
-    df = hotkeys.fill_forward(df, cut, ["seq"], {f"_s_{corner}": f"_c_{corner}"})
-    df = hotkeys.running_sum(df, cut, ["seq"], F.col(size).isNotNull().cast("int"), f"_run_{size}")
-    # A label-only edit leaves the box alone: it neither gives a size nor cuts one.
-    room = 1.0 - F.when(F.col(corner).isNotNull(), inside).otherwise(F.col(f"_s_{corner}"))
-    at = half_up(F.least(F.col(size), room), 6)
-    return df.withColumn(f"_at_{size}", F.when(F.col("_boxed"), at))
-
-
-def _running_min(df: DataFrame, size: str, whole: hotkeys.Cut, limit: int) -> DataFrame:
-    """Minimum of ``_at_`` from the start of the run to the row; long runs are cut into blocks."""
-    key = [*_KEY, f"_run_{size}"]
-    # A run lies within one annotation, so it can only be long where an annotation is.
-    cut = whole.narrowed(key) if whole.hot is None else hotkeys.cut_keys(df, key, "seq", limit)
-    rows = cut.blocks(df)
-    window = cut.window(["seq"]).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn(f"_s_{size}", F.min(f"_at_{size}").over(window))
-    if cut.hot is not None:
-        out = staged(out, "blocks")
-        lows = cut.edges(out, F.min(f"_at_{size}").alias("_low"))
-        out = cut.carry(out, lows.withColumn("_carry", F.min("_low").over(cut.earlier())))
-        out = out.withColumn(f"_s_{size}", F.least(f"_s_{size}", "_carry")).drop("_carry")
-    return out.drop(hotkeys.BLOCK, hotkeys.HOT)
+    ).drop("label_error", "pixel_error", "_bound", "_given", "_whole", "_pixel")
 
 
-def new_key(old_id: Column, seq: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\u0001", old_id, seq.cast("string"), F.lit("restore")), 256), 1, 24)
+# What the check of a row tells, and the facts that an annotation's first row brings to the others.
+JUDGED = ("label", "x", "y", "width", "height", "_boxed", "has_note", "note", "_frame", "_time", "reason")
+FACTS = ("asset_id", "kind", "a_dataset_id", "a_kind", "a_width", "a_height", "a_duration")
+ORIGIN = ("revision", "created_by", "created_at")
 
 
-def apply_annotation_edits(
-    annotations: DataFrame, versions: DataFrame, log: DataFrame, assets: DataFrame, classes: DataFrame,
-    limit: int = hotkeys.KEY_ROW_LIMIT,
-) -> Edits:
-    """Apply the log in ``seq`` order to live annotations and their history."""
-    # --- Creates stand alone: their asset, kind and checks are in the row. The first good one makes the id.
-    base = annotations.select(
-        "annotation_id", F.col("asset_id").alias("_b_asset"), F.col("kind").alias("_b_kind"),
-        F.col("timestamp_ms").alias("_b_time"),
+def _rows(annotations: DataFrame, log: DataFrame, assets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The log and the live annotations it names as one table; first rows carry ``_made``, ``_facts`` and ``_origin``."""
+    facts = _assets(assets)
+    named = log.select("annotation_id").distinct()
+    start = annotations.join(named, "annotation_id", "left_semi").join(facts.drop("a_width", "a_height"), "asset_id", "left")
+    start = start.select(
+        "annotation_id", F.lit(-1).cast("bigint").alias("seq"), F.lit("base").alias("op"),
+        F.col("updated_by").alias("user_id"), F.col("updated_at").alias("at"),
+        F.struct(
+            "label", "x", "y", F.col("box_width").alias("width"), F.col("box_height").alias("height"),
+            (F.col("kind") == "bbox").alias("_boxed"), F.lit(True).alias("has_note"), "note",
+            F.struct(F.col("frame_index").alias("v")).alias("_frame"), F.col("timestamp_ms").alias("_time"),
+            F.lit(None).cast("string").alias("reason"),
+        ).alias("_made"),
+        F.struct(
+            "asset_id", "kind", F.col("dataset_id").alias("a_dataset_id"), "a_kind", F.col("width").alias("a_width"),
+            F.col("height").alias("a_height"), "a_duration",
+        ).alias("_facts"),
+        F.struct(*ORIGIN).alias("_origin"),
     )
     creates = log.where(F.col("op") == "create").withColumn("kind", F.coalesce("kind", F.lit("bbox")))
-    creates = _checked(creates, assets, classes, True)
-    made = creates.where(F.col("reason").isNull()).groupBy("annotation_id").agg(
-        F.min("seq").alias("_made"),
-        F.min_by("asset_id", "seq").alias("_m_asset"),
-        F.min_by("kind", "seq").alias("_m_kind"),
-    )
-    made = made.join(base, "annotation_id", "left_anti")
-    live = base.select("annotation_id", F.lit(True).alias("_live"))
-    creates = creates.join(live, "annotation_id", "left").join(
-        made.select("annotation_id", "_made"), "annotation_id", "left"
-    )
-    taken = F.coalesce(F.col("_live"), F.lit(False)) | F.coalesce(F.col("seq") > F.col("_made"), F.lit(False))
-    creates = creates.withColumn(
-        "reason", F.when(taken, F.lit("Annotation already exists")).otherwise(F.col("reason"))
-    ).drop("_live", "_made")
-
-    # --- Other edits take asset and kind from the live annotation or from the create.
-    others = (
-        log.where(~F.col("op").isin("create", "restore"))
-        .drop("asset_id", "kind")
-        .join(base.drop("_b_time"), "annotation_id", "left")
-        .join(made, "annotation_id", "left")
-        .withColumns(
-            {"asset_id": F.coalesce("_b_asset", "_m_asset"), "kind": F.coalesce("_b_kind", "_m_kind")}
-        )
+    creates = _checked(creates.join(facts, "asset_id", "left"), classes, True)
+    creates = creates.select(
+        "annotation_id", "seq", "op", "user_id", "at", F.struct(*JUDGED).alias("_made"), F.struct(*FACTS).alias("_facts"),
+        F.struct(F.lit(1).cast("bigint").alias("revision"), F.col("user_id").alias("created_by"), F.col("at").alias("created_at")).alias("_origin"),
     )
-    unknown = F.col("_b_asset").isNull() & F.coalesce(F.col("seq") < F.col("_made"), F.lit(True))
-    others = _checked(others, assets, classes, False).withColumn(
-        "reason", F.when(unknown, F.lit("Annotation not found")).otherwise(F.col("reason"))
-    )
-    others = others.drop("_b_asset", "_b_kind", "_made", "_m_asset", "_m_kind")
+    others = log.where(~F.col("op").isin("create", "restore")).drop("asset_id", "kind")
+    return others.unionByName(creates, allowMissingColumns=True).unionByName(start, allowMissingColumns=True)
+
 
-    # --- Order: nothing follows the first accepted delete. The log is narrow and each
-    # of its stages is read several times, so each is written once.
-    edits = staged(creates.unionByName(others), "edits")
+def _folded(annotations: DataFrame, log: DataFrame, assets: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """Every row of the log but restores, and live rows before it: why it was refused, and the state after it."""
     cut = hotkeys.cut_keys(log, _KEY, "seq", limit)
-    deletes = edits.where(F.col("reason").isNull() & (F.col("op") == "delete"))
-    ended = deletes.groupBy("annotation_id").agg(F.min("seq").alias("_ended"))
-    edits = edits.join(ended, "annotation_id", "left").join(
-        base.select("annotation_id", "_b_time"), "annotation_id", "left"
-    )
-    after = (F.col("op") != "create") & (F.col("seq") > F.col("_ended"))
-    edits = edits.withColumn(
-        "reason", F.when(after, F.lit("Annotation not found")).otherwise(F.col("reason"))
-    )
-    # A frame without a time needs one from an earlier edit when the duration is unknown.
-    accepted = hotkeys.fill_forward(
-        edits.where(F.col("reason").isNull()), cut, ["seq"], {"_s_time": "_time"}
-    )
-    accepted = staged(accepted, "accepted")
-    untimed = (
-        F.col("_frame").isNotNull()
-        & F.coalesce("_s_time", "_b_time").isNull()
-        & F.col("a_duration").isNull()
-    )
-    late = accepted.where(untimed).select(
-        "annotation_id", "seq", F.lit(geometry.FRAME_NEEDS_DURATION).alias("reason")
-    )
-    accepted = accepted.where(~untimed)
-
-    # --- Fold. Live annotations enter as a row before the log.
-    start = annotations.select(
-        "annotation_id", F.lit(-1).cast("bigint").alias("seq"), F.lit("base").alias("op"), "asset_id",
-        "dataset_id", "kind", "label", "x", "y", F.col("box_width").alias("width"),
-        F.col("box_height").alias("height"), F.col("frame_index").alias("_frame"),
-        F.col("timestamp_ms").alias("_time"), "note", F.lit(True).alias("has_note"),
-        F.col("width").alias("a_width"), F.col("height").alias("a_height"),
-        F.col("updated_by").alias("user_id"), F.col("updated_at").alias("at"),
-        (F.col("kind") == "bbox").alias("_boxed"), F.col("revision").alias("_b_revision"),
-        F.col("created_by").alias("_b_created_by"), F.col("created_at").alias("_b_created_at"),
-    ).join(accepted.select("annotation_id").distinct(), "annotation_id", "left_semi")
-    fields = [
-        "annotation_id", "seq", "op", "asset_id", "dataset_id", "kind", "label", "x", "y", "width",
-        "height", "_frame", "_time", "note", "has_note", "a_width", "a_height", "user_id", "at", "_boxed",
-    ]
-    rows = accepted.select(*fields).unionByName(start, allowMissingColumns=True)
-    rows = rows.withColumns(
-        {
-            **{c: F.when(F.col("_boxed"), F.col(c)) for c in ("x", "y", "width", "height")},
-            "_set_note": F.when(F.col("has_note"), F.struct(F.col("note").alias("v"))),
-            "_origin": F.when(
-                F.col("op").isin("base", "create"),
-                F.struct(
-                    F.coalesce("_b_revision", F.lit(1).cast("bigint")).alias("revision"),
-                    F.coalesce("_b_created_by", "user_id").alias("created_by"),
-                    F.coalesce("_b_created_at", "at").alias("created_at"),
-                    "a_width", "a_height",
-                ),
-            ),
-        }
-    )
-    for corner, size in (("x", "width"), ("y", "height")):
-        rows = _fold_side(rows, cut, corner, size)
-        rows = _running_min(rows, size, cut, limit)
-    rows = hotkeys.fill_forward(
+    rows = _rows(annotations, log, assets, classes)
+    opens = F.col("_made").isNotNull() & F.col("_made.reason").isNull()
+    first = F.struct("seq", "_facts", "_origin")
+    rows = hotkeys.scan(rows, cut, ["seq"], {"_first": ("min", F.when(opens, first))})
+    # Other rows are checked by the facts of the annotation's first one.
+    rows = rows.withColumns({c: F.col(f"_first._facts.{c}") for c in FACTS})
+    rows = _checked(rows, classes, False)
+    made = F.col("_made").isNotNull()
+    rows = rows.withColumns({c: F.when(made, F.col(f"_made.{c}")).otherwise(F.col(c)) for c in JUDGED})
+    created = F.col("op") == "create"
+    rows = rows.withColumn(
+        "reason",
+        F.when(created & (F.col("seq") > F.col("_first.seq")), F.lit("Annotation already exists"))
+        .when(~made & F.col("_first").isNull(), F.lit("Annotation not found"))
+        .otherwise(F.col("reason")),
+    ).drop("_made", "_facts", "_origin")
+
+    good = F.col("reason").isNull()
+    rows = hotkeys.scan(
         rows, cut, ["seq"],
-        {"_s_label": "label", "_s_note": "_set_note", "_s_frame": "_frame", "_s_stamp": "_time", "_o": "_origin"},
+        {"_ended": ("min", F.when(good & (F.col("op") == "delete"), F.col("seq"))), "_s_time": ("last", F.when(good, F.col("_time")))},
     )
-    rows = hotkeys.running_sum(rows, cut, ["seq"], F.col("op").isin("update", "delete").cast("int"), "_bumps")
-    boxed = F.col("kind") == "bbox"
+    # A frame without a time needs one from an earlier edit when the duration is unknown.
+    untimed = F.col("_frame.v").isNotNull() & F.col("_s_time").isNull() & F.col("a_duration").isNull() & (F.col("op") == "update")
+    rows = rows.withColumn(
+        "reason",
+        F.when(~created & (F.col("seq") > F.col("_ended")), F.lit("Annotation not found"))
+        .when(good & untimed, F.lit(geometry.FRAME_NEEDS_DURATION))
+        .otherwise(F.col("reason")),
+    )
+
+    # --- Fold. A corner is the latest given one, clamped. A size is the latest given one cut by every room (1 - corner)
+    # since it was given: a running minimum that starts anew at each given size.
+    boxed = good & F.col("_boxed")
+    sides = (("x", "width"), ("y", "height"))
+
+    def inside(corner: str) -> Column:
+        # greatest and least skip nulls, so a corner that is not given must stay null.
+        return F.when(boxed & F.col(corner).isNotNull(), F.least(F.greatest(F.col(corner), F.lit(0.0)), F.lit(1.0)))
+
+    folds = {f"_s_{corner}": ("last", half_up(inside(corner), 6)) for corner, _ in sides}
+    folds |= {f"_run_{size}": ("sum", (boxed & F.col(size).isNotNull()).cast("bigint")) for _, size in sides}
+    folds |= {
+        "_s_label": ("last", F.when(good, F.col("label"))), "_s_frame": ("last", F.when(good, F.col("_frame"))),
+        "_s_note": ("last", F.when(good & F.col("has_note"), F.struct(F.col("note").alias("v")))),
+        "_bumps": ("sum", (good & F.col("op").isin("update", "delete")).cast("bigint")),
+    }
+    rows = hotkeys.scan(rows.drop("_s_time"), cut, ["seq"], folds | {"_s_time": ("last", F.when(good, F.col("_time")))})
+
+    def room(corner: str, size: str) -> Column:
+        left = 1.0 - F.when(F.col(corner).isNotNull(), inside(corner)).otherwise(F.col(f"_s_{corner}"))
+        # A label-only edit leaves the box alone: it neither gives a size nor cuts one.
+        return F.when(boxed, F.struct(F.col(f"_run_{size}").alias("run"), (-half_up(F.least(F.col(size), left), 6)).alias("less")))
+
+    rows = hotkeys.scan(rows, cut, ["seq"], {f"_s_{size}": ("max", room(corner, size)) for corner, size in sides})
+    is_box = F.col("kind") == "bbox"
     state = rows.select(
-        "annotation_id", "seq", "op", "asset_id", "dataset_id", "kind", F.col("_s_label").alias("label"),
-        *[
-            F.when(boxed, F.col(f"_s_{c}")).alias(n)
-            for c, n in (("x", "x"), ("y", "y"), ("width", "box_width"), ("height", "box_height"))
-        ],
-        F.col("_s_frame").alias("frame_index"), F.col("_s_stamp").alias("timestamp_ms"),
-        F.col("_o.a_width").alias("width"), F.col("_o.a_height").alias("height"),
-        F.col("_s_note.v").alias("note"), F.col("_o.created_by").alias("created_by"),
-        F.col("_o.created_at").alias("created_at"), (F.col("_o.revision") + F.col("_bumps")).alias("revision"),
-        "user_id", "at",
-    )
-    tracked = list(_TRACKED_COLUMNS.values())
-    state = hotkeys.previous_row(state, cut, ["seq"], tracked, "_prev")
+        "annotation_id", "seq", "op", "reason", "asset_id", F.col("a_dataset_id").alias("dataset_id"), "kind", F.col("_s_label").alias("label"),
+        F.when(is_box, F.col("_s_x")).alias("x"), F.when(is_box, F.col("_s_y")).alias("y"),
+        F.when(is_box, -F.col("_s_width.less")).alias("box_width"), F.when(is_box, -F.col("_s_height.less")).alias("box_height"),
+        F.col("_s_frame.v").alias("frame_index"), F.col("_s_time").alias("timestamp_ms"),
+        F.col("a_width").alias("width"), F.col("a_height").alias("height"), F.col("_s_note.v").alias("note"),
+        F.col("_first._origin.created_by").alias("created_by"), F.col("_first._origin.created_at").alias("created_at"),
+        (F.col("_first._origin.revision") + F.col("_bumps")).alias("revision"), "user_id", "at",
+    )
+    state = hotkeys.previous_row(state, cut, ["seq"], list(_TRACKED_COLUMNS.values()), "_prev")
     diff = F.array_compact(
-        F.array(
-            *[
-                F.when(~F.col(c).eqNullSafe(F.col(f"_prev.{c}")), F.lit(name))
-                for name, c in _TRACKED_COLUMNS.items()
-            ]
-        )
+        F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_prev.{c}")), F.lit(name)) for name, c in _TRACKED_COLUMNS.items()])
     )
     changed = (
         F.when(F.col("op") == "create", F.array(*[F.lit(t) for t in TRACKED]))
         .when(F.col("op") == "update", diff)
         .otherwise(F.array().cast("array<string>"))
     )
-    state = staged(state.withColumn("changed_fields", changed).drop("_prev"), "edited")
-    logged = state.where(
+    return staged(state.withColumn("changed_fields", changed).drop("_prev"), "edited")
+
+
+def new_key(old_id: Column, seq: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\u0001", old_id, seq.cast("string"), F.lit("restore")), 256), 1, 24)
+
+
+@dataclass(frozen=True)
+class _Pass:
+    untouched: DataFrame
+    kept: DataFrame
+    restored: DataFrame
+    versions: DataFrame
+    restore_versions: DataFrame
+    rejects: DataFrame
+
+
+def _apply_once(
+    annotations: DataFrame, versions: DataFrame, log: DataFrame, assets: DataFrame, classes: DataFrame, limit: int
+) -> _Pass:
+    """Apply a log that names no id which it restores itself."""
+    state = _folded(annotations, log, assets, classes, limit)
+    done = state.where(F.col("reason").isNull())
+    logged = done.where(
         F.col("op").isin("create", "delete") | ((F.col("op") == "update") & (F.size("changed_fields") > 0))
     )
     none = F.lit(None).cast("bigint")
@@ -317,25 +281,25 @@ def apply_annotation_edits(
             F.col("user_id").alias("changed_by"), F.col("at").alias("created_at"),
         )
 
-    new_versions = history(logged.where(F.col("op") != "base"), F.col("op"), none)
+    new_versions = history(logged, F.col("op"), none)
 
     # --- Live rows after the log: the last state of each touched id, unless deleted.
-    final = state.groupBy("annotation_id").agg(
+    final = done.groupBy("annotation_id").agg(
         F.max_by(F.struct(*[c for c in state.columns if c != "annotation_id"]), "seq").alias("s")
     )
     touched = final.select("annotation_id", "s.*")
-    kept = touched.where(F.col("op") != "delete").select(
+    live = touched.where(F.col("op") != "delete").select(
         "annotation_id", "asset_id", "dataset_id", "kind", "label", "x", "y", "box_width", "box_height",
         "frame_index", "timestamp_ms", "width", "height", "note", "revision", "created_by",
         F.col("user_id").alias("updated_by"), "created_at", F.col("at").alias("updated_at"),
     )
-    untouched = annotations.join(touched.select("annotation_id"), "annotation_id", "left_anti")
+    untouched = annotations.join(done.select("annotation_id").distinct(), "annotation_id", "left_anti")
 
     # --- Restores: of ids deleted before the log or earlier in it.
     asked = log.where(F.col("op") == "restore").select("annotation_id", "seq", "user_id", "at")
-    here = new_versions.where(F.col("change_type") == "delete").join(
-        touched.where(F.col("op") == "delete").select("annotation_id", F.col("seq").alias("_del_seq")),
-        "annotation_id",
+    # An id is deleted once at most in a log.
+    here = logged.where(F.col("op") == "delete").select(
+        "annotation_id", F.col("revision").alias("_rev"), F.struct(*SNAPSHOT).alias("_snap"), F.col("seq").alias("_del_seq")
     )
     past = versions.groupBy("annotation_id").agg(
         F.max_by(F.struct("revision", "snapshot", "change_type"), "revision").alias("_v")
@@ -344,9 +308,7 @@ def apply_annotation_edits(
         "annotation_id", F.col("_v.revision").alias("_rev"), F.col("_v.snapshot").alias("_snap"),
         F.lit(-1).cast("bigint").alias("_del_seq"),
     )
-    deleted = here.select(
-        "annotation_id", F.col("revision").alias("_rev"), F.col("snapshot").alias("_snap"), "_del_seq"
-    ).unionByName(past.join(here.select("annotation_id"), "annotation_id", "left_anti"))
+    deleted = here.unionByName(past.join(here.select("annotation_id"), "annotation_id", "left_anti"))
     seen = (
         versions.select("annotation_id", F.lit(-1).cast("bigint").alias("seq"))
         .unionByName(logged.select("annotation_id", "seq"))
@@ -373,16 +335,34 @@ def apply_annotation_edits(
         F.col("user_id").alias("created_by"), F.col("user_id").alias("updated_by"),
         F.col("at").alias("created_at"), F.col("at").alias("updated_at"),
     )
-    restore_versions = history(back, F.lit("restore"), F.col("_rev"))
+    rejects = state.where(F.col("reason").isNotNull()).select("annotation_id", "seq", "reason").unionByName(bad_restores)
+    return _Pass(untouched, live, restored, new_versions, history(back, F.lit("restore"), F.col("_rev")), rejects)
 
-    rejects = (
-        edits.where(F.col("reason").isNotNull())
-        .select("annotation_id", "seq", "reason")
-        .unionByName(late)
-        .unionByName(bad_restores)
-    )
-    return Edits(
-        untouched.unionByName(kept).unionByName(restored),
-        new_versions.unionByName(restore_versions),
-        rejects,
-    )
+
+def apply_annotation_edits(
+    annotations: DataFrame, versions: DataFrame, log: DataFrame, assets: DataFrame, classes: DataFrame,
+    limit: int = hotkeys.KEY_ROW_LIMIT,
+) -> Edits:
+    """Apply the log in ``seq`` order to live annotations and their history."""
+    if "has_frame" not in log.columns:
+        log = log.withColumn("has_frame", F.lit(False))
+    live, new_versions, refused = [], [], []
+    while True:
+        # Rows that name an id which an earlier restore would make wait for it. Logs seldom have such rows.
+        born = log.where(F.col("op") == "restore").select(
+            new_key(F.col("annotation_id"), F.col("seq")).alias("annotation_id"), F.col("seq").alias("_born")
+        )
+        waiting = log.join(born, "annotation_id").where(F.col("seq") > F.col("_born")).drop("_born")
+        more = not waiting.isEmpty()
+        if more:
+            waiting = staged(waiting, "waiting")
+            log = log.join(waiting.select("annotation_id", "seq"), ["annotation_id", "seq"], "left_anti")
+        step = _apply_once(annotations, versions, log, assets, classes, limit)
+        live += [step.untouched, step.kept]
+        new_versions += [step.versions, step.restore_versions]
+        refused.append(step.rejects)
+        if not more:
+            break
+        annotations, versions, log = staged(step.restored, "restored"), staged(step.restore_versions, "restored"), waiting
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return Edits(union([*live, step.restored]), union(new_versions), union(refused))

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -6,8 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.operators import media, vocabulary
-from labelmill.operators.media_edits import TRACKED, apply_annotation_edits, new_key
+from labelmill.operators import media, media_edits, vocabulary
+from labelmill.operators.media_edits import TRACKED, apply_annotation_edits
 from labelmill.schemas import empty, table_type
 
 T0 = datetime(2026, 2, 1)
@@ -93,6 +94,40 @@ def test_crowded_frames_equal_ordinary_ones(spark):
         assert sorted(map(tuple, media.overlap_pairs(boxes, least, plain_boxes=10).collect())) == want and want
 
 
+def test_crowded_cells_equal_ordinary_ones(spark):
+    rng, rows = random.Random(9), []
+    for i in range(240):
+        if i % 3 == 0:  # of one size, close together: one cell of a size class
+            x, y, w, h = 0.3 + rng.random() * 0.02, 0.3 + rng.random() * 0.02, 0.2 + rng.random() * 0.01, 0.2
+        elif i % 3 == 1:  # small ones spread over one small cell
+            x, y, w, h = 0.502 + rng.random() * 0.004, 0.502 + rng.random() * 0.004, 0.002 + rng.random() * 0.002, 0.003
+        else:  # small ones all in the same place
+            x, y, w, h = 0.7, 0.7 + rng.random() * 1e-5, 0.001 + rng.random() * 0.0005, 0.0011
+        rows.append(box_row(f"{i:04}", "a", (r6(x), r6(y), r6(w), r6(h))))
+    boxes = boxes_df(spark, rows)
+    for least in (0.1, 0.6):
+        want = sorted(map(tuple, media.overlap_pairs(boxes, least).collect()))
+        got = sorted(map(tuple, media.overlap_pairs(boxes, least, plain_boxes=10, cell_boxes=7).collect()))
+        assert got == want and len(want) > 100
+
+
+def test_a_hundred_thousand_boxes_of_one_cell(spark):
+    side = 316
+    at = lambda n: F.round(0.0002 + n * 3e-5, 6)
+    boxes = spark.range(side * side).select(
+        F.format_string("%06d", "id").alias("annotation_id"), F.lit("a").alias("asset_id"), F.lit("bbox").alias("kind"),
+        F.lit(None).cast("bigint").alias("frame_index"), at(F.col("id") % side).alias("x"), at(F.floor(F.col("id") / side)).alias("y"),
+        F.lit(4e-5).alias("box_width"), F.lit(2e-5).alias("box_height"),
+    )
+    cells = media._small_cells(
+        media._distinct_boxes(boxes).withColumns({"right": F.col("x") + F.col("box_width"), "bottom": F.col("y") + F.col("box_height")}), 500
+    )
+    counts = cells.groupBy("ky", "gx", "gy").count().agg(F.max("count"), F.count("*")).first()
+    assert counts[0] <= 500 and counts[1] >= 200
+    # Areas are rounded to six places, so boxes as small as these have none and no share of one another.
+    assert media.overlap_pairs(boxes, 0.1, cell_boxes=500).count() == 0
+
+
 def test_checksum_copies_leave_out_unknown_checksums(spark):
     rows = [("a", "D", None, T0), ("b", "D", None, T0), ("c", "D", "x", T0), ("d", "D", "x", T0)]
     assets = spark.createDataFrame(rows, "asset_id string, dataset_id string, checksum string, created_at timestamp")
@@ -182,7 +217,7 @@ def test_term_list_problems(spark):
 LOG = (
     "seq long, op string, annotation_id string, asset_id string, kind string, label string, x double, y double, "
     "width double, height double, pixel boolean, frame_index double, timestamp_ms double, note string, "
-    "has_note boolean, user_id string, at timestamp"
+    "has_note boolean, user_id string, at timestamp, has_frame boolean"
 )
 NAMES = [c.split()[0] for c in LOG.split(", ")]
 
@@ -191,6 +226,10 @@ class Refused(Exception):
     pass
 
 
+def restored_id(old, seq):
+    return hashlib.sha256(f"{old}\x01{seq}\x01restore".encode()).hexdigest()[:24]
+
+
 def edit_in_turn(live, log, assets):
     """The rules, one edit at a time. Returns (live, versions, rejects)."""
     labels = {"car": "car", "person": "person", "Car": "car", "PERSON": "person"}
@@ -240,8 +279,8 @@ def edit_in_turn(live, log, assets):
                 if cid not in deleted:
                     raise Refused("This annotation is not deleted; edit it instead" if any(v[0] == cid for v in versions) else "No history for this annotation")
                 rev, snap = deleted[cid]
-                live[("restored", cid, e["seq"])] = dict(snap, rev=1, by=e["user_id"])
-                versions.append((("restored", cid, e["seq"]), 1, "restore", (), rev))
+                live[restored_id(cid, e["seq"])] = dict(snap, rev=1, by=e["user_id"])
+                versions.append((restored_id(cid, e["seq"]), 1, "restore", (), rev))
                 continue
             if e["op"] == "create":
                 if cid in live or any(v[0] == cid for v in versions):
@@ -288,8 +327,8 @@ def edit_in_turn(live, log, assets):
                         sides = [s / d for s, d in zip(sides, (a["width"], a["height"]) * 2)]
                     sides = [s if s is not None else old[k] for s, k in zip(sides, "xywh")]
                     new["x"], new["y"], new["w"], new["h"] = normal(*sides)
-                if (e["frame_index"] is not None or e["timestamp_ms"] is not None) and a["kind"] == "video":
-                    f = e["frame_index"] if e["frame_index"] is not None else old["frame"]
+                if (e["frame_index"] is not None or e["timestamp_ms"] is not None or e["has_frame"]) and a["kind"] == "video":
+                    f = e["frame_index"] if e["frame_index"] is not None or e["has_frame"] else old["frame"]
                     ms = e["timestamp_ms"] if e["timestamp_ms"] is not None else old["ms"]
                     new["frame"], new["ms"] = frame(f, ms, a["duration"])
             new["rev"] += 1
@@ -323,8 +362,8 @@ def test_edit_log_equals_editing_in_turn(spark, seed, limit):
     size = lambda: rng.choice([None, None, None, 0.2, 0.6, 2.0, rng.random(), 0.0])
     log = []
     ids = ["old0", "old1", "old2", "old3", "new0", "new1", "new2", "new3"]
-    for seq in range(260):
-        op = rng.choices(["create", "update", "delete", "restore"], [3, 20, 1 if seq > 60 else 0.05, 1])[0]
+    for seq in range(300):
+        op = rng.choices(["create", "update", "delete", "restore"], [3, 20, 2 if seq > 60 else 0.05, 2])[0]
         pixel = rng.random() < 0.2
         box = [side(), side(), size(), size()]
         if rng.random() < 0.3:
@@ -335,12 +374,16 @@ def test_edit_log_equals_editing_in_turn(spark, seed, limit):
             box = [v if v is None else v * 640 for v in box]
             if rng.random() < 0.6 and any(v is not None for v in box):
                 box = [64.0, 48.0, 300.0, 200.0]
+        # Ids that restores make are edited, deleted and restored later in the same log.
+        target = rng.choice(["old0"] * 5 + ids[:8] + ["ghost"] + ids[8:] * 3)
+        if op == "restore":
+            ids.append(restored_id(target, seq))
         log.append(
-            (seq, op, rng.choice(["old0"] * 5 + ids + ["ghost"]), rng.choice(list(assets)) if op == "create" else None,
+            (seq, op, target, rng.choice(list(assets)) if op == "create" else None,
              rng.choice(["bbox", "bbox", "classification", None]) if op == "create" else None,
              rng.choice(["car", "PERSON", "dog", None, None]) if op != "create" else rng.choice(["car", "Car", "person", "dog"]),
              *box, pixel, rng.choice([None, None, None, 3.0, -1.0]), rng.choice([None, None, None, 100.4, 4000.0, 9000.0]),
-             rng.choice([None, "n"]), rng.random() < 0.2, rng.choice(["u1", "u2"]), T0 + timedelta(seconds=seq))
+             rng.choice([None, "n"]), rng.random() < 0.2, rng.choice(["u1", "u2"]), T0 + timedelta(seconds=seq), rng.random() < 0.15)
         )
     sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
     data = spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string")
@@ -349,22 +392,60 @@ def test_edit_log_equals_editing_in_turn(spark, seed, limit):
         spark.createDataFrame(asset_rows, table_type("media_assets")), vocabulary.class_list(data, sets), limit,
     )
     live, versions, rejects = edit_in_turn(start, log, assets)
-    keys = {k: k for k in [*live, *[v[0] for v in versions]] if isinstance(k, str)}
-    for k in [*live, *[v[0] for v in versions]]:
-        if not isinstance(k, str):
-            keys[k] = spark.range(1).select(new_key(F.lit(k[1]), F.lit(k[2]))).first()[0]
     assert sorted(map(tuple, out.rejects.collect())) == sorted(rejects)
     got = [(r.annotation_id, r.revision, r.change_type, tuple(r.changed_fields), r.restored_from) for r in out.versions.collect()]
-    assert sorted(map(str, got)) == sorted(str((keys[v[0]], *v[1:])) for v in versions)
+    assert sorted(map(str, got)) == sorted(map(str, versions))
     after = {
         r.annotation_id: (r.asset_id, r.kind, r.label, r.note, r.x, r.y, r.box_width, r.box_height, r.frame_index, r.timestamp_ms, r.revision)
         for r in out.annotations.collect()
     }
     assert after == {
-        keys[k]: (v["asset"], v["kind"], v["label"], v["note"], v["x"], v["y"], v["w"], v["h"], v["frame"], v["ms"], v["rev"])
+        k: (v["asset"], v["kind"], v["label"], v["note"], v["x"], v["y"], v["w"], v["h"], v["frame"], v["ms"], v["rev"])
         for k, v in live.items()
     }
     assert len(versions) > 20 and len(rejects) > 40
+    assert seed == 3 or any(v[2] == "update" and v[0] in {r[0] for r in versions if r[2] == "restore"} for v in versions)
+
+
+def test_a_frame_is_cleared(spark):
+    assets = [("v", "C", "video", "v", "x", None, 1, "v", 640, 480, None, "p", "pending", 0, None, None, None, "upload", "u", "u", T0, T0)]
+    rows = [("a1", "v", "C", "bbox", "car", 0.1, 0.2, 0.3, 0.4, 7, 300, 640, 480, None, 1, "u", "u", T0, T0)]
+    none = (None,) * 4
+    log = [
+        (0, "update", "a1", None, None, None, *none, False, None, None, None, False, "u", T0, True),
+        (1, "update", "a1", None, None, None, *none, False, None, None, None, False, "u", T0, None),
+        (2, "update", "a1", None, None, None, *none, False, 9.0, None, None, False, "u", T0, True),
+    ]
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    data = spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string")
+    classes = vocabulary.class_list(data, sets)
+    frame = spark.createDataFrame(log, LOG)
+    out = apply_annotation_edits(
+        boxes_df(spark, rows), empty(spark, "media_annotation_versions"), frame, spark.createDataFrame(assets, table_type("media_assets")), classes
+    )
+    got = sorted((r.revision, r.changed_fields, r.snapshot.frame_index, r.snapshot.timestamp_ms) for r in out.versions.collect())
+    assert got == [(2, ["frameIndex"], None, 300), (4, ["frameIndex"], 9, 300)] and out.rejects.isEmpty()
+
+
+def test_edits_sort_the_log_once(spark):
+    """Without hot keys all folds share one exchange of the log by annotation."""
+    log = spark.createDataFrame([], LOG)
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    classes = vocabulary.class_list(spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string"), sets)
+    seen = []
+    keep = media_edits.staged
+    media_edits.staged = lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name)
+    try:
+        apply_annotation_edits(
+            boxes_df(spark, []), empty(spark, "media_annotation_versions"), log, spark.createDataFrame([], table_type("media_assets")), classes
+        )
+    finally:
+        media_edits.staged = keep
+    assert len(seen) == 1
+    plan = seen[0].split("Window")
+    # Between the first window node and the last no exchange stands but those that broadcast labels.
+    inner = "Window".join(plan[1:-1])
+    assert "hashpartitioning" not in inner and len(plan) > 5
 
 
 def test_edits_need_a_label_set_and_keep_whole_notes(spark):
@@ -384,7 +465,7 @@ def test_edits_need_a_label_set_and_keep_whole_notes(spark):
     sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
     data = spark.createDataFrame([("C", "L"), ("D", None)], "dataset_id string, label_set_id string")
     out = apply_annotation_edits(
-        boxes_df(spark, rows), empty(spark, "media_annotation_versions"), spark.createDataFrame(log, LOG),
+        boxes_df(spark, rows), empty(spark, "media_annotation_versions"), spark.createDataFrame([(*r, False) for r in log], LOG),
         spark.createDataFrame(assets, table_type("media_assets")), vocabulary.class_list(data, sets),
     )
     refusal = "This dataset has no label set. Assign one before annotating."
