@@ -1,5 +1,7 @@
+import random
 from datetime import datetime
 
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ def test_pages_agree_shallow_and_deep(comments, monkeypatch):
     deep = [r.comment_id for n in (1, 2, 3) for r in paging.page(comments, "comment_id", n, 2, order).collect()]
     assert shallow == deep == ["4", "2", "1", "5", "3"]
     assert paging.page_count(comments, 2).first()[:] == (5, 3)
+    assert paging.page(comments, "comment_id", 4, 2, order).collect() == []
     with pytest.raises(ValueError):
         paging.page(comments, "comment_id", 0)
 
@@ -109,3 +112,21 @@ def test_readiness_and_warnings(spark):
     mid, warned = got["mid"]
     assert (mid.level, mid.score) == ("needs_work", 100 - 15 - 8 - 8 - 15 - 4)
     assert warned[0].severity == "medium" and warned[1].severity == "low"
+
+
+def test_a_deep_page_reads_one_range(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, "a", "b", "b", "c"]), rng.randrange(50), "wide " * 20) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, kind string, n int, body string")
+    for sort in ([("kind", "asc"), ("n", "desc")], [("n", "desc")], [("kind", "desc")]):
+        index = paging.PageIndex(df, "id", sort, ranges=20)
+        want = [r.id for r in df.orderBy(*paging._order(sort), "id").collect()]
+        for page, limit in ((1, 7), (90, 11), (200, 10), (182, 11), (3, 700)):
+            assert [r.id for r in paging.page(df, "id", page, limit, sort, index).collect()] == want[(page - 1) * limit : page * limit]
+        places = index.places(90, 11)
+        opened = {f.rsplit("/", 2)[1] for f in places.inputFiles()}
+        plan = places._jdf.queryExecution().executedPlan().toString()
+        assert len(index.sizes.collect()) > 5 and "PartitionFilters: [" in plan and opened
+        sizes = index.sizes.where("_before < 990 and _before + _n > 979").count()
+        assert sizes <= 2 and "body" not in index.schema.names
+    assert paging.PageIndex(df.where("id < 0"), "id", [("n", "asc")]).page(1, 5).collect() == []
