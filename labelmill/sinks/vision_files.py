@@ -1,12 +1,21 @@
 """COCO and YOLO files."""
 
 import posixpath
+import sys
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from labelmill.operators.numbering import number_rows
 from labelmill.plans.exports import Coco, Yolo
+from labelmill.sources.listing import located
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def coco_lines(coco: Coco, datasets: DataFrame, date_created: str = "") -> DataFrame:
@@ -95,39 +104,84 @@ def yolo_files(yolo: Yolo, root: str = "../") -> DataFrame:
     return labels.unionByName(names).unionByName(head).unionByName(listed)
 
 
-def write_yolo(yolo: Yolo, path: str, root: str = "../") -> None:
-    """``<path>/<dataset_id>/{classes.txt,data.yaml,labels/*.txt}``.
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task attempt's folder and the files in it."""
 
-    Each task streams its files line by line from sorted rows, so a file of any length takes no more memory.
-    """
-    files = yolo_files(yolo, root)
-    keys = ["dataset_id", "file"]
+    attempt: str
+    files: list[str]
 
-    def write_partition(rows):
-        import uuid
 
-        from pyarrow import fs
+class _TextFilesWriter(DataSourceWriter):
+    """Rows (folder, file, line), sorted by file, to one text file for each folder and file.
 
-        target, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        current, out, temporary = None, None, None
+    A task attempt writes to a folder of its own under one hidden folder of the job. Files get their names when
+    the whole job has succeeded, from the attempts that Spark counts; the hidden folder goes then, or when the
+    job fails, with all that failed and speculative attempts have left.
+    """
 
-        def finish():
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+        self.job = f"{self.path}/.writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator) -> _Written:
+        attempt = f"{self.job}/{uuid.uuid4().hex}"
+        system, base = located(attempt)
+        system.create_dir(base, recursive=True)
+        names, out = [], None
+        try:
+            for folder, file, line in iterator:
+                name = f"{folder}/{file}"
+                if not names or name != names[-1]:
+                    if out is not None:
+                        out.close()
+                    names.append(name)
+                    system.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                    out = system.open_output_stream(f"{base}/{name}")
+                out.write(line.encode() + b"\n")
+        finally:
             if out is not None:
                 out.close()
-                target.move(temporary, current)
-
-        for row in rows:
-            name = posixpath.join(base, row.dataset_id, row.file)
-            if name != current:
-                finish()
-                current = name
-                folder = posixpath.dirname(name)
-                target.create_dir(folder, recursive=True)
-                # Written aside and moved, so a retried task leaves no half file.
-                temporary = posixpath.join(folder, f".{posixpath.basename(name)}-{uuid.uuid4().hex}")
-                out = target.open_output_stream(temporary)
-            out.write(row.line.encode("utf-8") + b"\n")
-        finish()
+        return _Written(attempt, names)
+
+    def commit(self, messages) -> None:
+        system, target = located(self.path)
+        moves = [(f"{located(m.attempt)[1]}/{n}", f"{target}/{n}") for m in messages if m is not None for n in m.files]
+        for folder in {posixpath.dirname(new) for _, new in moves}:
+            system.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda move: system.move(*move), moves))
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        system, hidden = located(self.job)
+        if system.get_file_info(hidden).type.name != "NotFound":
+            system.delete_dir(hidden)
+
+
+class TextFiles(DataSource):
+    """``df.write.format("text_files")``: a text file of any length for each folder and file named in the rows."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "text_files"
+
+    def schema(self) -> str:
+        return "folder string, file string, line string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _TextFilesWriter(self.options["path"])
+
+
+def write_yolo(yolo: Yolo, path: str, root: str = "../") -> None:
+    """``<path>/<dataset_id>/{classes.txt,data.yaml,labels/*.txt}``.
+
+    Each task streams its files line by line from sorted rows, so a file of any length takes no more memory; files
+    appear when all are written.
+    """
+    files = yolo_files(yolo, root)
+    files.sparkSession.dataSource.register(TextFiles)
+    keys = ["dataset_id", "file"]
     ordered = files.repartition(*keys).sortWithinPartitions(*keys, "place")
-    ordered.select(*keys, "line").foreachPartition(write_partition)
+    rows = ordered.select(F.col("dataset_id").alias("folder"), "file", "line")
+    rows.write.format("text_files").mode("append").save(path)

@@ -191,11 +191,3 @@ def read_comment_csv(spark: SparkSession, path: str, multiline: bool = True) ->
         return parsed(read_records(spark, path))
     lines = tag_rows(spark.read.text(path).where(F.trim("value") != ""))
     return parsed(number_tagged(lines).withColumnRenamed("row_no", "record"))
-
-
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes (files up to 2 GB, the limit of one binary value)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.col("path").alias("file"), "length", F.sha2(F.col("content"), 256).alias("checksum")
-    )

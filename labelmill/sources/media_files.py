@@ -1,8 +1,8 @@
 """Catalogue of image and video files: kind, size, checksum, dimensions, duration.
 
-Fixed-offset headers (PNG, GIF, BMP, WebP) are read by column expressions.
-Formats whose size sits behind a chain of segments or boxes (JPEG, TIFF, MP4)
-go through one Arrow function, which gets no bytes of other files.
+A task opens each file, streams its checksum and reads the ranges that tell its size; no column holds a file's bytes.
+Fixed-offset headers (PNG, GIF, BMP, WebP) are column expressions on the first bytes; formats whose size
+sits behind a chain of segments or boxes (JPEG, TIFF, MP4) are walked in the task.
 """
 
 import struct
@@ -10,11 +10,12 @@ import sys
 from dataclasses import dataclass
 from datetime import datetime
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from labelmill.sources.listing import Ranged, list_files, read_each, sha256_of
+from labelmill.staging import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,7 +30,8 @@ VIDEO_TYPES = {
 }
 TIMED_VIDEO = ("mp4", "m4v", "mov")
 
-_PROBED = StructType([StructField(n, LongType()) for n in ("width", "height", "duration_ms")])
+# Enough for the headers at fixed places.
+HEAD_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -89,19 +91,23 @@ def header_size(content: Column) -> Column:
     )
 
 
+def _unpack(layout: str, data: Ranged, at: int) -> tuple:
+    return struct.unpack(layout, data.part(at, struct.calcsize(layout)))
+
+
 # JPEG markers without a length, and those that carry the frame size.
 _JPEG_BARE = {0x01, *range(0xD0, 0xD9)}
 _JPEG_FRAME = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
 
-def jpeg_size(data: bytes):
+def jpeg_size(data: Ranged):
     """(width, height) from the first frame header."""
     at, end = 2, len(data)
     while at + 9 < end:
         at = data.find(b"\xff", at)
         if at < 0 or at + 9 >= end:
             return None
-        marker = data[at + 1]
+        marker = data.part(at + 1, 1)[0]
         if marker == 0xFF:
             at += 1
         elif marker in _JPEG_BARE:
@@ -109,38 +115,38 @@ def jpeg_size(data: bytes):
         elif marker in (0xD9, 0xDA):
             return None
         else:
-            (length,) = struct.unpack_from(">H", data, at + 2)
+            (length,) = _unpack(">H", data, at + 2)
             if marker in _JPEG_FRAME:
-                height, width = struct.unpack_from(">HH", data, at + 5)
+                height, width = _unpack(">HH", data, at + 5)
                 return width, height
             at += 2 + length
     return None
 
 
-def tiff_size(data: bytes):
+def tiff_size(data: Ranged):
     """(width, height) from tags 256 and 257 of the first directory."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    order = {b"II": "<", b"MM": ">"}.get(data.part(0, 2))
     if order is None or len(data) < 8:
         return None
-    (start,) = struct.unpack_from(order + "I", data, 4)
+    (start,) = _unpack(order + "I", data, 4)
     if start + 2 > len(data):
         return None
-    (entries,) = struct.unpack_from(order + "H", data, start)
+    (entries,) = _unpack(order + "H", data, start)
     sides = {}
     for base in range(start + 2, min(start + 2 + 12 * entries, len(data) - 11), 12):
-        tag, kind = struct.unpack_from(order + "HH", data, base)
+        tag, kind = _unpack(order + "HH", data, base)
         if tag in (256, 257) and kind in (3, 4):
-            (sides[tag],) = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, base + 8)
+            (sides[tag],) = _unpack(order + ("H" if kind == 3 else "I"), data, base + 8)
     return (sides[256], sides[257]) if sides.get(256) and sides.get(257) else None
 
 
-def mp4_boxes(data: bytes, start: int, end: int):
+def mp4_boxes(data: Ranged, start: int, end: int):
     """(type, body start, end) of the boxes in a byte range; stops at a malformed one."""
     while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
+        size, kind = _unpack(">I4s", data, start)
         header = 8
         if size == 1 and start + 16 <= end:
-            (size,) = struct.unpack_from(">Q", data, start + 8)
+            (size,) = _unpack(">Q", data, start + 8)
             header = 16
         elif size == 0:
             size = end - start
@@ -150,7 +156,7 @@ def mp4_boxes(data: bytes, start: int, end: int):
         start += size
 
 
-def mp4_duration_ms(data: bytes):
+def mp4_duration_ms(data: Ranged):
     """Duration from ``moov/mvhd``."""
     for kind, start, end in mp4_boxes(data, 0, len(data)):
         if kind != b"moov":
@@ -158,27 +164,26 @@ def mp4_duration_ms(data: bytes):
         for inner, body, stop in mp4_boxes(data, start, end):
             if inner != b"mvhd":
                 continue
-            layout, need = (">IQ", 32) if data[body] == 1 else (">II", 20)
+            layout, need = (">IQ", 32) if data.part(body, 1) == b"\x01" else (">II", 20)
             if body + need > stop:
                 return None
-            scale, duration = struct.unpack_from(layout, data, body + (20 if data[body] == 1 else 12))
+            scale, duration = _unpack(layout, data, body + (20 if layout == ">IQ" else 12))
             return int(duration / scale * 1000 + 0.5) if scale else None
     return None
 
 
-@F.pandas_udf(_PROBED)
-def _walk(content: pd.Series, how: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data, form in zip(content, how):
-        width = height = duration = None
-        if data is not None and form == "mp4":
-            duration = mp4_duration_ms(data)
-        elif data is not None:
-            size = jpeg_size(data) if form == "jpeg" else tiff_size(data)
-            if size and size[0] > 0 and size[1] > 0:
-                width, height = size
-        rows.append((width, height, duration))
-    return pd.DataFrame(rows, columns=["width", "height", "duration_ms"]).astype("Int64")
+def probe(file, row: dict) -> tuple:
+    """SHA-256, first bytes, and the sides and duration of a file whose format must be walked."""
+    data = Ranged(file, row["length"])
+    head = data.part(0, min(HEAD_BYTES, len(data)))
+    width = height = duration = None
+    if row["extension"] in TIMED_VIDEO:
+        duration = mp4_duration_ms(data)
+    elif row["extension"] in IMAGE_TYPES:
+        size = jpeg_size(data) if head[:2] == b"\xff\xd8" else tiff_size(data) if head[:2] in (b"II", b"MM") else None
+        if size and size[0] > 0 and size[1] > 0:
+            width, height = size
+    return sha256_of(file), head, width, height, duration
 
 
 def _name() -> Column:
@@ -195,7 +200,8 @@ def _problem(limits: Limits) -> Column:
     most = F.col("length") if limits.max_bytes is None else F.lit(limits.max_bytes)
     megabytes = round((limits.max_bytes or 0) / (1024 * 1024))
     return (
-        F.when(F.col("length") > most, F.lit(f"File exceeds the {megabytes} MB limit"))
+        F.when(F.col("length") == 0, F.lit("Uploaded file is empty"))
+        .when(F.col("length") > most, F.lit(f"File exceeds the {megabytes} MB limit"))
         .when(F.col("extension") == "", F.concat(F.lit('"'), F.col("file_name"), F.lit('" has no file extension')))
         .when(
             ~F.col("extension").isin(allowed),
@@ -216,46 +222,30 @@ def media_catalog(
 ) -> Catalog:
     """Files under ``path`` as pending assets, and the refused ones with the reason.
 
-    Spark scans skip empty files, so those appear in neither table. Oversize
-    files are dropped by the pushed-down length filter, before their bytes are read. Byte copies within the dataset are left to
-    ``checksum_duplicates``.
+    Empty, oversize and unknown files are refused by what the listing tells, before they are opened. Byte copies
+    within the dataset are left to ``checksum_duplicates``.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = list_files(spark, path).select("path", "length", _name().alias("file_name"), _extension().alias("extension"))
+    listed = staged(listed.withColumn("reason", _problem(limits)), "media-listing")
+    early = listed.where("reason is not null")
+    fitting = listed.where("reason is null").drop("reason")
+    read = read_each(
+        fitting, probe, "checksum string, head binary, walked_width bigint, walked_height bigint, duration_ms bigint"
     )
-    listed = files.select("path", "length", _name().alias("file_name"), _extension().alias("extension"))
-    early = listed.withColumn("reason", _problem(limits)).where("reason is not null")
-
-    fitting = files if limits.max_bytes is None else files.where(F.col("length") <= limits.max_bytes)
-    read = fitting.select(
-        "path", "length", "content", _name().alias("file_name"), _extension().alias("extension")
-    ).where(F.col("extension").isin([*IMAGE_TYPES, *VIDEO_TYPES]))
+    # Two tables read what the files told, and they are opened once.
+    read = staged(read, "media-probed")
     image = F.col("extension").isin(list(IMAGE_TYPES))
-    start = _hex(F.col("content"), 0, 2)
-    form = (
-        F.when(image & (start == "FFD8"), "jpeg")
-        .when(image & start.isin("4949", "4D4D"), "tiff")
-        .when(F.col("extension").isin(*TIMED_VIDEO), "mp4")
-    )
     types = F.create_map(*[F.lit(v) for kv in {**IMAGE_TYPES, **VIDEO_TYPES}.items() for v in kv])
     now = F.lit(as_of).cast("timestamp")
     nobody = F.lit(None).cast("string")
-    # Everything that needs the bytes is computed here, below the Python step, and only once.
-    headed = read.select(
-        "path", "file_name", "extension", F.col("length").alias("size_bytes"),
-        F.sha2(F.col("content"), 256).alias("checksum"),
-        F.when(image, "image").otherwise("video").alias("kind"),
-        types[F.col("extension")].alias("mime_type"),
-        F.when(image, header_size(F.col("content"))).alias("head"), form.alias("form"),
-        F.when(form.isNotNull(), F.col("content")).alias("bytes"),
+    probed = read.select(
+        "path", "file_name", "extension", F.col("length").alias("size_bytes"), "checksum", "duration_ms",
+        F.when(image, "image").otherwise("video").alias("kind"), types[F.col("extension")].alias("mime_type"),
+        F.when(image, header_size(F.col("head"))).alias("_fixed"), "walked_width", "walked_height",
     )
-    walked = headed.withColumn("walk", _walk(F.col("bytes"), F.col("form"))).drop("bytes", "form")
-    probed = walked.withColumns(
-        {
-            "width": F.coalesce("walk.width", "head.width"), "height": F.coalesce("walk.height", "head.height"),
-            "duration_ms": F.col("walk.duration_ms"),
-        }
-    ).drop("walk", "head")
+    probed = probed.withColumns(
+        {"width": F.coalesce("walked_width", "_fixed.width"), "height": F.coalesce("walked_height", "_fixed.height")}
+    ).drop("walked_width", "walked_height", "_fixed")
     real = (F.col("width") > 0) & (F.col("height") > 0)
     probed = probed.withColumns(
         {"width": F.when(real, F.col("width")), "height": F.when(real, F.col("height"))}

@@ -1,6 +1,8 @@
 """Sources and sinks that touch files."""
 
 import glob
+import hashlib
+import io
 import json
 import os
 import struct
@@ -14,7 +16,7 @@ from labelmill.operators import media, splits
 from labelmill.plans import exports
 from labelmill.schemas import TABLES, table_type
 from labelmill.sinks import text_files, vision_files
-from labelmill.sources import media_files, tables
+from labelmill.sources import listing, media_files, tables
 
 T0 = datetime(2026, 2, 1)
 
@@ -87,13 +89,51 @@ def test_media_catalog(spark, tmp_path):
     assert got["a.png"].kind == "image" and got["m1.mov"].mime_type == "video/quicktime" and got["big.JPG"].extension == "jpg"
     assert set(found.assets.columns) == set(table_type("media_assets").names)
     why = {r.file_name: r.reason for r in found.rejects.collect()}
-    assert set(why) == {"none", "x.txt", "huge.png", "fat.png"}
+    assert set(why) == {"none", "x.txt", "huge.png", "fat.png", "empty.png"}
+    assert why["empty.png"] == "Uploaded file is empty"
+    assert {r.checksum for r in found.assets.collect()} >= {hashlib.sha256(data).hexdigest() for data, *_ in FILES.values()}
+    plan = found.assets._jdf.queryExecution().toString()
+    assert "content" not in plan and "binaryFile" not in plan
     assert "no file extension" in why["none"] and why["x.txt"].startswith('Unsupported file type ".txt"')
     assert "90000x90000 (8100000000 pixels)" in why["huge.png"] and "exceeds" in why["fat.png"]
     copies = media.checksum_duplicates(found.assets)
     assert copies.count() == 1
     report = media_files.upload_report(found.assets.join(copies, "asset_id", "left_anti"), copies, found.rejects)
-    assert report.agg(F.sum("files")).first()[0] == len(FILES) + 5
+    assert report.agg(F.sum("files")).first()[0] == len(FILES) + 6
+
+
+def test_a_video_over_two_gigabytes(spark, tmp_path):
+    lead = 2_300_000_000
+    whole = mp4(65000)
+    moov = whole[whole.index(b"moov") - 4 :]
+    with open(tmp_path / "long film.mp4", "wb") as f:
+        f.write(struct.pack(">I4s", 16, b"ftyp") + b"isom\0\0\0\0" + struct.pack(">I4sQ", 1, b"mdat", 16 + lead))
+        # A hole: no blocks of the disk are used.
+        f.seek(lead, os.SEEK_CUR)
+        f.write(moov)
+    row = media_files.media_catalog(spark, str(tmp_path), "D", "u", T0).assets.first()
+    assert (row.duration_ms, row.size_bytes, row.file_name) == (65000, 32 + lead + len(moov), "long film.mp4")
+    with open(tmp_path / "long film.mp4", "rb") as f:
+        assert row.checksum == hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def test_listing_of_folders(spark, tmp_path):
+    for name in ("a/b/c/x.txt", "a/y z.txt", "_hidden/x", "a/.hidden", "top"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "none").mkdir()
+    want = {f"file:{tmp_path}/{n}": len(n) for n in ("a/b/c/x.txt", "a/y z.txt", "top")}
+    for path in (str(tmp_path), f"file:{tmp_path}"):
+        assert {r.path: r.length for r in listing.list_files(spark, path).collect()} == want
+    assert listing.list_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_ranges_equal_slices():
+    data = bytes(range(256)) * 40
+    ranged = listing.Ranged(io.BytesIO(data), len(data), block=100)
+    assert all(ranged.part(at, n) == data[at : at + n] for at in (0, 99, 100, 5000, 10_239) for n in (0, 1, 150, 3000))
+    assert ranged.find(b"\xff", 0) == 255 and ranged.find(b"\x05", 10_000) == data.find(b"\x05", 10_000)
+    assert ranged.find(b"\x00", len(data) - 3) == -1
 
 
 def test_tables_keep_declared_shape(spark, tmp_path):
@@ -206,6 +246,28 @@ def test_yolo_files(vision, tmp_path):
     assert not [p for p in glob.glob(f"{tmp_path}/C/**/.*", recursive=True) if os.path.isfile(p)]
 
 
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(vision_files.TextFiles)
+    rows = spark.range(1000).select(
+        F.lit("C").alias("folder"), F.format_string("labels/%03d.txt", F.col("id") % 50).alias("file"),
+        F.when(F.col("id") == 777, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("line"),
+    )
+    rows = rows.repartition("file").sortWithinPartitions("file")
+    with pytest.raises(Exception, match="broken"):
+        rows.write.format("text_files").mode("append").save(str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
+def test_files_of_attempts_that_do_not_count_are_dropped(tmp_path):
+    writer = vision_files._TextFilesWriter(str(tmp_path))
+    first, second = (writer.write(iter([("C", "a.txt", "1"), ("C", "a.txt", "2"), ("D", "x/b.txt", str(n))])) for n in range(2))
+    with pytest.raises(ValueError):
+        writer.write(line for line in [("C", "c.txt", "1"), ("C",)])
+    writer.commit([second, None])
+    found = {p.relative_to(tmp_path).as_posix(): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"C/a.txt": "1\n2\n", "D/x/b.txt": "1\n"} and sorted(os.listdir(tmp_path)) == ["C", "D"]
+
+
 def test_files_with_different_headers(spark, tmp_path):
     from labelmill.sources.comment_csv import read_comment_csv
 

@@ -1,13 +1,15 @@
 import csv
 import io
 import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelmill.operators import ingest
-from labelmill.sources.comment_csv import file_checksums, normalize_headers, read_comment_csv, read_records
+from labelmill.sources.comment_csv import normalize_headers, read_comment_csv, read_records
+from labelmill.sources.listing import file_checksums
 
 NOW = datetime(2026, 2, 1)
 
@@ -190,3 +192,33 @@ def test_rename_equals_the_rule_in_turn(spark, seed, limit):
     df = spark.createDataFrame([("f", n, i, t, None, None) for n, (i, t) in enumerate(rows)], "file string, row_no long, id string, comment_text string, sentiment string, type string")
     got = ingest.dedupe_rows(df, "file", "rename", limit).orderBy("row_no").collect()
     assert [(r.source_id, r.outcome) for r in got] == rename_in_turn(rows)
+
+
+def moved_texts(plan):
+    """Exchanges of a plan that carry a text column."""
+    blocks = plan.split("\n\n")
+    return [b for b in blocks if re.match(r"\(\d+\) (Shuffle)?Exchange", b) and re.search(r"(comment_text|text)#", b)]
+
+
+@pytest.mark.parametrize("strategy", ["skip", "rename"])
+def test_import_moves_no_text(spark, monkeypatch, strategy):
+    rows = [("d", i, f"r{i % 40}", f"text {i}" if i % 9 else "", "positive", "english") for i in range(60)]
+    df = spark.createDataFrame(rows, "dataset_id string, row_no long, id string, comment_text string, sentiment string, type string")
+    existing = spark.createDataFrame([("d", "r3"), ("d", "r5-dup1"), ("e", "r7"), ("d", "r3")], "dataset_id string, source_id string")
+    plans, keep = [], ingest.staged
+
+    def noted(table, name):
+        if name == "import":
+            plans.append(spark._jvm.PythonSQLUtils.explainString(table._jdf.queryExecution(), "formatted"))
+        return keep(table, name)
+
+    monkeypatch.setattr(ingest, "staged", noted)
+    result = ingest.import_comments(df, "u", NOW, strategy, existing=existing)
+    assert len(plans) == 1 and moved_texts(plans[0]) == []
+    monkeypatch.setattr(ingest, "broadcast_if_small", lambda table: table.hint("shuffle_hash"))
+    again = ingest.import_comments(df, "u", NOW, strategy, existing=existing)
+    assert len(moved_texts(plans[1])) == 1
+    for name in ("comments", "rejects", "messages", "report"):
+        assert sorted(map(str, getattr(result, name).collect())) == sorted(map(str, getattr(again, name).collect()))
+    reasons = {r.source_id: r.reason for r in result.rejects.collect() if r.reason == "exists"}
+    assert reasons == ({"r3": "exists", "r5-dup1": "exists"} if strategy == "rename" else {"r3": "exists"})
