@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import labels
 from labelmill.functions.text import clip_preview, trimmed
 from labelmill.operators import hotkeys
+from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
 
 # How many messages, ids and sample rows a report or a preview shows.
@@ -35,48 +36,55 @@ def _source_id() -> Column:
     return F.coalesce(trimmed(F.col("id").cast("string")), F.lit(""))
 
 
-def mark_rows(rows: DataFrame, scope: str) -> DataFrame:
-    """Add source_id, text, and ``outcome``: keep, missing or duplicate (of an earlier valid row).
-
-    The first row of each id is a map-side minimum; the flag comes back by row
-    number, so an id repeated on a third of all rows spreads evenly.
-    """
-    cleaned = rows.withColumns(
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """Rows with trimmed ``source_id`` and ``text``, and whether they have both."""
+    return rows.withColumns(
         {
             "source_id": _source_id(),
             "text": F.coalesce(trimmed(F.col("comment_text")), F.lit("")),
         }
     ).withColumn("_valid", (F.col("source_id") != "") & (F.col("text") != ""))
-    firsts = (
-        cleaned.where("_valid")
-        .groupBy(scope, "source_id")
-        .agg(F.min("row_no").alias("row_no"))
-        .select(scope, "row_no", F.lit(True).alias("_first"))
-    )
-    outcome = F.when(~F.col("_valid"), "missing").when(F.col("_first"), "keep").otherwise("duplicate")
-    return (
-        cleaned.join(firsts, [scope, "row_no"], "left")
-        .withColumn("outcome", outcome)
-        .drop("_first", "_valid", "id", "comment_text")
-    )
+
+
+def _clashes(cleaned: DataFrame, scope: str) -> DataFrame:
+    """``scope, row_no, source_id`` of the valid rows behind the first of their id.
+
+    The first row of each id is a map-side minimum, and the others are what is left by row
+    number, so an id repeated on a third of all rows spreads evenly. Texts stay where they are.
+    """
+    narrow = cleaned.where("_valid").select(scope, "row_no", "source_id")
+    firsts = narrow.groupBy(scope, "source_id").agg(F.min("row_no").alias("row_no")).select(scope, "row_no")
+    return narrow.join(firsts, [scope, "row_no"], "left_anti")
+
+
+def _outcomes(cleaned: DataFrame, found: DataFrame, scope: str) -> DataFrame:
+    """``cleaned`` with the columns of ``found`` for its rows (scope, row_no) and ``outcome`` for the others.
+
+    Only what became of unusual rows travels: to every task when it is small, else rows meet it in one exchange.
+    """
+    usual = F.when(~F.col("_valid"), "missing").otherwise("keep")
+    joined = cleaned.join(broadcast_if_small(found.withColumnRenamed("outcome", "_found")), [scope, "row_no"], "left")
+    return joined.withColumn("outcome", F.coalesce("_found", usual)).drop("_found", "_valid", "id", "comment_text")
+
+
+def mark_rows(rows: DataFrame, scope: str) -> DataFrame:
+    """Add source_id, text, and ``outcome``: keep, missing or duplicate (of an earlier valid row)."""
+    cleaned = _cleaned(rows)
+    clashes = staged(_clashes(cleaned, scope).select(scope, "row_no", F.lit("duplicate").alias("outcome")), "clashes")
+    return _outcomes(cleaned, clashes, scope)
 
 
 def renamed_ids(
-    marked: DataFrame, rows: DataFrame, scope: str, limit: int = hotkeys.KEY_ROW_LIMIT
+    clashes: DataFrame, rows: DataFrame, scope: str, limit: int = hotkeys.KEY_ROW_LIMIT
 ) -> DataFrame:
-    """``scope, row_no, new_id``: the k-th copy of ``x`` gets the k-th free ``x-dupN``.
+    """``scope, row_no, new_id`` of clashing rows: the k-th copy of ``x`` gets the k-th free ``x-dupN``.
 
     N is free when no raw id in the scope is ``x-dupN``. With o the copy's
     ordinal and b_1 < b_2 < … the taken numbers, N = o + #{i : b_i - i < o},
     so one running count replaces trying names in turn. The last ``-dupN``
     names the base, so ids of different bases never clash.
     """
-    copies = staged(
-        marked.where(F.col("outcome") == "duplicate").select(
-            scope, F.col("source_id").alias("base"), "row_no"
-        ),
-        "copies",
-    )
+    copies = clashes.select(scope, F.col("source_id").alias("base"), "row_no")
     key = [scope, "base"]
     cut = hotkeys.cut_keys(copies, key, "row_no", limit)
     copies = hotkeys.row_number(copies, cut, ["row_no"], "_o")
@@ -108,30 +116,39 @@ def renamed_ids(
 
 
 def dedupe_rows(
-    rows: DataFrame, scope: str, strategy: str = "skip", limit: int = hotkeys.KEY_ROW_LIMIT
+    rows: DataFrame, scope: str, strategy: str = "skip", limit: int = hotkeys.KEY_ROW_LIMIT, existing: DataFrame | None = None
 ) -> DataFrame:
-    """Marked rows with ``outcome`` keep, missing, duplicate or renamed and a ``message`` per clash."""
+    """Marked rows with ``outcome`` keep, missing, duplicate, renamed or exists and a ``message`` per clash.
+
+    ``existing`` holds keys (scope, source_id) that are taken already; the rows that would get them have the outcome exists.
+    """
     if strategy not in ("skip", "rename"):
         raise ValueError("strategy must be skip or rename")
-    marked = mark_rows(rows, scope)
+    cleaned = _cleaned(rows)
+    clashes = staged(_clashes(cleaned, scope), "clashes")
     if strategy == "skip":
-        message = F.concat(
-            F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"), F.lit(" skipped")
+        new_id, outcome, what = F.lit(None).cast("string"), "duplicate", F.lit(" skipped")
+        found = clashes.withColumn("new_id", new_id)
+    else:
+        outcome, what = "renamed", F.concat(F.lit(" renamed to "), _quoted("new_id"))
+        found = clashes.join(renamed_ids(clashes, rows, scope, limit), [scope, "row_no"])
+    message = F.concat(F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"), what)
+    found = found.select(scope, "row_no", F.lit(outcome).alias("outcome"), "new_id", message.alias("message"))
+    if existing is not None:
+        found = staged(found, "outcomes")
+        firsts = cleaned.where("_valid").select(scope, "row_no", "source_id").join(clashes, [scope, "row_no"], "left_anti")
+        none = F.lit(None).cast("string")
+        wanted = firsts.select(scope, "row_no", "source_id", none.alias("new_id"), none.alias("message")).unionByName(
+            found.where("outcome = 'renamed'").select(scope, "row_no", F.col("new_id").alias("source_id"), "new_id", "message")
         )
-        return marked.withColumn("message", F.when(F.col("outcome") == "duplicate", message))
-    named = marked.join(renamed_ids(marked, rows, scope, limit), [scope, "row_no"], "left")
-    message = F.concat(
-        F.lit("Row "), _line(), F.lit(": duplicate id "), _quoted("source_id"),
-        F.lit(" renamed to "), _quoted("new_id"),
-    )
-    again = F.col("outcome") == "duplicate"
-    return named.withColumns(
-        {
-            "message": F.when(again, message),
-            "source_id": F.when(again, F.col("new_id")).otherwise(F.col("source_id")),
-            "outcome": F.when(again, F.lit("renamed")).otherwise(F.col("outcome")),
-        }
-    ).drop("new_id")
+        # Keys only, of the scopes that the rows have.
+        taken = existing.select(scope, "source_id").join(broadcast_if_small(rows.select(scope).distinct()), scope, "left_semi")
+        there = staged(wanted.join(taken, [scope, "source_id"], "left_semi"), "existing")
+        found = found.join(there.select(scope, "row_no"), [scope, "row_no"], "left_anti").unionByName(
+            there.select(scope, "row_no", F.lit("exists").alias("outcome"), "new_id", "message")
+        )
+    marked = _outcomes(cleaned, staged(found, "outcomes"), scope)
+    return marked.withColumn("source_id", F.coalesce("new_id", "source_id")).drop("new_id")
 
 
 def comment_key(dataset_id: Column, source_id: Column) -> Column:
@@ -169,17 +186,10 @@ def import_comments(
     ``options`` (dataset_id, sentiments, types) when given. Keys already in
     ``existing`` are skipped and counted.
     """
-    checked = dedupe_rows(rows, "dataset_id", strategy, limit)
+    checked = dedupe_rows(rows, "dataset_id", strategy, limit, existing)
     wanted = F.col("outcome").isin("keep", "renamed")
-    if existing is not None:
-        known = existing.select("dataset_id", "source_id", F.lit(True).alias("_known")).distinct()
-        fresh = checked.where(wanted).join(known, ["dataset_id", "source_id"], "left")
-        fresh = fresh.withColumn(
-            "outcome", F.when(F.col("_known"), "exists").otherwise(F.col("outcome"))
-        ).drop("_known")
-        checked = fresh.unionByName(checked.where(~wanted))
     if options is not None:
-        labelled = checked.join(options, "dataset_id", "left")
+        labelled = checked.join(broadcast_if_small(options), "dataset_id", "left")
 
         def coerced(column, allowed, fallback):
             cleaned = trimmed(F.lower(F.col(column)))

@@ -204,7 +204,7 @@ def moved_texts(plan):
 def test_import_moves_no_text(spark, monkeypatch, strategy):
     rows = [("d", i, f"r{i % 40}", f"text {i}" if i % 9 else "", "positive", "english") for i in range(60)]
     df = spark.createDataFrame(rows, "dataset_id string, row_no long, id string, comment_text string, sentiment string, type string")
-    existing = spark.createDataFrame([("d", "r3"), ("d", "r5-dup1"), ("e", "r7"), ("d", "r3")], "dataset_id string, source_id string")
+    existing = spark.createDataFrame([("d", "r3"), ("d", "r6-dup1"), ("e", "r7"), ("d", "r3")], "dataset_id string, source_id string")
     plans, keep = [], ingest.staged
 
     def noted(table, name):
@@ -221,4 +221,4 @@ def test_import_moves_no_text(spark, monkeypatch, strategy):
     for name in ("comments", "rejects", "messages", "report"):
         assert sorted(map(str, getattr(result, name).collect())) == sorted(map(str, getattr(again, name).collect()))
     reasons = {r.source_id: r.reason for r in result.rejects.collect() if r.reason == "exists"}
-    assert reasons == ({"r3": "exists", "r5-dup1": "exists"} if strategy == "rename" else {"r3": "exists"})
+    assert reasons == ({"r3": "exists", "r6-dup1": "exists"} if strategy == "rename" else {"r3": "exists"})
