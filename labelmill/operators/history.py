@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from labelmill.functions.labels import derive_status
 from labelmill.functions.text import trimmed
 from labelmill.operators import hotkeys
+from labelmill.operators.sizes import broadcast_if_small
 from labelmill.operators.vocabulary import check_labels
 from labelmill.staging import staged
 
@@ -46,57 +47,58 @@ def _changed(old: str, new: str) -> Column:
 
 def fold_patches(
     comments: DataFrame, patches: DataFrame, options: DataFrame, limit: int = hotkeys.KEY_ROW_LIMIT
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, hotkeys.Cut]:
     """Patches (comment_id, seq, sentiment, type, note, has_note, user_id, at) to effective changes.
 
-    Returns (effective patches with the state after each, refused patches).
-    A null sentiment or type means "leave", ``has_note`` marks a set note,
-    null included.
+    Returns (effective patches with the state after each, refused patches, the cut of much patched comments).
+    A null sentiment or type means "leave", ``has_note`` marks a set note, null included. A comment stands
+    in line before its patches, so the log is partitioned and sorted once, and refused patches stay in line without effect.
     """
-    base = comments.select(
-        "comment_id", "dataset_id",
-        *[F.col(c).alias(f"_b_{c}") for c in ("sentiment", "type", "note", "status", "version")],
-    )
-    owned = patches.join(base, "comment_id", "left")
-    checked = check_labels(owned, options)
+    base = F.struct("dataset_id", "sentiment", "type", "note", "status", "version")
+    named = comments.join(patches.select("comment_id").distinct(), "comment_id", "left_semi")
+    start = named.select("comment_id", F.lit(0).alias("_late"), base.alias("_base"))
+    late = patches.select("comment_id", "seq", "sentiment", "type", "note", "has_note", "user_id", "at", F.lit(1).alias("_late"))
+    order = ["_late", "seq"]
+    cut = hotkeys.cut_keys(late, ["comment_id"], order, limit)
+    rows = late.unionByName(start, allowMissingColumns=True)
+    rows = hotkeys.scan(rows, cut, order, {"_b": ("last", F.col("_base"))}).where("_late = 1").drop("_base")
+    checked = check_labels(rows.withColumn("dataset_id", F.col("_b.dataset_id")), options)
     reason = (
         F.when(F.col("dataset_id").isNull(), F.lit("Comment not found"))
         .when(F.col("bad_label").isNotNull(), F.concat(F.lit("Invalid "), F.col("bad_label"), F.lit(" value")))
     )
     checked = checked.withColumn("reason", reason).drop("bad_label")
     refused = checked.where(F.col("reason").isNotNull())
-    # A set note travels in a struct, so a note set to null is not lost by ignorenulls.
-    valid = (
-        checked.where(F.col("reason").isNull())
-        .drop("reason")
-        .withColumn("_set_note", F.when(F.col("has_note"), F.struct(F.col("note").alias("v"))))
-    )
-    cut = hotkeys.cut_keys(patches, ["comment_id"], "seq", limit)
-    state = hotkeys.fill_forward(
-        valid, cut, ["seq"],
-        {"_f_sentiment": "sentiment", "_f_type": "type", "_f_note": "_set_note"},
+    good = F.col("reason").isNull()
+    # A set note travels in a struct, so a note set to null is not lost by ignoring nulls.
+    state = hotkeys.scan(
+        checked, cut, order,
+        {
+            "_f_sentiment": ("last", F.when(good, F.col("sentiment"))), "_f_type": ("last", F.when(good, F.col("type"))),
+            "_f_note": ("last", F.when(good & F.col("has_note"), F.struct(F.col("note").alias("v")))),
+        },
     ).withColumns(
         {
-            "_sentiment": F.coalesce("_f_sentiment", "_b_sentiment"),
-            "_type": F.coalesce("_f_type", "_b_type"),
-            "_note": F.when(F.col("_f_note").isNull(), F.col("_b_note")).otherwise(F.col("_f_note.v")),
+            "_sentiment": F.coalesce("_f_sentiment", "_b.sentiment"),
+            "_type": F.coalesce("_f_type", "_b.type"),
+            "_note": F.when(F.col("_f_note").isNull(), F.col("_b.note")).otherwise(F.col("_f_note.v")),
         }
     )
     fields = ["_sentiment", "_type", "_note"]
-    state = hotkeys.previous_row(state, cut, ["seq"], fields, "_prev")
+    state = hotkeys.previous_row(state, cut, order, fields, "_prev")
     state = state.withColumns(
         {
-            f"_old{f}": F.when(F.col("_prev").isNull(), F.col(f"_b{f}")).otherwise(F.col(f"_prev.{f}"))
+            f"_old{f}": F.when(F.col("_prev").isNull(), F.col(f"_b.{f[1:]}")).otherwise(F.col(f"_prev.{f}"))
             for f in fields
         }
     )
-    effective = state.where(
+    effective = (
         _changed("_old_sentiment", "_sentiment")
         | _changed("_old_type", "_type")
         | _changed("_old_note", "_note")
     )
-    numbered = hotkeys.row_number(effective, cut, ["seq"], "_n")
-    old_status = F.when(F.col("_n") == 1, F.col("_b_status")).otherwise(
+    numbered = hotkeys.scan(state, cut, order, {"_n": ("sum", effective.cast("bigint"))}).where(effective)
+    old_status = F.when(F.col("_n") == 1, F.col("_b.status")).otherwise(
         derive_status(F.col("_old_sentiment"), F.col("_old_type"))
     )
     folded = numbered.withColumns(
@@ -111,11 +113,23 @@ def fold_patches(
         )
     )
     out = folded.select(
-        "comment_id", "dataset_id", "seq", (F.col("_b_version") + F.col("_n")).alias("version"),
+        "comment_id", "dataset_id", "seq", (F.col("_b.version") + F.col("_n")).alias("version"),
         F.col("_sentiment").alias("sentiment"), F.col("_type").alias("type"), "status",
         F.col("_note").alias("note"), fields_changed.alias("changed_fields"), "user_id", "at",
     )
-    return out, refused.select("comment_id", "seq", "reason")
+    return out, refused.select("comment_id", "seq", "reason"), cut
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame, cut: hotkeys.Cut) -> DataFrame:
+    """``rows`` with the columns of ``texts`` (one row a comment). Much patched comments are few, so theirs are sent to
+    the rows where they are when small; the other rows meet theirs by comment."""
+    if cut.hot is None:
+        return rows.join(texts, "comment_id")
+    hot = staged(cut.hot.select(F.col("_h_comment_id").alias("comment_id")), "hot-ids")
+    theirs = broadcast_if_small(staged(texts.join(F.broadcast(hot), "comment_id", "left_semi"), "hot-texts"))
+    return rows.join(theirs, "comment_id").unionByName(
+        rows.join(F.broadcast(hot), "comment_id", "left_anti").join(texts, "comment_id")
+    )
 
 
 def _latest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -142,7 +156,7 @@ def apply_annotations(
     limit: int = hotkeys.KEY_ROW_LIMIT,
 ) -> Changes:
     """Apply a patch log in order; one version per patch that changes something."""
-    folded, refused = fold_patches(comments, patches, options, limit)
+    folded, refused, cut = fold_patches(comments, patches, options, limit)
     # The new state and the versions both read the folded log, which is narrow, so it is written once.
     folded = staged(folded, "folded")
     last = _latest(folded, ["sentiment", "type", "status", "note", "version", "user_id", "at"])
@@ -156,7 +170,7 @@ def apply_annotations(
     )
     text = comments.select("comment_id", "text", "assigned_to")
     versions = version_rows(
-        folded.join(text, "comment_id").withColumns(
+        _with_texts(folded, text, cut).withColumns(
             {
                 "annotated_by": F.col("user_id"), "annotated_at": F.col("at"),
                 "changed_by": F.col("user_id"), "created_at": F.col("at"),
