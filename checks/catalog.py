@@ -27,6 +27,7 @@ from labelmill.schemas import table_type
 from labelmill.sinks import text_files, vision_files
 from labelmill.sources import comment_csv, tables
 from labelmill.staging import shared_dir, staged
+from labelmill.sinks.partitioned import PartitionedTable, delete_cascade
 from labelmill.streaming import activity, annotations, imports, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,6 +600,18 @@ def _(t):
     return paging.page(t.comments, "comment_id", page=3, limit=50).select("comment_id", secs("created_at").alias("created_s"))
 
 
+@check(
+    "deep_page",
+    with_tables("comments", """SELECT comment_id, "type", created_s FROM comments ORDER BY "type" NULLS FIRST, created_s DESC, comment_id
+        LIMIT 40 OFFSET (SELECT count(*) // 80 * 40 FROM comments)"""),
+)
+def _(t):
+    index = paging.PageIndex(t.comments, "comment_id", [("type", "asc"), ("created_at", "desc")])
+    # The middle page.
+    number = t.comments.count() // 80 + 1
+    return paging.page(t.comments, "comment_id", number, 40, index=index).select("comment_id", "type", secs("created_at").alias("created_s"))
+
+
 @check(
     "box_page",
     with_tables("ann", """SELECT annotation_id, x FROM ann ORDER BY x ASC NULLS FIRST, label DESC, annotation_id LIMIT 200 OFFSET 3000"""),
@@ -1460,6 +1473,59 @@ def _(t):
     return updates.upsert(t.users, busy, "user_id", ["is_active"], AS_OF).select("user_id", "name", "is_active", "modified")
 
 
+PATCHED = {
+    "bad": """SELECT c.comment_id, c.dataset_id FROM comments c JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.comment_id WHERE l.toxic = 1""",
+    "one": "SELECT min(dataset_id) AS dataset_id FROM bad",
+}
+
+
+def _patched(t):
+    """Comments by dataset, the toxic ones of the first dataset patched in place, those of the last one deleted."""
+    table = PartitionedTable(t.spark, _folder(t, "comments"), "dataset_id", table_type("comments"))
+    table.write(t.comments)
+    bad = t.comments.join(t.raw("labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("comment_id")), "comment_id")
+    edges = bad.agg(F.min("dataset_id"), F.max("dataset_id")).first()
+    patches = bad.where(F.col("dataset_id") == edges[0]).select("comment_id", F.lit("toxic").alias("note"))
+    changed = table.upsert(patches, "comment_id", ["note"], AS_OF)
+    dropped = table.delete(bad.where(F.col("dataset_id") == edges[1]), "comment_id")
+    return table, changed, dropped
+
+
+@check(
+    "partition_updates",
+    with_tables("comments", """SELECT c.dataset_id, count(*) AS comments, count(*) FILTER (WHERE b.comment_id IS NOT NULL AND c.dataset_id = lo) AS patched,
+        c.dataset_id IN (lo, hi) AS rewritten FROM comments c LEFT JOIN bad b ON b.comment_id = c.comment_id,
+        (SELECT min(dataset_id) AS lo, max(dataset_id) AS hi FROM bad) WHERE NOT (b.comment_id IS NOT NULL AND c.dataset_id = hi) GROUP BY ALL""", **PATCHED),
+)
+def _(t):
+    table, changed, dropped = _patched(t)
+    slot = table._slot().isin([*changed, *dropped])
+    return table.read().groupBy("dataset_id", slot.alias("rewritten")).agg(
+        F.count("*").alias("comments"), F.count_if(F.col("note") == "toxic").alias("patched")
+    )
+
+
+@check(
+    "partition_cascade",
+    with_tables("comments versions ds", """SELECT 'comments' AS name, count(*) AS rows FROM comments WHERE dataset_id <> (SELECT min(dataset_id) FROM ds)
+        UNION ALL SELECT 'versions', count(*) FROM versions WHERE comment_id IS NULL OR comment_id NOT IN (
+          SELECT comment_id FROM comments WHERE dataset_id = (SELECT min(dataset_id) FROM ds))"""),
+)
+def _(t):
+    held = {
+        "comments": PartitionedTable(t.spark, _folder(t, "comments"), "dataset_id", table_type("comments")),
+        "versions": PartitionedTable(t.spark, _folder(t, "versions"), "changed_by", table_type("comment_versions")),
+    }
+    held["comments"].write(t.comments)
+    held["versions"].write(t.versions)
+    doomed = t.datasets.agg(F.min("dataset_id").alias("dataset_id"))
+    delete_cascade(
+        held, doomed, "dataset_id", [("comments", "dataset_id", ""), ("versions", "comment_id", "comments")], {"comments": "comment_id"}
+    )
+    parts = [table.read().agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, table in held.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @check(
     "bulk_assign",
     with_tables("comments", """SELECT comment_id, CASE WHEN toxic.doc_id IS NULL THEN assigned_to ELSE '9' END AS assigned_to,
@@ -1805,6 +1871,27 @@ def _(t):
     return files.groupBy("dataset_id", kind.alias("kind")).agg(F.count("*").alias("lines"))
 
 
+_YOLO_NAME = f"""'labels/' || asset_id || CASE WHEN frame_index IS NULL THEN '' ELSE '_f' || lpad(CAST(frame_index AS VARCHAR), 6, '0') END || '.txt'"""
+
+
+@check(
+    "yolo_written",
+    with_tables("boxed classes", f"""SELECT dataset_id, {_YOLO_NAME} AS file, class_id || ' ' || {plain(half_up('x + w / 2', 6))} || ' ' ||
+          {plain(half_up('y + h / 2', 6))} || ' ' || {plain('w')} || ' ' || {plain('h')} AS line FROM boxed WHERE class_id IS NOT NULL
+        UNION ALL SELECT dataset_id, 'classes.txt', value FROM classes
+        UNION ALL SELECT dataset_id, 'data.yaml', '  ' || class_id || ': Flag ' || value FROM classes
+        UNION ALL SELECT dataset_id, 'data.yaml', unnest(['# YOLO dataset descriptor', 'path: ../', 'train: images/train', 'val: images/val',
+          'test: images/test', 'nc: ' || count(*), 'names:']) FROM classes GROUP BY 1"""),
+)
+def _(t):
+    path = _folder(t, "yolo")
+    vision_files.write_yolo(exports.to_yolo(_fresh(t), t.annotations, t.classes), path)
+    lines = t.spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    place = F.regexp_extract_all(F.replace(F.col("_metadata.file_path"), F.lit("%20"), F.lit(" ")), F.lit(r"/yolo-[0-9a-f]{32}/([^/]+)/(.+)$"), 0)[0]
+    parts = F.split(place, "/")
+    return lines.select(parts[2].alias("dataset_id"), F.array_join(F.slice(parts, 4, 9), "/").alias("file"), F.col("value").alias("line"))
+
+
 @check(
     "written_training_files",
     with_tables("comments ds", "SELECT dataset_id, count(*) AS lines, count(*) FILTER (WHERE split = 'train') AS train FROM split GROUP BY 1", **SPLIT),

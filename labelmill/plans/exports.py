@@ -10,6 +10,7 @@ from labelmill.functions.numbers import half_up, plain_number
 from labelmill.operators.media import boxes_with_assets, exportable_assets
 from labelmill.operators.numbering import number_rows
 from labelmill.operators.sizes import broadcast_if_small
+from labelmill.staging import staged
 
 # Reasons for leaving something out of an export.
 NO_BOXES = "no bounding boxes"
@@ -60,7 +61,10 @@ def _has_boxes():
 
 def coco_images(chosen: DataFrame, annotations: DataFrame) -> DataFrame:
     """Assets with a box and a known size."""
-    counted = _with_box_summary(chosen, annotations)
+    return _images(_with_box_summary(chosen, annotations))
+
+
+def _images(counted: DataFrame) -> DataFrame:
     return counted.where(_has_boxes() & _sized("width", "height")).select(
         "dataset_id", F.col("asset_id").alias("id"), _file_name().alias("file_name"), "width", "height",
         F.when(F.col("kind") == "video", F.col("first_frame")).alias("frame_index"), "created_at",
@@ -69,7 +73,10 @@ def coco_images(chosen: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def coco_annotations(chosen: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
     """Boxes in pixels, numbered from 1 within a dataset in asset then box order."""
-    boxes = _labelled(boxes_with_assets(chosen, annotations), classes)
+    return _numbered_boxes(_labelled(boxes_with_assets(chosen, annotations), classes))
+
+
+def _numbered_boxes(boxes: DataFrame) -> DataFrame:
     kept = boxes.where(F.col("class_id").isNotNull() & _sized("asset_width", "asset_height"))
     px = geometry.to_pixels(F.col("box"), F.col("asset_width"), F.col("asset_height"))
     numbered = number_rows(
@@ -93,9 +100,11 @@ def coco_categories(classes: DataFrame) -> DataFrame:
 
 def coco_skipped(chosen: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
     """Assets left out, and boxes of exported assets whose label is no class."""
-    counted = _with_box_summary(chosen, annotations)
+    return _left_out(_with_box_summary(chosen, annotations), _labelled(boxes_with_assets(chosen, annotations), classes))
+
+
+def _left_out(counted: DataFrame, boxes: DataFrame) -> DataFrame:
     reason = F.when(~_has_boxes(), NO_BOXES).otherwise(NO_SIZE)
-    boxes = _labelled(boxes_with_assets(chosen, annotations), classes)
     unknown = boxes.where(F.col("class_id").isNull() & _sized("asset_width", "asset_height"))
     return (
         counted.where(~_has_boxes() | ~_sized("width", "height"))
@@ -108,12 +117,11 @@ def to_coco(
     assets: DataFrame, annotations: DataFrame, classes: DataFrame,
     include_unannotated: bool = False, kind: str | None = None,
 ) -> Coco:
-    """The four COCO tables of every dataset."""
+    """The four COCO tables of every dataset. Assets meet their boxes once for all of them."""
     chosen = exportable_assets(assets, include_unannotated, kind)
-    return Coco(
-        coco_images(chosen, annotations), coco_annotations(chosen, annotations, classes),
-        coco_categories(classes), coco_skipped(chosen, annotations, classes),
-    )
+    counted = staged(_with_box_summary(chosen, annotations), "counted-assets")
+    boxes = staged(_labelled(boxes_with_assets(chosen, annotations), classes), "labelled-boxes")
+    return Coco(_images(counted), _numbered_boxes(boxes), coco_categories(classes), _left_out(counted, boxes))
 
 
 @dataclass(frozen=True)
