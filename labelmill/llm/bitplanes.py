@@ -50,9 +50,9 @@ class Format:
     end_id: int = 0
     planes: str = "byte"
     chunk_ids: int = 65_536
-    segment_ids: int = 1_000_000
+    segment_ids: int = 500_000
     level: int = 3
-    file_segments: int = 200
+    file_segments: int = 32
 
 
 def default_format() -> Format:
@@ -98,7 +98,7 @@ def pack_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     return head + docs + body + index
 
 
-def segments_of(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def segments_of(data: bytes | memoryview) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """Document ids, token counts and ids of each segment of a file."""
     import zstandard
 
@@ -210,7 +210,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, content in zip(batch.column("part").to_pylist(), batch.column("content")):
             place = start = 0
-            for docs, counts, ids in segments_of(content.as_py()):
+            for docs, counts, ids in segments_of(memoryview(content.as_buffer())):
                 ends = np.cumsum(counts, dtype=np.int64)
                 data = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(

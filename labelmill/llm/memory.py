@@ -1,7 +1,8 @@
 """Giving memory back between tasks.
 
 A Python worker lives on after its task, beside the executor's JVM and other workers, and its
-allocators keep what large arrays have left. A tidy task returns that to the system at its end.
+allocators keep what large arrays have left. A tidy task has large blocks taken from the system one by one, which
+then go back when they are freed, and returns the rest at its end.
 """
 
 import ctypes
@@ -10,6 +11,19 @@ from functools import wraps
 import pyarrow as pa
 
 
+# Fixed values of the C library: its option for the size from which a block is mapped alone, and the size set.
+M_MMAP_THRESHOLD = -3
+MAPPED_BYTES = 1 << 18
+
+
+def map_large_blocks() -> None:
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, MAPPED_BYTES)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
@@ -23,6 +37,7 @@ def tidy(task):
 
     @wraps(task)
     def run(batches, *more):
+        map_large_blocks()
         yield from task(batches, *more)
         give_back()
 

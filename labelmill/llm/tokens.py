@@ -21,10 +21,10 @@ import pyarrow as pa
 from labelmill.llm.hashing import IS_SPACE, U, segment_hashes, text_buffers
 
 # Pieces whose ids a worker keeps, about 30 bytes each.
-KNOWN_PIECES = 1_000_000
-FRESH_PIECES = 50_000
+KNOWN_PIECES = 500_000
+FRESH_PIECES = 30_000
 LEARNED_AT_ONCE = 4096
-SLICE_BYTES = 500_000
+SLICE_BYTES = 400_000
 # How byte-level vocabularies write a space.
 SPACE = "Ġ"
 # Tells a piece without a space before it from the same one with it.
