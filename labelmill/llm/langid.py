@@ -13,7 +13,7 @@ model is that table. Scoring reads every whole text; a worker keeps the scores o
 a bounded cache, and computes new ones together, place by place, in numpy.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when
-nothing was learned; null languages do not train; a word over 48 bytes is scored in stretches of 48;
+nothing was learned; null languages do not train; words and pieces of any length count whole;
 equal probabilities go to the first language in order; repeated rows score alike; a table's own
 ``lang_pred`` and ``score`` columns are replaced and other columns kept.
 """
@@ -35,11 +35,9 @@ from labelmill.llm.text import extended
 from labelmill.staging import staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_WORD = 48
-MAX_PIECE = 16
-# Words cached by a worker, and words of one numpy pass.
+# Words cached by a worker, and places (bytes and ends of words) of one numpy pass; a longer word is a pass of its own.
 CACHED_WORDS = 400_000
-PASS_WORDS = 20_000
+PASS_PLACES = 500_000
 # A word whose sums fall below this is summed again as logarithms, which have no smallest number.
 TINY = 1e-250
 UNKNOWN = "und"
@@ -88,8 +86,9 @@ class Pieces:
                 if not line.strip():
                     continue
                 piece = base64.b64decode(line.split()[0])
-                if len(piece) <= MAX_PIECE:
-                    self.automaton.add_word(piece.decode("latin-1"), (self.n << 8) | len(piece))
+                if len(piece) > 255:
+                    raise ValueError("a piece has over 255 bytes")
+                self.automaton.add_word(piece.decode("latin-1"), (self.n << 8) | len(piece))
                 self.n += 1
         self.automaton.make_automaton()
 
@@ -205,11 +204,25 @@ def word_logs(found, table: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[bytes]:
-    """The letter runs of a text as a space and lower-case bytes, in stretches of MAX_WORD."""
-    words = [b" " + w.encode() for w in LETTERS.findall(text.lower())]
-    if any(len(w) > MAX_WORD for w in words):
-        words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
-    return words
+    """The letter runs of a text as a space and lower-case bytes."""
+    return [b" " + w.encode() for w in LETTERS.findall(text.lower())]
+
+
+def passes(words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``words``, which ascend in length: each a numpy pass, in which all words get as many places as the longest."""
+    first = 0
+    while first < len(words):
+        last = first + 1
+        # Places grow along the list, so the end is found by halving.
+        low, high = last, len(words)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if (middle - first) * (len(words[middle - 1]) + 1) <= PASS_PLACES:
+                low = middle
+            else:
+                high = middle - 1
+        yield first, low
+        first = low
 
 
 @tidy
@@ -247,9 +260,10 @@ def _expect(model, languages: dict[str, int]):
                 rows.setdefault(lang, []).append((word, n))
             for lang, some in rows.items():
                 at = languages[lang]
-                for i in range(0, len(some), PASS_WORDS):
-                    words, counts = zip(*some[i : i + PASS_WORDS])
-                    got = expected(pieces.found(list(words)), table[:, at : at + 1], np.array(counts, float))
+                some.sort(key=lambda word: len(word[0]))
+                words, counts = [w for w, _ in some], np.array([n for _, n in some], float)
+                for a, b in passes(words):
+                    got = expected(pieces.found(words[a:b]), table[:, at : at + 1], counts[a:b])
                     sums[at] = sums.get(at, 0) + got
         for at, got in sums.items():
             some = np.flatnonzero(got)
@@ -308,9 +322,8 @@ class Scorer:
         parts = [self.logs]
         # Words of like length share a pass.
         new.sort(key=len)
-        for i in range(0, len(new), PASS_WORDS):
-            some = new[i : i + PASS_WORDS]
-            parts.append(word_logs(self.pieces.found(some), self.model.pieces))
+        for a, b in passes(new):
+            parts.append(word_logs(self.pieces.found(new[a:b]), self.model.pieces))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.logs = np.concatenate(parts)
 

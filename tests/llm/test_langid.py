@@ -13,12 +13,13 @@ def test_forward_sums_all_segmentations():
     with open(HOW.vocabulary, "rb") as f:
         known = {base64.b64decode(line.split()[0]): i for i, line in enumerate(f)}
     table = np.random.default_rng(0).random((pieces.n, 2))
-    words = [b" the", b" queue", " élève".encode(), b" x"]
+    # Pieces and words of any length: one of the vocabulary's longest, and a word of over 48 bytes.
+    words = [b" the", b" queue", " élève".encode(), b" x", b" responsibilities", b" responsibilities" + b"andantidisestablishmentarianism" * 2]
     got = langid.forward(pieces.found(words), table)
     for i, w in enumerate(words):
         sums = [np.ones(2), *[np.zeros(2) for _ in w]]
         for end in range(1, len(w) + 1):
-            for start in range(max(0, end - langid.MAX_PIECE), end):
+            for start in range(end):
                 if w[start:end] in known:
                     sums[end] = sums[end] + sums[start] * table[known[w[start:end]]]
         assert np.allclose(got[i, len(w)], sums[-1])
@@ -80,3 +81,17 @@ def test_long_word_of_an_unlearned_script_in_a_large_training():
     words = langid.words_of(f"the {long}")
     got = langid.expected(pieces.found(words), table[:, 1:], np.array([2.0] + [3.0] * (len(words) - 1)))
     assert np.isclose(got @ sizes, 2 * 4 + 3 * sum(map(len, words[1:])))
+
+
+def test_passes_bound_places_and_long_words_score(monkeypatch):
+    monkeypatch.setattr(langid, "PASS_PLACES", 60)
+    words = sorted([b" a" * n for n in (1, 1, 2, 5, 9, 9, 40, 3000)], key=len)
+    ranges = list(langid.passes(words))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(len(words)))
+    assert all(b - a == 1 or (b - a) * (len(words[b - 1]) + 1) <= 60 for a, b in ranges)
+    pieces = langid.pieces_of(HOW.vocabulary)
+    table = np.random.default_rng(1).random((pieces.n, 2))
+    table /= table.sum(axis=0)
+    scorer = langid.Scorer(langid.Model(HOW.vocabulary, ("a", "b"), np.log([0.5, 0.5]), table))
+    names, sure = scorer(["ab" * 4000, "x"])
+    assert np.isfinite(scorer.logs).all() and len(names) == 2 and all(0 < s <= 1 for s in sure)
