@@ -15,7 +15,8 @@ stay equal across documents, different ones stay different, and a result validat
 * ipv4: four octets
 * date: year-month-day, day.month.year and month/day/year within a 400-year calendar cycle; a
   day/month/year date keeps its order because its day stays over 12
-* email: letters and digits of the part before @ permuted in place
+* email: letters and digits of the part before @ permuted in place, each within its own run of an alphabet (Latin with
+  accents, Greek, Cyrillic); letters of other alphabets stay
 
 A kind is part of the key, separators are not: one card written with or without spaces has one
 pseudonym. Rows are independent; nothing is shuffled.
@@ -39,7 +40,10 @@ CYCLE_START = "1800-01-01"
 # A Gregorian cycle of 400 years has 146097 = 189 * 773 days.
 CYCLE = (189, 773)
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# Runs of code points that are letters or digits of one kind, as (first, how many). A symbol stays in its run.
+RUNS = ((48, 10), (65, 26), (97, 26), (192, 23), (216, 7), (224, 23), (248, 8), (913, 17), (945, 25), (1040, 32), (1072, 32))
+MOVED = "[" + "".join(f"\\x{{{first:x}}}-\\x{{{first + n - 1:x}}}" for first, n in RUNS) + "]"
 # Countries by the length of their IBANs.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -50,7 +54,7 @@ IBAN_LENGTHS = {
 IBAN_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 IBAN = rf"(?<![A-Za-z0-9])(?:(?:{IBAN_KNOWN})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-ISO_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9A-Za-z]|[-/.,][0-9])"
+ISO_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?!(?!T[0-9]{2}:)[0-9A-Za-z]|[-/.,][0-9])"
 DOT_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z]|[-/.,][0-9])"
 SLASH_DATE = r"(?<![0-9A-Za-z.,/-])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z]|[-/.,][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
@@ -264,15 +268,21 @@ def permuted_letters(cells: Column, key: str, kind: str) -> Column:
 
 
 def _permuted_letters(cells: Column, key: str, kind: str) -> Column:
-    code = F.transform(
-        cells,
-        lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).when(c.rlike("[A-Z]"), F.ascii(c) - 65).otherwise(F.ascii(c) - 97),
-    )
-    radix = F.transform(cells, lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(26)))
-    moved = feistel(code, radix, key, kind)
+    code = F.transform(cells, F.ascii)
+
+    def of_run(c: Column, value) -> Column:
+        """``value(first, n)`` of the run that a code point lies in."""
+        first, n = RUNS[-1]
+        out = F.lit(value(first, n))
+        for first, n in reversed(RUNS[:-1]):
+            out = F.when(c < first + n, F.lit(value(first, n))).otherwise(out)
+        return out
+
+    low = F.transform(code, lambda c: of_run(c, lambda first, n: first))
+    radix = F.transform(code, lambda c: of_run(c, lambda first, n: n))
+    moved = feistel(F.zip_with(code, low, lambda c, first: c - first), radix, key, kind)
     return F.zip_with(
-        moved, cells,
-        lambda m, c: F.char((m + F.when(c.rlike("[0-9]"), 48).when(c.rlike("[A-Z]"), 65).otherwise(97)).cast("int")),
+        moved, low, lambda m, first: F.decode(F.unhex(F.lpad(F.hex((m + first).cast("bigint")), 4, "0")), "UTF-16BE")
     )
 
 
@@ -468,8 +478,8 @@ def _day_first(part, key: str) -> Column:
 
 def email(match: Column, key: str) -> Column:
     name, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
-    moved = permuted_letters(chars(F.regexp_replace(name, "[^A-Za-z0-9]", "")), key, "email")
-    return F.concat(poured(name, moved, "[A-Za-z0-9]"), F.lit("@"), domain)
+    moved = permuted_letters(chars(F.regexp_replace(name, f"[^{MOVED[1:-1]}]", "")), key, "email")
+    return F.concat(poured(name, moved, MOVED), F.lit("@"), domain)
 
 
 KINDS = {

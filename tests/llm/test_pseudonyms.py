@@ -105,3 +105,20 @@ def test_phone_ends(spark):
     alone, _ = replaced(spark, phones)
     beside, n = replaced(spark, [f"{p} 12 times" for p in phones])
     assert beside == [f"{p} 12 times" for p in alone] and n == [1] * 4 and not set(alone) & set(phones)
+
+
+def test_names_beyond_ascii_and_timestamps(spark):
+    texts = ["an j\u00fcrgen.m\u00fcller@example.com, user@b\u00fccher.de", "\u0438\u0432\u0430\u043d@example.ru", "at 2021-03-05T10:00:00Z", "2021-03-05Tx", "2021-03-05T10"]
+    found, n = replaced(spark, texts)
+    assert n == [2, 1, 1, 0, 0] and found[3:] == texts[3:]
+    name = found[0].split("@")[0].removeprefix("an ")
+    first, last = name.split(".")
+    assert len(first) == 6 and len(last) == 6 and name != "j\u00fcrgen.m\u00fcller"
+    # Accented letters become accented ones, and no part of the name stays in clear.
+    assert all(ord(c) > 127 for c in (first[1], last[1])) and sum(a == b for a, b in zip(name, "j\u00fcrgen.m\u00fcller")) <= 4
+    assert found[0].endswith("@b\u00fccher.de") and "@example.com, " in found[0]
+    assert all("\u0430" <= c <= "\u044f" for c in found[1].split("@")[0]) and found[1].endswith("@example.ru")
+    assert found[2].endswith("T10:00:00Z") and found[2] != texts[2]
+    # Equal names stay equal wherever they stand, different ones differ.
+    again, _ = replaced(spark, ["j\u00fcrgen.m\u00fcller@example.com", "j\u00fcrgen.m\u00fcllex@example.com"])
+    assert again[0].split("@")[0] == name != again[1].split("@")[0]
