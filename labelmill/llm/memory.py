@@ -13,7 +13,7 @@ import pyarrow as pa
 
 # Fixed values of the C library: its option for the size from which a block is mapped alone, and the size set.
 M_MMAP_THRESHOLD = -3
-MAPPED_BYTES = 1 << 18
+MAPPED_BYTES = 1 << 22
 
 
 def map_large_blocks() -> None:

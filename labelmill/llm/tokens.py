@@ -20,9 +20,10 @@ import pyarrow as pa
 
 from labelmill.llm.hashing import IS_SPACE, U, segment_hashes, text_buffers
 
-# Pieces whose ids a worker keeps, about 30 bytes each.
-KNOWN_PIECES = 500_000
+# Pieces whose ids a worker keeps, about 20 bytes each.
+KNOWN_PIECES = 1_500_000
 FRESH_PIECES = 30_000
+KNOWN_IDS = 16_000_000
 LEARNED_AT_ONCE = 4096
 SLICE_BYTES = 400_000
 # How byte-level vocabularies write a space.
@@ -51,7 +52,7 @@ class Known:
 
     @staticmethod
     def _empty():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def __len__(self) -> int:
         return sum(len(keys) for keys, _, _ in self.tables)
@@ -75,7 +76,7 @@ class Known:
             self.pool = np.concatenate([self.pool, np.zeros(max(need, 2 * len(self.pool)) - len(self.pool), self.kind)])
         self.pool[self.used : need] = ids
         lengths = np.maximum(counts, 0)
-        rows = names, self.used + np.cumsum(lengths) - lengths, counts.astype(np.int32)
+        rows = names, (self.used + np.cumsum(lengths) - lengths).astype(np.uint32), counts.astype(np.int32)
         self.used = need
         self.tables[1] = self._merged(self.tables[1], rows)
         if len(self.tables[1][0]) > FRESH_PIECES:
@@ -155,7 +156,7 @@ class PieceEncoder:
         names = segment_hashes(text, begin, end)
         names[bare] ^= BARE
         found, at, inverse = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN_PIECES:
+        if len(self.known) > KNOWN_PIECES or self.known.used > KNOWN_IDS:
             self.known.clear()
         new = np.flatnonzero(~self.known.find(found)[0])
         if len(new):
