@@ -18,6 +18,7 @@ HEADLINE = (
 def main() -> None:
     from checks import catalog
     from checks.compare import local_session
+    from labelmill.staging import scratch
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
@@ -27,7 +28,8 @@ def main() -> None:
     taken = {}
     for name in names:
         start = time.time()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.time() - start, 3)
     print(
         json.dumps(

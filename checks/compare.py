@@ -5,6 +5,10 @@ import sys
 import time
 from pathlib import Path
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from labelmill.staging import scratch
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -52,8 +56,9 @@ def rows_of(columns, rows):
 def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
     """(ok, message)."""
     start = time.time()
-    df = query(spark, sf_dir)
-    got = df.collect()
+    with scratch(spark):
+        df = query(spark, sf_dir)
+        got = df.collect()
     took = time.time() - start
     if sql is None:
         return True, f"{name}: {len(got)} rows, no SQL, {took:.1f}s"
@@ -70,7 +75,6 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None):
 
 
 def main():
-    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     from checks import catalog
 
     args = sys.argv[1:]
