@@ -249,6 +249,10 @@ def _folded(annotations: DataFrame, log: DataFrame, assets: DataFrame, classes:
     return staged(state.withColumn("changed_fields", changed).drop("_prev"), "edited")
 
 
+# The shape of ids that restores make.
+NEW_KEY = "^[0-9a-f]{24}$"
+
+
 def new_key(old_id: Column, seq: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", old_id, seq.cast("string"), F.lit("restore")), 256), 1, 24)
 
@@ -346,13 +350,16 @@ def apply_annotation_edits(
     """Apply the log in ``seq`` order to live annotations and their history."""
     if "has_frame" not in log.columns:
         log = log.withColumn("has_frame", F.lit(False))
+    # A vocabulary, measured several times below.
+    classes = staged(classes, "classes")
     live, new_versions, refused = [], [], []
     while True:
         # Rows that name an id which an earlier restore would make wait for it. Logs seldom have such rows.
         born = log.where(F.col("op") == "restore").select(
             new_key(F.col("annotation_id"), F.col("seq")).alias("annotation_id"), F.col("seq").alias("_born")
         )
-        waiting = log.join(born, "annotation_id").where(F.col("seq") > F.col("_born")).drop("_born")
+        candidates = log.where(F.col("annotation_id").rlike(NEW_KEY))
+        waiting = candidates.join(born, "annotation_id").where(F.col("seq") > F.col("_born")).drop("_born")
         more = not waiting.isEmpty()
         if more:
             waiting = staged(waiting, "waiting")
