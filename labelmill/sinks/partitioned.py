@@ -1,7 +1,8 @@
 """A table in files whose parts are replaced one by one.
 
-Rows lie in one folder for each value of a column. A change finds the folders that hold its keys, writes those
-folders anew beside the old ones, and swaps in a manifest that names a folder for each value:
+Rows lie in one folder for each value of a column or, when it has very many values, in a bounded number of folders
+that hold several values each. A change finds the folders that hold its keys, writes those folders anew beside the
+old ones, and swaps in a manifest that names them:
 
     rows/write=3/slot=9f86…/part-*.parquet
     manifests/000000000003.json
@@ -23,25 +24,41 @@ from labelmill.operators.sizes import broadcast_if_small
 from labelmill.staging import staged
 
 SLOT = "slot"
+# Digits of a value's digest that name a folder of its own.
+WHOLE = 32
 
 
 class PartitionedTable:
-    """``column`` splits the rows; its values are not bounded in length, so folders have digests of them."""
+    """``column`` splits the rows; its values are not bounded in length, so folders have digests of them.
 
-    def __init__(self, spark: SparkSession, path: str, column: str, schema: StructType, keep: int = 3):
-        self.spark, self.path, self.column, self.schema = spark, path, column, schema
+    A column of more than ``most`` values shares folders: values whose digests begin alike lie in one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, column: str, schema: StructType, keep: int = 3, most: int = 1000):
+        self.spark, self.path, self.column, self.schema, self.most = spark, path, column, schema, most
         self.manifests = storage.Manifests(spark, f"{path}/manifests", keep)
 
-    def _slot(self) -> Column:
+    def _slot(self, digits: int | None = None) -> Column:
         value = F.col(self.column).cast("string")
-        return F.when(value.isNull(), "null").otherwise(F.substring(F.sha2(value, 256), 1, 32))
+        digits = self._state()["digits"] if digits is None else digits
+        return F.when(value.isNull(), "null").otherwise(F.substring(F.sha2(value, 256), 1, digits))
 
     def _state(self) -> dict:
-        return self.manifests.newest() or {"number": -1, "slots": {}}
+        return {"number": -1, "slots": {}, "digits": WHOLE} | (self.manifests.newest() or {})
+
+    def _digits(self, rows: DataFrame) -> int:
+        """How many digits of the digests name the folders of ``rows``."""
+        if rows.select(self.column).distinct().limit(self.most + 1).count() <= self.most:
+            return WHOLE
+        digits = 1
+        while 16 ** (digits + 1) <= self.most:
+            digits += 1
+        return digits
 
     def folders(self, slots: Sequence[str] | None = None) -> list[str]:
         held = self._state()["slots"]
-        return [f"{self.path}/rows/write={n}/{SLOT}={s}" for s, n in held.items() if slots is None or s in slots]
+        chosen = held.keys() if slots is None else set(slots)
+        return [f"{self.path}/rows/write={n}/{SLOT}={s}" for s, n in held.items() if s in chosen]
 
     def read(self, slots: Sequence[str] | None = None) -> DataFrame:
         """All rows, or those of some folders, as they are now."""
@@ -59,10 +76,14 @@ class PartitionedTable:
         old = self._state()
         number = old["number"] + 1
         target = f"{self.path}/rows/write={number}"
-        rows.select(*self.schema.names).withColumn(SLOT, self._slot()).write.partitionBy(SLOT).mode("overwrite").parquet(target)
+        digits = self._digits(rows) if slots is None else old["digits"]
+        laid = rows.select(*self.schema.names).withColumn(SLOT, self._slot(digits))
+        # Rows of a folder come together, so that a task does not write a file for each of them; large ones are split.
+        laid.hint("rebalance", SLOT).write.partitionBy(SLOT).mode("overwrite").parquet(target)
         written = [n.removeprefix(f"{SLOT}=") for n in storage.names(self.spark, target) if n.startswith(f"{SLOT}=")]
-        kept = {} if slots is None else {s: n for s, n in old["slots"].items() if s not in slots}
-        self.manifests.put({"number": number, "slots": kept | {s: number for s in written}})
+        replaced = set(old["slots"] if slots is None else slots)
+        kept = {s: n for s, n in old["slots"].items() if s not in replaced}
+        self.manifests.put({"number": number, "slots": kept | {s: number for s in written}, "digits": digits})
         gone = self.manifests.drop_old()
         named = {(n, s) for m in self.manifests.kept() for s, n in m["slots"].items()}
         for n, s in {(n, s) for m in gone for s, n in m["slots"].items()} - named:
@@ -70,8 +91,8 @@ class PartitionedTable:
         return written
 
     def slots_of(self, keys: DataFrame, key: str) -> list[str]:
-        """The folders that hold rows of these keys, found from the key and split columns alone. A name for each folder
-        reaches the driver, as it does in the manifest."""
+        """The folders that hold rows of these keys, found from the key and split columns alone. A name for each folder,
+        of which there are ``most`` and one for nulls at most, reaches the driver, as it does in the manifest."""
         rows = self.read().select(key, self._slot().alias(SLOT))
         return sorted(r[0] for r in rows.join(keys.select(key).distinct(), key, "left_semi").select(SLOT).distinct().collect())
 

@@ -82,3 +82,23 @@ def test_cascade_in_place_equals_the_rule(spark, tmp_path):
     delete_cascade(tables, doomed, "part", children, keys)
     assert {n: sorted(map(str, t.read().collect())) for n, t in tables.items()} == want
     assert 0 < len(want["b"]) < 60
+
+
+def test_very_many_values_share_folders(spark, tmp_path):
+    rows = [(i, None if i % 600 == 599 else f"p{i % 600}", str(i % 50)) for i in range(3000)]
+    table = PartitionedTable(spark, str(tmp_path), "part", StructType.fromDDL(SCHEMA), most=300)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    written = table.write(frame)
+    files = [n for _, _, names in os.walk(tmp_path / "rows") for n in names if n.endswith(".parquet")]
+    assert len(written) <= 257 and len(files) == len(written) and "null" in written
+    patches = spark.createDataFrame([(7, "new"), (599, "new")], "id long, v string")
+    changed = table.upsert(patches, "id", ["v"], AT)
+    assert len(changed) == 2 and len(table.folders()) == len(written)
+    assert table.slots_of(frame.where("part = 'p7'"), "id") == [s for s in changed if s != "null"]
+    dropped = table.delete(frame.where("id % 600 = 8"), "id")
+    assert len(dropped) == 1 and table.read(dropped).where("part = 'p8'").isEmpty()
+    want = [(i, p, "new" if i in (7, 599) else v) for i, p, v in rows if i % 600 != 8]
+    assert sorted(map(tuple, table.read().collect()), key=str) == sorted(want, key=str)
+    # The table anew with few values has a folder for each again.
+    assert len(table.write(frame.where("id < 100"))) == 100
+    assert PartitionedTable(spark, str(tmp_path), "part", table.schema).read().count() == 100
