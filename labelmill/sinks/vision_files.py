@@ -3,6 +3,7 @@
 import posixpath
 import sys
 import uuid
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -112,37 +113,86 @@ class _Written(WriterCommitMessage):
     files: list[str]
 
 
+class _Loose:
+    """A file for each name."""
+
+    def __init__(self, system, base: str):
+        self.system, self.base, self.names, self.out = system, base, [], None
+
+    def begin(self, folder: str, file: str):
+        """A stream to the next file."""
+        self.close()
+        name = f"{folder}/{file}"
+        self.names.append(name)
+        self.system.create_dir(posixpath.dirname(f"{self.base}/{name}"), recursive=True)
+        self.out = self.system.open_output_stream(f"{self.base}/{name}")
+        return self.out
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+class _Archived:
+    """Files as members of zip archives in their folder, up to ``members`` in each; ``names`` are the archives'."""
+
+    def __init__(self, system, base: str, members: int):
+        self.archives, self.prefix, self.members = _Loose(system, base), posixpath.basename(base), members
+        self.folder, self.archive, self.out, self.held = None, None, None, 0
+
+    @property
+    def names(self) -> list[str]:
+        return self.archives.names
+
+    def begin(self, folder: str, file: str):
+        if self.out is not None:
+            self.out.close()
+        if self.archive is None or folder != self.folder or self.held >= self.members:
+            self.close()
+            stream = self.archives.begin(folder, f"{self.prefix}-{len(self.names):05d}.zip")
+            self.folder, self.archive, self.held = folder, zipfile.ZipFile(stream, "w"), 0
+        self.held += 1
+        # The size of a streamed file is not known when it begins.
+        self.out = self.archive.open(zipfile.ZipInfo(file), "w", force_zip64=True)
+        return self.out
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+        if self.archive is not None:
+            self.archive.close()
+        self.archives.close()
+        self.archive = self.out = None
+
+
 class _TextFilesWriter(DataSourceWriter):
-    """Rows (folder, file, line), sorted by file, to one text file for each folder and file.
+    """Rows (folder, file, line), sorted by file, to one text file for each folder and file, or to archives of
+    ``members`` such files.
 
     A task attempt writes to a folder of its own under one hidden folder of the job. Files get their names when
     the whole job has succeeded, from the attempts that Spark counts; the hidden folder goes then, or when the
     job fails, with all that failed and speculative attempts have left.
     """
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, members: int = 0):
+        self.path, self.members = path.rstrip("/"), members
         self.job = f"{self.path}/.writing-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> _Written:
         attempt = f"{self.job}/{uuid.uuid4().hex}"
         system, base = located(attempt)
         system.create_dir(base, recursive=True)
-        names, out = [], None
+        files = _Archived(system, base, self.members) if self.members else _Loose(system, base)
+        at, out = None, None
         try:
             for folder, file, line in iterator:
-                name = f"{folder}/{file}"
-                if not names or name != names[-1]:
-                    if out is not None:
-                        out.close()
-                    names.append(name)
-                    system.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
-                    out = system.open_output_stream(f"{base}/{name}")
+                if (folder, file) != at:
+                    at, out = (folder, file), files.begin(f"{folder}", f"{file}")
                 out.write(line.encode() + b"\n")
         finally:
-            if out is not None:
-                out.close()
-        return _Written(attempt, names)
+            files.close()
+        return _Written(attempt, files.names)
 
     def commit(self, messages) -> None:
         system, target = located(self.path)
@@ -160,7 +210,10 @@ class _TextFilesWriter(DataSourceWriter):
 
 
 class TextFiles(DataSource):
-    """``df.write.format("text_files")``: a text file of any length for each folder and file named in the rows."""
+    """``df.write.format("text_files")``: a text file of any length for each folder and file named in the rows.
+
+    With the option ``members`` they are members of zip archives of up to so many files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -170,18 +223,22 @@ class TextFiles(DataSource):
         return "folder string, file string, line string"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _TextFilesWriter(self.options["path"])
+        return _TextFilesWriter(self.options["path"], int(self.options.get("members", "0")))
 
 
-def write_yolo(yolo: Yolo, path: str, root: str = "../") -> None:
+def write_yolo(yolo: Yolo, path: str, root: str = "../", members: int = 0) -> None:
     """``<path>/<dataset_id>/{classes.txt,data.yaml,labels/*.txt}``.
 
     Each task streams its files line by line from sorted rows, so a file of any length takes no more memory; files
     appear when all are written.
+
+    A loose file takes a disk block whatever its length, and one of the driver's moves. With ``members`` the same files
+    are members of ``<path>/<dataset_id>/*.zip``, so many in each at most: unpacked in place they are the loose export,
+    and ``sources.archives.read_archives`` reads them as they are.
     """
     files = yolo_files(yolo, root)
     files.sparkSession.dataSource.register(TextFiles)
     keys = ["dataset_id", "file"]
     ordered = files.repartition(*keys).sortWithinPartitions(*keys, "place")
     rows = ordered.select(F.col("dataset_id").alias("folder"), "file", "line")
-    rows.write.format("text_files").mode("append").save(path)
+    rows.write.format("text_files").option("members", members).mode("append").save(path)

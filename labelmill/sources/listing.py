@@ -94,10 +94,14 @@ def _folder_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield rows(found)
 
 
+def rooted(path: str) -> str:
+    """The form in which ``list_files`` names a folder."""
+    return f"file:{os.path.abspath(path.removeprefix('file:'))}" if urlsplit(path).scheme in ("", "file") else path
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of every file under a folder, a level of folders at a time."""
-    root = f"file:{os.path.abspath(path.removeprefix('file:'))}" if urlsplit(path).scheme in ("", "file") else path
-    level = spark.createDataFrame([(root,)], "path string")
+    level = spark.createDataFrame([(rooted(path),)], "path string")
     files = spark.createDataFrame([], "path string, length bigint")
     while True:
         found = staged(level.mapInArrow(_folder_entries, LISTED), "listed")

@@ -246,6 +246,41 @@ def test_yolo_files(vision, tmp_path):
     assert not [p for p in glob.glob(f"{tmp_path}/C/**/.*", recursive=True) if os.path.isfile(p)]
 
 
+def test_archived_yolo_files_are_the_loose_ones(spark, vision, tmp_path):
+    import zipfile
+
+    from labelmill.sources.archives import read_archives
+
+    yolo = exports.to_yolo(*vision, include_unannotated=True)
+    vision_files.write_yolo(yolo, str(tmp_path / "loose"))
+    vision_files.write_yolo(yolo, str(tmp_path / "packed"), members=2)
+    loose = {p.relative_to(tmp_path / "loose").as_posix(): p.read_text() for p in (tmp_path / "loose").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    packed, found = list((tmp_path / "packed/C").iterdir()), {}
+    for p in packed:
+        with zipfile.ZipFile(p) as archive:
+            assert p.suffix == ".zip" and 0 < len(archive.namelist()) <= 2 and archive.testzip() is None
+            found |= {f"C/{n}": archive.read(n).decode() for n in archive.namelist()}
+    assert found == loose and len(loose) == 5
+    lines = [(f"{r.folder}/{r.file}", r.line) for r in read_archives(spark, str(tmp_path / "packed")).collect()]
+    assert sorted(lines) == sorted((n, line) for n, text in loose.items() for line in text.splitlines())
+
+
+def test_many_short_files_take_few_archives(spark, tmp_path):
+    from labelmill.sources.archives import read_archives
+
+    spark.dataSource.register(vision_files.TextFiles)
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("set "), F.col("id") % 2).alias("folder"), F.format_string("labels/é%05d.txt", F.floor(F.col("id") / 4)).alias("file"), F.col("id").cast("string").alias("line")
+    )
+    ordered = rows.repartition(2, "folder", "file").sortWithinPartitions("folder", "file", F.col("id").cast("long"))
+    ordered.write.format("text_files").option("members", 2500).mode("append").save(str(tmp_path))
+    archives = list(tmp_path.rglob("*.zip"))
+    assert sorted(os.listdir(tmp_path)) == ["set 0", "set 1"] and 6 <= len(archives) <= 12
+    assert sum(p.stat().st_size for p in archives) < 15_000 * 4096 / 10
+    back = read_archives(spark, str(tmp_path))
+    assert back.count() == 30_000 and back.exceptAll(rows).isEmpty()
+
+
 def test_a_failed_export_leaves_nothing(spark, tmp_path):
     spark.dataSource.register(vision_files.TextFiles)
     rows = spark.range(1000).select(
