@@ -471,3 +471,42 @@ def test_edits_need_a_label_set_and_keep_whole_notes(spark):
     refusal = "This dataset has no label set. Assign one before annotating."
     assert sorted(map(tuple, out.rejects.collect())) == [("d1", 3, refusal), ("d2", 1, refusal)]
     assert {r.annotation_id: r.note and len(r.note) for r in out.annotations.collect()} == {"c1": 3000, "c2": None}
+
+
+def test_a_large_log_moves_the_annotations_once(spark, monkeypatch):
+    """Its ids are not gathered to choose the annotations, nor counted one by one, and the results are the same."""
+    from labelmill.operators import hotkeys
+
+    assets = [("c", "C", "image", "c", "x", None, 1, "c", 800, 600, None, "p", "pending", 0, None, None, None, "upload", "u", "u", T0, T0)]
+    third = 1 / 3
+    rows = [(f"c{i}", "c", "C", "bbox", "car", third, 0.2, 0.3, 0.4, None, None, 800, 600, None, 1, "u", "u", T0, T0) for i in range(6)]
+    none = (None,) * 4
+    log = [
+        (0, "update", "c0", None, None, "person", *none, False, None, None, None, False, "u1", T0, False),
+        (1, "update", "c0", None, None, "person", *none, False, None, None, None, False, "u1", T0, False),
+        (2, "delete", "c1", None, None, None, *none, False, None, None, None, False, "u1", T0, False),
+        (3, "restore", "c1", None, None, None, *none, False, None, None, None, False, "u1", T0, False),
+        # Named by a refused restore, by a row without an operation, by an unknown one; and an id that is not there.
+        (4, "restore", "c2", None, None, None, *none, False, None, None, None, False, "u1", T0, False),
+        (5, None, "c3", None, None, None, *none, False, None, None, None, False, "u1", T0, False),
+        (6, "base", "c4", None, None, None, *none, False, None, None, None, False, "u1", T0, False),
+        (7, "update", None, None, None, "person", *none, False, None, None, None, False, "u1", T0, False),
+        (8, "create", "c9", "c", None, "car", 0.1, 0.1, 0.2, 0.2, False, None, None, "n", False, "u1", T0, False),
+    ]
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    classes = vocabulary.class_list(spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string"), sets)
+    live = boxes_df(spark, rows)
+    live = live.unionByName(live.where("annotation_id = 'c5'").withColumn("annotation_id", F.lit(None).cast("string")))
+
+    def run():
+        out = apply_annotation_edits(live, empty(spark, "media_annotation_versions"), spark.createDataFrame(log, LOG), spark.createDataFrame(assets, table_type("media_assets")), classes)
+        return [sorted(map(str, df.collect())) for df in (out.annotations, out.versions, out.rejects)]
+
+    small, plans, counted = run(), [], []
+    monkeypatch.setattr(media_edits, "is_small", lambda df: False)
+    monkeypatch.setattr(media_edits, "TASK_ROWS", 1)
+    keep, mark = media_edits.staged, hotkeys.staged
+    monkeypatch.setattr(media_edits, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    monkeypatch.setattr(hotkeys, "staged", lambda df, name: counted.append(name) or mark(df, name))
+    assert run() == small and len(small[0]) == 8 and len(small[1]) == 4 and len(small[2]) == 3
+    assert "LeftSemi" not in plans[1] and counted == ["large-buckets"]
