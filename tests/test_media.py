@@ -510,3 +510,49 @@ def test_a_large_log_moves_the_annotations_once(spark, monkeypatch):
     monkeypatch.setattr(hotkeys, "staged", lambda df, name: counted.append(name) or mark(df, name))
     assert run() == small and len(small[0]) == 8 and len(small[1]) == 4 and len(small[2]) == 3
     assert "LeftSemi" not in plans[1] and counted == ["large-buckets"]
+
+
+def test_a_very_large_log_is_folded_in_rounds(spark, monkeypatch):
+    """With more tasks than a shuffle writes without sorting, ids take turns, and the results are the same."""
+    assets = [("c", "C", "image", "c", "x", None, 1, "c", 800, 600, None, "p", "pending", 0, None, None, None, "upload", "u", "u", T0, T0)]
+    # Some were edited before.
+    rows = [(f"c{i}", "c", "C", "bbox", "car", 0.1, 0.2, 0.3, 0.4, None, None, 800, 600, None, 1 + i % 2, "u", "uv"[i % 2], T0, T0) for i in range(6)]
+    none = (None,) * 4
+    ops = ["update", "delete", "restore", "create", "update", "restore"]
+    log = [
+        (s, op, f"c{s % 8}" if s % 9 else None, "c", None, "person", *((0.1, 0.1, 0.2, 0.2) if op == "create" else none), False, None, None, "n", op == "update", "w", T0, False)
+        for s, op in enumerate(ops * 8)
+    ]
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    classes = vocabulary.class_list(spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string"), sets)
+
+    def run():
+        out = apply_annotation_edits(boxes_df(spark, rows), empty(spark, "media_annotation_versions"), spark.createDataFrame(log, LOG), spark.createDataFrame(assets, table_type("media_assets")), classes)
+        return [sorted(map(str, df.collect())) for df in (out.annotations, out.versions, out.rejects)]
+
+    small, written = run(), []
+    monkeypatch.setattr(media_edits, "is_small", lambda df: False)
+    monkeypatch.setattr(media_edits, "TASK_ROWS", 12)
+    monkeypatch.setattr(media_edits, "BYPASS_PARTITIONS", 2)
+    keep = media_edits.staged
+    monkeypatch.setattr(media_edits, "staged", lambda df, name: written.append(name) or keep(df, name))
+    assert run() == small and all(small) and written == ["classes", *["edited"] * 3]
+
+
+def test_boxes_are_joined_as_plain_lines(spark, tmp_path):
+    """What is made of a line is longer than the line, so it is made behind the join."""
+    from checks.tables import Tables
+
+    line = (10, 2, 3, 4, 5.0, 60.5, 0.01, 0.02, "A", "F", T0)
+    spark.createDataFrame(
+        [line, (11, *line[1:])],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10, "1-URGENT")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    boxes = Tables(spark, str(tmp_path)).annotations
+    below = boxes._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "concat_ws" not in below and "l_extendedprice" in below
+    assert [(r.annotation_id, r.asset_id, r.dataset_id, r.x, r.box_height, r.frame_index) for r in boxes.collect()] == [
+        ("10-2-3-4-6050", "10", "1-URGENT", 0.02, 0.571429, 4)
+    ]
