@@ -556,3 +556,35 @@ def test_boxes_are_joined_as_plain_lines(spark, tmp_path):
     assert [(r.annotation_id, r.asset_id, r.dataset_id, r.x, r.box_height, r.frame_index) for r in boxes.collect()] == [
         ("10-2-3-4-6050", "10", "1-URGENT", 0.02, 0.571429, 4)
     ]
+
+
+def test_restores_are_decided_in_the_pass_of_the_log(spark):
+    """Without a history before the log nothing is moved for them behind the folds; with one, it is looked up."""
+    assets = [("c", "C", "image", "c", "x", None, 1, "c", 800, 600, None, "p", "pending", 0, None, None, None, "upload", "u", "u", T0, T0)]
+    rows = [(f"c{i}", "c", "C", "bbox", "car", 0.1, 0.2, 0.3, 0.4, None, None, 800, 600, None, 1, "u", "u", T0, T0) for i in range(3)]
+    edit = lambda s, op, i, label=None: (s, op, i, None, None, label, *(None,) * 4, False, None, None, None, False, f"u{s}", T0, False)
+    log = [
+        edit(0, "restore", "c0"), edit(1, "update", "c0", "person"), edit(2, "restore", "c0"), edit(3, "delete", "c0"),
+        edit(4, "restore", "c0"), edit(5, "restore", "c0"), edit(6, "restore", "old"), edit(7, "restore", "kept"),
+        edit(8, "restore", None), edit(9, "restore", "ghost"), edit(10, "update", "old", "car"),
+    ]
+    sets = spark.createDataFrame([("L", SCENE_LABELS)], "label_set_id string, labels array<struct<value:string,label:string,color:string>>")
+    classes = vocabulary.class_list(spark.createDataFrame([("C", "L")], "dataset_id string, label_set_id string"), sets)
+    snap = ("c", "C", "bbox", "car", 0.1, 0.2, 0.3, 0.4, None, None, 800, 600, "n", "u")
+    past = [
+        ("old", "c", "C", 1, snap, [], "create", None, "u", T0), ("old", "c", "C", 2, snap, [], "delete", None, "u", T0),
+        ("kept", "c", "C", 1, snap, [], "create", None, "u", T0),
+    ]
+    run = lambda old: apply_annotation_edits(boxes_df(spark, rows), old, spark.createDataFrame(log, LOG), spark.createDataFrame(assets, table_type("media_assets")), classes)
+    none, alive = "No history for this annotation", "This annotation is not deleted; edit it instead"
+    gone = [(None, 8, none), ("c0", 0, none), ("c0", 2, alive), ("ghost", 9, none), ("old", 10, "Annotation not found")]
+    out = run(empty(spark, "media_annotation_versions"))
+    for made in (out.rejects, out.versions):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.rejects.collect()), key=str) == sorted([*gone, ("old", 6, none), ("kept", 7, none)], key=str)
+    back = lambda df: sorted((r.annotation_id, r.restored_from, r.snapshot.label, r.snapshot.created_by, r.changed_by) for r in df.where("change_type = 'restore'").collect())
+    here = [(restored_id("c0", s), 3, "person", "u", f"u{s}") for s in (4, 5)]
+    assert back(out.versions) == sorted(here)
+    out = run(spark.createDataFrame(past, table_type("media_annotation_versions")))
+    assert sorted(map(tuple, out.rejects.collect()), key=str) == sorted([*gone, ("kept", 7, alive)], key=str)
+    assert back(out.versions) == sorted([*here, (restored_id("old", 6), 2, "car", "u", "u6")])
